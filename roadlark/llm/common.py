@@ -145,3 +145,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def doc_columns(docs: DataFrame, *extra: str) -> DataFrame:
     """Just the columns that an operator reads, so that others neither travel nor clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
+    """Join batches that are sorted by `keys` and cut them only between keys; a table holds about `limit` bytes or one group."""
+    held: list[pa.RecordBatch] = []
+    size, due = 0, limit
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < due:
+            continue
+        table = pa.Table.from_batches(held)
+        last = table.num_rows - 1
+        differs = np.zeros(last, bool)
+        for k in keys:
+            column = table.column(k).to_numpy()
+            differs |= column[:-1] != column[last]
+        cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).combine_chunks().to_batches()
+            size = sum(b.nbytes for b in held)
+        due = size + limit
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def starts_of_runs(*columns: np.ndarray) -> np.ndarray:
+    """Positions at which any of the sorted columns has a new value; and the length as the last."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), n)
