@@ -30,6 +30,19 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
+OP6 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS ws FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+           ELSE [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4] for i in range(1, len(ws) - 3)] END) AS s FROM w),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM sizes UNION SELECT both_ways.b, reach.r FROM reach JOIN both_ways ON both_ways.a = reach.id)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, min(r) AS component_id FROM sizes s JOIN reach ON reach.id = s.doc_id GROUP BY s.doc_id, s.n
+"""
+
 OP8 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 s AS (SELECT page_id, h, sha1(h) AS sha, min(page_id) OVER (PARTITION BY sha1(h)) AS first FROM p),
@@ -41,4 +54,4 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_warc": OP8}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op6_ngram_jaccard": OP6, "op8_warc": OP8}
