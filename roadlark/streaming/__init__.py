@@ -1,0 +1 @@
+"""Nothing here is a stream: workloads, graphs and samples are bounded tables."""
