@@ -31,55 +31,38 @@ CHUNK = 2 << 20
 STRETCH = 2 << 20
 #: Windows that are sorted at once, about.
 SORTED = 60_000
-#: Two primes below 2^31, and bases.
-PRIMES = (np.uint64(2_147_483_647), np.uint64(2_147_483_629))
-BASES = (1_000_003, 999_979)
-
+#: An odd number, so that it has an inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15 | 5
 
 _powers: dict[int, np.ndarray] = {}
 
 
-def kept_powers(base: int, prime: np.uint64, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64, by doubling; kept for the next call."""
     if len(_powers.get(base, ())) < n:
-        _powers[base] = powers(base, prime, 1 << max(16, (n - 1).bit_length()))
+        size = 1 << max(16, (n - 1).bit_length())
+        out, filled, step = np.ones(size, np.uint64), 1, base
+        with np.errstate(over="ignore"):
+            while filled < size:
+                out[filled : 2 * filled] = out[:filled] * np.uint64(step)
+                filled, step = 2 * filled, step * step % (1 << 64)
+        _powers[base] = out
     return _powers[base][:n]
 
 
-def powers(base: int, prime: np.uint64, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) mod prime, by doubling."""
-    out = np.ones(max(1, n), np.uint64)
-    filled, step = 1, np.uint64(base)
-    while filled < n:
-        take = min(filled, n - filled)
-        out[filled : filled + take] = out[:take] * step % prime
-        filled += take
-        step = step * step % prime
-    return out
-
-
 class PrefixHashes:
-    """Hashes of any stretch of a byte string in constant time, by two polynomials; a stretch is hashed as one 62-bit number."""
-
-    #: Terms are below 2^39, so this many can be summed without a carry out of 64 bits.
-    MOST = 1 << 24
+    """Hashes of any stretch of a byte string in constant time: a polynomial modulo 2^64, freed of the stretch's place."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        assert n <= self.MOST
-        self.sums, self.back = [], []
-        for base, prime in zip(BASES, PRIMES):
-            p = kept_powers(base, prime, n + 1)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
-            self.sums.append(sums % prime)
-            self.back.append(kept_powers(pow(base, -1, int(prime)), prime, n + 1))  # takes a stretch's place out of its hash
+        self.sums = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=self.sums[1:])
+        self.back = powers(pow(BASE, -1, 1 << 64), n + 1)
 
     def of(self, start: np.ndarray, count) -> np.ndarray:
-        out = np.zeros(len(start), np.uint64)
-        for sums, back, prime in zip(self.sums, self.back, PRIMES):
-            h = (sums[start + count] + prime - sums[start]) % prime * back[start] % prime
-            out = (out << np.uint64(31)) ^ h
-        return out
+        with np.errstate(over="ignore"):
+            return (self.sums[start + count] - self.sums[start]) * self.back[start]
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
