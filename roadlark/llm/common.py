@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one Arrow call gathers before numpy works on it; bounds a Python worker's memory.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
+SCRATCH = "roadlark-scratch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,11 +29,24 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all tables that operators have left in the shared folder; for when their results have been written."""
+    _delete(spark, f"{scratch_root(spark)}/{SCRATCH}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage; lost executors don't lose them."""
+    """Parquet tables in the shared folder that cut lineage; lost executors don't lose them.
+
+    Results are lazy and may read them, so they stay until clean() or drop().
+    """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base = spark, f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.base = spark, f"{scratch_root(spark)}/{SCRATCH}/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
     def path(self, name: str) -> str:
@@ -48,10 +62,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame | str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, t if isinstance(t, str) else t._scratch_path)
 
 
 def collect_garbage(spark: SparkSession) -> None:
@@ -62,8 +74,26 @@ def collect_garbage(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def tidy(fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: give memory back at the end of a task, as Python workers live on and would hold what they once took."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -118,7 +148,7 @@ def lower_words_of(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash, remembered for the words of one chunk or a few."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

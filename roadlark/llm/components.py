@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 MOST_ROUNDS = 60
 
@@ -38,7 +38,10 @@ class Forest:
 
 
 def _local_stars(batches):
-    """Replace each batch's edges by stars around the least node of its own components: fewer rows, as much known."""
+    """Replace each batch's edges by stars around the least node of its own components: fewer rows, as much known.
+
+    A node that only loops name in the batch has a loop.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         a, b = (np.asarray(c) for c in batch.columns)
@@ -47,7 +50,7 @@ def _local_stars(batches):
         for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
             forest.join(x, y)
         roots = np.fromiter((forest.find(k) for k in range(len(nodes))), np.int64, len(nodes))
-        keep = roots != np.arange(len(nodes))
+        keep = (roots != np.arange(len(nodes))) | (np.bincount(roots, minlength=len(nodes)) == 1)
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[roots[keep]])], schema=schema)
 
 
@@ -58,8 +61,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     scratch = Scratch(edges.sparkSession, "components")
     plain = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    loops = plain.where("a = b").select("a").distinct()
-    stars = scratch.write(plain.where("a <> b").mapInArrow(_local_stars, "a long, b long").distinct(), "edges")
+    first = scratch.write(plain.mapInArrow(tidy(_local_stars), "a long, b long").distinct(), "edges")
+    loops, stars = first.where("a = b").select("a"), first.where("a <> b")
     before = None
     for k in range(MOST_ROUNDS):
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -71,7 +74,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         after = scratch.write(small, f"round{k}")
         told = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(stars)
+        if k:
+            scratch.drop(stars)
         stars = after
         if told == before:
             break
