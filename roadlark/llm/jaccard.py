@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, chunks, collect_garbage, doc_columns, lower_words_of, mix64, starts_of_runs, whole_groups
+from .common import Scratch, WordHash, chunks, collect_garbage, doc_columns, lower_words_of, mix64, starts_of_runs, tidy, whole_groups
 from .components import Forest, connected_components
 
 WORDS, PERCENT = 5, 80
 BUCKETS, FRAGMENTS = 128, 8
+#: Sets of a loose group that one task compares with all of the group.
+BLOCK = 2000
 #: Frequent grams that are put last in the order; their number is bounded, and any choice gives the same links.
 FREQUENT = 1 << 16
-CHUNK = 12 << 20
+CHUNK = 4 << 20
 #: A fixed odd number that spreads the words of a gram.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,16 +45,18 @@ class Shingles:
         self.size, self.memory = size, WordHash()
 
     def grams(self, text: str | None) -> np.ndarray:
-        words = self.memory.of(lower_words_of(text))
+        return np.unique(self.grams_of(self.memory.of(lower_words_of(text))))
+
+    def grams_of(self, words: np.ndarray) -> np.ndarray:
         n = len(words)
+        size = min(self.size, n)
         if n == 0:
             return words
-        size = min(self.size, n)
+        out = np.full(n - size + 1, np.uint64(size))
         with np.errstate(over="ignore"):
-            out = np.full(n - size + 1, np.uint64(size))
             for k in range(size):
-                out = mix64(out * SPREAD + words[k : n - size + 1 + k])
-        return np.unique(out)
+                out = (out ^ (out >> np.uint64(29))) * SPREAD + words[k : n - size + 1 + k]
+        return mix64(out)
 
 
 def frequent_grams(docs: DataFrame, size: int = WORDS, most: int = FREQUENT) -> np.ndarray:
@@ -61,12 +65,13 @@ def frequent_grams(docs: DataFrame, size: int = WORDS, most: int = FREQUENT) ->
     def run(batches):
         shingles = Shingles(size)
         for batch in chunks(batches, limit=CHUNK):
-            sets = [shingles.grams(t.as_py()) for t in batch.column(1)]
-            found, counts = np.unique(np.concatenate(sets), return_counts=True)
-            many = counts >= max(6, len(sets) // 500)
+            # all texts as one: repeats within a text count as well, and the few grams over a seam are in no set
+            words = [w for t in batch.column(1) for w in lower_words_of(t.as_py())]
+            found, counts = np.unique(shingles.grams_of(shingles.memory.of(words)), return_counts=True)
+            many = counts >= max(6, batch.num_rows // 500)
             yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(counts[many])], names=["gram", "n"])
 
-    counted = doc_columns(docs).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = doc_columns(docs).mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     rows = counted.orderBy(F.desc("n"), "gram").limit(most).select("gram").collect()  # bounded by `most`
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
@@ -95,8 +100,10 @@ def bucket_sizes(grams: np.ndarray) -> np.ndarray:
 def _describe(size: int, percent: int, frequent: np.ndarray):
     def run(batches):
         shingles = Shingles(size)
+        seen: set[int] = set()
         for batch in chunks(batches, limit=CHUNK):
-            seen: set[int] = set()
+            if len(seen) > 500_000:
+                seen.clear()
             sizes, keys, prefixes, buckets = [], [], [], []
             for value in batch.column(1):
                 grams = shingles.grams(value.as_py())
@@ -108,7 +115,7 @@ def _describe(size: int, percent: int, frequent: np.ndarray):
                     seen.add(key)
                     prefixes.append(in_order(grams, frequent)[0][: n - least_overlap(n, percent) + 1].view(np.int64))
                     buckets.append(bucket_sizes(grams).tobytes())
-                else:  # no words, or a copy of a set in this chunk
+                else:  # no words, or a copy of a set that this task has told already
                     prefixes.append(None)
                     buckets.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(buckets, pa.binary())], names=["doc_id", "n", "key", "prefix", "buckets"])
@@ -188,13 +195,16 @@ def _loosely(percent: int):
 
 
 def _fragments(size: int, frequent: np.ndarray):
-    """Cut the sets of loose groups along the global order; rows (component, fragment, key, n, grams)."""
+    """Cut the sets of loose groups along the global order; rows (component, fragment, block, own, key, n, grams).
+
+    A group of more than BLOCK sets has several blocks: each set is its own in one of them and company in the others.
+    """
 
     def run(batches):
         shingles = Shingles(size)
         for batch in chunks(batches, limit=CHUNK):
-            out: list[list] = [[] for _ in range(5)]
-            for text, component, key in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list] = [[] for _ in range(7)]
+            for text, component, key, blocks in zip(*(c.to_pylist() for c in batch.columns)):
                 whole = shingles.grams(text)
                 if set_key(whole) != key:  # another text of a repeated id
                     continue
@@ -202,81 +212,102 @@ def _fragments(size: int, frequent: np.ndarray):
                 place = (grams >> np.uint64(61)).astype(np.int64)
                 place[rare:] = FRAGMENTS - 1
                 cuts = np.searchsorted(place, np.arange(FRAGMENTS + 1))
+                mine = key % blocks
                 for f in range(FRAGMENTS):
-                    for column, x in zip(out, (component, f, key, len(grams), np.sort(grams[cuts[f] : cuts[f + 1]]).tobytes())):
-                        column.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["component", "fragment", "key", "n", "grams"])
+                    part = np.sort(grams[cuts[f] : cuts[f + 1]]).tobytes()
+                    for b in range(blocks):
+                        for column, x in zip(out, (component, f, b, b == mine, key, len(grams), part)):
+                            column.append(x)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["component", "fragment", "block", "own", "key", "n", "grams"])
 
     return run
 
 
 def _partial_overlaps(percent: int):
-    """For each set of a group: its number in the order of keys, and numbers and partial overlaps of earlier ones that it may link to."""
+    """For each own set of a block: keys, sizes and partial overlaps of the sets with lesser keys that it may link to."""
 
     def run(batches):
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        names = ["component", "fragment", "at", "key", "n", "others", "overlaps"]
-        for table in whole_groups(batches, ("component", "fragment"), limit=4 << 20):
-            component, fragment, key, n = (table.column(c).to_numpy() for c in ("component", "fragment", "key", "n"))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        names = ["key", "n", "others", "sizes", "overlaps"]
+        for table in whole_groups(batches, ("component", "fragment", "block"), limit=4 << 20):
+            once = starts_of_runs(*(table.column(c).to_numpy() for c in ("component", "fragment", "block", "key")))[:-1]
+            if len(once) < table.num_rows:  # rows that repeat an id bring their sets again
+                table = table.take(pa.array(once))
+            component, fragment, block, key, n = (table.column(c).to_numpy() for c in ("component", "fragment", "block", "key", "n"))
+            own = table.column("own").to_pylist()
             grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
-            runs = starts_of_runs(component, fragment)
+            runs = starts_of_runs(component, fragment, block)
             out: list[list] = [[] for _ in names]
+            held = 0
             for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist()):
-                held: dict[int, list[int]] = {}
-                own = np.array([len(g) for g in grams[lo:hi]], np.int64)
-                total = n[lo:hi]
-                for at in range(hi - lo):
-                    hits: list[int] = []
-                    for g in grams[lo + at].tolist():
-                        earlier = held.setdefault(g, [])
-                        hits += earlier
-                        earlier.append(at)
-                    counts = np.bincount(hits, minlength=at) if hits else np.zeros(at, np.int64)
-                    bound = counts + np.minimum(total[at] - own[at], total[:at] - own[:at])
+                here = np.array([len(g) for g in grams[lo:hi]], np.int64)
+                total, keys = n[lo:hi], key[lo:hi]
+                for at, counts in overlaps_with_earlier(grams[lo:hi], own[lo:hi]):
+                    bound = counts + np.minimum(total[at] - here[at], total[:at] - here[:at])
                     others = np.flatnonzero((100 * bound >= percent * (total[at] + total[:at] - bound)) & (counts > 0))
-                    for column, x in zip(out, (component[lo], fragment[lo], at, key[lo + at], n[lo + at], others.astype(np.int32), counts[others].astype(np.int32))):
+                    if not len(others):
+                        continue
+                    for column, x in zip(out, (keys[at], total[at], keys[others], total[others].astype(np.int32), counts[others].astype(np.int32))):
                         column.append(x)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
-                    out = [[] for _ in names]
+                    held += 20 + len(others)
+                    if held > 400_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+                        out, held = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
     return run
 
 
+def overlaps_with_earlier(sets: list[np.ndarray], asked: list[bool]):
+    """For each set that is asked for: its place, and how many grams it shares with each set before it."""
+    if len(sets) <= 6:
+        for at, own in enumerate(sets):
+            if asked[at]:
+                yield at, np.array([len(np.intersect1d(own, other, assume_unique=True)) for other in sets[:at]], np.int64)
+        return
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")  # holders of a gram lie together, in the order of the sets
+    cut = starts_of_runs(every[order])
+    which = np.empty(len(every), np.int64)
+    which[order] = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    rank = np.empty(len(every), np.int64)
+    rank[order] = np.arange(len(every)) - np.repeat(cut[:-1], np.diff(cut))
+    holders = owner[order]
+    ends = np.cumsum(sizes)
+    for at in np.flatnonzero(asked).tolist():
+        mine = slice(ends[at] - sizes[at], ends[at])
+        before = rank[mine]  # holders of each gram that come before this set
+        first = cut[which[mine]]
+        hits = np.repeat(first - np.cumsum(before) + before, before) + np.arange(before.sum())
+        yield at, np.bincount(holders[hits], minlength=at).astype(np.int64)[:at] if at else np.zeros(0, np.int64)
+
+
 def _sum_overlaps(percent: int):
-    """Sum partial overlaps over fragments and test each pair; emits a spanning forest of the links of each group."""
+    """Sum partial overlaps over fragments and test each pair; emits the links of a task's sets as a spanning forest of them."""
 
     def run(batches):
-        component, keys, sizes, forest = None, [], [], Forest(0)
-        for table in whole_groups(batches, ("component", "at"), limit=4 << 20):
-            a, b = [], []
-            rows = list(zip(*(table.column(c).to_pylist() for c in ("component", "at", "key", "n"))))
-            others, overlaps = table.column("others").to_pylist(), table.column("overlaps").to_pylist()
-            k = 0
-            while k < len(rows):
-                comp, at, key, n = rows[k]
-                if comp != component:
-                    component, keys, sizes, forest = comp, [], [], Forest(0)
-                end = k
-                while end < len(rows) and rows[end][:2] == (comp, at):
-                    end += 1
-                assert at == len(keys)
-                keys.append(key)
-                sizes.append(n)
-                forest.parent.append(at)
-                flat = [x for r in range(k, end) for x in others[r]]
-                if flat:
-                    total = np.bincount(flat, [x for r in range(k, end) for x in overlaps[r]]).astype(np.int64)
-                    near = np.flatnonzero(total)
-                    union = n + np.array([sizes[i] for i in near.tolist()]) - total[near]
-                    for i in near[100 * total[near] >= percent * union].tolist():
-                        if forest.join(at, i):
-                            a.append(key)
-                            b.append(keys[i])
-                k = end
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for table in whole_groups(batches, ("key",), limit=4 << 20):
+            key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
+            lists = [table.column(c).combine_chunks() for c in ("others", "sizes", "overlaps")]
+            per_row = np.diff(lists[0].offsets.to_numpy())
+            others, sizes, overlaps = (x.flatten().to_numpy() for x in lists)
+            a, n_a = np.repeat(key, per_row), np.repeat(n, per_row)
+            order = np.lexsort((others, a))
+            a, n_a, b, n_b, k = a[order], n_a[order], others[order], sizes[order].astype(np.int64), overlaps[order].astype(np.int64)
+            runs = starts_of_runs(a, b)
+            if len(runs) < 2:
+                continue
+            total, at = np.add.reduceat(k, runs[:-1]), runs[:-1]
+            linked = 100 * total >= percent * (n_a[at] + n_b[at] - total)
+            a, b = a[at][linked], b[at][linked]
+            nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            forest = Forest(len(nodes))
+            keep = [forest.join(x, y) for x, y in zip(place[: len(a)].tolist(), place[len(a) :].tolist())]
+            keep = np.array(keep, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     return run
 
@@ -292,25 +323,31 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     scratch = Scratch(spark, "jaccard")
     plain = doc_columns(docs)
     frequent = frequent_grams(docs, size)
-    told = scratch.write(plain.mapInArrow(_describe(size, percent, frequent), "doc_id long, n long, key long, prefix array<long>, buckets binary"), "sets")
+    told = scratch.write(plain.mapInArrow(tidy(_describe(size, percent, frequent)), "doc_id long, n long, key long, prefix array<long>, buckets binary"), "sets")
     entries = told.where("prefix IS NOT NULL").select(F.explode("prefix").alias("gram"), "key", "n")
-    shared = entries.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(_share_gram(percent), "group long, key long")
+    shared = entries.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(tidy(_share_gram(percent)), "group long, key long")
     groups = scratch.write(shared.dropDuplicates(["group", "key"]), "groups")
     del entries, shared
     collect_garbage(spark)
     sizes = told.where("buckets IS NOT NULL").select("key", "n", "buckets").dropDuplicates(["key"])
     loose = groups.join(sizes, "key").select("group", "key", "n", "buckets").repartition(F.col("group")).sortWithinPartitions("group", "key")
-    coarse = connected_components(loose.mapInArrow(_loosely(percent), "a long, b long"))
+    coarse = connected_components(loose.mapInArrow(tidy(_loosely(percent)), "a long, b long"))
     firsts = told.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = scratch.write(firsts.join(coarse, F.col("key") == F.col("node")).select("doc_id", "component", "key"), "wanted")
+    coarse = scratch.write(coarse, "coarse")
+    scratch.drop(groups)
+    crowds = coarse.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    wanted = firsts.join(coarse, F.col("key") == F.col("node")).join(crowds, "component").select("doc_id", "component", "key", "blocks")
     del loose, sizes
     collect_garbage(spark)
-    cut = plain.where("text IS NOT NULL").join(wanted, "doc_id").select("text", "component", "key").mapInArrow(_fragments(size, frequent), "component long, fragment int, key long, n long, grams binary")
-    parts = cut.repartition("component", "fragment").sortWithinPartitions("component", "fragment", "key").mapInArrow(_partial_overlaps(percent), "component long, fragment int, at int, key long, n long, others array<int>, overlaps array<int>")
-    links = scratch.write(parts.repartition(F.col("component")).sortWithinPartitions("component", "at", "fragment").mapInArrow(_sum_overlaps(percent), "a long, b long"), "links")
+    # texts meet their keys by a merge at every size, so that small inputs tell what large ones take
+    cut = plain.where("text IS NOT NULL").join(wanted.hint("merge"), "doc_id").select("text", "component", "key", "blocks").mapInArrow(tidy(_fragments(size, frequent)), "component long, fragment int, block int, own boolean, key long, n long, grams binary")
+    place = ("component", "fragment", "block")
+    parts = cut.repartition(*place).sortWithinPartitions(*place, "key").mapInArrow(tidy(_partial_overlaps(percent)), "key long, n long, others array<long>, sizes array<int>, overlaps array<int>")
+    links = scratch.write(parts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(tidy(_sum_overlaps(percent)), "a long, b long"), "links")
     del cut, parts
     collect_garbage(spark)
     linked = connected_components(links)
+    scratch.drop(links, coarse)
     rows = told.select("doc_id", F.col("n").alias("n_shingles"), "key").join(linked, F.col("key") == F.col("node"), "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "key").alias("class"))
     least = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
