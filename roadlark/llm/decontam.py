@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_columns, mix64
+from .common import chunks, doc_columns, mix64, tidy
 
 EDGE = b".,;:!?\"'()[]{}<>#*$%&|-_"
 LEAST_WORDS = 5
@@ -268,7 +268,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
 
     out = None
     for items in item_blocks(benchmark, block_items):
-        found = doc_columns(docs).mapInArrow(searcher(items), "doc_id long, item_id long, start_word long, end_word long, edits long, similarity double")
+        found = doc_columns(docs).mapInArrow(tidy(searcher(items)), "doc_id long, item_id long, start_word long, end_word long, edits long, similarity double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word long, end_word long, edits long, similarity double")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, doc_columns, gathered, lower_words_of, mix64
+from .common import Scratch, WordHash, doc_columns, gathered, lower_words_of, mix64, tidy
 
 #: Fixed values of the base score: what is added to a count, and the word that ends a text (no word has a line feed).
 ADD, END = 0.1, b"\n"
@@ -94,7 +94,7 @@ def unigram_counts(docs: DataFrame) -> DataFrame:
             for k in range(0, len(found), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], names=["word", "n"])
 
-    return doc_columns(docs).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return doc_columns(docs).mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _transitions(shards: int, hot: np.ndarray):
@@ -228,6 +228,6 @@ def score_documents(docs: DataFrame, mu: float = MU) -> DataFrame:
     scratch.drop(counts)
     hot, hot_counts = np.array([w for w, _ in heavy], np.uint64), np.array([n for _, n in heavy], np.float64)
     shards = max(8, -(-total // SHARD_TOKENS))
-    dealt = doc_columns(docs).mapInArrow(_transitions(shards, hot), "shard long, chunk long, home boolean, blob binary")
+    dealt = doc_columns(docs).mapInArrow(tidy(_transitions(shards, hot)), "shard long, chunk long, home boolean, blob binary")
     parts = dealt.groupBy("shard").applyInArrow(_score_shard(total, distinct, mu, hot, hot_counts), "chunk long, home boolean, blob binary")
     return parts.groupBy("chunk").applyInArrow(_sum_chunk(total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

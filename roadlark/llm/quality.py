@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import doc_columns, tidy, words_of
 
 SYMBOLS = "#*$%&|<>"
 MARKS = "!?"
@@ -77,21 +77,24 @@ def measure(text: str | None) -> tuple[int, ...]:
     return len(words), chars, sum(map(text.count, SYMBOLS)), sum(map(text.count, MARKS)), len(lines), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def _measure_batches(batches):
-    for batch in batches:
-        rows = [measure(t.as_py()) for t in batch.column(1)]
-        table = np.array(rows, np.int64).reshape(len(rows), len(NAMES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(len(NAMES)))], names=["row", *NAMES])
+def _measure_batches(text_of):
+    def run(batches):
+        for batch in batches:
+            rows = [measure(t.as_py()) for t in text_of(batch)]
+            table = np.array(rows, np.int64).reshape(len(rows), len(NAMES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(table[:, k]) for k in range(len(NAMES)))], names=["row", *NAMES])
+
+    return run
 
 
 def fail_bits() -> Column:
     return F.expr(" + ".join(f"CASE WHEN {rule} THEN {BIT[name]}L ELSE 0L END" for name, rule in RULES.items()))
 
 
-def _measured(rows: DataFrame, text: Column, row: Column) -> DataFrame:
-    carried = rows.select(row.alias("row"), text.cast("string").alias("text"))
-    kind = carried.schema["row"].dataType.simpleString()
-    return carried.mapInArrow(_measure_batches, f"row {kind}, " + ", ".join(f"{n} long" for n in NAMES)).withColumn("fail_bits", fail_bits())
+def _measured(rows: DataFrame, text_of) -> DataFrame:
+    """Measurements beside the first column of rows; text_of finds the texts in a batch."""
+    schema = f"row {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in NAMES)
+    return rows.mapInArrow(tidy(_measure_batches(text_of)), schema).withColumn("fail_bits", fail_bits())
 
 
 def evaluate(docs: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def evaluate(docs: DataFrame) -> DataFrame:
 
     Each row is measured for itself: repeated doc_ids keep a row each; other columns are ignored.
     """
-    return _measured(docs, F.col("text"), F.col("doc_id").cast("long")).withColumnRenamed("row", "doc_id")
+    return _measured(doc_columns(docs), lambda batch: batch.column(1)).withColumnRenamed("row", "doc_id")
 
 
 def passes(policy: Policy) -> Column:
@@ -125,5 +128,6 @@ def ablations(ledger: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> Dat
 
 def filter_documents(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     """The documents that a policy keeps, with all their columns as they were."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return _measured(docs, F.col("text"), whole).where(passes(policy)).select("row.*")
+    at = docs.columns.index("text")
+    whole = docs.select(F.struct(*[(F.col(f"`{c}`").cast("string") if k == at else F.col(f"`{c}`")).alias(c) for k, c in enumerate(docs.columns)]).alias("row"))
+    return _measured(whole, lambda batch: batch.column(0).field(at)).where(passes(policy)).select("row.*")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, collect_garbage, doc_columns, mix64, starts_of_runs, whole_groups
+from .common import Scratch, chunks, collect_garbage, doc_columns, mix64, starts_of_runs, tidy, whole_groups
 
 LENGTH = 100
 GRAM = 32
@@ -297,7 +297,11 @@ def _decide(length: int):
 
     def run(batches):
         for table in whole_groups(batches, ("gram",), limit=2 << 20):
-            gram, docs, first, count, back = (table.column(c).to_numpy() for c in ("gram", "doc_id", "first", "count", "back"))
+            gram, docs, first = (table.column(c).to_numpy() for c in ("gram", "doc_id", "first"))
+            once = starts_of_runs(gram, docs, first)[:-1]  # rows that repeat an id bring their runs again
+            if len(once) < len(gram):
+                table, gram, docs, first = table.take(pa.array(once)), gram[once], docs[once], first[once]
+            count, back = (table.column(c).to_numpy() for c in ("count", "back"))
             contexts = table.column("context").to_pylist()
             data = np.frombuffer(b"".join(contexts), np.uint8)
             base = np.cumsum([0, *map(len, contexts)])[:-1]
@@ -366,13 +370,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     plain = doc_columns(docs)
-    runs = plain.mapInArrow(_run_batches(length), "gram long, context long, doc_id long, place long")
-    met = scratch.write(runs.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(_meet, _MARKS), "met")
+    runs = plain.mapInArrow(tidy(_run_batches(length)), "gram long, context long, doc_id long, place long")
+    met = scratch.write(runs.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(tidy(_meet), _MARKS), "met")
     del runs
     collect_garbage(spark)
     asked = met.where("NOT sure").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "count", "back")).alias("asked"))
-    fetched = plain.where("text IS NOT NULL").join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(length), "gram long, doc_id long, first long, count int, back int, context binary")
-    decided = fetched.repartition(F.col("gram")).sortWithinPartitions("gram", "doc_id", "first").mapInArrow(_decide(length), "doc_id long, first long, count int")
+    fetched = plain.where("text IS NOT NULL").join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(tidy(_fetch(length)), "gram long, doc_id long, first long, count int, back int, context binary")
+    decided = fetched.repartition(F.col("gram")).sortWithinPartitions("gram", "doc_id", "first").mapInArrow(tidy(_decide(length)), "doc_id long, first long, count int")
     more = scratch.write(decided, "decided")
     del fetched, decided, asked
     collect_garbage(spark)
@@ -422,5 +426,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Documents without an id are neither searched nor cut. Matches never reach over documents.
     """
     marks = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("marks"))
-    return doc_columns(docs).join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    return doc_columns(docs).join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(tidy(_cut(length)), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 

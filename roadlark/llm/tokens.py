@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces remembered by a worker before it starts anew; bounds its memory.
@@ -202,5 +202,5 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, budgets: tuple[i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(cuts, ints), *more], names=names)
 
     schema = "doc_id long, n_bytes long, n_tokens long, cuts array<long>" + (", ends array<long>, sums array<long>" if tables else "")
-    out = doc_columns(docs).mapInArrow(run, schema)
+    out = doc_columns(docs).mapInArrow(tidy(run), schema)
     return out.withColumn("over", F.transform(F.array(*map(F.lit, budgets)), lambda b: F.col("n_tokens") > b))

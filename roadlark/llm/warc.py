@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks
+from .common import Scratch, chunks, tidy
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -125,7 +125,7 @@ class ZipArchive:
         while at >= 0:
             if len(tail) - at >= END_SIZE:
                 _, disk, first, here, total, size, offset, comment = struct.unpack_from("<4s4H2LH", tail, at)
-                if at + END_SIZE + comment == len(tail) and disk == first and here == total or FULL16 in (disk, here, total):
+                if at + END_SIZE + comment == len(tail) and ((disk == first and here == total) or FULL16 in (disk, here, total)):
                     return tail_at + at, total, size, offset
             at = tail.rfind(END, 0, at)
         raise ValueError("no end of a ZIP directory")
@@ -260,7 +260,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
         if writer.count:
             yield close(writer)
 
-    return told.mapInArrow(run, "path string, n_records long, n_bytes long")
+    return told.mapInArrow(tidy(run), "path string, n_records long, n_bytes long")
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
@@ -290,7 +290,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else "")
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    return manifest.select("path").repartition(F.col("path")).mapInArrow(tidy(run), schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
