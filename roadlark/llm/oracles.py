@@ -30,6 +30,20 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
+OP3 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT r, doc_id, unnest(range(0, n - 99)) AS p, h FROM d WHERE n >= 100),
+x AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, 200) AS x FROM w),
+m AS (SELECT r, p FROM (SELECT r, p, row_number() OVER (PARTITION BY x ORDER BY doc_id, p) AS k FROM x) WHERE k > 1),
+i AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g FROM (SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 100 THEN 1 ELSE 0 END AS new FROM m)),
+s AS (SELECT r, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY r, g),
+t AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+k AS (SELECT t.r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM t JOIN d USING (r) GROUP BY t.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
 OP6 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS ws FROM documents),
 sets AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
@@ -54,4 +68,4 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op6_ngram_jaccard": OP6, "op8_warc": OP8}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_suffix_dedup": OP3, "op6_ngram_jaccard": OP6, "op8_warc": OP8}

@@ -242,8 +242,10 @@ def test_jaccard(docs, corpus, crowded, nothing):
     assert jaccard.jaccard_components(nothing).count() == 0
 
 
-def test_jaccard_of_chains_and_crowds(spark):
+@pytest.mark.parametrize("block", [2000, 7])
+def test_jaccard_of_chains_and_crowds(spark, monkeypatch, block):
     """Chains of near copies, a large near group without a common original, and frequent passages in all texts."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(21)
     rows, passage = [], sentence(rng, 40)
     text = sentence(rng, 120).split(" ")
@@ -282,7 +284,10 @@ def test_fragment_sizes_bound_overlaps():
 def test_overlaps(m):
     rng = np.random.default_rng(m)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(m)]
-    for at, counts in enumerate(jaccard.overlaps_with_earlier(sets)):
+    asked = [bool(rng.integers(0, 4)) for _ in sets]
+    got = list(jaccard.overlaps_with_earlier(sets, asked))
+    assert [at for at, _ in got] == [k for k in range(m) if asked[k]]
+    for at, counts in got:
         assert counts.tolist() == [len(np.intersect1d(sets[at], sets[j])) for j in range(at)]
 
 
