@@ -375,7 +375,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     del runs
     collect_garbage(spark)
     asked = met.where("NOT sure").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "count", "back")).alias("asked"))
-    fetched = plain.where("text IS NOT NULL").join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(tidy(_fetch(length)), "gram long, doc_id long, first long, count int, back int, context binary")
+    fetched = plain.where("text IS NOT NULL").join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked").mapInArrow(tidy(_fetch(length)), "gram long, doc_id long, first long, count int, back int, context binary")
     decided = fetched.repartition(F.col("gram")).sortWithinPartitions("gram", "doc_id", "first").mapInArrow(tidy(_decide(length)), "doc_id long, first long, count int")
     more = scratch.write(decided, "decided")
     del fetched, decided, asked
@@ -426,5 +426,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Documents without an id are neither searched nor cut. Matches never reach over documents.
     """
     marks = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("marks"))
-    return doc_columns(docs).join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(tidy(_cut(length)), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    return doc_columns(docs).join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(tidy(_cut(length)), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 
