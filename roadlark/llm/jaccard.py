@@ -26,7 +26,7 @@ from .components import Forest, connected_components
 WORDS, PERCENT = 5, 80
 BUCKETS, FRAGMENTS = 128, 8
 #: Sets of a loose group that one task compares with all of the group.
-BLOCK = 2000
+BLOCK = 16_000
 #: Frequent grams that are put last in the order; their number is bounded, and any choice gives the same links.
 FREQUENT = 1 << 16
 CHUNK = 4 << 20
@@ -339,8 +339,8 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     wanted = firsts.join(coarse, F.col("key") == F.col("node")).join(crowds, "component").select("doc_id", "component", "key", "blocks")
     del loose, sizes
     collect_garbage(spark)
-    # texts meet their keys by a merge at every size, so that small inputs tell what large ones take
-    cut = plain.where("text IS NOT NULL").join(wanted.hint("merge"), "doc_id").select("text", "component", "key", "blocks").mapInArrow(tidy(_fragments(size, frequent)), "component long, fragment int, block int, own boolean, key long, n long, grams binary")
+    # texts meet their keys by a hash of the latter: no sort of texts, and the same plan at every size
+    cut = plain.where("text IS NOT NULL").join(wanted.hint("shuffle_hash"), "doc_id").select("text", "component", "key", "blocks").mapInArrow(tidy(_fragments(size, frequent)), "component long, fragment int, block int, own boolean, key long, n long, grams binary")
     place = ("component", "fragment", "block")
     parts = cut.repartition(*place).sortWithinPartitions(*place, "key").mapInArrow(tidy(_partial_overlaps(percent)), "key long, n long, others array<long>, sizes array<int>, overlaps array<int>")
     links = scratch.write(parts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(tidy(_sum_overlaps(percent)), "a long, b long"), "links")

@@ -242,7 +242,7 @@ def test_jaccard(docs, corpus, crowded, nothing):
     assert jaccard.jaccard_components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("block", [2000, 7])
+@pytest.mark.parametrize("block", [16_000, 7])
 def test_jaccard_of_chains_and_crowds(spark, monkeypatch, block):
     """Chains of near copies, a large near group without a common original, and frequent passages in all texts."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
