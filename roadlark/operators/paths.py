@@ -22,8 +22,11 @@ from ..plans.stable import stable
 from ..schemas import PATHS
 from .graph import adjacency
 
-#: Undirected edges up to which the graph is sent to executors: 24 bytes each way, so 480 MB at most.
-MOST_BROADCAST_EDGES = 10_000_000
+#: Undirected edges up to which the graph is sent to executors: 24 bytes each way, 96 MB at most, and about
+#: 300 MB as lists in a worker.
+MOST_BROADCAST_EDGES = 2_000_000
+#: Destinations of one origin up to which each is searched for from both ends; more share one search.
+MOST_PAIRWISE = 4
 MOST_ROUNDS = 100_000
 
 
@@ -40,6 +43,8 @@ class Rows:
         self.starts = np.append(self.starts, len(a))
         self.to = np.searchsorted(self.ids, b[order])
         self.weight, self.edge = np.concatenate([weight, weight])[order], np.concatenate([edge, edge])[order]
+        # lists are several times as fast as arrays for one element at a time
+        self.starts, self.to, self.weight = self.starts.tolist(), self.to.tolist(), self.weight.tolist()
         self.has_zero = bool(len(weight)) and float(weight.min()) == 0
         self.xy, self.scale = xy, scale
 
@@ -68,15 +73,51 @@ class Rows:
                 if not left and limit == math.inf:
                     limit = d  # others as near may still be on a tied path
             for k in range(self.starts[u], self.starts[u + 1]):
-                v = int(self.to[k])
+                v = self.to[k]
                 if v in done:
                     continue
-                got = (d + float(self.weight[k]), hops + 1)
+                got = (d + self.weight[k], hops + 1)
                 if v not in best or got < best[v]:
                     best[v] = got
                     heapq.heappush(heap, (got[0] + ahead(v), *got, v))
         return done
 
+    def between(self, origin: int, goal: int) -> dict[int, tuple[float, int]]:
+        """Place -> (distance, 0) from the origin, final for the goal and every node on a shortest path to it; no goal if there is none.
+
+        Both ends are searched until their radii add up to the length of a path. Then only the origin's search goes on,
+        and only over nodes whose distance to the goal - known, or the other search's radius at least - leaves room.
+        Weights are above zero.
+        """
+        heaps, best = ([(0.0, origin)], [(0.0, goal)]), ({origin: 0.0}, {goal: 0.0})
+        done: tuple[dict[int, float], dict[int, float]] = ({}, {})
+        length = math.inf
+
+        def settle(side: int, d: float, u: int, cap: float) -> None:
+            nonlocal length
+            done[side][u] = d
+            mine, theirs, heap = best[side], best[1 - side], heaps[side]
+            for k in range(self.starts[u], self.starts[u + 1]):
+                v, far = self.to[k], d + self.weight[k]
+                if far < mine.get(v, math.inf) and far <= cap:
+                    mine[v] = far
+                    heapq.heappush(heap, (far, v))
+                    length = min(length, far + theirs.get(v, math.inf))
+
+        while heaps[0] and heaps[1] and heaps[0][0][0] + heaps[1][0][0] < length:
+            side = 0 if len(heaps[0]) <= len(heaps[1]) else 1
+            d, u = heapq.heappop(heaps[side])
+            if u not in done[side]:
+                settle(side, d, u, math.inf)
+        if length == math.inf:
+            return {}
+        cap, radius = length * (1 + 1e-12), heaps[1][0][0] if heaps[1] else math.inf
+        while heaps[0] and heaps[0][0][0] <= cap:
+            d, u = heapq.heappop(heaps[0])
+            if u not in done[0] and d + done[1].get(u, radius) <= cap:
+                settle(0, d, u, cap)
+        return {u: (d, 0) for u, d in done[0].items()}
+
     def _ahead(self, goals: set[int] | None):
         if not self.xy or not self.scale or goals is None or len(goals) != 1:
             return lambda v: 0.0
@@ -95,8 +136,8 @@ class Rows:
         while v != origin:
             d, hops = done[v]
             for k in range(self.starts[v], self.starts[v + 1]):  # neighbours ascend
-                u = int(self.to[k])
-                if u != v and u in done and done[u][0] + float(self.weight[k]) == d and (not self.has_zero or done[u][1] + 1 == hops):
+                u = self.to[k]
+                if u != v and u in done and done[u][0] + self.weight[k] == d and (not self.has_zero or done[u][1] + 1 == hops):
                     break
             else:
                 raise AssertionError("a settled node without a predecessor")
@@ -140,7 +181,7 @@ def trace_paths(undirected: DataFrame, queries: DataFrame, method: str = "auto",
 
 
 def _trace_arrow(undirected: DataFrame, asked: DataFrame, points: DataFrame | None, scale: float) -> DataFrame:
-    shared = undirected.sparkSession.sparkContext.broadcast(_collected_rows(undirected, points, scale))
+    shared, most = undirected.sparkSession.sparkContext.broadcast(_collected_rows(undirected, points, scale)), MOST_PAIRWISE
 
     def run(batches):
         rows = shared.value
@@ -149,9 +190,12 @@ def _trace_arrow(undirected: DataFrame, asked: DataFrame, points: DataFrame | No
             for origin, group in batch.groupby("origin"):
                 start = rows.place(origin)
                 goals = {p for x in group["destination"] if x != origin and (p := rows.place(x)) >= 0}
-                done = rows.reach(start, goals) if start >= 0 and goals else {}
+                led = rows.xy is not None or rows.has_zero
+                pairwise = not led and len(goals) <= most
+                shared_search = rows.reach(start, goals) if start >= 0 and goals and not pairwise else {}
                 for q in group.itertuples(index=False):
                     goal = rows.place(q.destination)
+                    done = rows.between(start, goal) if pairwise and start >= 0 and goal >= 0 and goal != start else shared_search
                     if q.origin == q.destination:
                         out.append((q.query_id, q.origin, q.destination, q.count_, True, 0.0, [q.origin], []))
                     elif goal in done:

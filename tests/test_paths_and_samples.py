@@ -60,12 +60,18 @@ def floyd(edges, n):
     return d
 
 
-@pytest.mark.parametrize(("seed", "zero"), [(1, False), (2, True)])
-def test_methods_agree_and_are_shortest(spark, seed, zero):
+@pytest.mark.parametrize(("seed", "zero", "pairwise"), [(1, False, 4), (2, True, 4), (3, False, 99), (4, False, 99)])
+def test_methods_agree_and_are_shortest(spark, seed, zero, pairwise):
     edges = random_graph(seed, zero=zero)
     und = spark.createDataFrame(edges, UND)
     asked = spark.createDataFrame([(a * 100 + b, a, b, 1) for a in range(1, 15, 2) for b in range(1, 15, 3)], ASK)
-    one, two = rows(paths.trace_paths(und, asked, "arrow")), rows(paths.trace_paths(und, asked, "relax"))
+    before = paths.MOST_PAIRWISE
+    paths.MOST_PAIRWISE = pairwise
+    try:
+        traced = rows(paths.trace_paths(und, asked, "arrow"))
+    finally:
+        paths.MOST_PAIRWISE = before
+    one, two = traced, rows(paths.trace_paths(und, asked, "relax"))
     assert one == two
     best = floyd(edges, 14)
     for q, reachable, distance, nodes, used in one:
@@ -80,6 +86,26 @@ def test_methods_agree_and_are_shortest(spark, seed, zero):
     assert near("arrow") == near("relax")
 
 
+def test_search_from_both_ends():
+    """Against one search, over many graphs with ties: the same paths."""
+    import numpy as np
+
+    for seed in range(60):
+        edges = random_graph(seed, n=25, m=60)
+        columns = [np.array([e[k] for e in edges]) for k in (1, 2, 3, 0)]
+        graph = paths.Rows(*columns)
+        for a in range(0, len(graph.ids), 3):
+            whole = graph.reach(a, None)
+            for b in range(len(graph.ids)):
+                if a == b:
+                    continue
+                done = graph.between(a, b)
+                assert (b in done) == (b in whole)
+                if b in done:
+                    assert done[b][0] == whole[b][0]
+                    assert graph.back(done, a, b) == graph.back(whole, a, b)
+
+
 def test_guided_search(spark):
     rng = random.Random(7)
     xy = {k: (rng.random(), rng.random()) for k in range(1, 31)}
