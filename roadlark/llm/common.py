@@ -148,7 +148,7 @@ def lower_words_of(text: str | None) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash, remembered for the words of one chunk or a few."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

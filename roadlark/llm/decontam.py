@@ -156,7 +156,7 @@ class ItemIndex:
     def numbers_of(self, text: str | None) -> np.ndarray:
         """Vocabulary numbers of the words of a text as item_words() has them, -1 for words that no item has."""
         raw = text.lower().encode("utf-8", "surrogatepass").split() if text else []
-        if len(self.memory) > 400_000:
+        if len(self.memory) > 150_000:
             self.memory.clear()
         numbers = np.fromiter(map(self.memory.__getitem__, raw), np.int64, len(raw))
         return numbers[numbers != NO_WORD]
@@ -259,7 +259,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
             if not held:
                 held.append(ItemIndex(items, similarity))
             index = held[0]
-            for batch in chunks(batches, limit=8 << 20):
+            for batch in chunks(batches, limit=3 << 20):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = [(ids[r], index.ids[i], a, b, e, 1 - e / len(index.words[i])) for r, i, a, b, e in search_documents(texts, index)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=names)
