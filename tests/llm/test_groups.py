@@ -98,6 +98,55 @@ def test_near_lines_are_found(spark):
     assert all(i % 2 for i in ids) and len(ids) >= 40
 
 
+def spoiled(rng, words, share):
+    """Words with a share of edits: substitutions, deletions and insertions, within the bound of the longer of both."""
+    out = list(words)
+    for _ in range(int(share * len(words) + 1e-9)):
+        kind, k = rng.choice("ssdi"), rng.randrange(len(out))
+        if kind == "d" and len(out) > lines.LEAST_WORDS:
+            out.pop(k)
+        else:
+            out[k : k + (kind != "i")] = [sentence(rng, 1)]
+    return out
+
+
+@pytest.mark.parametrize("n", [5, 10, 20, 48, 61, 90])
+@pytest.mark.parametrize("share", [0.1, 0.2])
+def test_company_of_all_similar_lines(n, share):
+    """All pairs by edit similarity alone, without buckets or bits, share a bucket there."""
+    rng = random.Random(n)
+    usual = [sentence(rng, 1) for _ in range(40)]
+    told = []
+    for _ in range(60):
+        line = [rng.choice(usual) if rng.random() < 0.6 else sentence(rng, 1) for _ in range(n)]
+        told += [line, spoiled(rng, line, share)]
+    memory = lines.NormalHash()
+    words = [lines.line_hashes(" ".join(x).encode(), memory) for x in told]
+    hot = np.array([memory[w.encode()] for w in usual], np.uint64) >> np.uint64(20)
+    for known in (hot, hot[:0]):
+        buckets, sizes, _ = lines.company(np.array([len(w) for w in words]), np.concatenate(words), known, lines.SIMILARITY)
+        own = [set(x.tolist()) for x in np.split(buckets, np.cumsum(sizes)[:-1])]
+        pairs = [(a, b) for b in range(len(told)) for a in range(b) if lines.similar(told[a], told[b])]
+        assert len(pairs) >= 40 and all(own[a] & own[b] for a, b in pairs)
+
+
+def test_recall_of_similar_lines(spark):
+    """Against all pairs by edit similarity alone: 0.8 and 0.9, by length, words said again too."""
+    rng = random.Random(12)
+    rows, want = [], set()
+    for n, share in [(5, 0.2), (10, 0.2), (20, 0.2), (20, 0.05), (40, 0.2), (61, 0.2), (100, 0.2), (100, 0.1)]:
+        for k in range(12):
+            line = sentence(rng, n).split() if k % 3 else sentence(rng, n // 2).split() * 2 + sentence(rng, n % 2).split()
+            rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join(spoiled(rng, line, share)))]
+    told = [t.split() for _, t in rows]
+    pairs = [(a, b) for b in range(len(told)) for a in range(b) if lines.similar(told[a], told[b])]
+    first = groups(len(told), pairs)
+    want = {i for i, k in enumerate(first) if i != k}
+    assert len(want) >= 80
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0")
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_repeated_rows_keep_their_lines(repeated, corpus):
     gone = slow_lines(corpus)
     rows = lines.dedup_lines(repeated).collect()
