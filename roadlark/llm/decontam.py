@@ -5,7 +5,8 @@ distance: at step j the output is the word under the pointer, which moves on if
 (j, word) says so. Repetitions with walks of their own sample a few output places into a hash key;
 windows and items that share a key are compared by exact semi-global edit distance.
 
-Windows start at every word of every text. One cheap necessary condition comes first: a window
+Windows start at every word of every text; near its end they are as long as what is left of it, down to the fewest
+words that an item may be cut to. One cheap necessary condition comes first: a window
 within the edit bound must take enough of its words from the benchmark's vocabulary.
 """
 
@@ -47,13 +48,15 @@ class SizeClass:
     """Items of about as many words; their windows have `least` words, the fewest of them.
 
     A window at an item within the edit bound holds at least `need` words of the vocabulary and at least
-    `need_rare` of its rare ones: each edit takes away one of the item's first `least` words at most.
+    `need_rare` of its rare ones: each edit takes away one of the item's first `least` words at most. A window that the
+    document's end cuts short holds the whole passage, so the same holds for it; `fewest` words are left at least.
     """
 
     least: int
     need: int
     items: list[int]
     need_rare: int = 0
+    fewest: int = 1
 
 
 def size_classes(lengths: list[int], similarity: float) -> list[SizeClass]:
@@ -63,7 +66,7 @@ def size_classes(lengths: list[int], similarity: float) -> list[SizeClass]:
         least = lengths[order[0]]
         group = [i for i in order if lengths[i] <= max(least, int(least * 1.2))]
         order = order[len(group) :]
-        out.append(SizeClass(least, max(1, least - allowed_edits(lengths[group[-1]], similarity)), group))
+        out.append(SizeClass(least, max(1, least - allowed_edits(lengths[group[-1]], similarity)), group, fewest=max(1, least - allowed_edits(least, similarity))))
     return out
 
 
@@ -85,9 +88,10 @@ class Embedding:
         self.bits = walk_bits(int(self.places[-1]) + 1, repetition, np.arange(-1, vocabulary)).astype(np.int64)
         self.salt = np.uint64(mix64(np.array([repetition * 65_537 + size], np.uint64))[0])
 
-    def keys(self, words: np.ndarray, starts: np.ndarray, allowed: list[np.ndarray] | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    def keys(self, words: np.ndarray, starts: np.ndarray, allowed: list[np.ndarray] | None = None, room: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Windows of `words` at `starts`: which of them go on to the end, and the keys after each sampled place.
 
+        `room` has the words up to the document's end where that may be fewer than `size`; a walk there is beyond the window.
         With `allowed` (the sorted keys that items have after each place) windows that already differ from all are left.
         """
         at = np.zeros(len(starts), np.int64)
@@ -95,7 +99,7 @@ class Embedding:
         left = np.arange(len(starts))
         after: list[np.ndarray] = []
         places = set(self.places.tolist())
-        last = self.size - 1
+        last = np.full(len(starts), self.size - 1) if room is None else np.minimum(room, self.size) - 1
         for step in range(int(self.places[-1]) + 1):
             symbol = words[starts + np.minimum(at, last)] + 1
             symbol[at > last] = 0
@@ -106,7 +110,7 @@ class Embedding:
                 if allowed is not None:
                     table = allowed[len(after)]
                     hit = table[np.minimum(np.searchsorted(table, key), len(table) - 1)] == key
-                    at, key, left, starts, symbol = at[hit], key[hit], left[hit], starts[hit], symbol[hit]
+                    at, key, left, starts, symbol, last = at[hit], key[hit], left[hit], starts[hit], symbol[hit], last[hit]
                 after.append(key)
                 if not len(starts):
                     break
@@ -167,16 +171,18 @@ class ItemIndex:
         known = np.concatenate([[0], np.cumsum(words >= 0)])
         rare = np.concatenate([[0], np.cumsum((words >= 0) & self.rare[words])])
         doc_end = np.repeat(doc_ends, np.diff(np.concatenate([[0], doc_ends])))
-        starts_of: dict[int, np.ndarray] = {}
+        places = np.arange(len(words))
+        starts_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for c, walk, allowed, keys, items in self.tables:
             if c.least not in starts_of:
-                all_starts = np.arange(max(0, len(words) - c.least + 1))
-                enough = (known[c.least :] - known[: len(all_starts)] >= c.need) & (rare[c.least :] - rare[: len(all_starts)] >= c.need_rare)
-                starts_of[c.least] = np.flatnonzero(enough & (all_starts + c.least <= doc_end[: len(all_starts)]))
-            starts = starts_of[c.least]
+                stop = np.minimum(places + c.least, doc_end)
+                enough = (known[stop] - known[:-1] >= c.need) & (rare[stop] - rare[:-1] >= c.need_rare) & (doc_end - places >= c.fewest)
+                starts = np.flatnonzero(enough)
+                starts_of[c.least] = starts, doc_end[starts] - starts
+            starts, room = starts_of[c.least]
             if not len(starts):
                 continue
-            left, after = walk.keys(words, starts, allowed)
+            left, after = walk.keys(words, starts, allowed, room)
             if not len(left):
                 continue
             low, high = np.searchsorted(keys, after[-1], "left"), np.searchsorted(keys, after[-1], "right")

@@ -394,6 +394,25 @@ def test_recall_at_the_bound():
     assert sum((k, k) in found for k in range(150)) >= 0.85 * 150
 
 
+@pytest.mark.parametrize(("n", "subs", "dels", "least"), [(20, 0, 1, 0.98), (20, 2, 2, 0.85), (40, 4, 4, 0.65)])
+def test_recall_where_a_document_ends(n, subs, dels, least):
+    """Passages that end a document, and whole documents with fewer words than their item, are found as others are."""
+    rng = random.Random(14)
+    items = [(k, sentence(rng, n)) for k in range(150)]
+    index = decontam.ItemIndex(items)
+    for before in (40, 0):
+        texts = []
+        for _, t in items:
+            words = t.split(" ")
+            for p in rng.sample(range(n), subs):
+                words[p] = sentence(rng, 1)
+            for _ in range(dels):
+                del words[rng.randrange(len(words))]
+            texts.append((sentence(rng, before) + " " if before else "") + " ".join(words))
+        found = {(r, i) for r, i, *_ in decontam.search_documents(texts, index)}
+        assert sum((k, k) in found for k in range(150)) >= least * 150
+
+
 def test_edit_search():
     rng = random.Random(3)
     for _ in range(600):
