@@ -161,5 +161,27 @@ def test_secrets(spark, docs, nothing, repeated, crowded, corpus):
     assert secrets.find_secrets(crowded).count() == len(corpus)
 
 
+def test_long_values_and_aligned_ones():
+    """Values and blanks have no upper bound; spans end where values do."""
+    rng = random.Random(8)
+    for n in (12, 256, 257, 900, 40_000):
+        value = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789+/") for _ in range(n - 1)) + "Z"
+        for gap in ("", "    ", " " * 5, "\t" * 40):
+            head = f"x private_key{gap}={gap}'"
+            text = head + value + "' behind"
+            assert secrets.guessed_spans(text, []) == [(len(head), len(head) + n, "guess")]
+    assert secrets.guessed_spans("auth = " + "a" * 5000, []) == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcqwe12!Aé", min_size=1, max_size=60), st.integers(1, 4))
+def test_cost_may_stop_when_it_is_enough(value, times):
+    value *= times
+    exact = secrets.guess_cost(value)
+    for enough in (2.0, 8.0, 20.0):
+        got = secrets.guess_cost(value, enough)
+        assert got == exact if exact < enough else enough <= got <= exact
+
+
 def test_ids_are_unsigned():
     assert np.dtype("<u4").itemsize == 4
