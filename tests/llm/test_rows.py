@@ -173,6 +173,15 @@ def test_long_values_and_aligned_ones():
     assert secrets.guessed_spans("auth = " + "a" * 5000, []) == []
 
 
+def test_values_of_letters_alone():
+    """The guess cost decides on them too; ordinary words are cheap."""
+    for text in ("pwd: kXqzJvbNmWplRtYu", "the password is xKqjZvBnMwPlRt", "pwd: correcthorsebatterystaple"):
+        start = text.rindex(" ") + 1
+        assert secrets.guessed_spans(text, []) == [(start, len(text), "guess")], text
+    for word in ("required", "forgotten", "something", "mandatory", "Responsibility", "automatically", "qwertyuiop", "aaaaaaaaaaaa"):
+        assert secrets.guessed_spans(f"The password is {word}.", []) == [], word
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="abcqwe12!Aé", min_size=1, max_size=60), st.integers(1, 4))
 def test_cost_may_stop_when_it_is_enough(value, times):
