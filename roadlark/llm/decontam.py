@@ -294,6 +294,26 @@ def item_blocks(benchmark: DataFrame, size: int):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without a stretch of the benchmark, all columns as they were."""
-    bad = find_contamination(docs, benchmark, similarity).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    """The documents without a stretch of the benchmark, all columns as they were.
+
+    Each row is decided by its own text, where it is searched; ids may be null or repeated.
+    """
+
+    def searcher(items):
+        held: list[ItemIndex] = []
+
+        def run(batches):
+            if not held:
+                held.append(ItemIndex(items, similarity))
+            for batch in chunks(batches, column="_text", limit=3 << 20):
+                bad = {r for r, *_ in search_documents(batch.column(1).to_pylist(), held[0])}
+                rows = batch.select(["_row"])
+                yield rows.filter(pa.array([r not in bad for r in range(batch.num_rows)])) if bad else rows
+
+        return run
+
+    # the row travels as one column, so that no other clashes with it
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    for items in item_blocks(benchmark, BLOCK_ITEMS):
+        out = out.select("_row", F.col("_row.text").cast("string").alias("_text")).mapInArrow(tidy(searcher(items)), out.schema)
+    return out.select("_row.*")

@@ -413,6 +413,19 @@ def test_recall_where_a_document_ends(n, subs, dels, least):
         assert sum((k, k) in found for k in range(150)) >= least * 150
 
 
+def test_rows_are_dropped_by_their_own_text(spark):
+    """Null and repeated ids, clashing names: a row goes for its own text, whatever other rows have."""
+    rng = random.Random(15)
+    item, clean = sentence(rng, 20), sentence(rng, 60)
+    rows = [(None, "before " + item), (None, clean), (7, item), (7, clean), (8, None), (9, "")]
+    docs = spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, _row string")
+    bench = spark.createDataFrame([(1, item), (2, sentence(rng, 30))], "item_id long, text string")
+    out = decontam.drop_contaminated(docs, bench)
+    assert out.schema == docs.schema
+    assert {tuple(r) for r in out.collect()} == {(*r, "own") for r in rows if not (r[1] and item in r[1])}
+    assert {tuple(r) for r in decontam.drop_contaminated(docs, bench.limit(0)).collect()} == {(*r, "own") for r in rows}
+
+
 def test_edit_search():
     rng = random.Random(3)
     for _ in range(600):
