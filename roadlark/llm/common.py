@@ -177,6 +177,19 @@ def doc_columns(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
 
+#: Stands for a null id, behind all others in order.
+NO_ID = (1 << 63) - 1
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, text): rows known by id and a hash of their text, so that texts which share an id stay apart.
+
+    It holds whatever order rows come in, unlike a row number. A null id is NO_ID here. Rows that repeat id and text are one.
+    """
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...], limit: int = CHUNK_BYTES) -> Iterator[pa.Table]:
     """Join batches that are sorted by `keys` and cut them only between keys; a table holds about `limit` bytes or one group."""
     held: list[pa.RecordBatch] = []
