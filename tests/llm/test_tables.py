@@ -303,6 +303,3 @@ def test_queries_against_sql(spark, name):
     got, want = __spark_entry__.queries()[name](spark, FOLDER).toPandas(), db.sql(__spark_entry__.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
-
-def test_lines_and_sets_are_used():
-    assert lines.BLOCKS * lines.BLOCK_BITS <= 256 and jaccard.BUCKETS == 128
