@@ -21,17 +21,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Where it is unset a local session gets one of its own
+    (tests, one machine); a cluster without it is refused, as executors don't share local folders."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='roadlark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def run_root(spark: SparkSession) -> str:
+    """The folder of this application under the shared one."""
+    return f"{scratch_root(spark)}/{SCRATCH}/{spark.sparkContext.applicationId}"
+
+
 def clean(spark: SparkSession) -> None:
-    """Delete all tables that operators have left in the shared folder; for when their results have been written."""
-    _delete(spark, f"{scratch_root(spark)}/{SCRATCH}")
+    """Delete all tables that operators of this application have left in the shared folder; for when their results have been written."""
+    _delete(spark, run_root(spark))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -46,7 +55,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base = spark, f"{scratch_root(spark)}/{SCRATCH}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.base = spark, f"{run_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
 
     def path(self, name: str) -> str:
@@ -145,6 +154,84 @@ def lower_words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def _byte_table(members: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(members)] = True
+    return out
+
+
+WHITE = _byte_table(b" \t\n\x0b\x0c\r")
+#: An odd base, so that it has an inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15 | 5
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo 2^64, by doubling; kept for the next call."""
+    if len(_powers.get(base, ())) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        out, filled, step = np.ones(size, np.uint64), 1, base
+        with np.errstate(over="ignore"):
+            while filled < size:
+                out[filled : 2 * filled] = out[:filled] * np.uint64(step)
+                filled, step = 2 * filled, step * step % (1 << 64)
+        _powers[base] = out
+    return _powers[base][:n]
+
+
+class Words:
+    """Words of many texts at once, by array operations on their bytes: hashes, bytes, and the line (or text) of each.
+
+    Words lie between ASCII white space and lose `edge` bytes at either end; words of nothing else go. A hash is a polynomial
+    over random numbers of the bytes modulo 2^64, mixed with the length. Null texts have no words.
+    """
+
+    def __init__(self, texts: pa.Array, edge: bytes = b"", by_line: bool = False):
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+        base, n = int(offsets[0]), int(offsets[-1] - offsets[0])
+        data = np.frombuffer(texts.buffers()[2], np.uint8, n, base) if n else np.zeros(0, np.uint8)
+        begins = offsets - base
+        lengths = np.diff(begins)
+        firsts = begins[:-1][lengths > 0]
+        inside = ~WHITE[data]
+        before = np.zeros(n, bool)
+        before[1:] = inside[:-1]
+        before[firsts] = False
+        start = np.flatnonzero(inside & ~before)
+        after = np.zeros(n, bool)
+        after[:-1] = inside[1:]
+        after[firsts[firsts > 0] - 1] = False
+        end = np.flatnonzero(inside & ~after) + 1
+        if edge:
+            table = _byte_table(edge)
+            rough = np.flatnonzero(table[data[start]] | table[data[end - 1]])
+            if len(rough):
+                core = np.flatnonzero(inside & ~table[data])
+                left, right = np.searchsorted(core, start[rough]), np.searchsorted(core, end[rough]) - 1
+                some = left <= right
+                start[rough[some]], end[rough[some]] = core[left[some]], core[right[some]] + 1
+                keep = np.ones(len(start), bool)
+                keep[rough[~some]] = False
+                start, end = start[keep], end[keep]
+        self.sizes = end - start
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTES[data] * powers(BASE, n), out=sums[1:])
+            self.hashes = mix64((sums[end] - sums[start]) * powers(pow(BASE, -1, 1 << 64), n + 1)[start] + self.sizes.astype(np.uint64))
+        self.hashes[self.hashes == 0] = 1
+        self.text = np.searchsorted(begins, start, side="right") - 1
+        self.lengths = np.bincount(self.text, minlength=len(texts))
+        if by_line:
+            # lines of a text: one more than it has line feeds; an empty text has one, a null text none
+            feeds = np.flatnonzero(data == 10)
+            upto = np.searchsorted(feeds, begins)
+            told = np.asarray(texts.is_valid()).astype(np.int64)
+            self.lines = (np.diff(upto) + 1) * told
+            first = np.cumsum(self.lines) - self.lines
+            self.line = first[self.text] + np.searchsorted(feeds, start) - upto[self.text]
+            self.line_lengths = np.bincount(self.line, minlength=int(self.lines.sum()))
+
+
 class WordHash(dict):
     """word -> 64-bit hash, remembered for the words of one chunk or a few."""
 
@@ -172,6 +259,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: A random number for each byte.
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def doc_columns(docs: DataFrame, *extra: str) -> DataFrame:
     """Just the columns that an operator reads, so that others neither travel nor clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)

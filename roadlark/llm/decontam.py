@@ -1,18 +1,23 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit check.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows, exact edit check.
 
 A random walk (Chakraborty, Goldenberg, Koucky 2016) turns edit distance over words into Hamming
 distance: at step j the output is the word under the pointer, which moves on if a random bit of
 (j, word) says so. Repetitions with walks of their own sample a few output places into a hash key;
 windows and items that share a key are compared by exact semi-global edit distance.
 
+The embedding's distortion grows with the number of edits, so a walk over a long item with a fifth of its words edited
+leaves little to find. Items of more than PART words are therefore cut into parts: of c parts within e edits in all, one
+has no more than its own share by the pigeonhole principle, which is a single edit at the bound of 0.8. Windows are
+of the parts' sizes; a part that is found asks for the check of its whole item there.
+
 Windows start at every word of every text; near its end they are as long as what is left of it, down to the fewest
-words that an item may be cut to. One cheap necessary condition comes first: a window
+words that a part may be cut to. One cheap necessary condition comes first: a window
 within the edit bound must take enough of its words from the benchmark's vocabulary.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import OrderedDict, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, doc_columns, mix64, tidy
+from .common import Scratch, chunks, doc_columns, mix64, tidy
 
 EDGE = b".,;:!?\"'()[]{}<>#*$%&|-_"
 LEAST_WORDS = 5
 SIMILARITY = 0.8
-#: Repetitions, and output places that each samples: two in three windows at the edit bound that a
-#: repetition would miss are found by another of the twelve; windows with few edits nearly always.
-REPETITIONS, SAMPLES = 12, 3
-#: Items whose tables are in memory at once; a larger benchmark is searched in blocks of as many.
-BLOCK_ITEMS = 4096
+#: Words of a part, at most: the most that may have one edit at a similarity of 0.8.
+PART = 9
+#: Repetitions, and output places that each samples.
+REPETITIONS, SAMPLES = 10, 3
+#: Items of one index, and indexes that a worker holds at once; a larger benchmark is searched index by index.
+BLOCK_ITEMS, HELD = 4096, 4
+CHUNK = 3 << 20
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -43,18 +50,33 @@ def allowed_edits(n: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
+@dataclass
+class Part:
+    """Words [start, start + size) of an item."""
+
+    item: int
+    start: int
+    size: int
+
+
+def parts_of(item: int, n: int, most: int = PART) -> list[Part]:
+    """Parts of about as many words, `most` at most."""
+    cuts = [n * k // -(-n // most) for k in range(-(-n // most) + 1)]
+    return [Part(item, a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
 @dataclass
 class SizeClass:
-    """Items of about as many words; their windows have `least` words, the fewest of them.
+    """Parts of about as many words; their windows have `least` words, the fewest of them.
 
-    A window at an item within the edit bound holds at least `need` words of the vocabulary and at least
-    `need_rare` of its rare ones: each edit takes away one of the item's first `least` words at most. A window that the
-    document's end cuts short holds the whole passage, so the same holds for it; `fewest` words are left at least.
+    A window at a part within its edit bound holds at least `need` words of the vocabulary and at least
+    `need_rare` of its rare ones: each edit takes away one of the part's first `least` words at most. A window that the
+    document's end cuts short holds the whole part, so the same holds for it; `fewest` words are left at least.
     """
 
     least: int
     need: int
-    items: list[int]
+    parts: list[int]
     need_rare: int = 0
     fewest: int = 1
 
@@ -62,37 +84,38 @@ class SizeClass:
 def size_classes(lengths: list[int], similarity: float) -> list[SizeClass]:
     out: list[SizeClass] = []
     order = sorted(range(len(lengths)), key=lambda i: lengths[i])
-    while order:
-        least = lengths[order[0]]
-        group = [i for i in order if lengths[i] <= max(least, int(least * 1.2))]
-        order = order[len(group) :]
-        out.append(SizeClass(least, max(1, least - allowed_edits(lengths[group[-1]], similarity)), group, fewest=max(1, least - allowed_edits(least, similarity))))
+    at = 0
+    while at < len(order):
+        least, stop = lengths[order[at]], at
+        while stop < len(order) and lengths[order[stop]] <= max(least, int(least * 1.2)):
+            stop += 1
+        group, at = order[at:stop], stop
+        most = allowed_edits(lengths[group[-1]], similarity)
+        out.append(SizeClass(least, max(1, least - most), group, fewest=max(1, least - allowed_edits(least, similarity))))
     return out
 
 
-def walk_bits(steps: int, repetition: int, symbols: np.ndarray) -> np.ndarray:
-    """Bit (step, symbol): whether the pointer moves; symbols are vocabulary numbers, -1 for all other words."""
-    salt = np.uint64((repetition + 1) * 1_000_003)
+def walk_bits(repetition: int, symbols: np.ndarray) -> np.ndarray:
+    """64 bits of each symbol: bit j says whether the pointer moves at step j. Symbols are vocabulary numbers, -1 for all other words."""
     with np.errstate(over="ignore"):
-        keys = (symbols + 2).astype(np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.arange(steps, dtype=np.uint64)[:, None] * np.uint64(0xD1B54A32D192ED03) + salt
-        return (mix64(keys) >> np.uint64(40)) & np.uint64(1)
+        return mix64((symbols + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((repetition + 1) * 1_000_003))
 
 
 class Embedding:
-    """One repetition's walk for windows of `size` words, cut to the sampled places."""
+    """One repetition's walk for windows of `size` words, cut to the sampled places. `bits` are walk_bits() of -1, 0, 1, ..."""
 
-    def __init__(self, size: int, repetition: int, vocabulary: int):
+    def __init__(self, size: int, repetition: int, bits: np.ndarray):
         rng = np.random.default_rng([repetition, size])
         # past two steps a word most walks have left the window
-        self.size, self.places = size, np.sort(rng.choice(2 * size, SAMPLES, replace=False))
-        self.bits = walk_bits(int(self.places[-1]) + 1, repetition, np.arange(-1, vocabulary)).astype(np.int64)
+        self.size, self.places = size, np.sort(rng.choice(2 * size, min(SAMPLES, 2 * size), replace=False))
+        self.bits = bits
         self.salt = np.uint64(mix64(np.array([repetition * 65_537 + size], np.uint64))[0])
 
     def keys(self, words: np.ndarray, starts: np.ndarray, allowed: list[np.ndarray] | None = None, room: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
         """Windows of `words` at `starts`: which of them go on to the end, and the keys after each sampled place.
 
         `room` has the words up to the document's end where that may be fewer than `size`; a walk there is beyond the window.
-        With `allowed` (the sorted keys that items have after each place) windows that already differ from all are left.
+        With `allowed` (the sorted keys that parts have after each place) windows that already differ from all are left.
         """
         at = np.zeros(len(starts), np.int64)
         key = np.full(len(starts), self.salt)
@@ -104,7 +127,7 @@ class Embedding:
             symbol = words[starts + np.minimum(at, last)] + 1
             symbol[at > last] = 0
             if step in places:
-                # the walk beyond the window's end is the same for all; an unknown word is like no item's word
+                # the walk beyond the window's end is the same for all; an unknown word is like no part's word
                 seen = np.where(at > last, 0, symbol + 1).astype(np.uint64)
                 key = mix64(key ^ (seen + np.uint64(step << 32)))
                 if allowed is not None:
@@ -114,7 +137,7 @@ class Embedding:
                 after.append(key)
                 if not len(starts):
                     break
-            at = at + self.bits[step, symbol]
+            at = at + (self.bits[symbol] >> np.uint64(step % 64) & np.uint64(1)).astype(np.int64)
         return left, after
 
 
@@ -133,29 +156,36 @@ class Numbers(dict):
 
 
 class ItemIndex:
-    """A block of items: vocabulary, size classes, and LSH tables for each repetition."""
+    """Items as parts: vocabulary, size classes, and LSH tables for each repetition."""
 
-    def __init__(self, items: list[tuple[int, str | None]], similarity: float = SIMILARITY):
+    def __init__(self, items: list[tuple[int, str | None]], similarity: float = SIMILARITY, least_words: int = LEAST_WORDS):
         self.similarity = similarity
-        told = [(i, w) for i, t in items if i is not None and len(w := item_words(t)) >= LEAST_WORDS]
-        self.ids, self.words = [i for i, _ in told], [w for _, w in told]
+        told = [(i, w) for i, t in items if i is not None and len(w := item_words(t)) >= max(1, least_words)]
+        self.ids, words = [i for i, _ in told], [w for _, w in told]
         self.memory = Numbers()
-        self.memory.vocabulary = self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in ws}))}
-        self.classes = size_classes([len(w) for w in self.words], similarity)
-        self.numbers = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in self.words]
+        self.memory.vocabulary = self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
+        self.numbers = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in words]
+        self.parts = [p for i, ws in enumerate(words) for p in parts_of(i, len(ws))]
+        self.classes = size_classes([p.size for p in self.parts], similarity)
         uses = np.bincount(np.concatenate([np.unique(x) for x in self.numbers] or [np.zeros(0, np.int64)]), minlength=len(self.vocabulary))
-        self.rare = uses <= max(2, len(self.words) // 50)
+        self.rare = uses <= max(2, len(words) // 50)
+        flat = np.concatenate(self.numbers or [np.zeros(0, np.int64)])
+        base = np.cumsum([0, *map(len, self.numbers)])
+        begins = np.array([base[p.item] + p.start for p in self.parts], np.int64)
+        rare = np.concatenate([[0], np.cumsum(self.rare[flat])])
         for c in self.classes:
-            c.need_rare = max(0, min(int(self.rare[self.numbers[i][: c.least]].sum()) - allowed_edits(len(self.words[i]), similarity) for i in c.items))
+            a = begins[c.parts]
+            edits = np.array([allowed_edits(self.parts[k].size, similarity) for k in c.parts])
+            c.need_rare = max(0, int((rare[a + c.least] - rare[a] - edits).min()))
         self.tables = []
+        bits = [walk_bits(r, np.arange(-1, len(self.vocabulary))) for r in range(REPETITIONS)]
         for c in self.classes:
+            parts = np.array(c.parts)
             for r in range(REPETITIONS):
-                walk = Embedding(c.least, r, len(self.vocabulary))
-                each = [walk.keys(self.numbers[i], np.zeros(1, np.int64))[1] for i in c.items]
-                allowed = [np.unique([e[k][0] for e in each]) for k in range(SAMPLES)]
-                keys = np.array([e[-1][0] for e in each])
-                order = np.argsort(keys, kind="stable")
-                self.tables.append((c, walk, allowed, keys[order], np.array(c.items)[order]))
+                walk = Embedding(c.least, r, bits[r])
+                after = walk.keys(flat, begins[parts])[1]
+                order = np.argsort(after[-1], kind="stable")
+                self.tables.append((c, walk, [np.unique(x) for x in after], after[-1][order], parts[order]))
 
     def numbers_of(self, text: str | None) -> np.ndarray:
         """Vocabulary numbers of the words of a text as item_words() has them, -1 for words that no item has."""
@@ -165,15 +195,15 @@ class ItemIndex:
         numbers = np.fromiter(map(self.memory.__getitem__, raw), np.int64, len(raw))
         return numbers[numbers != NO_WORD]
 
-    def candidates(self, words: np.ndarray, doc_ends: np.ndarray) -> set[tuple[int, int]]:
-        """(start, item) of windows that share a key with an item; words of several documents lie one after another."""
-        found: set[tuple[int, int]] = set()
+    def candidates(self, words: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
+        """Rows (window start, part) of windows that share a key with a part; words of several documents lie one after another."""
+        found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
         known = np.concatenate([[0], np.cumsum(words >= 0)])
         rare = np.concatenate([[0], np.cumsum((words >= 0) & self.rare[words])])
         doc_end = np.repeat(doc_ends, np.diff(np.concatenate([[0], doc_ends])))
         places = np.arange(len(words))
         starts_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for c, walk, allowed, keys, items in self.tables:
+        for c, walk, allowed, keys, parts in self.tables:
             if c.least not in starts_of:
                 stop = np.minimum(places + c.least, doc_end)
                 enough = (known[stop] - known[:-1] >= c.need) & (rare[stop] - rare[:-1] >= c.need_rare) & (doc_end - places >= c.fewest)
@@ -186,9 +216,10 @@ class ItemIndex:
             if not len(left):
                 continue
             low, high = np.searchsorted(keys, after[-1], "left"), np.searchsorted(keys, after[-1], "right")
-            for k in np.flatnonzero(high > low):
-                found.update((int(starts[left[k]]), int(i)) for i in items[low[k] : high[k]])
-        return found
+            n = high - low
+            hits = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.append(np.stack([np.repeat(starts[left], n), parts[hits]], 1))
+        return np.unique(np.concatenate(found), axis=0)
 
 
 def edit_search(item: list, text: list) -> tuple[int, int]:
@@ -227,15 +258,18 @@ def search_documents(texts: list[str | None], index: ItemIndex) -> list[tuple[in
         return []
     flat = np.concatenate(cut)
     at: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for start, item in index.candidates(flat, ends):
-        row = int(np.searchsorted(ends, start, side="right"))
-        at[row, item].append(start - int(ends[row] - len(cut[row])))
+    found = index.candidates(flat, ends)
+    rows = np.searchsorted(ends, found[:, 0], side="right")
+    for row, start, part in zip(rows.tolist(), found[:, 0].tolist(), found[:, 1].tolist()):
+        p = index.parts[part]
+        at[row, p.item].append(start - int(ends[row] - len(cut[row])) - p.start)
     out = []
     for (row, item), starts in sorted(at.items()):
-        words, n = index.numbers[item].tolist(), len(index.words[item])
+        words = index.numbers[item].tolist()
+        n = len(words)
         slack = allowed_edits(n, index.similarity)
         best, reached = None, -1
-        for start in sorted(starts):
+        for start in sorted(starts):  # where the item would begin but for edits before the part
             if start + n + slack <= reached:
                 continue
             low = max(0, start - slack)
@@ -248,37 +282,38 @@ def search_documents(texts: list[str | None], index: ItemIndex) -> list[tuple[in
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, start_word, end_word, edits, similarity) for each document and item with a stretch within the bound.
+class ItemBlocks:
+    """The benchmark in the shared folder, a bounded number of items a file; what workers and driver hold does not grow with it."""
 
-    Documents with nothing of the benchmark have no row. Null and empty texts and items with fewer than five words match
-    nothing. Repeated rows are found each for itself. Items are read in blocks of a fixed number, so what a worker holds
-    is bounded however large the benchmark is.
-    """
-    names = ["doc_id", "item_id", "start_word", "end_word", "edits", "similarity"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    def __init__(self, benchmark: DataFrame, similarity: float, least_words: int, size: int):
+        from pyarrow import fs, parquet
 
-    def searcher(items):
-        held: list[ItemIndex] = []
-
-        def run(batches):
-            if not held:
-                held.append(ItemIndex(items, similarity))
-            index = held[0]
-            for batch in chunks(batches, limit=3 << 20):
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                rows = [(ids[r], index.ids[i], a, b, e, 1 - e / len(index.words[i])) for r, i, a, b, e in search_documents(texts, index)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=names)
-
-        return run
-
-    out = None
-    for items in item_blocks(benchmark, block_items):
-        found = doc_columns(docs).mapInArrow(tidy(searcher(items)), "doc_id long, item_id long, start_word long, end_word long, edits long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, start_word long, end_word long, edits long, similarity double")
-    return out
+        self.similarity, self.least_words = similarity, least_words
+        self.folder, self.count = Scratch(benchmark.sparkSession, "benchmark").path("items"), 0
+        filesystem, base = fs.FileSystem.from_uri(self.folder)
+        filesystem.create_dir(base, recursive=True)
+        for items in item_blocks(benchmark, size):
+            parquet.write_table(pa.table({"id": pa.array([i for i, _ in items], pa.int64()), "text": pa.array([t for _, t in items], pa.string())}), f"{base}/{self.count}.parquet", filesystem=filesystem)
+            self.count += 1
+        self.held: OrderedDict[int, ItemIndex] = OrderedDict()
+
+    def index(self, k: int) -> ItemIndex:
+        from pyarrow import fs, parquet
+
+        if k not in self.held:
+            filesystem, base = fs.FileSystem.from_uri(self.folder)
+            table = parquet.read_table(f"{base}/{k}.parquet", filesystem=filesystem)
+            if len(self.held) >= HELD:
+                self.held.popitem(last=False)
+            self.held[k] = ItemIndex(list(zip(*(c.to_pylist() for c in table.columns))), self.similarity, self.least_words)
+        return self.held[k]
+
+    def search(self, texts: list[str | None]):
+        """(index, row, item number, start, end, edits) of all blocks."""
+        for k in range(self.count):
+            index = self.index(k)
+            for found in search_documents(texts, index):
+                yield index, *found
 
 
 def item_blocks(benchmark: DataFrame, size: int):
@@ -293,27 +328,39 @@ def item_blocks(benchmark: DataFrame, size: int):
         yield block
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without a stretch of the benchmark, all columns as they were.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, item_id, start_word, end_word, edits, similarity) for each document and item with a stretch within the bound.
 
-    Each row is decided by its own text, where it is searched; ids may be null or repeated.
+    Documents with nothing of the benchmark have no row. Null and empty texts and items with fewer than `least_words` words
+    match nothing. Repeated rows are found each for itself. One scan of the documents, however many items there are.
     """
+    names = ["doc_id", "item_id", "start_word", "end_word", "edits", "similarity"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    blocks = ItemBlocks(benchmark, similarity, least_words, block_items)
+
+    def run(batches):
+        for batch in chunks(batches, limit=CHUNK):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = [(ids[r], index.ids[i], a, b, e, 1 - e / len(index.numbers[i])) for index, r, i, a, b, e in blocks.search(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=names)
+
+    return doc_columns(docs).mapInArrow(tidy(run), "doc_id long, item_id long, start_word long, end_word long, edits long, similarity double")
 
-    def searcher(items):
-        held: list[ItemIndex] = []
 
-        def run(batches):
-            if not held:
-                held.append(ItemIndex(items, similarity))
-            for batch in chunks(batches, column="_text", limit=3 << 20):
-                bad = {r for r, *_ in search_documents(batch.column(1).to_pylist(), held[0])}
-                rows = batch.select(["_row"])
-                yield rows.filter(pa.array([r not in bad for r in range(batch.num_rows)])) if bad else rows
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, least_words: int = LEAST_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The documents without a stretch of the benchmark, all columns as they were.
+
+    Each row is decided by its own text, where it is searched; ids may be null or repeated. Rows with null or empty
+    texts stay, an empty table or benchmark drops nothing. A row travels as one column, so that no name clashes.
+    """
+    blocks = ItemBlocks(benchmark, similarity, least_words, block_items)
 
-        return run
+    def run(batches):
+        for batch in chunks(batches, column="_text", limit=CHUNK):
+            bad = {found[1] for found in blocks.search(batch.column(1).to_pylist())}
+            rows = batch.select(["_row"])
+            yield rows.filter(pa.array([r not in bad for r in range(batch.num_rows)])) if bad else rows
 
-    # the row travels as one column, so that no other clashes with it
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    for items in item_blocks(benchmark, BLOCK_ITEMS):
-        out = out.select("_row", F.col("_row.text").cast("string").alias("_text")).mapInArrow(tidy(searcher(items)), out.schema)
-    return out.select("_row.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = whole.select("_row", F.col("_row.text").cast("string").alias("_text")).mapInArrow(tidy(run), whole.schema)
+    return kept.select("_row.*")

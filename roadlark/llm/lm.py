@@ -1,16 +1,21 @@
 """Language-model scores by a weighted backoff automaton, trained on and applied to the whole corpus.
 
-A state is the word read last (or the text's start). An arc (h, w) stands for a pair seen in training;
-where a state has no arc for the next word, its failure arc leads to the unigram state:
-
-    arc      log10((c(h, w) + mu p(w)) / (c(h) + mu))
-    failure  log10(mu / (c(h) + mu)),  unigram arc  log10 p(w),  p(w) = (c(w) + a) / (N + a (V + 1))
-
-These are the probabilities of a unigram-smoothed bigram model (MacKay and Peto 1995) and sum to one.
-A traversal's weight splits into a part known where the arcs into w are, log10(c(h, w) + mu p(w)), and a
-part known where the count of h is. So the automaton is cut into shards by word, each word with all arcs
-into it, and each text's transitions visit the shards; nothing that grows is ever in one place. Words with
-more than one part in HOT of all tokens - HOT of them at most - are spread over all shards by the word before.
+States are the n-grams (n < ORDER) seen in training, the start of a text among them. With h a state, h' the state
+without h's first word, and c counts in training, the arcs are
+
+    arc      h -w->  log10 p(w | h),  p(w | h) = (c(h w) + mu p(w | h')) / (c(h) + mu)     where c(h w) > 0
+    failure  h ----> h'  log10(mu / (c(h) + mu))                                           where no arc has the word
+    root     w           log10 p(w),  p(w) = (c(w) + a) / (N + a (V + 1))
+
+which are the probabilities of a Dirichlet-smoothed n-gram model (MacKay and Peto 1995) and sum to one. A text is
+read once from left to right: each word takes the arc of the present state, or failure arcs down to a state that has
+one, and leads to the longest n-gram seen that ends there. What the walk needs is, at each word, how often the
+n-grams that end there were seen; a state's own count is that of the n-gram that ended one word before.
+
+Counts are found without a table of all n-grams in one place. A chunk of texts deals the distinct hashes of its
+n-grams out to shards by range of hash, each shard sums the chunks' training counts and returns one count for each
+hash that it was asked for, and nothing else. Orders go up: an n-gram of training is asked for only where both of
+its (n-1)-grams were seen elsewhere too; where not, it was seen just here.
 """
 
 from __future__ import annotations
@@ -21,45 +26,71 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, doc_columns, gathered, lower_words_of, mix64, tidy
+from .common import Scratch, Words, chunks, collect_garbage, doc_columns, gathered, mix64, tidy
 
 #: Fixed values of the base score: what is added to a count, and the word that ends a text (no word has a line feed).
 ADD, END = 0.1, b"\n"
 MU = 8.0
+ORDER = 3
 FOLDS = 10
-HOT = 2048
-#: Tokens in a shard, about; bounds the memory of a task.
-SHARD_TOKENS = 2_000_000
-CHUNK = 24 << 20
-LOW40 = np.uint64((1 << 40) - 1)
+#: Hashes that a shard is asked for, about, and text of a chunk; they bound the memory of a task.
+SHARD_GRAMS = 500_000
+CHUNK = 8 << 20
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
 
 
 class BackoffAutomaton:
-    """The same automaton in memory, walked from left to right; for small corpora and as the measure of the sharded one."""
-
-    def __init__(self, texts: list[list[bytes]], mu: float = MU):
-        self.mu = mu
-        self.counts = Counter(w for t in texts for w in [*t, END])
-        self.pairs = Counter(p for t in texts for p in zip([END, *t], [*t, END]))
+    """The same automaton in memory, walked word by word; for small corpora and as the measure of the distributed one."""
+
+    def __init__(self, texts: list[list[bytes]], order: int = ORDER, mu: float = MU):
+        self.order, self.mu = order, mu
+        self.seen: Counter[tuple[bytes, ...]] = Counter()
+        for t in texts:
+            told = [END, *t, END]
+            for k in range(1, len(told)):
+                for n in range(1, min(order, k + 1) + 1):
+                    self.seen[tuple(told[k + 1 - n : k + 1])] += 1
+        self.counts = {g[0]: n for g, n in self.seen.items() if len(g) == 1}
         self.total, self.distinct = sum(self.counts.values()), len(self.counts)
 
-    def unigram(self, word: bytes) -> float:
-        return (self.counts[word] + ADD) / (self.total + ADD * (self.distinct + 1))
-
-    def step(self, state: bytes, word: bytes) -> tuple[bytes, float]:
-        """Follow the arc for a word, or the failure arc and then the unigram arc. The start state counts as END does."""
-        out = self.counts[state] + self.mu
-        seen = self.pairs[state, word]
-        if seen:
-            return word, math.log10((seen + self.mu * self.unigram(word)) / out)
-        return word, math.log10(self.mu / out) + math.log10(self.unigram(word))
+    def root(self, word: bytes) -> float:
+        return (self.counts.get(word, 0) + ADD) / (self.total + ADD * (self.distinct + 1))
+
+    def arc(self, state: tuple[bytes, ...], word: bytes) -> float | None:
+        """Probability of the arc, if the state has one for the word."""
+        if not state:
+            return self.root(word)
+        below = self.arc(state[1:], word)
+        if below is None or not (seen := self.seen[(*state, word)]):
+            return None
+        return (seen + self.mu * below) / (self.seen[state] + self.mu)
+
+    def failure(self, state: tuple[bytes, ...]) -> float:
+        return math.log10(self.mu / (self.seen[state] + self.mu))
+
+    def step(self, state: tuple[bytes, ...], word: bytes) -> tuple[tuple[bytes, ...], float]:
+        """The next state, and the weight of the arcs that lead to it."""
+        here, weight = state, 0.0
+        while (p := self.arc(here, word)) is None:
+            weight += self.failure(here)
+            here = here[1:]
+        after = (*state, word)[-(self.order - 1) :] if self.order > 1 else ()
+        while after and not self.seen[after]:
+            after = after[1:]
+        return after, weight + math.log10(p)
+
+    def start(self) -> tuple[bytes, ...]:
+        return (END,) if self.order > 1 and self.seen[(END,)] else ()
 
     def score(self, words: list[bytes]) -> float:
-        state, total = END, 0.0
+        state, total = self.start(), 0.0
         for w in [*words, END]:
             state, weight = self.step(state, w)
             total += weight
@@ -71,163 +102,249 @@ def is_held_out(doc_id: int | None) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def _hashed(table: pa.Table, memory: WordHash) -> tuple[list, np.ndarray, np.ndarray]:
-    """Ids, token hashes of all texts one after another, and tokens in each."""
-    ids = table.column(0).to_pylist()
-    texts = []
-    for t in table.column(1):
-        words = lower_words_of(t.as_py())
-        words.append(END)
-        texts.append(memory.of(words))
-    return ids, np.concatenate(texts), np.fromiter(map(len, texts), np.int64, len(texts))
-
-
-def unigram_counts(docs: DataFrame) -> DataFrame:
-    """(word: its 64-bit hash as a long, n) over the training documents; counted where the rows are, then summed."""
-
-    def run(batches):
-        memory = WordHash()
-        for table in gathered(batches, CHUNK):
-            ids, words, lengths = _hashed(table, memory)
-            train = np.repeat(np.array([not is_held_out(i) for i in ids], bool), lengths)
-            found, counts = np.unique(words[train], return_counts=True)
-            for k in range(0, len(found), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(found[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], names=["word", "n"])
-
-    return doc_columns(docs).mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _transitions(shards: int, hot: np.ndarray):
-    """Deal each transition (word before, word) of a chunk of texts to the shard of the word."""
-
-    def run(batches):
-        memory = WordHash()
-        part = TaskContext.get().partitionId()
-        for k, table in enumerate(gathered(batches, CHUNK)):
-            ids, words, lengths = _hashed(table, memory)
-            chunk = (part << 32) + k
-            held = np.array([is_held_out(i) for i in ids], bool)
-            yield _row(chunk % shards, chunk, True, _home(ids, held, lengths))
-            before = np.roll(words, 1)
-            starts = np.cumsum(lengths) - lengths
-            before[starts] = memory[END]
-            doc = np.repeat(np.arange(len(ids), dtype=np.uint32), lengths)
-            spread = np.isin(words, hot)
-            shard = mix64(np.where(spread, mix64(before) ^ words, words)) % np.uint64(shards)
-            order = np.lexsort((words, shard))
-            shard, words, before, doc = shard[order], words[order], before[order] & LOW40, doc[order]
-            cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-            for s in range(shards):
-                a, b = cuts[s], cuts[s + 1]
-                if a < b:
-                    yield _row(s, chunk, False, _packed(words[a:b], before[a:b], doc[a:b], held))
-
-    return run
-
-
-def _row(shard: int, chunk: int, home: bool, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([chunk], pa.int64()), pa.array([home]), pa.array([blob], pa.binary())], names=["shard", "chunk", "home", "blob"])
-
+class Chunk:
+    """Texts of one chunk as numbers of words; written as one blob and read again in each round."""
+
+    def __init__(self, ids: np.ndarray, known: np.ndarray, held: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, tokens: np.ndarray):
+        self.ids, self.known, self.held, self.lengths, self.hashes, self.tokens = ids, known, held, lengths, hashes, tokens
+
+    KINDS = ("<i8", "u1", "u1", "<i8", "<u8", "<u4")
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Chunk:
+        """Words of each text in lower case, and then END."""
+        ids = table.column(0).to_pylist()
+        told = Words(pc.ascii_lower(table.column(1).combine_chunks()))
+        lengths = told.lengths
+        hashes, numbers = np.unique(told.hashes, return_inverse=True)
+        ends = np.cumsum(lengths + 1) - 1
+        tokens = np.full(len(numbers) + len(lengths), len(hashes), np.uint32)
+        inner = np.ones(len(tokens), bool)
+        inner[ends] = False
+        tokens[inner] = numbers
+        return cls(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), np.array([is_held_out(i) for i in ids], np.uint8), lengths + 1, np.append(hashes, END_HASH), tokens)
+
+    def packed(self) -> bytes:
+        parts = [np.ascontiguousarray(x, k).tobytes() for x, k in zip((self.ids, self.known, self.held, self.lengths, self.hashes, self.tokens), self.KINDS)]
+        raw = np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
+        return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Chunk:
+        raw = pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob, "<i8", 1)[0]), codec="zstd", asbytes=True)
+        sizes, at, out = np.frombuffer(raw, "<i8", 6).tolist(), 48, []
+        for size, kind in zip(sizes, cls.KINDS):
+            out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+            at += size
+        return cls(*out)
+
+    def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For n = 1 .. order: hashes of the n-grams that end at each token, and whether there is one (the start counts as a word)."""
+        words = self.hashes[self.tokens]
+        starts = np.cumsum(self.lengths) - self.lengths
+        place = np.arange(len(words)) - np.repeat(starts, self.lengths)
+        out = [(words, np.ones(len(words), bool))]
+        for n in range(2, order + 1):
+            history = np.roll(out[-1][0], 1)
+            if n == 2:
+                history[starts] = END_HASH
+            with np.errstate(over="ignore"):
+                out.append((mix64(history * GOLD + words), place + 2 >= n))
+        return out
 
-def _home(ids: list, held: np.ndarray, lengths: np.ndarray) -> bytes:
-    known = np.array([i is not None for i in ids], np.uint8)
-    return np.array([len(ids)], "<i8").tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes() + lengths.astype("<i8").tobytes() + known.tobytes() + held.astype(np.uint8).tobytes()
+    def train(self) -> np.ndarray:
+        return np.repeat(self.held == 0, self.lengths)
 
 
-def _packed(words: np.ndarray, before: np.ndarray, doc: np.ndarray, held: np.ndarray) -> bytes:
-    found, counts = np.unique(words, return_counts=True)
-    head = np.array([len(held), len(found), len(words)], "<i8").tobytes()
-    narrow = "<u2" if len(held) <= 65_536 else "<u4"
-    return head + held.astype(np.uint8).tobytes() + found.astype("<u8").tobytes() + counts.astype("<u4").tobytes() + (before & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (before >> np.uint64(32)).astype(np.uint8).tobytes() + doc.astype(narrow).tobytes()
+class Asked:
+    """The distinct n-grams of a chunk that shards are asked for, in order of hash, and where each token's is."""
 
+    def __init__(self, chunk: Chunk, counts: list[np.ndarray], n: int):
+        hashes, there = chunk.grams(n)[n - 1]
+        self.there, self.train = there, chunk.train()
+        if n > 2:
+            # what was seen of both (n-1)-grams, this occurrence aside, bounds what was seen of the n-gram
+            least = np.minimum(counts[n - 2], np.roll(counts[n - 2], 1)) - self.train
+            there = there & (least > 0)
+        self.mask = there
+        self.hashes, self.place = np.unique(hashes[there], return_inverse=True)
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, words before (40 bits), rows, which rows are held out."""
-    n_docs, n_found, n = np.frombuffer(blob, "<i8", 3).tolist()
-    at = 24
+    def own(self) -> np.ndarray:
+        return np.bincount(self.place, self.train[self.mask], len(self.hashes)).astype(np.int64)
 
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        out = np.frombuffer(blob, kind, count, at)
-        at += out.nbytes
+    def spread(self, found: np.ndarray) -> np.ndarray:
+        """Counts of each token's n-gram; one that nobody was asked for is seen here alone, if here is training."""
+        out = np.where(self.there & self.train, 1, 0)
+        out[self.mask] = found[self.place]
         return out
 
-    held = take("u1", n_docs).astype(bool)
-    found, counts = take("<u8", n_found), take("<u4", n_found)
-    before = take("<u4", n).astype(np.uint64) | take("u1", n).astype(np.uint64) << np.uint64(32)
-    return np.repeat(found, counts), before, take("<u2" if n_docs <= 65_536 else "<u4", n).astype(np.int64), held
-
-
-def _score_shard(total: int, distinct: int, mu: float, hot: np.ndarray, hot_counts: np.ndarray):
-    """Arcs into one shard's words, and the share of each text's weight that its transitions over them have."""
-
-    def run(key, table):
-        chunks, homes, blobs = (table.column(c).to_pylist() for c in ("chunk", "home", "blob"))
-        out = [(c, True, b) for c, h, b in zip(chunks, homes, blobs) if h]
-        own = [(c, *_unpacked(b)) for c, h, b in zip(chunks, homes, blobs) if not h]
-        del blobs
-        if own:
-            words = np.concatenate([x[1] for x in own])
-            found, word = np.unique(words, return_inverse=True)
-            before = np.concatenate([x[2] for x in own])
-            train = np.concatenate([~x[4][x[3]] for x in own])
-            counts = np.bincount(word, train, len(found))
-            at = np.minimum(np.searchsorted(hot, found), max(0, len(hot) - 1))
-            if len(hot):
-                counts = np.where(hot[at] == found, hot_counts[at], counts)
-            _, arc = np.unique(mix64(words) ^ mix64(before + np.uint64(1)), return_inverse=True)
-            del words, before
-            seen = np.bincount(arc, train)[arc]
-            count = counts[word]
-            unigram = (count + ADD) / (total + ADD * (distinct + 1))
-            # with an arc its weight, else failure and unigram; what both divide by is the state's, added where the state's word is
-            weight = np.where(seen > 0, np.log10(seen + mu * unigram), math.log10(mu) + np.log10(unigram)) - np.log10(count + mu)
-            base = np.log10(count + ADD)
-            start = 0
-            for chunk, w, _, doc, held in own:
-                part = slice(start, start + len(w))
-                start += len(w)
-                sums = [np.bincount(doc, x[part], len(held)) for x in (base, weight)]
-                known = np.bincount(doc, count[part] > 0, len(held)).astype("<u4")
-                out.append((chunk, False, sums[0].astype("<f8").tobytes() + sums[1].astype("<f8").tobytes() + known.tobytes()))
-        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "home": pa.array([x[1] for x in out], pa.bool_()), "blob": pa.array([x[2] for x in out], pa.binary())})
 
-    return run
-
-
-def _sum_chunk(total: int, distinct: int):
+def narrow(values: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the greatest needs; the first byte says how many."""
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def widened(blob: bytes, at: int = 0) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[at]}", -1, at + 1).astype(np.int64)
+
+
+SHARDED = "shard long, chunk long, n int, blob binary"
+RETURNED = "chunk long, n int, shard long, blob binary, tokens long, kinds long"
+
+
+def _texts(batches):
+    part = TaskContext.get().partitionId()
+    for k, table in enumerate(gathered(chunks(batches, limit=CHUNK), CHUNK)):
+        chunk = Chunk.of(table)
+        yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([chunk.packed()], pa.binary()), pa.array([len(chunk.tokens)], pa.int64()), pa.array([0], pa.int64())], names=["chunk", "n", "shard", "blob", "tokens", "kinds"])
+
+
+def _gathered_counts(chunk: Chunk, rows: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+    """Counts at each token for n = 1, 2, ... as far as shards have returned them."""
+    counts: list[np.ndarray] = []
+    for n in range(1, max((r[0] for r in rows), default=0) + 1):
+        found = [widened(b) for k, _, b in sorted((r for r in rows if r[0] == n), key=lambda r: r[1])]
+        asked = Asked(chunk, counts, n)
+        counts.append(asked.spread(np.concatenate(found) if found else np.zeros(0, np.int64)))
+    return counts
+
+
+def _told(table) -> tuple[Chunk, list[tuple[int, int, bytes]]]:
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("n", "shard", "blob"))))
+    return Chunk.unpacked(next(b for n, _, b in rows if n == 0)), [r for r in rows if r[0]]
+
+
+def _ask(shards: int, orders: tuple[int, ...]):
+    """Rows for the shards: hashes in order, and their training counts in the chunk."""
+
+    def batch(number: int, chunk: Chunk, rows) -> pa.RecordBatch:
+        counts = _gathered_counts(chunk, rows)
+        out: list[list] = [[], [], [], []]
+        for n in orders:
+            asked = Asked(chunk, counts, n)
+            own = asked.own()
+            cuts = np.searchsorted((asked.hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+            for s in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[s], cuts[s + 1])
+                for column, x in zip(out, (s, number, n, asked.hashes[part].tobytes() + narrow(own[part]))):
+                    column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["shard", "chunk", "n", "blob"])
+
+    def mapped(batches):
+        for b in batches:
+            for number, blob in zip(b.column(0).to_pylist(), b.column(b.schema.names.index("blob"))):
+                yield batch(number, Chunk.unpacked(blob.as_py()), [])
+
+    def grouped(key, table):
+        return pa.Table.from_batches([batch(key[0].as_py(), *_told(table))])
+
+    return mapped, grouped
+
+
+def _count(key, table):
+    """One shard: sums over chunks, one count returned for each hash that a chunk asked for; and its tokens and kinds."""
+    out: list[list] = [[] for _ in range(6)]
+    ns = table.column("n").to_numpy()
+    chunk_of, blobs = table.column("chunk").to_pylist(), table.column("blob")
+    for n in np.unique(ns).tolist():
+        rows = np.flatnonzero(ns == n).tolist()
+        hashes, own = [], []
+        for r in rows:
+            blob = blobs[r].as_py()
+            size = _size(blob)
+            hashes.append(np.frombuffer(blob, "<u8", size))
+            own.append(widened(blob, 8 * size))
+        flat = np.concatenate(hashes)
+        kinds, place = np.unique(flat, return_inverse=True)
+        total = np.bincount(place, np.concatenate(own), len(kinds)).astype(np.int64)
+        told = total[place]
+        at = 0
+        for k, (r, h) in enumerate(zip(rows, hashes)):
+            first = k == 0
+            values = (chunk_of[r], n, key[0].as_py(), narrow(told[at : at + len(h)]), int(total.sum()) if first else 0, int((total > 0).sum()) if first else 0)
+            for column, x in zip(out, values):
+                column.append(x)
+            at += len(h)
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    return pa.table({name: pa.array(c, t) for name, c, t in zip(("chunk", "n", "shard", "blob", "tokens", "kinds"), out, kinds)})
+
+
+def _size(blob: bytes) -> int:
+    """Hashes in a blob of 8-byte hashes, one byte, and as many counts of 1, 2, 4 or 8 bytes."""
+    for width in (1, 2, 4, 8):
+        size, rest = divmod(len(blob) - 1, 8 + width)
+        if not rest and blob[8 * size] == width:
+            return size
+    raise ValueError("a damaged blob")
+
+
+def walk(counts: list[np.ndarray], lengths: np.ndarray, total: int, distinct: int, starts_seen: int, mu: float) -> np.ndarray:
+    """log10 probability of each token, by the arcs and failure arcs of a walk from left to right.
+
+    counts[n - 1] says how often the n-gram that ends at a token was seen; a state's own count is the one before.
+    """
+    first = np.cumsum(lengths) - lengths
+    weight = np.log10(counts[0] + ADD) - math.log10(total + ADD * (distinct + 1))
+    for n in range(2, len(counts) + 1):
+        state = np.roll(counts[n - 2], 1)
+        state[first] = starts_seen if n == 2 else 0
+        arc = counts[n - 1] > 0
+        failure = math.log10(mu) - np.log10(state + mu)
+        # where the state was never seen there is neither arc nor weight: the walk was further down already
+        weight = np.where(arc, np.log10(counts[n - 1] + mu * 10**weight) - np.log10(state + mu), weight + failure)
+    return weight
+
+
+def _walked(order: int, total: int, distinct: int, starts_seen: int, mu: float):
     rest = math.log10(total + ADD * (distinct + 1))
 
     def run(key, table):
-        homes, blobs = table.column("home").to_pylist(), table.column("blob").to_pylist()
-        home = next(b for h, b in zip(homes, blobs) if h)
-        n = int(np.frombuffer(home, "<i8", 1)[0])
-        ids, lengths = np.frombuffer(home, "<i8", n, 8), np.frombuffer(home, "<i8", n, 8 + 8 * n)
-        known_id, held = np.frombuffer(home, "u1", n, 8 + 16 * n), np.frombuffer(home, "u1", n, 8 + 17 * n)
-        base, weight, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-        for b in sorted(b for h, b in zip(homes, blobs) if not h):  # in a set order, so that sums are the same each time
-            base += np.frombuffer(b, "<f8", n)
-            weight += np.frombuffer(b, "<f8", n, 8 * n)
-            known += np.frombuffer(b, "<u4", n, 16 * n)
-        return pa.table({"doc_id": pa.array(ids, mask=known_id == 0), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(base - lengths * rest), "score": pa.array(weight)})
+        chunk, rows = _told(table)
+        counts = _gathered_counts(chunk, rows)
+        starts = np.cumsum(chunk.lengths) - chunk.lengths
+        known = np.add.reduceat((counts[0] > 0).astype(np.int64), starts)
+        base = np.add.reduceat(np.log10(counts[0] + ADD), starts) - chunk.lengths * rest
+        score = np.add.reduceat(walk(counts, chunk.lengths, total, distinct, starts_seen, mu), starts)
+        return pa.table({"doc_id": pa.array(chunk.ids, mask=chunk.known == 0), "held_out": pa.array(chunk.held == 1), "n_tokens": pa.array(chunk.lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(starts), total, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     return run
 
 
-def score_documents(docs: DataFrame, mu: float = MU) -> DataFrame:
+def score_documents(docs: DataFrame, mu: float = MU, order: int = ORDER) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     A null or empty text is the end token alone. Repeated rows are trained on and scored each for itself.
     With no training tokens at all every count is 0. An empty table has no rows.
     """
-    scratch = Scratch(docs.sparkSession, "lm")
-    counts = scratch.write(unigram_counts(docs), "unigrams")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # at most HOT words can have a share of 1 / HOT each
-    heavy = sorted((r.word % (1 << 64), r.n) for r in counts.where(F.col("n") * HOT >= max(1, total)).collect())
-    scratch.drop(counts)
-    hot, hot_counts = np.array([w for w, _ in heavy], np.uint64), np.array([n for _, n in heavy], np.float64)
-    shards = max(8, -(-total // SHARD_TOKENS))
-    dealt = doc_columns(docs).mapInArrow(tidy(_transitions(shards, hot)), "shard long, chunk long, home boolean, blob binary")
-    parts = dealt.groupBy("shard").applyInArrow(_score_shard(total, distinct, mu, hot, hot_counts), "chunk long, home boolean, blob binary")
-    return parts.groupBy("chunk").applyInArrow(_sum_chunk(total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    if order < 2:
+        raise ValueError("the order is to be 2 at least")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
+    texts = scratch.write(doc_columns(docs).mapInArrow(tidy(_texts), RETURNED), "texts")
+    size = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    shards = max(8, -(-size // SHARD_GRAMS))
+    told: list[DataFrame] = [texts]
+    for orders in ((1, 2), *((n,) for n in range(3, order + 1))):
+        mapped, grouped = _ask(shards, orders)
+        asked = texts.mapInArrow(tidy(mapped), SHARDED) if len(told) == 1 else _together(told).groupBy("chunk").applyInArrow(grouped, SHARDED)
+        told.append(scratch.write(asked.groupBy("shard").applyInArrow(_count, RETURNED), f"counts{orders[0]}"))
+        del asked
+        collect_garbage(spark)
+    total, distinct = told[1].where("n = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    starts_seen = _training_texts(docs)
+    return _together(told).groupBy("chunk").applyInArrow(_walked(order, total, distinct, starts_seen, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _together(told: list[DataFrame]) -> DataFrame:
+    out = told[0].select("chunk", "n", "shard", "blob")
+    for t in told[1:]:
+        out = out.unionByName(t.select("chunk", "n", "shard", "blob"))
+    return out
+
+
+def _training_texts(docs: DataFrame) -> int:
+    """How often the start of a text was seen in training: as often as its end."""
+    doc_id = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("None"))
+    return docs.where(F.crc32(doc_id.cast("binary")) % FOLDS != 0).count()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, collect_garbage, doc_columns, mix64, starts_of_runs, tidy, whole_groups
+from .common import BASE, Scratch, chunks, collect_garbage, doc_columns, mix64, powers, starts_of_runs, tidy, whole_groups
 
 LENGTH = 100
 GRAM = 32
@@ -31,25 +31,6 @@ CHUNK = 2 << 20
 STRETCH = 2 << 20
 #: Windows that are sorted at once, about.
 SORTED = 60_000
-#: An odd number, so that it has an inverse modulo 2^64.
-BASE = 0x9E3779B97F4A7C15 | 5
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, by doubling; kept for the next call."""
-    if len(_powers.get(base, ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        out, filled, step = np.ones(size, np.uint64), 1, base
-        with np.errstate(over="ignore"):
-            while filled < size:
-                out[filled : 2 * filled] = out[:filled] * np.uint64(step)
-                filled, step = 2 * filled, step * step % (1 << 64)
-        _powers[base] = out
-    return _powers[base][:n]
-
-
 class PrefixHashes:
     """Hashes of any stretch of a byte string in constant time: a polynomial modulo 2^64, freed of the stretch's place."""
 

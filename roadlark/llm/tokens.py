@@ -1,12 +1,14 @@
 """Exact token counts at every prefix of a text, by dynamic programming over its pieces.
 
-A byte-level BPE never merges across pre-tokens, so the count of a prefix is the count of the
-pieces before it plus that of a prefix of one piece. `PrefixCounts` keeps the running sum at each
-piece end; inside a piece the counts of its prefixes are found once and remembered. Length,
-truncation and budget questions are then look-ups. A run of white space and the pre-token behind
-it make one piece, as how the run splits depends on what follows; no other cut does.
-
-The pieces that texts share are encoded once per worker, which is also faster than encoding texts.
+A byte-level BPE never merges across pre-tokens, so the count of a prefix is the count of the pieces before it plus
+that of a prefix of one piece. Within a pre-token one pass over its bytes finds the counts of all its prefixes: the
+encoding of a prefix is that of a shorter prefix and one token more, and it is the one token that stays whole beside
+the shorter prefix's last token. So prefix i takes one more than prefix j for the token [j, i) that fits there,
+and no prefix is ever encoded. Sums at piece ends and tables within pieces answer questions of length, truncation
+and budget by look-up. A run of white space and the pre-token behind it make one piece, as how the run splits
+depends on what follows; no other cut does.
+
+The pieces that texts share are counted once per worker.
 """
 
 from __future__ import annotations
@@ -58,6 +60,9 @@ class Pieces:
         self.plain = regex.compile(public_tokenizers.PATTERN).findall
         self.ranks = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.single = self.ranks._core_bpe.encode_single_piece
+        self.bytes_of = ranks
+        self.longest = max(map(len, ranks))
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, int] = {}
         self.prefixes: dict[str, tuple[int, ...]] = {}
 
@@ -78,11 +83,11 @@ class Pieces:
 
     def counts(self, pieces: list[str]) -> list[int]:
         """Tokens of each pre-token."""
-        known, single = self.known, self.single
+        known = self.known
         if len(known) > REMEMBERED:
             known.clear()
         for p in set(pieces).difference(known):
-            known[p] = len(single(p.encode("utf-8", "surrogatepass")))
+            known[p] = self.table(p.encode("utf-8", "surrogatepass"))[-1]
         out = list(map(known.__getitem__, pieces))
         if max(map(len, pieces), default=0) > LONGEST_REMEMBERED:
             for p in pieces:
@@ -100,17 +105,63 @@ class Pieces:
             counts += [1] if special else self.counts(plain)
         return pieces, counts
 
+    def stays(self, left: bytes, right: bytes) -> bool:
+        """Whether two tokens side by side are encoded as they are; an empty one on the left asks for the right one alone."""
+        known = self.pairs.get((left, right))
+        if known is None:
+            if len(self.pairs) > REMEMBERED:
+                self.pairs.clear()
+            want = [self.bytes_of[t] for t in (left, right) if t]
+            self.pairs[left, right] = known = self.single(left + right) == want
+        return known
+
+    def table(self, data: bytes) -> list[int]:
+        """Entry i: tokens of the first i bytes of a pre-token. last[i] is the last token of that prefix."""
+        ranks, longest = self.bytes_of, self.longest
+        counts, last = [0] * (len(data) + 1), [b""] * (len(data) + 1)
+        for i in range(1, len(data) + 1):
+            for j in range(max(0, i - longest), i):
+                token = data[j:i]
+                if token in ranks and self.stays(last[j], token):
+                    counts[i], last[i] = counts[j] + 1, token
+                    break
+            else:
+                raise ValueError("no token fits: the vocabulary lacks single bytes")
+        return counts
+
+    def chars(self, piece: str) -> list[int]:
+        """The same at each character."""
+        counts = self.table(piece.encode("utf-8", "surrogatepass"))
+        if len(counts) == len(piece) + 1:
+            return counts
+        return [counts[k] for k in accumulate((len(c.encode("utf-8", "surrogatepass")) for c in piece), initial=0)]
+
     def piece_prefixes(self, piece: str) -> tuple[int, ...]:
-        """Entry k: tokens of the first k characters of the piece, taken as a whole text."""
+        """Entry k: tokens of the first k characters of a piece - white space and the pre-token behind it - taken as a whole text."""
         got = self.prefixes.get(piece)
         if got is None:
-            got = tuple(self.count(piece[:k]) for k in range(len(piece) + 1))
+            *blanks, behind = self.plain(piece)
+            white = "".join(blanks)
+            if not white and behind.startswith("'") and len(behind) <= 3:  # a contraction: its prefixes are cut elsewhere
+                got = tuple(self.count(piece[:k]) for k in range(len(piece) + 1))
+            elif not white:
+                got = tuple(self.chars(behind))
+            else:
+                # white space alone is one pre-token; with something behind it, it is cut as it is in the piece
+                run = white + behind[0] if behind[0] == " " or behind.isspace() else white
+                before = sum(len(self.single(b.encode("utf-8", "surrogatepass"))) for b in blanks)
+                told = self.chars(run)
+                inner = self.count_contraction(behind) or self.chars(behind)
+                got = tuple(told) + tuple(before + n for n in inner[len(run) - len(white) + 1 :])
             if len(piece) <= LONGEST_REMEMBERED:
                 if len(self.prefixes) > REMEMBERED // 10:
                     self.prefixes.clear()
                 self.prefixes[piece] = got
         return got
 
+    def count_contraction(self, behind: str) -> list[int] | None:
+        return [self.count(behind[:k]) for k in range(len(behind) + 1)] if behind.startswith("'") and len(behind) <= 3 else None
+
 
 class PrefixCounts:
     """Token counts of all prefixes of one text: stored sums at piece ends, a remembered table inside a piece."""
@@ -172,35 +223,59 @@ def pieces_for(path: str) -> Pieces:
     return _open[path]
 
 
+def cut_within(pieces: Pieces, parts: list[str], sums: np.ndarray, budget: int) -> int:
+    """The most characters whose prefix has at most `budget` tokens, from sums at the ends of pre-tokens.
+
+    Sums never fall, so it ends in the first pre-token that goes beyond the budget, or in the white space before it.
+    """
+    k = int(np.searchsorted(sums, budget, side="right"))
+    if k == len(parts):
+        return sum(map(len, parts))
+    if parts[k] in pieces.special:
+        return _before(parts, k)
+    a = k
+    while a and parts[a - 1].isspace():
+        a -= 1
+    b = k + 1
+    while b < len(parts) and parts[b - 1].isspace() and parts[b] not in pieces.special:
+        b += 1
+    before, base = _before(parts, a), int(sums[a - 1]) if a else 0
+    told = pieces.piece_prefixes("".join(parts[a:b]))
+    return before + max(c for c, n in enumerate(told) if base + n <= budget)
+
+
+def _before(parts: list[str], k: int) -> int:
+    return sum(map(len, parts[:k]))
+
+
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, budgets: tuple[int, ...] = (512,), tables: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_tokens; for each budget `over` and `cuts`, the characters of the
-    pre-tokens whose tokens fit it; with tables=True also `ends` and `sums`, the prefix table at pre-token ends.
+    """One row per row of docs: doc_id, n_bytes, n_tokens; for each budget `over`, and `cuts`, the most characters from the
+    start that fit it (in front of a special string that does not fit, nothing of it); with tables=True also `prefixes`:
+    entry k is the tokens of the first k characters.
 
-    Null and empty texts have 0 bytes, 0 tokens and empty tables. Special strings in a text count as the
+    Null and empty texts have 0 bytes, 0 tokens and one prefix. Special strings in a text count as the
     library's default has them. Texts are taken whole, whatever their length.
     """
-    names = ["doc_id", "n_bytes", "n_tokens", "cuts", *(("ends", "sums") if tables else ())]
+    names = ["doc_id", "n_bytes", "n_tokens", "cuts", *(("prefixes",) if tables else ())]
 
     def run(batches):
         pieces = pieces_for(vocabulary_path(vocabulary))
         ints = pa.list_(pa.int64())
         for batch in batches:
-            sizes, counts, cuts, all_ends, all_sums = [], [], [], [], []
+            sizes, counts, cuts, prefixes = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 parts, each = pieces.cut(text)
-                sums = np.cumsum(np.array(each, np.int64))  # exact at each pre-token's end
-                ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+                sums = np.cumsum(np.array(each, np.int64))  # the table at each pre-token's end
                 counts.append(int(sums[-1]) if len(sums) else 0)
-                fits = [int(np.searchsorted(sums, b, side="right")) for b in budgets]
-                cuts.append([int(ends[k - 1]) if k else 0 for k in fits])
+                cuts.append([cut_within(pieces, parts, sums, b) for b in budgets])
                 if tables:
-                    all_ends.append(ends)
-                    all_sums.append(sums)
-            more = [pa.array(all_ends, ints), pa.array(all_sums, ints)] if tables else []
+                    whole = PrefixCounts(pieces, text)
+                    prefixes.append([whole.at(k) for k in range(len(text) + 1)])
+            more = [pa.array(prefixes, ints)] if tables else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(cuts, ints), *more], names=names)
 
-    schema = "doc_id long, n_bytes long, n_tokens long, cuts array<long>" + (", ends array<long>, sums array<long>" if tables else "")
+    schema = "doc_id long, n_bytes long, n_tokens long, cuts array<long>" + (", prefixes array<long>" if tables else "")
     out = doc_columns(docs).mapInArrow(tidy(run), schema)
     return out.withColumn("over", F.transform(F.array(*map(F.lit, budgets)), lambda b: F.col("n_tokens") > b))

@@ -33,6 +33,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Uncompressed payload of one archive, about; bounds the memory of a writing task.
 ARCHIVE_BYTES = 24 << 20
+#: Tasks that read archives, at most.
+MOST_TASKS = 50_000
 
 # Fixed values of the ZIP format: signatures and sizes.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
@@ -290,7 +292,9 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payloads else "")
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(tidy(run), schema)
+    # a manifest is small whatever its archives are: by number, so that no two archives share a task before MOST_TASKS are busy
+    tasks = min(max(1, manifest.count()), MOST_TASKS)
+    return manifest.select("path").repartition(tasks).mapInArrow(tidy(run), schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -95,6 +95,26 @@ def test_short_lines_texts_of_one_id_and_null_ids(spark):
     assert got == sorted(((*w, "own") for w in want), key=str)
 
 
+def test_words_by_bytes():
+    """Words, sizes, texts and lines of random texts by plain string functions; equal words have equal hashes and no others."""
+    rng = random.Random(41)
+    parts = ["a", "b", "ab", "é", "漢", ".", "%%", "-", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u00a0", "a.b"]
+    for _ in range(200):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(0, 6))]
+        array = lines.pa.array([*texts, "x"], lines.pa.string()).slice(0, len(texts))
+        for edge in (b"", lines.EDGE):
+            got, want = lines.Words(array, edge, by_line=True), []
+            n = 0
+            for t, text in enumerate(texts):
+                for line in [] if text is None else text.encode().split(b"\n"):
+                    want += [(w.strip(edge) if edge else w, t, n) for w in line.split() if not edge or w.strip(edge)]
+                    n += 1
+            assert got.text.tolist() == [t for _, t, _ in want] and got.line.tolist() == [k for _, _, k in want]
+            assert got.sizes.tolist() == [len(w) for w, _, _ in want] and len(got.line_lengths) == n
+            hashes = dict(zip((w for w, _, _ in want), got.hashes.tolist()))
+            assert len(set(hashes.values())) == len(hashes) and all(hashes[w] == h for (w, _, _), h in zip(want, got.hashes.tolist()))
+
+
 def spoiled(rng, words, share):
     """Words with a share of edits: substitutions, deletions and insertions, within the bound of the longer of both."""
     out = list(words)
@@ -133,8 +153,8 @@ def test_halves_lose_no_pair():
     for n in (4, 5, 6, 7, 8, 9):
         told = [[rng.choice(usual) for _ in range(n)] for _ in range(40)]
         told += [x for y in told for x in [list(y)] for k in [rng.randrange(n)] for _ in [x.__setitem__(slice(k, k + rng.choice((0, 1))), [sentence(rng, 1)] * rng.choice((0, 1)))]]
-        words, sizes, lengths = lines.word_hashes(lines.pa.array([" ".join(x) for x in told]))
-        found, count = lines.blocks(words, sizes, lengths)
+        known = lines.normal_hashes(lines.pa.array([" ".join(x) for x in told]))
+        found, count = lines.blocks(known.hashes, known.sizes, known.line_lengths)
         own = [set(x.tolist()) for x in np.split(found, np.cumsum(count)[:-1])]
         for b in range(len(told)):
             for a in range(b):
@@ -188,8 +208,8 @@ def test_radius_holds_similar_lines():
             one = sentence(rng, n).split()
             two = spoiled(rng, one, 0.2)
             most = decontam.allowed_edits(max(len(one), len(two)))
-            words, _, lengths = lines.word_hashes(lines.pa.array([" ".join(one), " ".join(two)]))
-            owner, kinds = lines.by_line(np.repeat([0, 1], lengths), words)
+            known = lines.normal_hashes(lines.pa.array([" ".join(one), " ".join(two)]))
+            owner, kinds = lines.by_line(known.line, known.hashes)
             size = np.bincount(owner)
             sim = lines.simhash(kinds, size)
             apart = np.bitwise_count(sim[0] ^ sim[1]).sum()
