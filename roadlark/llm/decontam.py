@@ -6,13 +6,13 @@ distance: at step j the output is the word under the pointer, which moves on if
 windows and items that share a key are compared by exact semi-global edit distance.
 
 The embedding's distortion grows with the number of edits, so a walk over a long item with a fifth of its words edited
-leaves little to find. Items of more than PART words are therefore cut into parts: of c parts within e edits in all, one
-has no more than its own share by the pigeonhole principle, which is a single edit at the bound of 0.8. Windows are
-of the parts' sizes; a part that is found asks for the check of its whole item there.
+leaves little to find. Items are therefore cut into parts that may have one edit at most: of c parts within e edits in all,
+one has no more than its own share by the pigeonhole principle. Windows are of the parts' sizes; a part that is found
+and that is one edit away at most asks for the check of its whole item there.
 
 Windows start at every word of every text; near its end they are as long as what is left of it, down to the fewest
-words that a part may be cut to. One cheap necessary condition comes first: a window
-within the edit bound must take enough of its words from the benchmark's vocabulary.
+words that a part may be cut to. One cheap necessary condition comes first: with one edit, one half of the part is
+untouched, so a window is looked at where the words of a half stand, at its start or at its end.
 """
 
 from __future__ import annotations
@@ -22,16 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, chunks, doc_columns, mix64, tidy
+from .common import Scratch, Words, chunks, doc_columns, mix64, tidy
 
 EDGE = b".,;:!?\"'()[]{}<>#*$%&|-_"
 LEAST_WORDS = 5
 SIMILARITY = 0.8
-#: Words of a part, at most: the most that may have one edit at a similarity of 0.8.
-PART = 9
+#: Words of a part, at most, whatever the similarity allows.
+PART = 16
 #: Repetitions, and output places that each samples.
 REPETITIONS, SAMPLES = 10, 3
 #: Items of one index, and indexes that a worker holds at once; a larger benchmark is searched index by index.
@@ -50,6 +51,11 @@ def allowed_edits(n: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * n + 1e-9)
 
 
+def part_words(similarity: float) -> int:
+    """The most words that may have one edit."""
+    return max(1, max((n for n in range(1, PART + 1) if allowed_edits(n, similarity) <= 1), default=1))
+
+
 @dataclass
 class Part:
     """Words [start, start + size) of an item."""
@@ -59,7 +65,7 @@ class Part:
     size: int
 
 
-def parts_of(item: int, n: int, most: int = PART) -> list[Part]:
+def parts_of(item: int, n: int, most: int) -> list[Part]:
     """Parts of about as many words, `most` at most."""
     cuts = [n * k // -(-n // most) for k in range(-(-n // most) + 1)]
     return [Part(item, a, b - a) for a, b in zip(cuts, cuts[1:])]
@@ -67,18 +73,11 @@ def parts_of(item: int, n: int, most: int = PART) -> list[Part]:
 
 @dataclass
 class SizeClass:
-    """Parts of about as many words; their windows have `least` words, the fewest of them.
-
-    A window at a part within its edit bound holds at least `need` words of the vocabulary and at least
-    `need_rare` of its rare ones: each edit takes away one of the part's first `least` words at most. A window that the
-    document's end cuts short holds the whole part, so the same holds for it; `fewest` words are left at least.
-    """
+    """Parts of about as many words; their windows have `least` words, the fewest of them, and `fewest` at a document's end."""
 
     least: int
-    need: int
+    fewest: int
     parts: list[int]
-    need_rare: int = 0
-    fewest: int = 1
 
 
 def size_classes(lengths: list[int], similarity: float) -> list[SizeClass]:
@@ -87,11 +86,10 @@ def size_classes(lengths: list[int], similarity: float) -> list[SizeClass]:
     at = 0
     while at < len(order):
         least, stop = lengths[order[at]], at
-        while stop < len(order) and lengths[order[stop]] <= max(least, int(least * 1.2)):
+        while stop < len(order) and lengths[order[stop]] <= max(least, int(least * 1.3)):
             stop += 1
         group, at = order[at:stop], stop
-        most = allowed_edits(lengths[group[-1]], similarity)
-        out.append(SizeClass(least, max(1, least - most), group, fewest=max(1, least - allowed_edits(least, similarity))))
+        out.append(SizeClass(least, max(1, least - allowed_edits(least, similarity)), group))
     return out
 
 
@@ -137,89 +135,146 @@ class Embedding:
                 after.append(key)
                 if not len(starts):
                     break
-            at = at + (self.bits[symbol] >> np.uint64(step % 64) & np.uint64(1)).astype(np.int64)
+            at = at + (self.bits[symbol] >> np.uint64(step) & np.uint64(1)).astype(np.int64)
         return left, after
 
 
-NO_WORD = -2
+class Sieve:
+    """Which of many 64-bit numbers are in a small table: a bit map first, then the table."""
 
+    def __init__(self, members: np.ndarray):
+        self.members = np.unique(members)
+        self.bits = max(16, min(24, 4 + int(len(self.members)).bit_length()))
+        self.map = np.zeros(1 << self.bits, bool)
+        self.map[self.members >> np.uint64(64 - self.bits)] = True
 
-class Numbers(dict):
-    """Raw word -> its number, remembered."""
+    def places(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of values that are in the table, and where they are there."""
+        maybe = np.flatnonzero(self.map[values >> np.uint64(64 - self.bits)]) if len(self.members) else np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.members, values[maybe]), max(0, len(self.members) - 1))
+        hit = self.members[at] == values[maybe]
+        return maybe[hit], at[hit]
 
-    vocabulary: dict[bytes, int]
 
-    def __missing__(self, raw: bytes) -> int:
-        word = raw.strip(EDGE)
-        self[raw] = n = self.vocabulary.get(word, -1) if word else NO_WORD
-        return n
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of each n neighbouring words; fewer than there are words by n - 1."""
+    size = max(0, len(words) - n + 1)
+    out = np.full(size, np.uint64(n))
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + (words[k : k + size] + 2).astype(np.uint64)
+    return mix64(out)
+
+
+def numbers_in(texts: pa.Array, vocabulary: Sieve) -> tuple[np.ndarray, np.ndarray]:
+    """Vocabulary numbers of the words of all texts one after another as item_words() has them, -1 for all others, and words in each text."""
+    told = Words(pc.utf8_lower(texts), EDGE)
+    numbers = np.full(len(told.hashes), -1, np.int64)
+    at, which = vocabulary.places(told.hashes)
+    numbers[at] = which
+    return numbers, told.lengths
 
 
 class ItemIndex:
-    """Items as parts: vocabulary, size classes, and LSH tables for each repetition."""
+    """Items as parts: vocabulary, halves, size classes, and LSH tables for each repetition."""
 
     def __init__(self, items: list[tuple[int, str | None]], similarity: float = SIMILARITY, least_words: int = LEAST_WORDS):
         self.similarity = similarity
-        told = [(i, w) for i, t in items if i is not None and len(w := item_words(t)) >= max(1, least_words)]
-        self.ids, words = [i for i, _ in told], [w for _, w in told]
-        self.memory = Numbers()
-        self.memory.vocabulary = self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in words for w in ws}))}
-        self.numbers = [np.array([self.vocabulary[w] for w in ws], np.int64) for ws in words]
-        self.parts = [p for i, ws in enumerate(words) for p in parts_of(i, len(ws))]
+        told = Words(pc.utf8_lower(pa.array([t for _, t in items], pa.string())), EDGE)
+        self.vocabulary = Sieve(told.hashes)
+        numbers = np.searchsorted(self.vocabulary.members, told.hashes)
+        ends = np.cumsum(told.lengths)
+        kept = [k for k, (i, _) in enumerate(items) if i is not None and told.lengths[k] >= max(1, least_words)]
+        self.ids = [items[k][0] for k in kept]
+        self.numbers = [numbers[ends[k] - told.lengths[k] : ends[k]] for k in kept]
+        most = part_words(similarity)
+        self.parts = [p for i, ws in enumerate(self.numbers) for p in parts_of(i, len(ws), most)]
         self.classes = size_classes([p.size for p in self.parts], similarity)
-        uses = np.bincount(np.concatenate([np.unique(x) for x in self.numbers] or [np.zeros(0, np.int64)]), minlength=len(self.vocabulary))
-        self.rare = uses <= max(2, len(words) // 50)
-        flat = np.concatenate(self.numbers or [np.zeros(0, np.int64)])
+        self.flat = np.concatenate(self.numbers or [np.zeros(0, np.int64)])
         base = np.cumsum([0, *map(len, self.numbers)])
-        begins = np.array([base[p.item] + p.start for p in self.parts], np.int64)
-        rare = np.concatenate([[0], np.cumsum(self.rare[flat])])
+        self.begins = np.array([base[p.item] + p.start for p in self.parts], np.int64)
+        self.sizes = np.array([p.size for p in self.parts], np.int64)
+        # (size, words in a half, first halves, last halves) of the parts of each class
+        self.halves: list[list[tuple[int, int, Sieve, Sieve]]] = []
         for c in self.classes:
-            a = begins[c.parts]
-            edits = np.array([allowed_edits(self.parts[k].size, similarity) for k in c.parts])
-            c.need_rare = max(0, int((rare[a + c.least] - rare[a] - edits).min()))
+            own = []
+            for size in np.unique(self.sizes[c.parts]).tolist():
+                half = size if allowed_edits(size, similarity) == 0 else max(1, size // 2)
+                hashes = grams(self.flat, half)
+                a = self.begins[[k for k in c.parts if self.sizes[k] == size]]
+                own.append((size, half, Sieve(hashes[a]), Sieve(hashes[a + size - half])))
+            self.halves.append(own)
         self.tables = []
-        bits = [walk_bits(r, np.arange(-1, len(self.vocabulary))) for r in range(REPETITIONS)]
-        for c in self.classes:
+        bits = [walk_bits(r, np.arange(-1, len(self.vocabulary.members))) for r in range(REPETITIONS)]
+        for n, c in enumerate(self.classes):
             parts = np.array(c.parts)
             for r in range(REPETITIONS):
                 walk = Embedding(c.least, r, bits[r])
-                after = walk.keys(flat, begins[parts])[1]
+                after = walk.keys(self.flat, self.begins[parts])[1]
                 order = np.argsort(after[-1], kind="stable")
-                self.tables.append((c, walk, [np.unique(x) for x in after], after[-1][order], parts[order]))
-
-    def numbers_of(self, text: str | None) -> np.ndarray:
-        """Vocabulary numbers of the words of a text as item_words() has them, -1 for words that no item has."""
-        raw = text.lower().encode("utf-8", "surrogatepass").split() if text else []
-        if len(self.memory) > 150_000:
-            self.memory.clear()
-        numbers = np.fromiter(map(self.memory.__getitem__, raw), np.int64, len(raw))
-        return numbers[numbers != NO_WORD]
+                self.tables.append((n, walk, [np.unique(x) for x in after], after[-1][order], parts[order]))
+
+    def windows(self, n: int, words: np.ndarray, doc_start: np.ndarray, doc_end: np.ndarray, known: dict[int, np.ndarray]) -> np.ndarray:
+        """Starts of windows of a class where a half of a part stands at either end, within one word."""
+        want = np.zeros(len(words), bool)
+        for size, half, first, last in self.halves[n]:
+            if half not in known:
+                known[half] = grams(words, half)
+            want[first.places(known[half])[0]] = True
+            behind = last.places(known[half])[0]
+            for shift in (-1, 0, 1) if half < size else ():
+                start = behind + half - size - shift
+                ok = start >= doc_start[behind]
+                want[start[ok]] = True
+        starts = np.flatnonzero(want)
+        return starts[doc_end[starts] - starts >= self.classes[n].fewest]
 
     def candidates(self, words: np.ndarray, doc_ends: np.ndarray) -> np.ndarray:
-        """Rows (window start, part) of windows that share a key with a part; words of several documents lie one after another."""
+        """Rows (window start, part) of windows that share a key with a part and are one edit away from it at most."""
         found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        known = np.concatenate([[0], np.cumsum(words >= 0)])
-        rare = np.concatenate([[0], np.cumsum((words >= 0) & self.rare[words])])
-        doc_end = np.repeat(doc_ends, np.diff(np.concatenate([[0], doc_ends])))
-        places = np.arange(len(words))
-        starts_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for c, walk, allowed, keys, parts in self.tables:
-            if c.least not in starts_of:
-                stop = np.minimum(places + c.least, doc_end)
-                enough = (known[stop] - known[:-1] >= c.need) & (rare[stop] - rare[:-1] >= c.need_rare) & (doc_end - places >= c.fewest)
-                starts = np.flatnonzero(enough)
-                starts_of[c.least] = starts, doc_end[starts] - starts
-            starts, room = starts_of[c.least]
+        sizes = np.diff(np.concatenate([[0], doc_ends]))
+        doc_end, doc_start = np.repeat(doc_ends, sizes), np.repeat(doc_ends - sizes, sizes)
+        known: dict[int, np.ndarray] = {}
+        starts_of: dict[int, np.ndarray] = {}
+        for n, walk, allowed, keys, parts in self.tables:
+            if n not in starts_of:
+                starts_of[n] = self.windows(n, words, doc_start, doc_end, known)
+            starts = starts_of[n]
             if not len(starts):
                 continue
-            left, after = walk.keys(words, starts, allowed, room)
+            left, after = walk.keys(words, starts, allowed, doc_end[starts] - starts)
             if not len(left):
                 continue
             low, high = np.searchsorted(keys, after[-1], "left"), np.searchsorted(keys, after[-1], "right")
-            n = high - low
-            hits = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append(np.stack([np.repeat(starts[left], n), parts[hits]], 1))
-        return np.unique(np.concatenate(found), axis=0)
+            each = high - low
+            hits = np.repeat(low - np.cumsum(each) + each, each) + np.arange(each.sum())
+            found.append(np.stack([np.repeat(starts[left], each), parts[hits]], 1))
+        told = np.unique(np.concatenate(found), axis=0)
+        return told[self.one_edit(words, told[:, 0], told[:, 1], doc_end)] if len(told) else told
+
+    def one_edit(self, words: np.ndarray, starts: np.ndarray, parts: np.ndarray, doc_end: np.ndarray) -> np.ndarray:
+        """Whether each part stands at its start with one word substituted, left out or put in at most."""
+        out = np.zeros(len(starts), bool)
+        for k in range(0, len(starts), 50_000):
+            a, p = starts[k : k + 50_000], parts[k : k + 50_000]
+            size, end, begin = self.sizes[p], doc_end[a], self.begins[p]
+            span = np.arange(int(size.max()))
+            inside = span < size[:, None]
+            own = self.flat[np.minimum(begin[:, None] + span, len(self.flat) - 1)]
+
+            def equal(shift: int) -> np.ndarray:
+                at = a[:, None] + span + shift
+                ok = (at >= a[:, None]) & (at < end[:, None])
+                return ~inside | (ok & (words[np.minimum(np.maximum(at, 0), len(words) - 1)] == own))
+
+            here = equal(0)
+            # words before j are equal in place; then those from j + 1 on (or j, where a word was put in) are, at a shift
+            before = np.concatenate([np.ones((len(a), 1), bool), np.logical_and.accumulate(here, 1)], 1)
+            from_j = lambda e: np.concatenate([np.logical_and.accumulate(e[:, ::-1], 1)[:, ::-1], np.ones((len(a), 1), bool)], 1)
+            substituted, left_out = (before[:, :-1] & from_j(e)[:, 1:] for e in (here, equal(-1)))
+            put_in = before[:, :-1] & from_j(equal(1))[:, :-1]
+            out[k : k + 50_000] = before[:, -1] | (substituted | left_out | put_in).any(1)
+        return out
 
 
 def edit_search(item: list, text: list) -> tuple[int, int]:
@@ -250,19 +305,19 @@ def best_stretch(item: list, text: list) -> tuple[int, int, int]:
     return distance, end - length if back == distance else 0, end
 
 
-def search_documents(texts: list[str | None], index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
+def search_documents(texts: list[str | None] | pa.Array, index: ItemIndex) -> list[tuple[int, int, int, int, int]]:
     """(row, item number, start word, end word, edits): the best stretch of each row and item within the bound."""
-    cut = [index.numbers_of(t) for t in texts]
-    ends = np.cumsum([len(w) for w in cut])
-    if not len(ends) or not ends[-1] or not index.tables:
+    flat, lengths = numbers_in(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), index.vocabulary)
+    if not len(flat) or not index.tables:
         return []
-    flat = np.concatenate(cut)
+    ends = np.cumsum(lengths)
+    cut = lambda row: flat[ends[row] - lengths[row] : ends[row]]
     at: dict[tuple[int, int], list[int]] = defaultdict(list)
     found = index.candidates(flat, ends)
     rows = np.searchsorted(ends, found[:, 0], side="right")
     for row, start, part in zip(rows.tolist(), found[:, 0].tolist(), found[:, 1].tolist()):
         p = index.parts[part]
-        at[row, p.item].append(start - int(ends[row] - len(cut[row])) - p.start)
+        at[row, p.item].append(start - int(ends[row] - lengths[row]) - p.start)
     out = []
     for (row, item), starts in sorted(at.items()):
         words = index.numbers[item].tolist()
@@ -273,8 +328,8 @@ def search_documents(texts: list[str | None], index: ItemIndex) -> list[tuple[in
             if start + n + slack <= reached:
                 continue
             low = max(0, start - slack)
-            reached = min(len(cut[row]), start + n + 2 * slack)
-            distance, a, b = best_stretch(words, cut[row][low:reached].tolist())
+            reached = min(int(lengths[row]), start + n + 2 * slack)
+            distance, a, b = best_stretch(words, cut(row)[low:reached].tolist())
             if distance <= slack and (best is None or distance < best[0]):
                 best = (distance, low + a, low + b)
         if best:
@@ -308,7 +363,7 @@ class ItemBlocks:
             self.held[k] = ItemIndex(list(zip(*(c.to_pylist() for c in table.columns))), self.similarity, self.least_words)
         return self.held[k]
 
-    def search(self, texts: list[str | None]):
+    def search(self, texts: pa.Array):
         """(index, row, item number, start, end, edits) of all blocks."""
         for k in range(self.count):
             index = self.index(k)
@@ -340,8 +395,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
 
     def run(batches):
         for batch in chunks(batches, limit=CHUNK):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(ids[r], index.ids[i], a, b, e, 1 - e / len(index.numbers[i])) for index, r, i, a, b, e in blocks.search(texts)]
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[r], index.ids[i], a, b, e, 1 - e / len(index.numbers[i])) for index, r, i, a, b, e in blocks.search(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=names)
 
     return doc_columns(docs).mapInArrow(tidy(run), "doc_id long, item_id long, start_word long, end_word long, edits long, similarity double")
@@ -357,7 +412,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
 
     def run(batches):
         for batch in chunks(batches, column="_text", limit=CHUNK):
-            bad = {found[1] for found in blocks.search(batch.column(1).to_pylist())}
+            bad = {found[1] for found in blocks.search(batch.column(1))}
             rows = batch.select(["_row"])
             yield rows.filter(pa.array([r not in bad for r in range(batch.num_rows)])) if bad else rows
 

@@ -14,8 +14,8 @@ n-grams that end there were seen; a state's own count is that of the n-gram that
 
 Counts are found without a table of all n-grams in one place. A chunk of texts deals the distinct hashes of its
 n-grams out to shards by range of hash, each shard sums the chunks' training counts and returns one count for each
-hash that it was asked for, and nothing else. Orders go up: an n-gram of training is asked for only where both of
-its (n-1)-grams were seen elsewhere too; where not, it was seen just here.
+hash that it was asked for, and nothing else. Orders go up: an n-gram is asked for only where both of its (n-1)-grams
+occur elsewhere too, in training or not; where not, it occurs just here.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ ORDER = 3
 FOLDS = 10
 #: Hashes that a shard is asked for, about, and text of a chunk; they bound the memory of a task.
 SHARD_GRAMS = 500_000
-CHUNK = 8 << 20
+CHUNK = 5 << 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
 
@@ -157,37 +157,52 @@ class Chunk:
 
 
 class Asked:
-    """The distinct n-grams of a chunk that shards are asked for, in order of hash, and where each token's is."""
+    """The distinct n-grams of a chunk that shards are asked for, in order of hash, and where each token's is.
 
-    def __init__(self, chunk: Chunk, counts: list[np.ndarray], n: int):
+    Counts are pairs of arrays: of training texts, and of all texts.
+    """
+
+    def __init__(self, chunk: Chunk, counts: list[tuple[np.ndarray, np.ndarray]], n: int):
         hashes, there = chunk.grams(n)[n - 1]
         self.there, self.train = there, chunk.train()
         if n > 2:
-            # what was seen of both (n-1)-grams, this occurrence aside, bounds what was seen of the n-gram
-            least = np.minimum(counts[n - 2], np.roll(counts[n - 2], 1)) - self.train
-            there = there & (least > 0)
+            # an n-gram occurs no more often than either of its (n-1)-grams does
+            every = counts[n - 2][1]
+            there = there & (every > 1) & (np.roll(every, 1) > 1)
         self.mask = there
         self.hashes, self.place = np.unique(hashes[there], return_inverse=True)
 
-    def own(self) -> np.ndarray:
-        return np.bincount(self.place, self.train[self.mask], len(self.hashes)).astype(np.int64)
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.bincount(self.place, w, len(self.hashes)).astype(np.int64) for w in (self.train[self.mask], None))
 
-    def spread(self, found: np.ndarray) -> np.ndarray:
-        """Counts of each token's n-gram; one that nobody was asked for is seen here alone, if here is training."""
-        out = np.where(self.there & self.train, 1, 0)
-        out[self.mask] = found[self.place]
+    def spread(self, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of each token's n-gram; one that nobody was asked for occurs here alone."""
+        out = np.where(self.there & self.train, 1, 0), np.where(self.there, 1, 0)
+        for own, told in zip(out, found):
+            own[self.mask] = told[self.place]
         return out
 
 
 def narrow(values: np.ndarray) -> bytes:
-    """Numbers in as few bytes as the greatest needs; the first byte says how many."""
+    """Numbers in as few bytes as the greatest needs, compressed; the first byte says how many, the next eight how long they are."""
     most = int(values.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    raw = values.astype(f"<u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def both(counts: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return narrow(np.concatenate(counts))
+
 
+def halves(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    told = widened(blob)
+    return told[: len(told) // 2], told[len(told) // 2 :]
 
-def widened(blob: bytes, at: int = 0) -> np.ndarray:
-    return np.frombuffer(blob, f"<u{blob[at]}", -1, at + 1).astype(np.int64)
+
+def widened(blob: bytes) -> np.ndarray:
+    raw = pa.decompress(blob[9:], decompressed_size=int.from_bytes(blob[1:9], "little"), codec="zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{blob[0]}").astype(np.int64)
 
 
 SHARDED = "shard long, chunk long, n int, blob binary"
@@ -201,13 +216,13 @@ def _texts(batches):
         yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([chunk.packed()], pa.binary()), pa.array([len(chunk.tokens)], pa.int64()), pa.array([0], pa.int64())], names=["chunk", "n", "shard", "blob", "tokens", "kinds"])
 
 
-def _gathered_counts(chunk: Chunk, rows: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+def _gathered_counts(chunk: Chunk, rows: list[tuple[int, int, bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Counts at each token for n = 1, 2, ... as far as shards have returned them."""
-    counts: list[np.ndarray] = []
+    counts: list[tuple[np.ndarray, np.ndarray]] = []
     for n in range(1, max((r[0] for r in rows), default=0) + 1):
-        found = [widened(b) for k, _, b in sorted((r for r in rows if r[0] == n), key=lambda r: r[1])]
-        asked = Asked(chunk, counts, n)
-        counts.append(asked.spread(np.concatenate(found) if found else np.zeros(0, np.int64)))
+        found = [halves(b) for k, _, b in sorted(((s, k, b) for k, s, b in rows if k == n))]
+        none = [np.zeros(0, np.int64)]
+        counts.append(Asked(chunk, counts, n).spread(tuple(np.concatenate([f[k] for f in found] or none) for k in (0, 1))))
     return counts
 
 
@@ -228,7 +243,7 @@ def _ask(shards: int, orders: tuple[int, ...]):
             cuts = np.searchsorted((asked.hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 part = slice(cuts[s], cuts[s + 1])
-                for column, x in zip(out, (s, number, n, asked.hashes[part].tobytes() + narrow(own[part]))):
+                for column, x in zip(out, (s, number, n, (cuts[s + 1] - cuts[s]).astype("<i8").tobytes() + asked.hashes[part].tobytes() + both(tuple(x[part] for x in own)))):
                     column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["shard", "chunk", "n", "blob"])
 
@@ -253,17 +268,16 @@ def _count(key, table):
         hashes, own = [], []
         for r in rows:
             blob = blobs[r].as_py()
-            size = _size(blob)
-            hashes.append(np.frombuffer(blob, "<u8", size))
-            own.append(widened(blob, 8 * size))
+            size = int.from_bytes(blob[:8], "little")
+            hashes.append(np.frombuffer(blob, "<u8", size, 8))
+            own.append(halves(blob[8 + 8 * size :]))
         flat = np.concatenate(hashes)
         kinds, place = np.unique(flat, return_inverse=True)
-        total = np.bincount(place, np.concatenate(own), len(kinds)).astype(np.int64)
-        told = total[place]
+        total, every = (np.bincount(place, np.concatenate([o[k] for o in own]), len(kinds)).astype(np.int64) for k in (0, 1))
         at = 0
         for k, (r, h) in enumerate(zip(rows, hashes)):
             first = k == 0
-            values = (chunk_of[r], n, key[0].as_py(), narrow(told[at : at + len(h)]), int(total.sum()) if first else 0, int((total > 0).sum()) if first else 0)
+            values = (chunk_of[r], n, key[0].as_py(), both(tuple(x[place[at : at + len(h)]] for x in (total, every))), int(total.sum()) if first else 0, int((total > 0).sum()) if first else 0)
             for column, x in zip(out, values):
                 column.append(x)
             at += len(h)
@@ -271,15 +285,6 @@ def _count(key, table):
     return pa.table({name: pa.array(c, t) for name, c, t in zip(("chunk", "n", "shard", "blob", "tokens", "kinds"), out, kinds)})
 
 
-def _size(blob: bytes) -> int:
-    """Hashes in a blob of 8-byte hashes, one byte, and as many counts of 1, 2, 4 or 8 bytes."""
-    for width in (1, 2, 4, 8):
-        size, rest = divmod(len(blob) - 1, 8 + width)
-        if not rest and blob[8 * size] == width:
-            return size
-    raise ValueError("a damaged blob")
-
-
 def walk(counts: list[np.ndarray], lengths: np.ndarray, total: int, distinct: int, starts_seen: int, mu: float) -> np.ndarray:
     """log10 probability of each token, by the arcs and failure arcs of a walk from left to right.
 
@@ -302,7 +307,7 @@ def _walked(order: int, total: int, distinct: int, starts_seen: int, mu: float):
 
     def run(key, table):
         chunk, rows = _told(table)
-        counts = _gathered_counts(chunk, rows)
+        counts = [train for train, _ in _gathered_counts(chunk, rows)]
         starts = np.cumsum(chunk.lengths) - chunk.lengths
         known = np.add.reduceat((counts[0] > 0).astype(np.int64), starts)
         base = np.add.reduceat(np.log10(counts[0] + ADD), starts) - chunk.lengths * rest

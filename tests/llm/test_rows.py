@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -83,6 +84,34 @@ def test_prefixes(library, corpus):
             assert p.longest_within(budget) == max(k for k, n in enumerate(exact) if n <= budget)
 
 
+def test_table_of_a_long_piece(library):
+    """One pass over 20,000 characters of a single pre-token; sampled prefixes against the library."""
+    rng = random.Random(3)
+    pieces = tokens.pieces_for(tokens.vocabulary_path())
+    for text in ("".join(rng.choice("abcdefghinostu") for _ in range(20_000)), "é漢" * 3000, "=" * 5000):
+        table = pieces.piece_prefixes(text)
+        assert len(table) == len(text) + 1
+        for k in [0, 1, 2, 3, len(text), *rng.sample(range(len(text)), 12)]:
+            assert table[k] == len(library.encode(text[:k], add_special_tokens=False).ids)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="abté 's.\n\t<|l12", max_size=40))
+def test_all_prefixes_of_any_text(text):
+    from tokenizers import Tokenizer
+
+    global _library
+    if "_library" not in globals():
+        _library = Tokenizer.from_file(tokens.vocabulary_path())
+    pieces = tokens.pieces_for(tokens.vocabulary_path())
+    exact = [len(_library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    whole = tokens.PrefixCounts(pieces, text)
+    assert [whole.at(k) for k in range(len(text) + 1)] == exact
+    parts, each = pieces.cut(text)
+    for budget in (0, 1, 3, 8):
+        assert tokens.cut_within(pieces, parts, np.cumsum(each), budget) == max(k for k, n in enumerate(exact) if n <= budget)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=80))
 def test_same_ids_as_the_library(text):
@@ -103,7 +132,10 @@ def test_counts(docs, corpus, library, crowded, nothing, repeated):
         assert (r.n_bytes, r.n_tokens) == (len(texts[r.doc_id].encode()), len(ids))
         assert list(r.over) == [len(ids) > 5, len(ids) > 512]
         assert len(library.encode(texts[r.doc_id][: r.cuts[0]], add_special_tokens=False).ids) <= 5
-        assert (r.sums[-1] if r.sums else 0) == len(ids) and (r.ends[-1] if r.ends else 0) == len(texts[r.doc_id])
+        assert len(r.prefixes) == len(texts[r.doc_id]) + 1 and r.prefixes[-1] == len(ids)
+        if len(r.prefixes) < 2000 and "<|" not in texts[r.doc_id]:
+            for budget, cut in zip((5, 512), r.cuts):
+                assert cut == max(k for k, n in enumerate(r.prefixes) if n <= budget)
     assert tokens.count_tokens(nothing).count() == 0
     assert tokens.count_tokens(repeated).count() == 2 * len(corpus) + 1
 
@@ -135,6 +167,60 @@ def test_guess_cost():
         assert cost(a + "Zq8!") >= cost(a)
 
 
+def slow_segment(value, a, b):
+    """Cheapest way to write value[a:b] as one segment, by the rules as they are told; None if there is none."""
+    piece, low = value[a:b], value[a:b].lower()
+    n, per_char = b - a, math.log10(secrets._class_size(value))
+    ranks, ways = secrets._ranks(("summer",)), []
+    if n == 1:
+        ways.append(per_char)
+    for word, twice in ((low, 1), (low.translate(secrets.LEET), 2)):
+        if 3 <= n <= 32 and word in ranks and (twice == 1 or low not in ranks):
+            capitals = 1 if piece.islower() or not piece.isalpha() else 2 if piece.istitle() or piece.isupper() else 8
+            ways.append(math.log10(ranks[word] * capitals * twice + 1))
+    if n in (4, 6, 8) and piece.isascii() and piece.isdigit() and secrets._is_date(piece):
+        ways.append(math.log10(150 if n == 4 else 55_000))
+    if n >= 3:
+        if len(set(low)) == 1:
+            ways.append(per_char + math.log10(n))
+        if all(y in secrets.NEAR.get(x, ()) for x, y in zip(low, low[1:])):
+            ways.append(math.log10(160) + math.log10(n) * (2 if math.log10(160) > per_char else 1))
+        if {ord(y) - ord(x) for x, y in zip(low, low[1:])} in ({1}, {-1}):
+            ways.append(math.log10(40) + math.log10(n) * (2 if math.log10(40) > per_char else 1))
+    if 2 <= n <= 16 and a >= n and value[a - n : a].lower() == low:
+        ways.append(math.log10(3))
+    return min(ways, default=None)
+
+
+def slow_cost(value):
+    """The least over all segmentations, each looked at."""
+    best = math.inf
+    for cuts in range(1 << (len(value) - 1)):
+        ends = [k + 1 for k in range(len(value) - 1) if cuts >> k & 1] + [len(value)]
+        parts = [slow_segment(value, a, b) for a, b in zip([0, *ends], ends)]
+        if None not in parts:
+            best = min(best, sum(parts))
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="sumerabcqw12345A0", min_size=1, max_size=9))
+def test_cost_is_the_least_of_all_segmentations(value):
+    assert math.isclose(secrets.guess_cost(value, words=("summer",)), slow_cost(value), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("value", ["summerrrrr1", "aaaabbbb", "qwerty2020", "Summer12345", "passw0rd111"])
+def test_cost_of_ambiguous_runs(value):
+    assert math.isclose(secrets.guess_cost(value, words=("summer",)), slow_cost(value), abs_tol=1e-9)
+
+
+def test_words_are_ranked_by_the_documents(spark):
+    docs = spark.createDataFrame([(1, "zebra zebra zebra lion x12 lion"), (2, "Zebra tiger"), (3, None), (4, "")], "doc_id long, text string")
+    assert secrets.frequent_words(docs, 2) == ("zebra", "lion")
+    assert secrets.guess_cost("zebrazebratiger", words=("zebra", "tiger")) < secrets.guess_cost("zebrazebratiger")
+    assert secrets.frequent_words(docs.limit(0)) == ()
+
+
 def slow_cost_upper_bound(value):
     import math
 

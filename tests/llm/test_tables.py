@@ -169,33 +169,46 @@ def test_round_trip(spark):
 # Language model
 
 
-def test_scores(docs, corpus, crowded, nothing, repeated, monkeypatch):
+@pytest.mark.parametrize(("shard", "chunk", "order"), [(lm.SHARD_GRAMS, lm.CHUNK, 3), (300, 4000, 3), (2000, 9000, 2), (2000, 9000, 5)])
+def test_scores(docs, corpus, crowded, nothing, repeated, monkeypatch, shard, chunk, order):
     texts = {i: lower_words_of(t) for i, t in corpus}
-    model = lm.BackoffAutomaton([w for i, w in texts.items() if not lm.is_held_out(i)])
-    for shard_tokens, hot in ((lm.SHARD_TOKENS, lm.HOT), (300, 8)):
-        monkeypatch.setattr(lm, "SHARD_TOKENS", shard_tokens)
-        monkeypatch.setattr(lm, "HOT", hot)
-        rows = lm.score_documents(crowded).collect()
-        assert len(rows) == len(corpus)
-        for r in rows:
-            words = [*texts[r.doc_id], lm.END]
-            assert (r.n_tokens, r.train_tokens, r.held_out) == (len(words), model.total, lm.is_held_out(r.doc_id))
-            assert r.n_known == sum(model.counts[w] > 0 for w in words)
-            assert math.isclose(r.base_score, sum(math.log10(model.unigram(w)) for w in words), rel_tol=1e-9)
-            assert math.isclose(r.score, model.score(texts[r.doc_id]), rel_tol=1e-9)
-    assert lm.score_documents(nothing).count() == 0
-    assert lm.score_documents(repeated).count() == 2 * len(corpus) + 1
+    model = lm.BackoffAutomaton([w for i, w in texts.items() if not lm.is_held_out(i)], order)
+    monkeypatch.setattr(lm, "SHARD_GRAMS", shard)
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    rows = lm.score_documents(crowded, order=order).collect()
+    assert len(rows) == len(corpus)
+    for r in rows:
+        words = [*texts[r.doc_id], lm.END]
+        assert (r.n_tokens, r.train_tokens, r.held_out) == (len(words), model.total, lm.is_held_out(r.doc_id))
+        assert r.n_known == sum(model.counts.get(w, 0) > 0 for w in words)
+        assert math.isclose(r.base_score, sum(math.log10(model.root(w)) for w in words), rel_tol=1e-9)
+        assert math.isclose(r.score, model.score(texts[r.doc_id]), rel_tol=1e-9)
+    if order == 2:
+        assert lm.score_documents(nothing).count() == 0
+        assert lm.score_documents(repeated).count() == 2 * len(corpus) + 1
+
+
+def test_shards_do_not_blow_up_what_travels():
+    """What a chunk asks for is as large with many shards as with few."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 3000) % 50_000) for _ in range(60)]
+    chunk = lm.Chunk.of(lm.pa.table({"doc_id": list(range(60)), "text": lm.pa.array(texts)}))
+    batch = next(iter([lm.pa.RecordBatch.from_arrays([lm.pa.array([0]), lm.pa.array([chunk.packed()])], names=["chunk", "blob"])]))
+    size = lambda shards: sum(len(b) for out in lm._ask(shards, (1, 2))[0]([batch]) for b in out.column(3).to_pylist())
+    assert size(160) < 1.1 * size(8)
 
 
 def test_probabilities_sum_to_one():
     rng = random.Random(2)
-    model = lm.BackoffAutomaton([[bytes([rng.randrange(97, 103)]) for _ in range(rng.randint(0, 30))] for _ in range(20)])
+    texts = [[bytes([rng.randrange(97, 103)]) for _ in range(rng.randint(0, 30))] for _ in range(20)]
+    model = lm.BackoffAutomaton(texts)
     unseen = lm.ADD / (model.total + lm.ADD * (model.distinct + 1))
-    for state in [lm.END, b"a", b"c", b"never"]:
+    states = [(), (lm.END,), (b"a",), *[g for g in model.seen if len(g) == 2 and g[1] != lm.END][:10]]
+    for state in states:
         told = sum(10 ** model.step(state, w)[1] for w in model.counts)
         rest = 10 ** model.step(state, b"unknown")[1]
         assert math.isclose(told + rest, 1, rel_tol=1e-9) and rest > 0
-    assert math.isclose(sum(map(model.unigram, model.counts)) + unseen, 1, rel_tol=1e-9)
+    assert math.isclose(sum(map(model.root, model.counts)) + unseen, 1, rel_tol=1e-9)
 
 
 def test_held_out_texts_are_likelier_than_by_words_alone(spark):
