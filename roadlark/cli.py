@@ -1,4 +1,4 @@
-"""Command line: `python -m roadlark.cli <summary|workload|samples|points|hotspots|combined> ...`. Plots are written as tables of their layers."""
+"""Command line: `python -m roadlark.cli <summary|workload|samples|pairs|points|hotspots|combined> ...`. Plots are written as tables of their layers."""
 
 from __future__ import annotations
 
@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     command("summary", ("coords", ""), ("graph", ""), ("info", "graph"))
     command("workload", ("coords", ""), ("output-dir", ""), ("train-size", 10_000), ("test-size", 2_000), ("num-hotspots", 20), ("nodes-per-hotspot", 800), ("seed", 42))
     command("samples", ("coords", ""), ("graph", ""), ("queries", ""), ("output-dir", ""), ("seed", 42), ("max-queries", -1))
+    command("pairs", ("coords", ""), ("graph", ""), ("queries", ""), ("output-dir", ""), ("seed", 42), ("window", 3))
     command("points", ("input", ""), ("output", ""))
     command("hotspots", ("coords", ""), ("hotspots", ""), ("output", ""))
     command("combined", ("coords", ""), ("hotspots", ""), ("node-counts", ""), ("edge-counts", ""), ("output", ""))
@@ -51,7 +52,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "samples":
         tables = plans.frequency_samples(spark, a.coords, a.graph, a.queries, a.seed, None if a.max_queries < 0 else a.max_queries)
         plans.write_samples(tables, a.output_dir)
+        plans.write_layers(tables, tables["universe"], a.output_dir)
         tables["summary"].show()
+    elif a.command == "pairs":
+        tables = plans.frequency_samples(spark, a.coords, a.graph, a.queries, a.seed)
+        plans.write_pairs(tables, plans.pair_tables(tables["undirected"], tables["paths"], a.window, seed=a.seed), a.output_dir)
     elif a.command == "points":
         p = _points(spark, a.input)
         print(layers.title(a.input, p.count()))

@@ -21,7 +21,8 @@ def _high(a: str = "u", b: str = "v") -> Column:
 
 
 def build_graph(arcs: DataFrame) -> DataFrame:
-    """(from_point, to_point, value, directed) of arcs (u, v, w) that may have `directed` (true) and `seq`, their order of arrival.
+    """(from_point, to_point, value, directed) of arcs (u, v, w) that may have `directed` (true) and `seq`, their order of
+    arrival; with it also `seq`, the first arrival of each edge.
 
     In each bucket of equal ends and value, loops left out: if the first arrival is undirected it stands as it is.
     If it is directed and its opposite arrives as well, one undirected edge with ascending ends; else the arc.
@@ -35,7 +36,7 @@ def build_graph(arcs: DataFrame) -> DataFrame:
     down = F.coalesce(F.bool_or(F.when(F.col("directed"), F.col("u") > F.col("v"))), F.lit(False))
     bucket = rows.groupBy(_low().alias("a"), _high().alias("b"), "value").agg(F.min(F.struct("seq", "directed", "u", "v")).alias("first"), (up & down).alias("met"))
     merged = F.col("first.directed") & F.col("met")
-    return bucket.select(F.when(merged, F.col("a")).otherwise(F.col("first.u")).alias("from_point"), F.when(merged, F.col("b")).otherwise(F.col("first.v")).alias("to_point"), "value", (F.col("first.directed") & ~F.col("met")).alias("directed"))
+    return bucket.select(F.when(merged, F.col("a")).otherwise(F.col("first.u")).alias("from_point"), F.when(merged, F.col("b")).otherwise(F.col("first.v")).alias("to_point"), "value", (F.col("first.directed") & ~F.col("met")).alias("directed"), *([F.col("first.seq").alias("seq")] if "seq" in arcs.columns else []))
 
 
 def accepted_events(arcs: DataFrame) -> DataFrame:
@@ -103,10 +104,10 @@ def has_edges(edges: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def incidence(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, other, value, directed, is_out, is_in): each edge at each of its ends, for edges whose ends are both points."""
+    """(node, other, value, directed, is_out, is_in, and seq if edges have it): each edge at each of its ends, for edges whose ends are both points."""
     ids = points.select("id").distinct()
     linked = edges.join(ids.withColumnRenamed("id", "from_point"), "from_point", "left_semi").join(ids.withColumnRenamed("id", "to_point"), "to_point", "left_semi")
-    at = lambda node, other, out, into: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), "value", "directed", (F.lit(out) | ~F.col("directed")).alias("is_out"), (F.lit(into) | ~F.col("directed")).alias("is_in"))
+    at = lambda node, other, out, into: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), "value", "directed", (F.lit(out) | ~F.col("directed")).alias("is_out"), (F.lit(into) | ~F.col("directed")).alias("is_in"), *(["seq"] if "seq" in edges.columns else []))
     return linked.select(F.explode(F.array(at("from_point", "to_point", True, False), at("to_point", "from_point", False, True))).alias("e")).select("e.*")
 
 
@@ -133,8 +134,8 @@ def degrees(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def edge_lists(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, out_edges, in_edges) with edges as sorted lists; for display, as a hub's list is one value."""
-    edge = F.struct("other", "value", "directed")
+    """(node, out_edges, in_edges) with edges as lists, in order of arrival where edges have `seq`; for display, as a hub's list is one value."""
+    edge = F.struct(*(["seq"] if "seq" in edges.columns else []), "other", "value", "directed")
     return incidence(points, edges).groupBy("node").agg(F.sort_array(F.collect_list(F.when(F.col("is_out"), edge))).alias("out_edges"), F.sort_array(F.collect_list(F.when(F.col("is_in"), edge))).alias("in_edges"))
 
 
@@ -147,8 +148,8 @@ def undirected_edges(edges: DataFrame) -> DataFrame:
 
 
 def adjacency_of_arcs(arcs: DataFrame) -> DataFrame:
-    """(u, neighbors): arcs as given, without any merging."""
-    return arcs.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("v", "w"))).alias("neighbors"))
+    """(u, neighbors): arcs as given, without any merging, in order of arrival where arcs have `seq`."""
+    return arcs.groupBy("u").agg(F.sort_array(F.collect_list(F.struct(*(["seq"] if "seq" in arcs.columns else []), "v", "w"))).alias("neighbors"))
 
 
 def build_undirected(arcs: DataFrame, order: str = "line") -> DataFrame:

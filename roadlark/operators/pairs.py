@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import uniform_sql
-from ..plans.stable import numbered
+from ..functions import draw, draw_sql, uniform_sql
+from ..plans.stable import numbered, stable
 from .frequency import top_decile
-from .graph import two_hop_neighbors
+from .graph import grid_cells, two_hop_neighbors
 
 STRONG_QUERIES, STRONG_COUNT = 3, 5
 
@@ -49,22 +49,54 @@ def _negatives(pairs: DataFrame, source: str) -> DataFrame:
     return pairs.select("node_i", "node_j", F.lit(0).alias("label"), F.lit("negative").alias("strength"), F.lit(1.0).alias("weight"), zero.alias("cooccur_count"), zero.alias("query_count"), F.lit(source).alias("source"))
 
 
-def hard_negatives(undirected: DataFrame, counts: DataFrame, n: int | None = None) -> DataFrame:
-    """Nodes one or two edges apart that no path window holds together; the first n by node ids if n is given."""
+def _some(pairs: DataFrame, n: int | None, seed: int) -> DataFrame:
+    """n pairs by a draw on both ids, or all."""
+    return pairs if n is None else pairs.withColumn("_d", draw("node_i * 1000003 + node_j", seed)).orderBy("_d", "node_i", "node_j").limit(n).drop("_d")
+
+
+def hard_negatives(undirected: DataFrame, counts: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
+    """Nodes one or two edges apart that no path window holds together; n of them, drawn, if n is given."""
     near = two_hop_neighbors(undirected).join(counts.select("node_i", "node_j"), ["node_i", "node_j"], "left_anti")
-    return _negatives(near if n is None else near.orderBy("node_i", "node_j").limit(n), "hard_negative")
+    return _negatives(_some(near, n, seed), "hard_negative")
+
+
+def area_negatives(points: DataFrame, counts: DataFrame, delta: float, n: int | None = None, seed: int = 42) -> DataFrame:
+    """Pairs of one grid cell that no path window holds together: each point (id, x_loc, y_loc) with one other of its cell, drawn.
+
+    No cell's pairs are all written out; of the pairs found n are drawn if n is given.
+    """
+    cells = grid_cells(points, delta).groupBy("id").agg(F.min(F.struct("cell_x", "cell_y")).alias("cell")).select("id", "cell")
+    ranked = numbered(cells, [F.col("cell"), F.col("id")], "rank")
+    bounds = ranked.groupBy("cell").agg(F.min("rank").alias("low"), F.count("*").alias("size")).where("size > 1")
+    step = 1 + F.expr(draw_sql("id", seed)) % (F.col("size") - 1)
+    asked = ranked.join(bounds, "cell").select("id", (F.col("low") + (F.col("rank") - F.col("low") + step) % F.col("size")).alias("rank"))
+    pairs = asked.join(ranked.select("rank", F.col("id").alias("other")), "rank").select(F.least("id", "other").alias("node_i"), F.greatest("id", "other").alias("node_j")).distinct()
+    return _negatives(_some(pairs.join(counts.select("node_i", "node_j"), ["node_i", "node_j"], "left_anti"), n, seed), "hard_negative")
+
+
+#: How often random_negatives doubles its draws when pairs turn out equal, repeated or held by a window.
+MOST_DOUBLINGS = 8
 
 
 def random_negatives(nodes: DataFrame, counts: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """Of n drawn pairs of nodes (column `node`) those that differ, each once, and that no path window holds together."""
-    ranked = numbered(nodes.select("node").distinct(), [F.col("node")], "rank")
+    """n pairs of different nodes (column `node`) that no path window holds together: the first of a row of draws, each once.
+
+    They are fewer only where n * 2^MOST_DOUBLINGS draws have no more, as on graphs of a few nodes.
+    """
+    ranked = stable(numbered(nodes.select("node").distinct(), [F.col("node")], "rank"))
     total = ranked.count()
     if total < 2:
         return _negatives(counts.select("node_i", "node_j").limit(0), "random_negative")
-    drawn = nodes.sparkSession.range(1, n + 1).select(F.expr(uniform_sql("id", seed, str(total))).alias("a"), F.expr(uniform_sql("id", seed + 1, str(total))).alias("b")).where("a <> b")
-    pairs = drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    named = pairs.join(ranked.select(F.col("rank").alias("a"), F.col("node").alias("node_i")), "a").join(ranked.select(F.col("rank").alias("b"), F.col("node").alias("node_j")), "b")
-    return _negatives(named.join(counts.select("node_i", "node_j"), ["node_i", "node_j"], "left_anti"), "random_negative")
+    draws = n
+    for _ in range(MOST_DOUBLINGS):
+        draws *= 2
+        drawn = nodes.sparkSession.range(1, draws + 1).select("id", F.expr(uniform_sql("id", seed, str(total))).alias("a"), F.expr(uniform_sql("id", seed + 1, str(total))).alias("b")).where("a <> b")
+        pairs = drawn.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("id").alias("id"))
+        named = pairs.join(ranked.select(F.col("rank").alias("a"), F.col("node").alias("node_i")), "a").join(ranked.select(F.col("rank").alias("b"), F.col("node").alias("node_j")), "b")
+        found = stable(named.join(counts.select("node_i", "node_j"), ["node_i", "node_j"], "left_anti").orderBy("id").limit(n).select("node_i", "node_j"))
+        if found.count() == n:
+            break
+    return _negatives(found, "random_negative")
 
 
 def pair_samples(counts: DataFrame, *negatives: DataFrame, kind: str = "log_product") -> DataFrame:
@@ -116,3 +148,12 @@ def edge_hard_negatives(features: DataFrame, low: int = 0) -> DataFrame:
     ends = hot.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     cold = features.where(F.col("pass_count") <= low).select("edge_index", "src", "dst", "weight", "pass_count", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
     return cold.join(ends, "node", "left_semi").select("edge_index", "src", "dst", "weight", "pass_count", F.lit(0).alias("label")).distinct()
+
+
+def edge_area_negatives(features: DataFrame, points: DataFrame, delta: float, low: int = 0) -> DataFrame:
+    """Edges passed `low` times at most that begin in a grid cell where an edge of the top tenth begins or ends; points are (id, x_loc, y_loc)."""
+    cells = grid_cells(points, delta).groupBy("id").agg(F.min(F.struct("cell_x", "cell_y")).alias("cell"))
+    hot = top_decile(features, "edge_index").where(F.col("pass_count") > low).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    warm = hot.join(cells, "id").select("cell").distinct()
+    cold = features.where(F.col("pass_count") <= low).join(cells.withColumnRenamed("id", "src"), "src").join(warm, "cell", "left_semi")
+    return cold.select("edge_index", "src", "dst", "weight", "pass_count", F.lit(0).alias("label"))

@@ -164,18 +164,21 @@ def admissible_scale(points: DataFrame, undirected: DataFrame) -> DataFrame:
     return both.withColumn("line", line).where("line > 0").agg(F.coalesce(F.min(F.col("weight") / F.col("line")), F.lit(0.0)).alias("scale"))
 
 
-def _fits(undirected: DataFrame) -> bool:
-    return undirected.limit(MOST_BROADCAST_EDGES + 1).count() <= MOST_BROADCAST_EDGES
+def _fits(table: DataFrame) -> bool:
+    return table.limit(MOST_BROADCAST_EDGES + 1).count() <= MOST_BROADCAST_EDGES
 
 
 def trace_paths(undirected: DataFrame, queries: DataFrame, method: str = "auto", points: DataFrame | None = None, scale: float = 0.0) -> DataFrame:
     """(query_id, origin, destination, count, reachable, distance, nodes, edges) for each query.
 
     Unreachable queries have a null distance and empty lists. An origin that is its destination has distance 0,
-    one node and no edge, even if no edge names it. With `points` and `scale` the search is led towards the destination.
+    one node and no edge, even if no edge names it. With `points` and `scale` the search is led towards the destination;
+    more points than the checked size are not sent, which changes no row.
     """
     if method == "auto":
         method = "arrow" if _fits(undirected) else "relax"
+    if points is not None and not _fits(points):
+        points = None
     asked = queries.select(*(F.col(c).cast("long") for c in ("query_id", "origin", "destination", "count")))
     return _trace_arrow(undirected, asked, points, scale) if method == "arrow" else _trace_relax(undirected, asked)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import frequency, graph, pairs, paths, workload
+from ..operators import frequency, graph, layers, pairs, paths, workload
 from ..sources import points_universe, read_arcs, read_points, read_queries, write_table
 from .stable import stable
 
@@ -28,13 +28,13 @@ def sample_tables(universe: DataFrame, undirected: DataFrame, queries: DataFrame
     traced = stable(paths.trace_paths(undirected, queries, method))
     nodes = frequency.label(frequency.node_features(universe, queries, traced), "node", seed=seed)
     edges = frequency.label(frequency.edge_features(undirected, traced), "edge_index", seed=seed + 1)
-    return {"paths": traced, "nodes": nodes, "edges": edges, "summary": frequency.trace_summary(traced)}
+    return {"universe": universe, "undirected": undirected, "paths": traced, "nodes": nodes, "edges": edges, "summary": frequency.trace_summary(traced)}
 
 
 def frequency_samples(spark: SparkSession, coords: str, arcs: str, queries: str, seed: int = 42, max_queries: int | None = None) -> dict[str, DataFrame]:
     asked = read_queries(spark, queries)
     if max_queries is not None:
-        asked = frequency.first_queries(asked, max_queries)
+        asked = frequency.first_queries(asked, max_queries, "line")
     universe = points_universe(read_points(spark, coords))
     undirected = stable(graph.build_undirected(read_arcs(spark, arcs)))
     return sample_tables(universe, undirected, asked, seed)
@@ -45,6 +45,20 @@ def write_samples(tables: dict[str, DataFrame], folder: str, kind: str = "csv")
     write_table(tables["edges"], f"{folder}/edge_counts", kind, order="edge_index")
 
 
+def write_layers(tables: dict[str, DataFrame], universe: DataFrame, folder: str) -> None:
+    """Layers of the plot of positive samples."""
+    for name, table in layers.sample_layers(universe, tables["nodes"], tables["edges"]).items():
+        write_table(table, f"{folder}/layers_{name}")
+
+
+def write_pairs(tables: dict[str, DataFrame], pair: dict[str, DataFrame], folder: str, kind: str = "csv") -> None:
+    """Traced paths, features of nodes and edges, and pair samples."""
+    write_table(paths.path_text(tables["paths"].where("reachable")), f"{folder}/paths_train", kind, order="query_id")
+    write_table(tables["nodes"].drop("label", "sample_role"), f"{folder}/node_features", kind, order="node")
+    write_table(tables["edges"].select("edge_index", "src", "dst", "weight", "pass_count").orderBy("edge_index").drop("edge_index"), f"{folder}/edge_features", kind)
+    write_table(pair["samples"].orderBy("node_i", "node_j", "source"), f"{folder}/node_pair_samples", kind)
+
+
 def pair_tables(undirected: DataFrame, traced: DataFrame, k: int = 3, random_pairs: int | None = None, seed: int = 42) -> dict[str, DataFrame]:
     """Tables counts, samples, ppmi, jaccard from traced paths, in the recommended order."""
     counts = stable(pairs.pair_counts(pairs.window_pairs(traced, k)))

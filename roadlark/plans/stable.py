@@ -8,10 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset a local session gets one of its own (tests, one machine); a
+    cluster without it is refused, as executors don't share local folders."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='roadlark-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; a local one only where the session names none."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="roadlark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -31,7 +43,8 @@ def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> D
     sizes = sorted((r[0], r[1]) for r in rows.groupBy(part).count().collect())
     before, table = start, []
     for p, n in sizes:
-        table += [F.lit(p), F.lit(before).cast("long")]
+        table.append((p, before))
         before += n
-    offset = F.create_map(*table)[F.col(part)] if table else F.lit(start).cast("long")
-    return rows.withColumn(name, offset + F.col(at)).drop(part, at)
+    # one row a partition
+    offsets = F.broadcast(df.sparkSession.createDataFrame(table, f"{part} int, _offset_{name} long"))
+    return rows.join(offsets, part).withColumn(name, F.col(f"_offset_{name}") + F.col(at)).select(*df.columns, name)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..plans.stable import stable
+from ..plans.stable import shared_folder, stable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +20,8 @@ def n_nodes(spark: SparkSession, sf_dir: str) -> int:
 
 
 def road_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line, u, v, w): a routing graph of customers, from a quarter of the orders."""
-    o, n = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0"), n_nodes(spark, sf_dir)
+    """(line, u, v, w): a routing graph of customers, an arc for each order."""
+    o, n = table(spark, sf_dir, "orders"), n_nodes(spark, sf_dir)
     return o.select(F.col("o_orderkey").alias("line"), (F.col("o_custkey") + 1).alias("u"), (1 + (F.col("o_orderkey") * 7919) % n).alias("v"), (1 + F.floor(F.col("o_totalprice") / 1000)).cast("double").alias("w"))
 
 
@@ -28,7 +30,8 @@ def road_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def road_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, n = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0"), n_nodes(spark, sf_dir)
+    """The query set: every order whose key is divisible by 20, against the whole graph."""
+    o, n = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0"), n_nodes(spark, sf_dir)
     return o.select(F.col("o_orderkey").alias("query_id"), (F.col("o_custkey") + 1).alias("origin"), (1 + (F.col("o_orderkey") * 31) % n).alias("destination"), (1 + F.col("o_orderkey") % 3).alias("count"))
 
 
@@ -39,16 +42,22 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(u, v, w): arcs of few nodes with loops, repeats and opposites."""
+    """(seq, u, v, w): arcs of few nodes with loops, repeats and opposites, one for each line item."""
     s = table(spark, sf_dir, "supplier").count()
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_partkey") < s)
-    return li.select((F.col("l_partkey") + 1).alias("u"), (F.col("l_suppkey") + 1).alias("v"), (F.col("l_quantity") % 5).cast("double").alias("w"))
+    li = table(spark, sf_dir, "lineitem")
+    return li.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"), (F.col("l_partkey") % s + 1).alias("u"), (F.col("l_suppkey") + 1).alias("v"), (F.col("l_quantity") % 5).cast("double").alias("w"))
 
 
 def merge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two thirds of the nodes are points, so that some edges hang loose."""
-    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1).alias("id"))
-    return s.where("id % 3 <> 0")
+    """Points with gaps between their ids, so that some edges hang loose: 1, 2, 4, 5, 7, .."""
+    return table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + F.floor(F.col("s_suppkey") / 2) + 1).alias("id"))
+
+
+def text_files(lines: DataFrame) -> str:
+    """Write lines (column value) as text files into the shared folder; the path."""
+    path = f"{shared_folder(lines.sparkSession)}/roadlark-text/{uuid.uuid4().hex}"
+    lines.select("value").write.text(path)
+    return path
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +79,12 @@ def kept_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same derivations as SQL.
 
 ARCS = """arcs AS (SELECT o_orderkey AS line, o_custkey + 1 AS u, 1 + (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS v,
-  CAST(1 + floor(o_totalprice / 1000) AS DOUBLE) AS w FROM orders WHERE o_orderkey % 4 = 0)"""
+  CAST(1 + floor(o_totalprice / 1000) AS DOUBLE) AS w FROM orders)"""
 UND = f"""{ARCS}, und AS (SELECT row_number() OVER (ORDER BY first, src, dst, weight) - 1 AS edge_index, src, dst, weight
   FROM (SELECT least(u, v) AS src, greatest(u, v) AS dst, w AS weight, min(line) AS first FROM arcs GROUP BY 1, 2, 3))"""
 ADJ = f"""{UND}, adj AS (SELECT src AS u, dst AS v, weight AS w, edge_index FROM und UNION ALL SELECT dst, src, weight, edge_index FROM und)"""
 QUERIES = """q AS (SELECT o_orderkey AS query_id, o_custkey + 1 AS origin, 1 + (o_orderkey * 31) % (SELECT count(*) FROM customer) AS destination,
-  1 + o_orderkey % 3 AS count FROM orders WHERE o_orderkey % 100 = 0)"""
+  1 + o_orderkey % 3 AS count FROM orders WHERE o_orderkey % 20 = 0)"""
 UNIVERSE = """nodes AS (SELECT n AS node, (n * 7919 % 100003) / 1000.0::DOUBLE AS lon, (n * 104729 % 100003) / 1000.0::DOUBLE AS lat
   FROM (SELECT unnest(range(1, (SELECT count(*) FROM customer) + 1)) AS n))"""
 SHORTEST = """sp(src, node, d) USING KEY (src, node) AS (
@@ -92,14 +101,13 @@ WALK = """walk AS (
 TRACED = f"WITH RECURSIVE {ADJ}, {QUERIES}, {SHORTEST}, {WALK}"
 STEPS = """steps AS (SELECT a.query_id, a.count, a.back, und.edge_index FROM walk a JOIN walk b ON a.query_id = b.query_id AND b.back = a.back + 1
   JOIN und ON und.src = least(a.node, b.node) AND und.dst = greatest(a.node, b.node) AND und.weight = a.d - b.d)"""
-MERGE_ARCS = """garcs AS (SELECT l_partkey + 1 AS u, l_suppkey + 1 AS v, CAST(l_quantity % 5 AS DOUBLE) AS w FROM lineitem
-  WHERE l_partkey < (SELECT count(*) FROM supplier))"""
-MERGED = f"""{MERGE_ARCS}, buckets AS (SELECT least(u, v) AS a, greatest(u, v) AS b, w, bool_or(u < v) AS up, bool_or(u > v) AS down FROM garcs WHERE u <> v GROUP BY 1, 2, 3),
-gedges AS (SELECT CASE WHEN up THEN a ELSE b END AS from_point, CASE WHEN up THEN b ELSE a END AS to_point, w AS value, NOT (up AND down) AS directed FROM buckets),
-gpoints AS (SELECT s_suppkey + 1 AS id FROM supplier WHERE (s_suppkey + 1) % 3 <> 0)"""
+MERGE_ARCS = """garcs AS (SELECT l_orderkey * 100 + l_linenumber AS seq, l_partkey % (SELECT count(*) FROM supplier) + 1 AS u, l_suppkey + 1 AS v, CAST(l_quantity % 5 AS DOUBLE) AS w FROM lineitem)"""
+MERGED = f"""{MERGE_ARCS}, buckets AS (SELECT least(u, v) AS a, greatest(u, v) AS b, w, bool_or(u < v) AS up, bool_or(u > v) AS down, min(seq) AS seq FROM garcs WHERE u <> v GROUP BY 1, 2, 3),
+gedges AS (SELECT CASE WHEN up THEN a ELSE b END AS from_point, CASE WHEN up THEN b ELSE a END AS to_point, w AS value, NOT (up AND down) AS directed, seq FROM buckets),
+gpoints AS (SELECT s_suppkey + s_suppkey // 2 + 1 AS id FROM supplier)"""
 INCIDENT = f"""{MERGED}, linked AS (SELECT * FROM gedges WHERE from_point IN (SELECT id FROM gpoints) AND to_point IN (SELECT id FROM gpoints)),
-inc AS (SELECT from_point AS node, to_point AS other, value, directed, true AS is_out, NOT directed AS is_in FROM linked
-  UNION ALL SELECT to_point, from_point, value, directed, NOT directed, true FROM linked)"""
+inc AS (SELECT from_point AS node, to_point AS other, value, directed, true AS is_out, NOT directed AS is_in, seq FROM linked
+  UNION ALL SELECT to_point, from_point, value, directed, NOT directed, true, seq FROM linked)"""
 POINTS = "pts AS (SELECT vec_id + 1 AS node, CAST(embedding[1] AS DOUBLE) AS lon, CAST(embedding[2] AS DOUBLE) AS lat FROM embeddings)"
 LINE_PATHS = """lp AS (SELECT l_orderkey AS query_id, 1 + l_partkey % 300 AS node,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem)"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import draw_sql, uniform_sql
 from ..operators import frequency, graph, layers, pairs, paths, workload
 from ..plans.stable import stable
-from ..sources import declared_counts, parse_arcs, parse_points, parse_unit_edges, points_universe
+from ..sources import declared_counts, numbered_lines, points_universe, read_arcs, read_points, read_queries, read_unit_edges, write_table
 from . import derive as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,44 +31,44 @@ def query(sql: str | None = None):
 # Sources
 
 
-def _lines(df: DataFrame, *parts) -> DataFrame:
-    return df.select(F.col("line"), F.concat_ws(" ", *parts).alias("value"))
+def _file(df: DataFrame, *parts, head: tuple[str, ...]) -> str:
+    """Lines of text, written to the shared folder as files."""
+    lines = df.select(F.concat_ws(" ", *parts).alias("value"))
+    return d.text_files(df.sparkSession.createDataFrame([(h,) for h in head], "value string").unionByName(lines))
 
 
 @query(f"WITH {d.POINTS} SELECT node AS id, floor(lon * 1e6) / 1e6 AS x_loc, floor(lat * 1e6) / 1e6 AS y_loc FROM pts")
 def points_scan_scaled(spark, sf_dir):
-    p = d.points(spark, sf_dir).withColumn("line", F.col("node"))
     micro = lambda c: F.floor(F.col(c) * 1e6).cast("string")
-    text = _lines(p, F.lit("v"), "node", micro("lon"), micro("lat")).unionByName(spark.createDataFrame([(0, "c sample"), (0, "p aux sp co 3")], "line long, value string"))
-    return parse_points(text).select("id", "x_loc", "y_loc")
+    path = _file(d.points(spark, sf_dir), F.lit("v"), "node", micro("lon"), micro("lat"), head=("c sample", "p aux sp co 3"))
+    return read_points(spark, path, allow_empty=False).select("id", "x_loc", "y_loc")
 
 
 @query(f"WITH {d.ARCS} SELECT u, v, w FROM arcs")
 def arcs_scan(spark, sf_dir):
-    a = d.road_arcs(spark, sf_dir)
-    text = _lines(a, F.lit("a"), "u", "v", F.col("w").cast("long").cast("string")).unionByName(spark.createDataFrame([(0, "p sp 3 2")], "line long, value string"))
-    return parse_arcs(text).select("u", "v", "w")
+    path = _file(d.road_arcs(spark, sf_dir), F.lit("a"), "u", "v", F.col("w").cast("long").cast("string"), head=("c sample", "p sp 3 2"))
+    return read_arcs(spark, path).select("u", "v", "w")
 
 
 @query(f"WITH {d.ARCS} SELECT u, v, 1.0::DOUBLE AS w FROM arcs")
 def unit_edges_scan(spark, sf_dir):
-    a = d.road_arcs(spark, sf_dir)
-    text = _lines(a, "u", "v").unionByName(spark.createDataFrame([(0, "# FromNodeId ToNodeId")], "line long, value string"))
-    return parse_unit_edges(text).select("u", "v", "w")
+    return read_unit_edges(spark, _file(d.road_arcs(spark, sf_dir), "u", "v", head=("# FromNodeId ToNodeId",))).select("u", "v", "w")
 
 
-@query("SELECT kind, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m FROM (VALUES ('arcs', 264346, 733846), ('points', 264346, NULL)) t(kind, n, m)")
+@query(f"WITH {d.UND} SELECT 'arcs' AS kind, (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM orders) AS m")
 def header_counts(spark, sf_dir):
-    return declared_counts(spark.createDataFrame([(0, "p sp 264346 733846"), (1, "p aux sp co 264346"), (2, "a 1 2 3")], "line long, value string"))
+    n, m = d.n_nodes(spark, sf_dir), d.table(spark, sf_dir, "orders").count()
+    path = _file(d.road_arcs(spark, sf_dir), F.lit("a"), "u", "v", F.col("w").cast("long").cast("string"), head=("c sample", f"p sp {n} {m}"))
+    return declared_counts(numbered_lines(spark, path))
 
 
 @query(
-    f"""WITH {d.POINTS}, part_of AS (SELECT node, lon, lat FROM pts WHERE node % 4 <> 0),
+    f"""WITH {d.POINTS}, part_of AS (SELECT node + node // 3 AS node, lon, lat FROM pts),
     last AS (SELECT node, max(lon) AS lon, max(lat) AS lat FROM part_of GROUP BY 1)
     SELECT n AS node, coalesce(lon, 0.0) AS lon, coalesce(lat, 0.0) AS lat FROM (SELECT unnest(range(1, (SELECT max(node) FROM part_of) + 1)) AS n) LEFT JOIN last ON node = n"""
 )
 def points_universe_filled(spark, sf_dir):
-    p = d.points(spark, sf_dir).where("node % 4 <> 0")
+    p = d.points(spark, sf_dir).withColumn("node", F.expr("node + node DIV 3"))
     early = p.select(F.col("node").alias("id"), F.lit(-1.0).alias("x_loc"), F.lit(-1.0).alias("y_loc"), F.lit(0).alias("line"))
     late = p.select(F.col("node").alias("id"), F.col("lon").alias("x_loc"), F.col("lat").alias("y_loc"), F.lit(1).alias("line"))
     return points_universe(early.unionByName(late))
@@ -79,7 +79,7 @@ def points_universe_filled(spark, sf_dir):
 
 @query(f"WITH {d.MERGED} SELECT from_point, to_point, value, directed FROM gedges")
 def graph_merge_edges(spark, sf_dir):
-    return graph.build_graph(d.merge_arcs(spark, sf_dir))
+    return graph.build_graph(d.merge_arcs(spark, sf_dir)).drop("seq")
 
 
 _EVENTS = """ev AS (SELECT o_orderkey AS seq, o_custkey % 12 AS u, (o_orderkey * 31) % 12 AS v, CAST(o_orderkey % 2 AS DOUBLE) AS w, o_orderkey % 5 <> 0 AS directed FROM orders)"""
@@ -106,7 +106,7 @@ def graph_accepted_events(spark, sf_dir):
     SELECT CASE WHEN met THEN a ELSE fu END AS from_point, CASE WHEN met THEN b ELSE fv END AS to_point, w AS value, fd AND NOT met AS directed FROM m"""
 )
 def graph_merge_mixed_events(spark, sf_dir):
-    return graph.build_graph(_events(spark, sf_dir))
+    return graph.build_graph(_events(spark, sf_dir)).drop("seq")
 
 
 @query(f"WITH {d.MERGED} SELECT 'test' AS info, (SELECT count(*) FROM gpoints) AS num_points, count(*) FILTER (directed) AS num_directed_edges, count(*) FILTER (NOT directed) AS num_undirected_edges, count(*) AS num_total_edges FROM gedges")
@@ -114,14 +114,14 @@ def graph_summary(spark, sf_dir):
     return graph.summary(d.merge_points(spark, sf_dir), graph.build_graph(d.merge_arcs(spark, sf_dir)), "test")
 
 
-@query(f"WITH {d.MERGED} SELECT from_point, to_point, value, directed FROM gedges WHERE (directed AND from_point = 14 AND to_point = 78) OR (NOT directed AND least(from_point, to_point) = 14 AND greatest(from_point, to_point) = 78) ORDER BY directed DESC, value LIMIT 1")
+@query(f"WITH {d.MERGED} SELECT from_point, to_point, value, directed FROM gedges WHERE (directed AND from_point = 14 AND to_point = 78) OR (NOT directed AND least(from_point, to_point) = 14 AND greatest(from_point, to_point) = 78) ORDER BY directed DESC, seq LIMIT 1")
 def graph_edge_lookup(spark, sf_dir):
-    return graph.get_edge(graph.build_graph(d.merge_arcs(spark, sf_dir)), 14, 78)
+    return graph.get_edge(graph.build_graph(d.merge_arcs(spark, sf_dir)), 14, 78).drop("seq")
 
 
 @query(f"WITH {d.MERGED} SELECT from_point, to_point, value, directed FROM gedges WHERE (directed AND from_point = 78 AND to_point = 14) OR (NOT directed AND least(from_point, to_point) = 14 AND greatest(from_point, to_point) = 78)")
 def graph_edges_between(spark, sf_dir):
-    return graph.edges_between(graph.build_graph(d.merge_arcs(spark, sf_dir)), 78, 14)
+    return graph.edges_between(graph.build_graph(d.merge_arcs(spark, sf_dir)), 78, 14).drop("seq")
 
 
 @query(
@@ -150,12 +150,12 @@ def graph_dense_ids(spark, sf_dir):
 
 @query(f"WITH {d.INCIDENT} SELECT node, other, value, directed, is_out, is_in FROM inc WHERE is_out")
 def graph_out_edges(spark, sf_dir):
-    return graph.out_edges(*_graph(spark, sf_dir))
+    return graph.out_edges(*_graph(spark, sf_dir)).drop("seq")
 
 
 @query(f"WITH {d.INCIDENT} SELECT node, other, value, directed, is_out, is_in FROM inc WHERE is_in")
 def graph_in_edges(spark, sf_dir):
-    return graph.in_edges(*_graph(spark, sf_dir))
+    return graph.in_edges(*_graph(spark, sf_dir)).drop("seq")
 
 
 @query(f"WITH {d.INCIDENT} SELECT node, other AS neighbor FROM inc WHERE is_out")
@@ -168,7 +168,7 @@ def graph_degrees(spark, sf_dir):
     return graph.degrees(*_graph(spark, sf_dir))
 
 
-@query(f"WITH {d.INCIDENT} SELECT node, string_agg(CAST(other AS VARCHAR), ' ' ORDER BY other, value, directed) FILTER (is_out) AS out_ids, string_agg(CAST(other AS VARCHAR), ' ' ORDER BY other, value, directed) FILTER (is_in) AS in_ids FROM inc GROUP BY 1")
+@query(f"WITH {d.INCIDENT} SELECT node, string_agg(CAST(other AS VARCHAR), ' ' ORDER BY seq, other, value, directed) FILTER (is_out) AS out_ids, string_agg(CAST(other AS VARCHAR), ' ' ORDER BY seq, other, value, directed) FILTER (is_in) AS in_ids FROM inc GROUP BY 1")
 def graph_edge_lists(spark, sf_dir):
     told = graph.edge_lists(*_graph(spark, sf_dir))
     ids = lambda c: F.when(F.size(c) > 0, F.array_join(F.col(f"{c}.other").cast("array<string>"), " "))
@@ -177,15 +177,15 @@ def graph_edge_lists(spark, sf_dir):
 
 @query(f"WITH {d.MERGED} SELECT from_point, to_point, value, directed FROM gedges WHERE directed")
 def graph_directed_edges(spark, sf_dir):
-    return graph.directed_edges(_graph(spark, sf_dir)[1])
+    return graph.directed_edges(_graph(spark, sf_dir)[1]).drop("seq")
 
 
 @query(f"WITH {d.MERGED} SELECT from_point, to_point, value, directed FROM gedges WHERE NOT directed")
 def graph_undirected_edges(spark, sf_dir):
-    return graph.undirected_edges(_graph(spark, sf_dir)[1])
+    return graph.undirected_edges(_graph(spark, sf_dir)[1]).drop("seq")
 
 
-@query(f"WITH {d.MERGE_ARCS} SELECT u, count(*) AS n, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY v, w) AS ids FROM garcs GROUP BY 1")
+@query(f"WITH {d.MERGE_ARCS} SELECT u, count(*) AS n, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY seq, v, w) AS ids FROM garcs GROUP BY 1")
 def arcs_adjacency_dict(spark, sf_dir):
     told = graph.adjacency_of_arcs(d.merge_arcs(spark, sf_dir))
     return told.select("u", F.size("neighbors").cast("long").alias("n"), F.array_join(F.col("neighbors.v").cast("array<string>"), " ").alias("ids"))
@@ -258,12 +258,26 @@ def unit_weight_bfs(spark, sf_dir):
     return paths.trace_paths(und, d.road_queries(spark, sf_dir)).select("query_id", "distance")
 
 
+def _places(spark, sf_dir):
+    return d.universe(spark, sf_dir).select(F.col("node").alias("id"), F.col("lon").alias("x_loc"), F.col("lat").alias("y_loc"))
+
+
+_CENTERS = f"SELECT node AS origin FROM nodes ORDER BY {draw_sql('node', workload.SALTS['centers'] + 42)}, node LIMIT 3"
+
+
+@query(f"WITH RECURSIVE {d.ADJ}, {d.UNIVERSE}, q AS ({_CENTERS}), {d.SHORTEST} SELECT src, node, d AS distance FROM sp")
+def sssp_relaxed_from_centers(spark, sf_dir):
+    """By rounds of joins, for graphs beyond what executors take, from three drawn centres to all nodes."""
+    centers = workload.hotspot_centers(d.universe(spark, sf_dir), 3)
+    return paths.distances(d.kept_graph(spark, sf_dir), centers.select(F.col("center_node").alias("src")), "relax")
+
+
 @query(f"WITH RECURSIVE {d.ADJ}, {d.QUERIES}, {d.SHORTEST} SELECT query_id, d AS distance FROM q LEFT JOIN sp ON src = origin AND node = destination")
 def trace_paths_guided(spark, sf_dir):
     und = d.kept_graph(spark, sf_dir)
-    p = d.universe(spark, sf_dir).select(F.col("node").alias("id"), F.col("lon").alias("x_loc"), F.col("lat").alias("y_loc"))
+    p = _places(spark, sf_dir)
     scale = paths.admissible_scale(p, und).first()[0]
-    return paths.trace_paths(und, d.road_queries(spark, sf_dir), "arrow", p, scale).select("query_id", "distance")
+    return paths.trace_paths(und, d.road_queries(spark, sf_dir), "auto", p, scale).select("query_id", "distance")
 
 
 # Frequencies and samples
@@ -352,14 +366,17 @@ def node_samples_threshold(spark, sf_dir):
     return frequency.label_by_threshold(_node_features(spark, sf_dir), positive_from=2)
 
 
-@query(f"WITH {d.UNIVERSE} SELECT node FROM nodes WHERE node % 7 <> 0 ORDER BY {draw_sql('node', 42)}, node LIMIT 25")
+@query(f"WITH {d.UNIVERSE} SELECT node FROM nodes ORDER BY {draw_sql('node', 42)}, node LIMIT 25")
 def negatives_sampled(spark, sf_dir):
-    return frequency.sample_negatives(d.universe(spark, sf_dir).where("node % 7 <> 0").select("node"), "node", 25)
+    return frequency.sample_negatives(d.universe(spark, sf_dir).select("node"), "node", 25)
 
 
-@query(f"WITH {d.QUERIES} SELECT query_id, origin, destination, count FROM q ORDER BY query_id LIMIT 10")
+@query(f"WITH {d.QUERIES} SELECT query_id, origin, destination, count FROM q ORDER BY destination, query_id DESC LIMIT 10")
 def first_queries(spark, sf_dir):
-    return frequency.first_queries(d.road_queries(spark, sf_dir), 10)
+    """The first rows in the order of the files, which are not in the order of ids."""
+    path = f"{d.shared_folder(spark)}/roadlark-text/{d.uuid.uuid4().hex}"
+    write_table(d.road_queries(spark, sf_dir).orderBy("destination", F.desc("query_id")), path, "csv")
+    return frequency.first_queries(read_queries(spark, path), 10, "line").drop("line")
 
 
 # Workloads
@@ -423,9 +440,9 @@ def workload_od(spark, sf_dir):
 # Plot layers
 
 
-@query(f"WITH {d.UND}, {d.UNIVERSE} SELECT e.src, e.dst, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2 FROM und e JOIN nodes a ON a.node = e.src JOIN nodes b ON b.node = e.dst WHERE edge_index % 10 = 0")
+@query(f"WITH {d.UND}, {d.UNIVERSE} SELECT e.src, e.dst, a.lon AS x1, a.lat AS y1, b.lon AS x2, b.lat AS y2 FROM und e JOIN nodes a ON a.node = e.src JOIN nodes b ON b.node = e.dst")
 def plot_layer_segments(spark, sf_dir):
-    return layers.segment_layer(d.road_graph(spark, sf_dir).where("edge_index % 10 = 0").select("src", "dst"), d.universe(spark, sf_dir))
+    return layers.segment_layer(d.road_graph(spark, sf_dir).select("src", "dst"), d.universe(spark, sf_dir))
 
 
 @query(f"WITH {_REGIONS} SELECT hotspot_id, hotspot_id - 1 AS color, node, lon, lat FROM m")
@@ -507,9 +524,9 @@ def pairs_hard_negative(spark, sf_dir):
 
 @query(
     f"""{_PATH_WINDOWS}, g AS (SELECT row_number() OVER (ORDER BY node) - 1 AS rank, node FROM (SELECT DISTINCT u AS node FROM adj)),
-    i AS (SELECT unnest(range(1, 501)) AS id), r AS (SELECT {uniform_sql('id', 7, '(SELECT count(*) FROM g)')} AS a, {uniform_sql('id', 8, '(SELECT count(*) FROM g)')} AS b FROM i),
-    k AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM r WHERE a <> b)
-    SELECT x.node AS node_i, y.node AS node_j, {_NEGATIVE}, 'random_negative' AS source FROM k JOIN g x ON x.rank = a JOIN g y ON y.rank = b ANTI JOIN pw ON pw.node_i = x.node AND pw.node_j = y.node"""
+    i AS (SELECT unnest(range(1, 8001)) AS id), r AS (SELECT id, {uniform_sql('id', 7, '(SELECT count(*) FROM g)')} AS a, {uniform_sql('id', 8, '(SELECT count(*) FROM g)')} AS b FROM i),
+    k AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(id) AS id FROM r WHERE a <> b GROUP BY 1, 2)
+    SELECT x.node AS node_i, y.node AS node_j, {_NEGATIVE}, 'random_negative' AS source FROM k JOIN g x ON x.rank = a JOIN g y ON y.rank = b ANTI JOIN pw ON pw.node_i = x.node AND pw.node_j = y.node ORDER BY id LIMIT 500"""
 )
 def pairs_random_negative(spark, sf_dir):
     und = d.kept_graph(spark, sf_dir)
@@ -525,6 +542,40 @@ def pair_samples_positive(spark, sf_dir):
     return pairs.pair_samples(_counts(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
+_HOP = """s AS (SELECT DISTINCT u, v FROM adj WHERE u <> v),
+    hop AS (SELECT DISTINCT node_i, node_j FROM (SELECT a.u AS node_i, b.v AS node_j FROM s a JOIN s b ON a.v = b.u UNION ALL SELECT u, v FROM s) WHERE node_i < node_j)"""
+_PAIR = draw_sql("node_i * 1000003 + node_j", 42)
+_CELLS = "cells AS (SELECT node, CAST(floor(lon / 20.0) AS BIGINT) AS cell_x, CAST(floor(lat / 20.0) AS BIGINT) AS cell_y FROM nodes)"
+
+
+@query(
+    f"""{_PATH_WINDOWS}, {_HOP}, {d.UNIVERSE}, {_CELLS}, wc AS (SELECT least(a.node, b.node) AS node_i, greatest(a.node, b.node) AS node_j, a.query_id FROM wk a JOIN wk b ON a.query_id = b.query_id AND b.pos > a.pos AND b.pos <= a.pos + 3 WHERE a.node <> b.node),
+    pc AS (SELECT node_i, node_j, count(*) AS cooccur_count, count(DISTINCT query_id) AS query_count FROM wc GROUP BY 1, 2),
+    hard AS (SELECT node_i, node_j FROM hop ANTI JOIN pw USING (node_i, node_j) ORDER BY {_PAIR}, node_i, node_j LIMIT 300),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY node) - 1 AS r, count(*) OVER (PARTITION BY cell_x, cell_y) AS n FROM cells),
+    area AS (SELECT DISTINCT least(a.node, b.node) AS node_i, greatest(a.node, b.node) AS node_j FROM ranked a JOIN ranked b ON a.cell_x = b.cell_x AND a.cell_y = b.cell_y AND b.r = (a.r + 1 + {draw_sql('a.node', 42)} % (a.n - 1)) % a.n WHERE a.n > 1),
+    near AS (SELECT node_i, node_j FROM area ANTI JOIN pw USING (node_i, node_j) ORDER BY {_PAIR}, node_i, node_j LIMIT 200)
+    SELECT node_i, node_j, 1 AS label, CASE WHEN query_count >= 3 AND cooccur_count >= 5 THEN 'strong' ELSE 'weak' END AS strength,
+      round(ln(1 + cooccur_count) * ln(1 + query_count), 6) AS weight, cooccur_count, query_count, 'path_window' AS source FROM pc
+    UNION ALL SELECT node_i, node_j, {_NEGATIVE}, 'hard_negative' FROM hard UNION ALL SELECT node_i, node_j, {_NEGATIVE}, 'hard_negative' FROM near"""
+)
+def pair_samples_all(spark, sf_dir):
+    """Positives, and drawn negatives of both hard kinds: a hop or two apart, and of one area."""
+    und = d.kept_graph(spark, sf_dir)
+    counts = stable(pairs.pair_counts(pairs.window_pairs(paths.trace_paths(und, d.road_queries(spark, sf_dir)), 3)))
+    told = pairs.pair_samples(counts, pairs.hard_negatives(und, counts, 300), pairs.area_negatives(_places(spark, sf_dir), counts, 20.0, 200))
+    return told.withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    f"""{_EDGES}, {_top('ef', 'edge_index')}, {d.UNIVERSE}, {_CELLS},
+    warm AS (SELECT DISTINCT cell_x, cell_y FROM cells WHERE node IN (SELECT src FROM top WHERE pass_count > 0 UNION SELECT dst FROM top WHERE pass_count > 0))
+    SELECT edge_index, src, dst, weight, pass_count, 0 AS label FROM ef JOIN cells ON node = src JOIN warm USING (cell_x, cell_y) WHERE pass_count <= 0"""
+)
+def edge_area_negatives(spark, sf_dir):
+    return pairs.edge_area_negatives(stable(_edge_features(spark, sf_dir)), _places(spark, sf_dir), 20.0)
+
+
 @query(f"{_EDGES} SELECT edge_index, src, dst, weight, pass_count, CASE WHEN pass_count > 0 THEN 1 ELSE 0 END AS label FROM ef")
 def edge_path_samples(spark, sf_dir):
     return pairs.edge_samples(_edge_features(spark, sf_dir))

@@ -15,6 +15,8 @@ POINTS = _struct(id=LONG, x_loc=DOUBLE, y_loc=DOUBLE)
 EDGES = _struct(from_point=LONG, to_point=LONG, value=DOUBLE, directed=BOOL)
 UNDIRECTED = _struct(edge_index=LONG, src=LONG, dst=LONG, weight=DOUBLE)
 QUERIES = _struct(query_id=LONG, origin=LONG, destination=LONG, query_type=STRING, source_hotspot=INT, target_hotspot=INT, count=INT)
+NODES = _struct(node=LONG, lon=DOUBLE, lat=DOUBLE)
+EDGE_TABLE = _struct(src=LONG, dst=LONG, weight=DOUBLE)
 HOTSPOTS = _struct(hotspot_id=INT, center_node=LONG, center_lon=DOUBLE, center_lat=DOUBLE, num_nodes=INT)
 NODE_COUNTS = _struct(node=LONG, lon=DOUBLE, lat=DOUBLE, origin_count=LONG, destination_count=LONG, pass_count=LONG, label=INT, sample_role=STRING)
 EDGE_COUNTS = _struct(edge_index=LONG, src=LONG, dst=LONG, weight=DOUBLE, pass_count=LONG, label=INT, sample_role=STRING)

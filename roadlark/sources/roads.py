@@ -6,7 +6,7 @@ and prefix limits depend on it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Published data sets by size, as file name parts.
@@ -27,9 +27,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     It takes no sort and no single task.
     """
-    raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
-    within = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    return raw.select(F.struct("file_path", "file_block_start", within.alias("at")).alias("line"), "value")
+    return spark.read.text(path).select(line_order().alias("line"), "value")
+
+
+def line_order() -> Column:
+    """Where a row of a file source stands: path, split of the file, and place in the split."""
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.struct(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("file_block_start"), at.alias("at"))
 
 
 def _fields(lines: DataFrame, tag: str) -> DataFrame:
@@ -54,6 +58,7 @@ def parse_arcs(lines: DataFrame) -> DataFrame:
 def parse_unit_edges(lines: DataFrame) -> DataFrame:
     """(line, u, v, w = 1) of `from to` lines; `#` begins a comment. Ids are as they are, from 0."""
     cut = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", F.split(F.trim("value"), r"\s+"))
+    cut = cut.withColumn("f", F.when(F.size("f") == 2, F.col("f")).otherwise(F.raise_error(F.concat(F.lit("not two fields: "), F.col("value"))).cast("array<string>")))
     return cut.select("line", F.col("f")[0].cast("long").alias("u"), F.col("f")[1].cast("long").alias("v"), F.lit(1.0).alias("w"))
 
 

@@ -88,3 +88,14 @@ def test_undirected_keeps_loops_and_first_order(spark):
     assert sorted(tuple(r) for r in und.collect()) == [(0, 2, 5, 1.0), (1, 3, 3, 1.0), (2, 2, 5, 9.0)]
     assert graph.adjacency(und).where("node = 3").count() == 2
     assert graph.build_undirected(arcs.limit(0)).count() == 0
+
+
+def test_first_inserted_edge(spark):
+    """Of the edges of a pair the first that arrived counts, whatever its value; lists keep the order of arrival."""
+    arcs = spark.createDataFrame([(1, 2, 9.0, 0), (1, 2, 3.0, 1), (1, 3, 1.0, 2), (1, 2, 5.0, 3)], "u long, v long, w double, seq long")
+    edges = graph.build_graph(arcs)
+    assert graph.get_edge(edges, 1, 2).first()["value"] == 9.0
+    points = spark.createDataFrame([(k,) for k in (1, 2, 3)], "id long")
+    told = {r.node: [e.value for e in r.out_edges] for r in graph.edge_lists(points, edges).collect()}
+    assert told[1] == [9.0, 3.0, 1.0, 5.0]
+    assert [x.w for x in graph.adjacency_of_arcs(arcs).first()["neighbors"]] == [9.0, 3.0, 1.0, 5.0]

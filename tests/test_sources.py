@@ -58,7 +58,7 @@ def test_unit_edges(spark, tmp_path):
 
 def test_queries_without_count(spark, tmp_path):
     (tmp_path / "q.csv").write_text("query_id,origin,destination,extra\n7,1,2,x\n")
-    assert [tuple(r) for r in sources.read_queries(spark, str(tmp_path / "q.csv")).collect()] == [(7, 1, 2, 1)]
+    assert [tuple(r) for r in sources.read_queries(spark, str(tmp_path / "q.csv")).drop("line").collect()] == [(7, 1, 2, 1)]
 
 
 def test_scale_and_title():
@@ -109,3 +109,25 @@ def test_path_text(spark):
     und = spark.createDataFrame([(0, 1, 2, 1.0), (1, 2, 3, 1.0)], "edge_index long, src long, dst long, weight double")
     q = spark.createDataFrame([(5, 1, 3, 1)], "query_id long, origin long, destination long, count long")
     assert paths.path_text(paths.trace_paths(und, q)).first().path == "1 2 3"
+
+
+def test_first_queries_are_the_first_in_the_files(spark, tmp_path):
+    from roadlark.operators.frequency import first_queries
+
+    rows = [(9, 1, 2, 1), (3, 4, 5, 2), (7, 6, 7, 1), (1, 8, 9, 1)]
+    (tmp_path / "q.csv").write_text("query_id,origin,destination,count\n" + "".join(",".join(map(str, r)) + "\n" for r in rows))
+    got = first_queries(sources.read_queries(spark, str(tmp_path / "q.csv")), 2, "line").drop("line").collect()
+    assert [tuple(r) for r in got] == rows[:2]
+
+
+def test_normalised_tables(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("node,lon,lat\n1,-73.5,41.0\n2,-73.6,41.1\n")
+    (tmp_path / "e.csv").write_text("src,dst,weight\n1,2,803\n2,1,803\n")
+    assert [tuple(r) for r in sources.read_nodes(spark, str(tmp_path / "n.csv")).orderBy("id").collect()] == [(1, -73.5, 41.0), (2, -73.6, 41.1)]
+    assert [tuple(r) for r in sources.read_edges(spark, str(tmp_path / "e.csv")).orderBy("line").drop("line").collect()] == [(1, 2, 803.0), (2, 1, 803.0)]
+
+
+def test_unit_edges_of_three_fields_are_an_error(spark):
+    lines = spark.createDataFrame([(0, "1 2 3")], "line long, value string")
+    with pytest.raises(Exception, match="not two fields"):
+        sources.parse_unit_edges(lines).collect()
