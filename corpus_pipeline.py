@@ -15,30 +15,38 @@ from pyspark.sql import functions as F
 from roadlark.llm import decontam, jaccard, lines, packing, quality
 from roadlark.llm.common import Scratch, read_table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.filter_documents(docs, quality.STANDARD).select(*COLUMNS)
+    """A null or empty text has no words and goes; repeated rows are judged each for itself; columns stay as they are."""
+    return quality.filter_documents(docs, quality.STANDARD)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that lost lines and have nothing but white space left are copies through and through, and go."""
+    """Documents that lost lines and have nothing but white space left are copies through and through, and go.
+
+    Null and empty texts have no lines and stay. n_chars, where there is one, is that of the text left.
+    """
     cut = lines.dedup_lines(docs)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(*COLUMNS)
+    kept = cut.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        kept = kept.withColumn("n_chars", n_chars)
+    return kept.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs).select(*COLUMNS)
+    """The document with the smallest id of each group; null and empty texts and rows without an id stay."""
+    return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Documents without a passage of the benchmark; each row is decided by its own text, a null or empty one stays."""
+    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as pieces in sequences; a null or empty text is its end token, repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 

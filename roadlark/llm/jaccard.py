@@ -6,9 +6,12 @@ hash. Equal sets are one from the start. The join goes in three steps that never
 1. Prefix filter: sets that can be linked share a gram among the first n - ceil(t n) + 1 of each. Sets of
    one such gram are joined loosely where the fragment sizes allow a link: with the order cut into BUCKETS
    fragments, an overlap is at most the sum of the lesser sizes. A traversal emits a spanning forest.
-2. Vertical partitioning: in each loose group the order is cut into FRAGMENTS; tasks of a group and a
-   fragment count partial overlaps separately, and leave out pairs that cannot make it whatever comes.
-3. Partial overlaps are summed for each pair, and the exact test links.
+2. Vertical partitioning: the order is cut into FRAGMENTS; tasks of a loose group, a fragment and a block count
+   partial overlaps separately. In groups of more than CROWD sets this is done first with PIVOTS of them alone, which
+   is linear: summed, it links most near copies to pivots, and sets linked through pivots have the same label.
+3. Left are pairs of different labels. Distances 1 - J obey the triangle inequality, so a pair whose distances to any
+   pivot differ by more than a link allows is left out; for the others partial overlaps are counted, without those
+   that cannot make it whatever comes, and summed for each pair, and the exact test links.
 
 Components of links are found by stars (components.py). No link between different sets is lost.
 """
@@ -20,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, chunks, collect_garbage, doc_columns, lower_words_of, mix64, starts_of_runs, tidy, whole_groups
+from .common import NO_ID, Scratch, WordHash, chunks, collect_garbage, doc_columns, identified, lower_words_of, mix64, starts_of_runs, tidy, whole_groups
 from .components import Forest, connected_components
 
 WORDS, PERCENT = 5, 80
 BUCKETS, FRAGMENTS = 128, 8
 #: Sets of a loose group that one task compares with all of the group.
 BLOCK = 16_000
+#: Sets of a loose group from which on pivots come first, and how many there are. Links do not depend on either.
+CROWD, PIVOTS = 32, 8
 #: Frequent grams that are put last in the order; their number is bounded, and any choice gives the same links.
 FREQUENT = 1 << 16
 CHUNK = 4 << 20
@@ -195,16 +200,13 @@ def _loosely(percent: int):
 
 
 def _fragments(size: int, frequent: np.ndarray):
-    """Cut the sets of loose groups along the global order; rows (component, fragment, block, own, key, n, grams).
-
-    A group of more than BLOCK sets has several blocks: each set is its own in one of them and company in the others.
-    """
+    """Cut the sets of loose groups along the global order; rows (component, sets, fragment, key, n, grams)."""
 
     def run(batches):
         shingles = Shingles(size)
         for batch in chunks(batches, limit=CHUNK):
-            out: list[list] = [[] for _ in range(7)]
-            for text, component, key, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list] = [[] for _ in range(6)]
+            for text, component, key, sets in zip(*(c.to_pylist() for c in batch.columns)):
                 whole = shingles.grams(text)
                 if set_key(whole) != key:  # another text of a repeated id
                     continue
@@ -212,30 +214,98 @@ def _fragments(size: int, frequent: np.ndarray):
                 place = (grams >> np.uint64(61)).astype(np.int64)
                 place[rare:] = FRAGMENTS - 1
                 cuts = np.searchsorted(place, np.arange(FRAGMENTS + 1))
-                mine = key % blocks
                 for f in range(FRAGMENTS):
-                    part = np.sort(grams[cuts[f] : cuts[f + 1]]).tobytes()
-                    for b in range(blocks):
-                        for column, x in zip(out, (component, f, b, b == mine, key, len(grams), part)):
-                            column.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["component", "fragment", "block", "own", "key", "n", "grams"])
+                    for column, x in zip(out, (component, sets, f, key, len(grams), np.sort(grams[cuts[f] : cuts[f + 1]]).tobytes())):
+                        column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["component", "sets", "fragment", "key", "n", "grams"])
 
     return run
 
 
+_PLACE = ("component", "fragment", "block")
+_PIVOTED = "component long, key long, n long, " + ", ".join(f"{c}{k} long" for c in "cp" for k in range(PIVOTS))
+
+
+def _pivot_overlaps(batches):
+    """(component, key, n, c0.., p0..): what each set of a block shares with each pivot in a fragment, and the pivots' sizes."""
+    names = ["component", "key", "n", *(f"{c}{k}" for c in "cp" for k in range(PIVOTS))]
+    for table in whole_groups(batches, _PLACE, limit=4 << 20):
+        component, fragment, block, pivot, key, n = (table.column(c).to_numpy() for c in (*_PLACE, "pivot", "key", "n"))
+        grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+        runs = starts_of_runs(component, fragment, block)
+        for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist()):
+            leads = [k for k in range(lo, hi) if pivot[k] >= 0]
+            own = np.array([k for k in range(lo, hi) if pivot[k] < 0], np.int64)
+            if not len(own):
+                continue
+            own = own[np.unique(key[own], return_index=True)[1]]  # rows that repeat an id bring their sets again
+            sizes, bits = np.zeros(PIVOTS, np.int64), [np.zeros(0, np.uint64)]
+            for k in leads:
+                sizes[pivot[k]] = n[k]
+                bits.append(np.full(len(grams[k]), np.uint64(1) << np.uint64(pivot[k])))
+            theirs = np.concatenate([np.zeros(0, np.uint64), *(grams[k] for k in leads)])
+            order = np.argsort(theirs, kind="stable")
+            theirs, bits = theirs[order], np.concatenate(bits)[order]
+            first = starts_of_runs(theirs)
+            kinds = theirs[first[:-1]]
+            told = np.bitwise_or.reduceat(bits, first[:-1]) if len(kinds) else bits
+            flat = np.concatenate([grams[k] for k in own.tolist()])
+            owner = np.repeat(np.arange(len(own)), [len(grams[k]) for k in own.tolist()])
+            counts = np.zeros((PIVOTS, len(own)), np.int64)
+            if len(kinds) and len(flat):
+                at = np.minimum(np.searchsorted(kinds, flat), len(kinds) - 1)
+                hit = np.flatnonzero(kinds[at] == flat)
+                for k in range(PIVOTS):
+                    counts[k] = np.bincount(owner[hit], (told[at[hit]] >> np.uint64(k)) & np.uint64(1), len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), component[lo])), pa.array(key[own]), pa.array(n[own]), *(pa.array(c) for c in counts), *(pa.array(np.full(len(own), x)) for x in sizes)], names=names)
+
+
+def _labels(percent: int):
+    """Of sets with summed overlaps with pivots: (component, key, mask, distances); bit k of mask says that pivot k links."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy()[:, None]
+            counts, sizes = (np.stack([np.asarray(batch.column(3 + PIVOTS * j + k)) for k in range(PIVOTS)], 1) for j in (0, 1))
+            union = n + sizes - counts
+            linked = (sizes > 0) & (100 * counts >= percent * union)
+            mask = (linked << np.arange(PIVOTS)).sum(1)
+            far = np.where(sizes > 0, 1 - counts / np.maximum(union, 1), 1.0).astype("<f4")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(mask), pa.array([x.tobytes() for x in far], pa.binary())], names=["component", "key", "mask", "far"])
+
+    return run
+
+
+def _roots(batches):
+    """(component, roots, closed) of (component, masks): pivots that sets join have the same root; closed: all sets have one label."""
+    for batch in batches:
+        roots, closed = [], []
+        for masks in batch.column(1).to_pylist():
+            forest = Forest(PIVOTS)
+            for m in masks:
+                own = [k for k in range(PIVOTS) if m >> k & 1]
+                for k in own[1:]:
+                    forest.join(own[0], k)
+            found = [forest.find(k) for k in range(PIVOTS)]
+            roots.append(found)
+            closed.append(len({found[(m & -m).bit_length() - 1] if m else -1 - j for j, m in enumerate(masks)}) == 1 and 0 not in masks)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(roots, pa.list_(pa.int32())), pa.array(closed, pa.bool_())], names=["component", "roots", "closed"])
+
+
 def _partial_overlaps(percent: int):
-    """For each own set of a block: keys, sizes and partial overlaps of the sets with lesser keys that it may link to."""
+    """For each own set of a block: keys, sizes and partial overlaps of the sets with lesser keys and other labels that it may link to."""
+    slack = 1 - percent / 100 + 1e-5
 
     def run(batches):
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
         names = ["key", "n", "others", "sizes", "overlaps"]
-        for table in whole_groups(batches, ("component", "fragment", "block"), limit=4 << 20):
-            once = starts_of_runs(*(table.column(c).to_numpy() for c in ("component", "fragment", "block", "key")))[:-1]
+        for table in whole_groups(batches, _PLACE, limit=4 << 20):
+            once = starts_of_runs(*(table.column(c).to_numpy() for c in (*_PLACE, "key")))[:-1]
             if len(once) < table.num_rows:  # rows that repeat an id bring their sets again
                 table = table.take(pa.array(once))
-            component, fragment, block, key, n = (table.column(c).to_numpy() for c in ("component", "fragment", "block", "key", "n"))
-            own = table.column("own").to_pylist()
+            component, fragment, block, key, n, label = (table.column(c).to_numpy() for c in (*_PLACE, "key", "n", "label"))
+            own, far = table.column("own").to_pylist(), table.column("far").to_pylist()
             grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
             runs = starts_of_runs(component, fragment, block)
             out: list[list] = [[] for _ in names]
@@ -243,12 +313,14 @@ def _partial_overlaps(percent: int):
             for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist()):
                 here = np.array([len(g) for g in grams[lo:hi]], np.int64)
                 total, keys = n[lo:hi], key[lo:hi]
-                for at, counts in overlaps_with_earlier(grams[lo:hi], own[lo:hi]):
-                    bound = counts + np.minimum(total[at] - here[at], total[:at] - here[:at])
-                    others = np.flatnonzero((100 * bound >= percent * (total[at] + total[:at] - bound)) & (counts > 0))
+                told = pairs_to_count(grams[lo:hi], own[lo:hi], label[lo:hi], far[lo:hi], slack)
+                for at, with_whom, counts in told:
+                    bound = counts + np.minimum(total[at] - here[at], total[with_whom] - here[with_whom])
+                    some = (100 * bound >= percent * (total[at] + total[with_whom] - bound)) & (counts > 0)
+                    others, counts = with_whom[some], counts[some]
                     if not len(others):
                         continue
-                    for column, x in zip(out, (keys[at], total[at], keys[others], total[others].astype(np.int32), counts[others].astype(np.int32))):
+                    for column, x in zip(out, (keys[at], total[at], keys[others], total[others].astype(np.int32), counts.astype(np.int32))):
                         column.append(x)
                     held += 20 + len(others)
                     if held > 400_000:
@@ -259,6 +331,32 @@ def _partial_overlaps(percent: int):
     return run
 
 
+def pairs_to_count(grams: list[np.ndarray], own: list[bool], label: np.ndarray, far: list[bytes | None], slack: float):
+    """For each own set: its place, the places of earlier sets that it may be linked with by a link not known yet, and what they share.
+
+    A label of -1 is like no other. `far` are distances to pivots, which a link changes by `slack` at most.
+    """
+    if far[0] is None:
+        for at, counts in overlaps_with_earlier(grams, own):
+            yield at, np.arange(at), counts
+        return
+    distances = np.frombuffer(b"".join(far), "<f4").reshape(len(far), PIVOTS)
+    # sets by their distance to the first pivot, so that only a stretch of them is looked at
+    order = np.argsort(distances[:, 0], kind="stable")
+    ranked = distances[order, 0]
+    for at in np.flatnonzero(own).tolist():
+        a, b = np.searchsorted(ranked, [distances[at, 0] - slack, distances[at, 0] + slack])
+        near = order[a:b]
+        near = near[(near < at) & ((label[near] != label[at]) | (label[at] < 0))]
+        near = np.sort(near[(np.abs(distances[near] - distances[at]) <= slack).all(1)])
+        if len(near):
+            owner = np.repeat(np.arange(len(near)), [len(grams[k]) for k in near.tolist()])
+            flat = np.concatenate([grams[k] for k in near.tolist()])
+            mine = grams[at]
+            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat if len(mine) else np.zeros(len(flat), bool)
+            yield at, near, np.bincount(owner[hit], minlength=len(near)).astype(np.int64)
+
+
 def overlaps_with_earlier(sets: list[np.ndarray], asked: list[bool]):
     """For each set that is asked for: its place, and how many grams it shares with each set before it."""
     if len(sets) <= 6:
@@ -317,7 +415,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
 
     Documents are linked when 100 * intersection >= percent * union of their sets. Null and empty texts and texts
     of white space have the empty set and are linked with nothing; their component is their own id. Rows that repeat
-    a doc_id are documents of their own with that id. A null id counts in no component's least.
+    a doc_id are documents of their own with that id. A null id is linked as others are but counts in no component's least.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -332,19 +430,42 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     sizes = told.where("buckets IS NOT NULL").select("key", "n", "buckets").dropDuplicates(["key"])
     loose = groups.join(sizes, "key").select("group", "key", "n", "buckets").repartition(F.col("group")).sortWithinPartitions("group", "key")
     coarse = connected_components(loose.mapInArrow(tidy(_loosely(percent)), "a long, b long"))
-    firsts = told.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    firsts = told.where("key IS NOT NULL").groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id"))
     coarse = scratch.write(coarse, "coarse")
     scratch.drop(groups)
-    crowds = coarse.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    wanted = firsts.join(coarse, F.col("key") == F.col("node")).join(crowds, "component").select("doc_id", "component", "key", "blocks")
+    leads = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")).getField("node") for k in range(PIVOTS)]
+    crowds = scratch.write(coarse.groupBy("component").agg(F.count("*").alias("sets"), F.array_distinct(F.array(*leads)).alias("pivots")), "crowds")
+    wanted = firsts.join(coarse, F.col("key") == F.col("node")).join(crowds, "component").select("doc_id", "component", "key", "sets")
     del loose, sizes
     collect_garbage(spark)
     # texts meet their keys by a hash of the latter: no sort of texts, and the same plan at every size
-    cut = plain.where("text IS NOT NULL").join(wanted.hint("shuffle_hash"), "doc_id").select("text", "component", "key", "blocks").mapInArrow(tidy(_fragments(size, frequent)), "component long, fragment int, block int, own boolean, key long, n long, grams binary")
-    place = ("component", "fragment", "block")
-    parts = cut.repartition(*place).sortWithinPartitions(*place, "key").mapInArrow(tidy(_partial_overlaps(percent)), "key long, n long, others array<long>, sizes array<int>, overlaps array<int>")
-    links = scratch.write(parts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(tidy(_sum_overlaps(percent)), "a long, b long"), "links")
-    del cut, parts
+    cut = identified(docs).select("doc_id", "text").where("text IS NOT NULL").join(wanted.hint("shuffle_hash"), "doc_id").select("text", "component", "key", "sets")
+    parts = scratch.write(cut.mapInArrow(tidy(_fragments(size, frequent)), "component long, sets long, fragment int, key long, n long, grams binary"), "parts")
+    del cut, wanted
+    blocks = F.ceil(F.col("sets") / F.lit(BLOCK)).cast("long")
+    big = parts.where(F.col("sets") > CROWD)
+    pivots = crowds.where(F.col("sets") > CROWD).select("component", F.posexplode("pivots").alias("pivot", "key"))
+    mine = big.select("component", "fragment", F.pmod("key", blocks).alias("block"), F.lit(-1).alias("pivot"), "key", "n", "grams")
+    theirs = big.join(pivots, ["component", "key"]).select("component", "fragment", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "pivot", "key", "n", "grams")
+    met = mine.unionByName(theirs).repartition(*_PLACE).sortWithinPartitions(*_PLACE).mapInArrow(tidy(_pivot_overlaps), _PIVOTED)
+    sums = met.groupBy("component", "key", "n").agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(PIVOTS)), *(F.max(f"p{k}").alias(f"p{k}") for k in range(PIVOTS)))
+    labelled = scratch.write(sums.mapInArrow(tidy(_labels(percent)), "component long, key long, mask long, far binary"), "labelled")
+    del mine, theirs, met, sums
+    roots = labelled.groupBy("component").agg(F.collect_set("mask").alias("masks")).mapInArrow(tidy(_roots), "component long, roots array<int>, closed boolean")
+    told_of = labelled.join(scratch.write(roots, "roots"), "component").join(crowds.select("component", "pivots"), "component")
+    lowest = F.expr("CASE " + " ".join(f"WHEN mask & {1 << k} <> 0 THEN {k}" for k in range(PIVOTS)) + " ELSE -1 END").cast("int")
+    told_of = told_of.withColumn("low", lowest)
+    star = told_of.where("low >= 0").select(F.col("key").alias("a"), F.col("pivots")[F.col("low")].alias("b"))
+    between = told_of.where("low >= 0").select("component", "low", "mask", "pivots").distinct().select(F.col("pivots")[F.col("low")].alias("a"), F.explode("pivots").alias("b"), F.array_position("pivots", F.col("b")).alias("k"), "mask").where("mask >> cast(k - 1 as int) & 1 = 1").select("a", "b").distinct()
+    labels = told_of.where("NOT closed").select("component", "key", "far", F.when(F.col("low") >= 0, F.col("roots")[F.col("low")]).otherwise(-1).alias("label"))
+    small = parts.where(F.col("sets") <= CROWD).select("component", "fragment", F.lit(0).cast("long").alias("block"), F.lit(True).alias("own"), "key", "n", F.lit(-1).alias("label"), F.lit(None).cast("binary").alias("far"), "grams")
+    open_sets = big.join(labels, ["component", "key"]).select("component", "fragment", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "sets", "key", "n", "label", "far", "grams")
+    open_sets = open_sets.select("component", "fragment", "block", (F.pmod("key", blocks) == F.col("block")).alias("own"), "key", "n", "label", "far", "grams")
+    compared = small.unionByName(open_sets).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "key").mapInArrow(tidy(_partial_overlaps(percent)), "key long, n long, others array<long>, sizes array<int>, overlaps array<int>")
+    summed = compared.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(tidy(_sum_overlaps(percent)), "a long, b long")
+    links = scratch.write(summed.unionByName(star).unionByName(between), "links")
+    scratch.drop(parts)
+    del compared, summed, small, open_sets, big
     collect_garbage(spark)
     linked = connected_components(links)
     scratch.drop(links, coarse)
@@ -355,6 +476,11 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The first document of each component, all columns as they were; rows that repeat an id stay or go together."""
+    """The first document of each component, all columns as they were; rows that repeat an id stay or go together.
+
+    Rows without an id stay, as do null and empty texts; an empty table gives an empty one.
+    """
     first = jaccard_components(docs, size, percent).where("doc_id IS NOT NULL AND component_id < doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long") == F.col("_copy"), "left_anti")
+    # a row travels as one column, so that no name clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(first, F.col("_row.doc_id").cast("long") == F.col("_copy"), "left_anti").select("_row.*")

@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on distributed islands.
 
-An island is a bounded share of the pieces. Its population holds whole packings; crossover injects
-well-filled bins of one parent into another, takes out the bins that then hold a piece twice, and
-best-fits the displaced pieces. Each island runs sub-populations that pass their elite to each other.
-Between epochs elite bins are settled, and the pieces of poor bins migrate to new islands.
-Pieces of full length are sequences as they are and never travel.
+Pieces are dealt into provinces of a bounded size. Several islands work on each province, in tasks of their own: each
+holds a population of whole packings of the province's pieces. Crossover injects well-filled bins of one parent
+into another, takes out the bins that then hold a piece twice, and best-fits the displaced pieces. After each round an
+island's elite migrates to the next island of its ring, through a table. After the last round of an epoch the
+province's best packing counts: its well-filled bins are settled, and the pieces of the others are dealt into new
+provinces. Pieces of full length are sequences as they are and never travel.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ from .tokens import VOCABULARY, pieces_for, vocabulary_path
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces on an island; its memory and time are bounded by this, not by the input.
-ISLAND = 2500
-#: Free tokens up to which a bin counts as elite, by epoch; the last epoch settles all.
+#: Pieces of a province; an island's memory and time are bounded by this, not by the input.
+PROVINCE = 2500
+#: Islands in a ring, packings on each, and rounds between which elites migrate.
+ISLANDS, POPULATION, ROUNDS = 3, 4, 3
+#: Pieces that children of a round place in all: as many children as that makes for the pieces of a province.
+EFFORT = 30_000
+#: Free tokens up to which a bin is settled, by epoch; the last epoch settles all.
 SLACK = (4, 8, 16, CAPACITY)
 
 
@@ -55,7 +60,7 @@ Bins = list[list[int]]
 
 
 class Island:
-    """A population of packings of `lengths`; bins are lists of indexes."""
+    """A population of packings of `lengths`; bins are lists of indexes. One island of a ring."""
 
     def __init__(self, lengths: list[int], capacity: int, seed: int):
         self.lengths, self.capacity, self.rng = lengths, capacity, random.Random(seed)
@@ -102,7 +107,7 @@ class Island:
     def cross(self, one: Bins, other: Bins) -> Bins:
         """Inject the best-filled bins of `other` into `one`."""
         gifts = sorted(other, key=lambda b: (self.fill(b), self.rng.random()), reverse=True)
-        gifts = gifts[: max(1, int(len(gifts) * self.rng.uniform(0.2, 0.6)))]
+        gifts = [b for b in gifts[: max(1, int(len(gifts) * self.rng.uniform(0.2, 0.7)))] if self.rng.random() < 0.9] or gifts[:1]
         taken = {i for b in gifts for i in b}
         kept, displaced = [list(b) for b in gifts], []
         for b in one:
@@ -113,91 +118,151 @@ class Island:
         return self._refit(kept, displaced)
 
     def mutate(self, bins: Bins) -> Bins:
-        """Dissolve the emptiest bins and a few others."""
+        """Dissolve the emptiest bins and some others."""
         order = sorted(bins, key=self.fill)
-        n = max(1, len(order) // 12)
-        gone = order[:n] + self.rng.sample(order[n:], min(n, len(order) - n))
+        n = self.rng.randint(1, max(1, len(order) // 12))
+        gone = order[:n] + self.rng.sample(order[n:], min(len(order) - n, self.rng.randint(1, max(2, n))))
         ids = set(map(id, gone))
         return self._refit([list(b) for b in bins if id(b) not in ids], [i for b in gone for i in b])
 
     def _refit(self, kept: Bins, displaced: list[int]) -> Bins:
-        displaced.sort(key=lambda i: -self.lengths[i])
+        noise = self.rng.choice((0.0, 0.1, 0.5))  # long pieces first, more or less
+        displaced.sort(key=lambda i: -self.lengths[i] * (1 + noise * self.rng.random()))
         return self.best_fit(displaced, kept)
 
-    def evolve(self, islands: int = 2, population: int = 3, generations: int = 4) -> Bins:
-        """The best packing found; stops where no packing can have fewer bins and all but one are full."""
+    def score(self, bins: Bins) -> tuple[int, float]:
+        return -len(bins), self.fitness(bins)
+
+    def settled(self, bins: Bins) -> bool:
+        """No packing can have fewer bins."""
+        return len(bins) <= max(1, self.floor) or not self.lengths
+
+    def people(self, number: int = 0, population: int = POPULATION) -> list[Bins]:
+        """The first population of the island of that number in its ring; plain best-fit decreasing is on the first one."""
         if not self.lengths:
-            return []
+            return [[]]
         best = self.newcomer(0.0)
-        if len(best) <= max(1, self.floor):
-            return best
-        groups = [[best if g == 0 and p == 0 else self.newcomer(0.15 * (g + p)) for p in range(population)] for g in range(islands)]
-        score = lambda b: (-len(b), self.fitness(b))
-        for _ in range(generations):
-            for group in groups:
-                group.sort(key=score, reverse=True)
-                a, b = group[0], self.rng.choice(group[1:]) if len(group) > 1 else group[0]
-                child = self.cross(b, a) if self.rng.random() < 0.7 else self.mutate(a)
-                group[-1] = child
-                group.sort(key=score, reverse=True)
-            elites = [g[0] for g in groups]
-            for k, group in enumerate(groups):  # a ring: the elite of each goes to the next
-                group[-1] = elites[k - 1]
-            best = max([best, *elites], key=score)
-            if len(best) <= self.floor:
+        return [best] if self.settled(best) else [best if number == p == 0 else self.newcomer(0.15 * (number + p)) for p in range(population)]
+
+    def evolve(self, people: list[Bins], children: int | None = None) -> list[Bins]:
+        """The population after a round, best first; stops where no packing can have fewer bins."""
+        people = sorted(people, key=self.score, reverse=True)
+        for _ in range(children or max(1, EFFORT // max(1, len(self.lengths)))):
+            if self.settled(people[0]):
                 break
-        return best
-
-
-def _pack_island(capacity: int, slack: int, epoch: int):
-    def run(key, table):
-        table = table.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending")])
-        lengths = table.column("length").to_pylist()
-        shard = key[0].as_py()
-        bins = Island(lengths, capacity, shard * 31 + epoch).evolve()
-        sequence, offset, settled = [0] * len(lengths), [0] * len(lengths), [False] * len(lengths)
-        for n, b in enumerate(bins):
-            done = capacity - sum(lengths[i] for i in b) <= slack
-            at = 0
-            for i in b:
-                sequence[i], offset[i], settled[i] = (epoch + 1 << 56) + (shard << 16) + n, at, done
-                at += lengths[i]
-        out = table.drop_columns(["island", "sequence_id", "offset", "settled"])
-        for name, values, kind in (("sequence_id", sequence, pa.int64()), ("offset", offset, pa.int64()), ("settled", settled, pa.bool_())):
-            out = out.append_column(name, pa.array(values, kind))
-        return out
+            one = people[0]
+            other = self.rng.choice(people[1:]) if len(people) > 1 else one
+            child = self.cross(other, one) if other is not one and self.rng.random() < 0.6 else self.mutate(one if self.rng.random() < 0.5 else other)
+            if self.score(child) > self.score(people[-1]) and child not in people:
+                people[-1:] = [child] if len(people) >= POPULATION else [people[-1], child]
+                people.sort(key=self.score, reverse=True)
+        return people
+
+
+def pack_ring(lengths: list[int], capacity: int, seed: int = 0, islands: int = ISLANDS, rounds: int = ROUNDS, children: int | None = None) -> Bins:
+    """The best packing that one ring of islands finds, all in this process."""
+    ring = [Island(lengths, capacity, seed * 31 + k) for k in range(islands)]
+    people = [x.people(k) for k, x in enumerate(ring)]
+    for _ in range(rounds):
+        people = [x.evolve(p, children) for x, p in zip(ring, people)]
+        elites = [p[0] for p in people]
+        people = [[*p, elites[k - 1]] for k, p in enumerate(people)]
+    return max((b for p in people for b in p), key=ring[0].score)
+
+
+def _written(people: list[Bins], n: int) -> bytes:
+    """Packings as the number of each piece's bin."""
+    out = np.zeros((len(people), n), "<i4")
+    for row, bins in zip(out, people):
+        for k, b in enumerate(bins):
+            row[b] = k
+    return out.tobytes()
+
+
+def _read(blob: bytes, n: int) -> list[Bins]:
+    people = []
+    for row in np.frombuffer(blob, "<i4").reshape(-1, n) if n else []:
+        bins: Bins = [[] for _ in range(int(row.max()) + 1)]
+        for i, k in enumerate(row.tolist()):
+            bins[k].append(i)
+        people.append(bins)
+    return people
+
+
+_STATE = "province long, island int, lengths array<long>, people binary, bins long, fitness double"
+
+
+def _round(capacity: int, epoch: int, number: int):
+    """One round of each island (province, island, lengths, people, elite): a first population, or the last one and an immigrant."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for province, island, lengths, people, elite in zip(*(c.to_pylist() for c in batch.columns)):
+                own = Island(lengths, capacity, ((province * 8 + epoch) * 64 + island) * 64 + number)
+                now = own.evolve(own.people(island) if people is None else _read(people, len(lengths)) + _read(elite, len(lengths)))
+                for column, x in zip(out, (province, island, lengths, _written(now, len(lengths)), len(now[0]), own.fitness(now[0]))):
+                    column.append(x)
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["province", "island", "lengths", "people", "bins", "fitness"])
+
+    return run
+
+
+def _places(capacity: int, slack: int, epoch: int):
+    """Where each piece of a province is in its best packing: (uid, length, sequence_id, offset, settled)."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for province, uids, lengths, people in zip(*(c.to_pylist() for c in batch.columns)):
+                for n, b in enumerate(_read(people, len(lengths))[0]):
+                    done, at = capacity - sum(lengths[i] for i in b) <= slack, 0
+                    for i in b:
+                        for column, x in zip(out, (uids[i], lengths[i], (epoch + 1 << 56) + (province << 16) + n, at, done)):
+                            column.append(x)
+                        at += lengths[i]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["uid", "length", "sequence_id", "offset", "settled"])
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, island: int = ISLAND, slack: tuple[int, ...] = SLACK) -> DataFrame:
-    """All columns of pieces (doc_id, piece, length among them) and sequence_id, offset.
+def pack(pieces: DataFrame, capacity: int = CAPACITY, province: int = PROVINCE, slack: tuple[int, ...] = SLACK) -> DataFrame:
+    """All columns of pieces (`length` among them) and sequence_id, offset; own columns of these two names give way.
 
-    Every row is placed just once; offsets in a sequence run from 0 without gaps. Repeated rows are pieces of
-    their own. An empty table gives an empty one. Lengths are within 1 and the capacity.
+    Every row is placed just once; offsets in a sequence run from 0 without gaps. Repeated rows, and rows with null or
+    repeated ids, are pieces of their own. An empty table gives an empty one. Lengths are within 1 and the capacity.
     """
     scratch = Scratch(pieces.sparkSession, "pack")
-    plain = pieces.columns
-    rest = scratch.write(pieces, "pieces")
-    whole = rest.where(F.col("length") >= capacity).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    done = [whole]
-    rest = rest.where(F.col("length") < capacity)
-    order = [*plain, "sequence_id", "offset"]
+    plain = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    numbered = pieces.select(F.struct(*[F.col(f"`{c}`") for c in plain]).alias("row"), F.col("length").cast("long").alias("length"), F.monotonically_increasing_id().alias("uid"))
+    table = scratch.write(numbered, "pieces")
+    placed = [table.where(F.col("length") >= capacity).select("uid", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    rest = table.where(F.col("length") < capacity).select("uid", "length")
     for epoch, most in enumerate(slack):
         count = rest.count()
         if not count:
             break
-        n = max(1, round(count / island))
-        dealt = rest.select(*plain).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).withColumn("settled", F.lit(False))
-        dealt = dealt.withColumn("island", F.pmod(F.xxhash64("doc_id", "piece", F.lit(epoch)), F.lit(n)).cast("long"))
-        schema = ", ".join(f"`{c}` {dealt.schema[c].dataType.simpleString()}" for c in [*plain, "sequence_id", "offset", "settled"])
-        packed = scratch.write(dealt.groupBy("island").applyInArrow(_pack_island(capacity, most, epoch), schema), f"epoch{epoch}")
-        done.append(packed.where("settled").select(*order))
-        rest = packed.where("NOT settled")
-    out = done[0].select(*order)
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+        n = max(1, round(count / province))
+        dealt = rest.groupBy(F.pmod(F.xxhash64("uid", F.lit(epoch)), F.lit(n)).alias("province")).agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("own"))
+        dealt = scratch.write(dealt.select("province", F.col("own.uid").alias("uids"), F.col("own.length").alias("lengths")), f"provinces{epoch}")
+        state = dealt.select("province", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.lit(None).cast("binary").alias("people"), F.lit(None).cast("binary").alias("elite"))
+        tasks = min(10_000, n * ISLANDS)
+        for k in range(ROUNDS):
+            now = scratch.write(state.repartition(tasks, "province", "island").mapInArrow(tidy(_round(capacity, epoch, k)), _STATE), f"round{epoch}-{k}")
+            # the elite of each island goes to the next one in the ring
+            guests = now.select("province", ((F.col("island") + 1) % ISLANDS).alias("island"), F.substring("people", F.lit(1), (F.size("lengths") * 4).cast("int")).alias("elite"))
+            state = now.join(guests, ["province", "island"]).select("province", "island", "lengths", "people", "elite")
+        best = now.groupBy("province").agg(F.max_by("people", F.struct(-F.col("bins"), "fitness")).alias("people"))
+        told = dealt.join(best, "province").select("province", "uids", "lengths", "people").mapInArrow(tidy(_places(capacity, most, epoch)), "uid long, length long, sequence_id long, offset long, settled boolean")
+        told = scratch.write(told, f"epoch{epoch}")
+        placed.append(told.where("settled").select("uid", "sequence_id", "offset"))
+        rest = told.where("NOT settled").select("uid", "length")
+    where = placed[0]
+    for x in placed[1:]:
+        where = where.unionByName(x)
+    return table.select("row", "uid").join(where, "uid").select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

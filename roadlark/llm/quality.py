@@ -110,6 +110,7 @@ def passes(policy: Policy) -> Column:
 
 
 def apply_policy(ledger: DataFrame, policy: Policy = STANDARD) -> DataFrame:
+    """The ledger with the policy's version and whether it keeps each row. Reads the bits alone; a row without bits is not kept or lost but null."""
     return ledger.withColumn("policy", F.lit(policy.version)).withColumn("kept", passes(policy))
 
 
@@ -127,7 +128,10 @@ def ablations(ledger: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> Dat
 
 
 def filter_documents(docs: DataFrame, policy: Policy = STANDARD) -> DataFrame:
-    """The documents that a policy keeps, with all their columns as they were."""
+    """The documents that a policy keeps, with all their columns as they were.
+
+    Each row is judged by its own text: a null or empty one has no words; ids may be null or repeated; an empty table stays empty.
+    """
     at = docs.columns.index("text")
     whole = docs.select(F.struct(*[(F.col(f"`{c}`").cast("string") if k == at else F.col(f"`{c}`")).alias(c) for k, c in enumerate(docs.columns)]).alias("row"))
     return _measured(whole, lambda batch: batch.column(0).field(at)).where(passes(policy)).select("row.*")

@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, Scratch, chunks, collect_garbage, doc_columns, mix64, powers, starts_of_runs, tidy, whole_groups
+from .common import BASE, NO_ID, Scratch, chunks, collect_garbage, identified, mix64, powers, starts_of_runs, tidy, whole_groups
 
 LENGTH = 100
 GRAM = 32
@@ -80,7 +81,11 @@ def find_runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: in
     at = np.flatnonzero(cut)
     first, count = windows[at[:-1]], np.diff(at)
     pick = pick[at[:-1]]
-    return {"first": first, "count": count, "pick": pick, "gram": grams[pick], "context": hashes.of(first, count + length - 1)}
+    # a hash of another kind, so that what collides in the one does not in the other
+    view = memoryview(data)
+    ends_at = first + count + length - 1
+    context = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), ends_at.tolist())), np.uint64, len(first))
+    return {"first": first, "count": count, "pick": pick, "gram": grams[pick], "context": context}
 
 
 def _bytes_of(values: list) -> list[bytes]:
@@ -93,15 +98,15 @@ def _run_batches(length: int):
 
     def run(batches):
         for batch in chunks(batches, limit=CHUNK):
-            ids, texts = batch.column(0).to_pylist(), _bytes_of(batch.column(1).to_pylist())
-            told = [(i, t) for i, t in zip(ids, texts) if i is not None and len(t) >= length]
+            ids, spots, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2).to_pylist())
+            told = [((i, s), t) for i, s, t in zip(ids, spots, texts) if len(t) >= length]
             for part in _parts(told, length):
                 yield from _rows_of(part, length)
 
     return run
 
 
-def _parts(told: list[tuple[int, bytes]], length: int):
+def _parts(told: list[tuple[tuple[int, int], bytes]], length: int):
     """Texts by the chunk; a text too long for one hash table is cut into overlapping stretches (offset, bytes)."""
     held, size = [], 0
     for doc_id, text in told:
@@ -118,7 +123,7 @@ def _parts(told: list[tuple[int, bytes]], length: int):
         yield held
 
 
-def _rows_of(part: list[tuple[int, int, bytes]], length: int):
+def _rows_of(part: list[tuple[tuple[int, int], int, bytes]], length: int):
     data = np.frombuffer(b"".join(t for _, _, t in part), np.uint8)
     ends = np.cumsum([len(t) for _, _, t in part])
     found = find_runs(data, ends, length)
@@ -126,8 +131,9 @@ def _rows_of(part: list[tuple[int, int, bytes]], length: int):
         return
     row = np.searchsorted(ends, found["first"], side="right")
     base = ends[row] - np.array([len(t) for _, _, t in part], np.int64)[row] - np.array([at for _, at, _ in part], np.int64)[row]
-    docs = np.array([i for i, _, _ in part], np.int64)[row]
-    first, back = found["first"] - base, found["pick"] - found["first"]
+    docs, spots = (np.array([x[0][k] for x in part], np.int64)[row] for k in (0, 1))
+    back = found["pick"] - found["first"]
+    first = found["first"] - base + spots
     order = np.lexsort((first, docs, found["context"], found["gram"]))
     gram, context, count = found["gram"][order], found["context"][order], found["count"][order]
     docs, first, back = docs[order], first[order], back[order]
@@ -136,14 +142,14 @@ def _rows_of(part: list[tuple[int, int, bytes]], length: int):
     later = (docs != docs[lead]) | (first != first[lead])
     count = np.where(later, -count, count)
     # marks need no company: any key that deals them out evenly will do
-    gram = np.where(later, mix64(docs.astype(np.uint64)), gram)
+    gram = np.where(later, mix64(docs.view(np.uint64) + first.view(np.uint64)), gram)
     for k in range(0, len(gram), 50_000):
         s = slice(k, k + 50_000)
         yield pa.RecordBatch.from_arrays([pa.array(gram[s].view(np.int64)), pa.array(context[s].view(np.int64)), pa.array(docs[s]), pa.array(_packed(first[s], count[s], back[s]))], names=["gram", "context", "doc_id", "place"])
 
 
 def _packed(first: np.ndarray, count: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """first < 2^45, |count| and back < 2^8 in one long."""
+    """first < 2^45 (a place < 2^31 and SPOT_BITS of the row's tag above it), |count| < 2^9 and back < 2^8 in one long."""
     return (first << 18) | ((count < 0).astype(np.int64) << 17) | (np.abs(count) << 8) | back
 
 
@@ -183,7 +189,8 @@ def _fetch(length: int):
             for doc_id, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode("utf-8", "surrogatepass")
                 for a in asked:
-                    for column, x in zip(out, (a["gram"], doc_id, a["first"], a["count"], a["back"], data[a["first"] : a["first"] + a["count"] + length - 1])):
+                    at = a["first"] & PLACE
+                    for column, x in zip(out, (a["gram"], doc_id, a["first"], a["count"], a["back"], data[at : at + a["count"] + length - 1])):
                         column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["gram", "doc_id", "first", "count", "back", "context"])
@@ -347,21 +354,35 @@ def _bounded(runs: np.ndarray, most: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, first, count): `count` neighbouring windows from byte `first` on that start earlier as well; runs may overlap."""
+    """(doc_id, spot, first, count): `count` neighbouring windows from byte `first` on that start earlier as well, in rows as
+    spotted() knows them; runs may overlap.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    plain = doc_columns(docs)
+    plain = spotted(docs)
     runs = plain.mapInArrow(tidy(_run_batches(length)), "gram long, context long, doc_id long, place long")
     met = scratch.write(runs.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(tidy(_meet), _MARKS), "met")
     del runs
     collect_garbage(spark)
-    asked = met.where("NOT sure").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "first", "count", "back")).alias("asked"))
-    fetched = plain.where("text IS NOT NULL").join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "asked").mapInArrow(tidy(_fetch(length)), "gram long, doc_id long, first long, count int, back int, context binary")
+    spot = F.col("first").bitwiseAND(F.lit(~PLACE)).alias("spot")
+    asked = met.where("NOT sure").groupBy("doc_id", spot).agg(F.collect_list(F.struct("gram", "first", "count", "back")).alias("asked"))
+    fetched = plain.where("text IS NOT NULL").join(asked.hint("shuffle_hash"), ["doc_id", "spot"]).select("doc_id", "text", "asked").mapInArrow(tidy(_fetch(length)), "gram long, doc_id long, first long, count int, back int, context binary")
     decided = fetched.repartition(F.col("gram")).sortWithinPartitions("gram", "doc_id", "first").mapInArrow(tidy(_decide(length)), "doc_id long, first long, count int")
     more = scratch.write(decided, "decided")
     del fetched, decided, asked
     collect_garbage(spark)
-    return met.where("sure").select("doc_id", "first", "count").unionByName(more)
+    every = met.where("sure").select("doc_id", "first", "count").unionByName(more)
+    return every.select("doc_id", spot, F.col("first").bitwiseAND(F.lit(PLACE)).alias("first"), "count")
+
+
+#: A row's tag within the number that orders places: texts that share an id stay apart, but for one in 2^SPOT_BITS.
+SPOT_BITS = 14
+PLACE = (1 << 31) - 1
+
+
+def spotted(docs: DataFrame) -> DataFrame:
+    """(doc_id, spot, text): rows as common.identified() knows them, with SPOT_BITS of the tag above a place in the text."""
+    return identified(docs).select("doc_id", F.shiftleft(F.pmod("tag", F.lit(1 << SPOT_BITS)), 31).alias("spot"), "text")
 
 
 def _cut(length: int):
@@ -403,9 +424,11 @@ def _kept(data: bytes, spans: list | None, length: int) -> tuple[bytes, int, lis
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, spans (maximal removed stretches of bytes), kept (bytes left).
 
-    Null and empty texts have 0 bytes. Rows that repeat a doc_id are one document: what is found in one goes from all.
-    Documents without an id are neither searched nor cut. Matches never reach over documents.
+    Null and empty texts have 0 bytes. Rows that repeat id and text are one document: what is found in one goes from all;
+    different texts of one id are documents of their own. Rows without an id come behind all others.
+    Matches never reach over documents.
     """
-    marks = repeated_spans(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("marks"))
-    return doc_columns(docs).join(marks.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(tidy(_cut(length)), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
+    marks = repeated_spans(docs, length).groupBy("doc_id", "spot").agg(F.collect_list(F.struct("first", "count")).alias("marks"))
+    rows = spotted(docs).join(marks.hint("shuffle_hash"), ["doc_id", "spot"], "left")
+    return rows.select(F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "text", "marks").mapInArrow(tidy(_cut(length)), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 

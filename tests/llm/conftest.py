@@ -6,7 +6,7 @@ import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use within; a table may have them as well.
-CLASHING = ("row", "key", "n", "line", "component", "fail_bits", "kept", "_row", "_text", "n_words", "ids", "length", "sequence_id", "gram", "chunk", "blob", "spans")
+CLASHING = ("row", "key", "n", "line", "component", "fail_bits", "kept", "_row", "_text", "n_words", "ids", "length", "sequence_id", "gram", "chunk", "blob", "spans", "_copy", "_bad", "island", "uid", "tag", "province", "_gone", "_gone_id", "n_lines", "n_removed", "first", "marks", "size", "word")
 
 
 def sentence(rng: random.Random, n: int) -> str:

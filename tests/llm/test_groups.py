@@ -254,13 +254,31 @@ def test_repeats_of_repeated_rows(repeated, corpus):
         assert r.doc_id is None or bytes(r.kept) == want[r.doc_id][0]
 
 
+def test_repeats_of_texts_that_share_an_id_and_of_rows_without_one(spark):
+    rng = random.Random(19)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(1, a), (2, b), (2, "front " + a + " behind"), (None, b + " more"), (None, c), (3, c), (2, b)]
+    got = sorted((str(r.doc_id), bytes(r.kept).decode(), len(r.spans)) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    own = [("1", a, 0), ("2", b, 0), ("2", b, 0), ("2", "front  behind", 1), ("3", c, 0), ("None", " more", 1), ("None", "", 1)]
+    assert [(i, n) for i, _, n in got] == [(i, n) for i, _, n in sorted(own)]
+    assert {k for i, k, n in got if not n} == {a, b, c} and any(k.startswith("front ") and len(k) < 20 for _, k, n in got if n)
+
+
+def test_links_of_texts_that_share_an_id_and_of_rows_without_one(spark):
+    rng = random.Random(23)
+    a, b = sentence(rng, 60), sentence(rng, 60)
+    rows = [(5, a), (5, b), (7, a + " tail"), (9, b + " tail"), (None, a), (None, sentence(rng, 30))]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (7, 5), (9, 5), (None, 5), (None, None)], key=str)
+
+
 def test_stretches_of_long_texts():
     rng = random.Random(8)
     text = sentence(rng, 400).encode()
     keep = suffixes.STRETCH
     suffixes.STRETCH = 500
     try:
-        parts = [p for part in suffixes._parts([(1, text)], 100) for p in part]
+        parts = [p for part in suffixes._parts([((1, 0), text)], 100) for p in part]
     finally:
         suffixes.STRETCH = keep
     windows = [at + k for _, at, t in parts for k in range(len(t) - 99)]
@@ -321,10 +339,11 @@ def test_jaccard(docs, corpus, crowded, nothing):
     assert jaccard.jaccard_components(nothing).count() == 0
 
 
-@pytest.mark.parametrize("block", [16_000, 7])
-def test_jaccard_of_chains_and_crowds(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "crowd"), [(16_000, 32), (7, 1 << 40), (7, 3), (16_000, 2)])
+def test_jaccard_of_chains_and_crowds(spark, monkeypatch, block, crowd):
     """Chains of near copies, a large near group without a common original, and frequent passages in all texts."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
     rng = random.Random(21)
     rows, passage = [], sentence(rng, 40)
     text = sentence(rng, 120).split(" ")
@@ -349,6 +368,24 @@ def test_jaccard_of_repeated_rows(repeated, corpus):
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in rows if r.doc_id is not None)
 
 
+def test_pairs_of_near_copies_are_not_written_out():
+    """Near copies that pivots have linked give no pair; others only those that distances to pivots allow."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.permutation(400)[:380]], rng.integers(0, 1 << 63, 5).astype(np.uint64)])) for _ in range(300)]
+    jac = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    far = [np.array([1 - jac(x, sets[k]) for k in range(jaccard.PIVOTS)], "<f4").tobytes() for x in sets]
+    one = np.zeros(300, np.int64)
+    assert list(jaccard.pairs_to_count(sets, [True] * 300, one, far, 0.2)) == []
+    one[[7, 250]] = -1
+    told = {(at, int(w)): int(c) for at, with_whom, counts in jaccard.pairs_to_count(sets, [True] * 300, one, far, 0.20001) for w, c in zip(with_whom, counts)}
+    assert all(7 in p or 250 in p for p in told)
+    for a in range(300):
+        for b in range(a):
+            if (one[a] < 0 or one[b] < 0) and jac(sets[a], sets[b]) >= 0.8:
+                assert told[a, b] == len(np.intersect1d(sets[a], sets[b]))
+
+
 def test_fragment_sizes_bound_overlaps():
     rng = np.random.default_rng(9)
     for _ in range(300):

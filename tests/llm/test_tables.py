@@ -61,27 +61,86 @@ def test_pack_documents(docs, corpus, nothing, repeated, crowded):
     assert {r.doc_id for r in packing.pack_documents(repeated).collect()} == {i for i, _ in corpus} | {None}
 
 
-def test_packing_of_many_islands(spark):
+def test_packing_of_many_provinces(spark):
     rng = random.Random(5)
     rows = [(k, 0, rng.randint(1, 1000), f"x{k}") for k in range(900)]
-    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, more string")
-    out = packing.pack(df, 1000, island=100).collect()
-    assert sorted((r.doc_id, r.piece, r.length, r.more) for r in out) == sorted(rows)
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, island string")
+    out = packing.pack(df, 1000, province=100).collect()
+    assert sorted((r.doc_id, r.piece, r.length, r.island) for r in out) == sorted(rows)
     used, floor = check_packing(out, 1000), math.ceil(sum(r[2] for r in rows) / 1000)
     assert used <= floor * 1.03 + 1
 
 
+def test_packing_of_rows_without_ids(spark):
+    """Null and repeated ids, and columns of the operator's own names."""
+    rows = [(None, 0, 300 + k % 7, "u", "s", 5) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long, uid string, sequence_id string, offset long")
+    out = packing.pack(df, 1000, province=50)
+    assert out.columns == ["doc_id", "piece", "length", "uid", "sequence_id", "offset"]
+    got = out.collect()
+    assert len(got) == 200 and {r.uid for r in got} == {"u"}
+    check_packing(got, 1000)
+
+
+def least_bins(lengths, capacity):
+    """The optimum, by trying each piece in each open bin, longest pieces first."""
+    lengths, best = sorted(lengths, reverse=True), len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for r in sorted(set(x for x in rooms if x >= lengths[k])):
+            at = rooms.index(r)
+            place(k + 1, [*rooms[:at], r - lengths[k], *rooms[at + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_small_cases_are_packed_as_well_as_can_be():
+    """Exact optima; among them cases where best-fit decreasing needs a bin more."""
+    rng = random.Random(17)
+    harder = 0
+    for seed in range(60):
+        lengths = [rng.choice((20, 25, 30, 35, 40, 45, 50)) + rng.randint(0, 3) for _ in range(rng.randint(4, 11))]
+        best = least_bins(lengths, 100)
+        harder += len(packing.Island(lengths, 100, 0).newcomer(0.0)) > best
+        bins = packing.pack_ring(lengths, 100, seed)
+        assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+        assert len(bins) == best
+    assert harder
+
+
+def test_elites_migrate_between_tasks():
+    """An island's next round takes in the elite of the island before it."""
+    rng = random.Random(2)
+    lengths = [rng.randint(200, 500) for _ in range(150)]
+    first = packing.Island(lengths, 1000, 1)
+    people = first.people(2)
+    elite = packing.pack_ring(lengths, 1000, 5, rounds=8, children=40)
+    blob = packing._written(people, 150)
+    assert packing._read(blob, 150) == [[sorted(b) for b in p] for p in people]
+    batch = lm.pa.RecordBatch.from_arrays([lm.pa.array([0]), lm.pa.array([2], lm.pa.int32()), lm.pa.array([lengths]), lm.pa.array([blob]), lm.pa.array([packing._written([elite], 150)])], names=["province", "island", "lengths", "people", "elite"])
+    out = next(packing._round(1000, 0, 1)([batch]))
+    assert out.column("bins")[0].as_py() <= len(elite)
+
+
 def test_crossover_keeps_every_piece():
     rng = random.Random(9)
     lengths = [rng.randint(1, 700) for _ in range(200)]
     island = packing.Island(lengths, 1000, 1)
     a, b = island.newcomer(0.0), island.newcomer(0.5)
-    for bins in (a, b, island.cross(a, b), island.mutate(a), island.evolve()):
+    for bins in (a, b, island.cross(a, b), island.mutate(a), packing.pack_ring(lengths, 1000)):
         assert sorted(i for x in bins for i in x) == list(range(200))
         assert all(0 < island.fill(x) <= 1000 for x in bins)
-    assert len(island.evolve()) <= len(a)
-    assert packing.Island([], 10, 1).evolve() == []
-    assert sorted(map(tuple, packing.Island([10, 10], 10, 1).evolve())) == [(0,), (1,)]
+    assert len(packing.pack_ring(lengths, 1000)) <= len(a)
+    assert packing.pack_ring([], 10) == []
+    assert sorted(map(tuple, packing.pack_ring([10, 10], 10))) == [(0,), (1,)]
 
 
 # Archives
@@ -238,7 +297,7 @@ def test_pipeline_stages(spark, docs, corpus, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard", "decontamination", "best_fit_packing"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, now, str(tmp_path))
-        assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert out.columns == docs.columns
         out.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
         if name == "quality_rules":
