@@ -21,6 +21,7 @@ occur elsewhere too, in training or not; where not, it occurs just here.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 
@@ -28,17 +29,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, collect_garbage, doc_columns, gathered, mix64, tidy
+from .common import Scratch, Words, chunks, doc_columns, gathered, mix64, tidy
 
 #: Fixed values of the base score: what is added to a count, and the word that ends a text (no word has a line feed).
 ADD, END = 0.1, b"\n"
 MU = 8.0
 ORDER = 3
 FOLDS = 10
+#: Tasks that read chunks, at most.
+MOST_TASKS = 50_000
 #: Hashes that a shard is asked for, about, and text of a chunk; they bound the memory of a task.
 SHARD_GRAMS = 500_000
 CHUNK = 5 << 20
@@ -103,7 +106,7 @@ def is_held_out(doc_id: int | None) -> bool:
 
 
 class Chunk:
-    """Texts of one chunk as numbers of words; written as one blob and read again in each round."""
+    """Texts of one chunk as numbers of words, frequent words first; written as one file and read again in each round."""
 
     def __init__(self, ids: np.ndarray, known: np.ndarray, held: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, tokens: np.ndarray):
         self.ids, self.known, self.held, self.lengths, self.hashes, self.tokens = ids, known, held, lengths, hashes, tokens
@@ -116,7 +119,9 @@ class Chunk:
         ids = table.column(0).to_pylist()
         told = Words(pc.ascii_lower(table.column(1).combine_chunks()))
         lengths = told.lengths
-        hashes, numbers = np.unique(told.hashes, return_inverse=True)
+        hashes, numbers, counts = np.unique(told.hashes, return_inverse=True, return_counts=True)
+        by_count = np.argsort(-counts, kind="stable")
+        hashes, numbers = hashes[by_count], np.argsort(by_count)[numbers]
         ends = np.cumsum(lengths + 1) - 1
         tokens = np.full(len(numbers) + len(lengths), len(hashes), np.uint32)
         inner = np.ones(len(tokens), bool)
@@ -125,17 +130,15 @@ class Chunk:
         return cls(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), np.array([is_held_out(i) for i in ids], np.uint8), lengths + 1, np.append(hashes, END_HASH), tokens)
 
     def packed(self) -> bytes:
-        parts = [np.ascontiguousarray(x, k).tobytes() for x, k in zip((self.ids, self.known, self.held, self.lengths, self.hashes, self.tokens), self.KINDS)]
-        raw = np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
-        return np.array([len(raw)], "<i8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+        parts = [np.ascontiguousarray(x, k) for x, k in zip((self.ids, self.known, self.held, self.lengths, self.hashes, self.tokens), self.KINDS)]
+        return b"".join(planes(p) for p in parts)
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Chunk:
-        raw = pa.decompress(blob[8:], decompressed_size=int(np.frombuffer(blob, "<i8", 1)[0]), codec="zstd", asbytes=True)
-        sizes, at, out = np.frombuffer(raw, "<i8", 6).tolist(), 48, []
-        for size, kind in zip(sizes, cls.KINDS):
-            out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
-            at += size
+        at, out = 0, []
+        for kind in cls.KINDS:
+            values, at = read_planes(blob, kind, at)
+            out.append(values)
         return cls(*out)
 
     def grams(self, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -191,6 +194,31 @@ def narrow(values: np.ndarray) -> bytes:
     return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte - first bytes of all, second bytes of all, and so on - compressed, behind both lengths."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    packed = pa.compress(raw, codec="zstd", asbytes=True)
+    return np.array([len(values), len(packed)], "<i8").tobytes() + packed
+
+
+def read_planes(blob: bytes, kind: str, at: int = 0) -> tuple[np.ndarray, int]:
+    """The numbers written at a place, and where they end."""
+    n, size = np.frombuffer(blob, "<i8", 2, at).tolist()
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(blob[at + 16 : at + 16 + size], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).reshape(n), at + 16 + size
+
+
+def ascending(hashes: np.ndarray) -> bytes:
+    """Hashes in ascending order, by their steps."""
+    return planes(np.diff(hashes, prepend=np.uint64(0)))
+
+
+def read_ascending(blob: bytes) -> tuple[np.ndarray, int]:
+    steps, at = read_planes(blob, "<u8")
+    return np.cumsum(steps, dtype=np.uint64), at
+
+
 def both(counts: tuple[np.ndarray, np.ndarray]) -> bytes:
     return narrow(np.concatenate(counts))
 
@@ -209,33 +237,45 @@ SHARDED = "shard long, chunk long, n int, blob binary"
 RETURNED = "chunk long, n int, shard long, blob binary, tokens long, kinds long"
 
 
-def _texts(batches):
-    part = TaskContext.get().partitionId()
-    for k, table in enumerate(gathered(chunks(batches, limit=CHUNK), CHUNK)):
-        chunk = Chunk.of(table)
-        yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([chunk.packed()], pa.binary()), pa.array([len(chunk.tokens)], pa.int64()), pa.array([0], pa.int64())], names=["chunk", "n", "shard", "blob", "tokens", "kinds"])
+def _texts(folder: str):
+    def run(batches):
+        """Each chunk goes to a file of its own in the shared folder; a task that runs again writes others, and the manifest has the ones that count."""
+        filesystem, base = fs.FileSystem.from_uri(folder)
+        filesystem.create_dir(base, recursive=True)
+        for table in gathered(chunks(batches, limit=CHUNK), CHUNK):
+            chunk, number = Chunk.of(table), uuid.uuid4().int >> 65
+            with filesystem.open_output_stream(f"{base}/{number}.chunk") as out:
+                out.write(chunk.packed())
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(chunk.tokens)], pa.int64())], names=["chunk", "tokens"])
+
+    return run
+
+
+def _opened(folder: str, number: int) -> Chunk:
+    filesystem, base = fs.FileSystem.from_uri(folder)
+    with filesystem.open_input_stream(f"{base}/{number}.chunk") as source:
+        return Chunk.unpacked(source.read())
 
 
-def _gathered_counts(chunk: Chunk, rows: list[tuple[int, int, bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts at each token for n = 1, 2, ... as far as shards have returned them."""
+def _gathered_counts(chunk: Chunk, rows: list[tuple[int, int, bytes]], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts at each token for n = 1 .. order, as shards have returned them."""
     counts: list[tuple[np.ndarray, np.ndarray]] = []
-    for n in range(1, max((r[0] for r in rows), default=0) + 1):
+    for n in range(1, order + 1):
         found = [halves(b) for k, _, b in sorted(((s, k, b) for k, s, b in rows if k == n))]
         none = [np.zeros(0, np.int64)]
         counts.append(Asked(chunk, counts, n).spread(tuple(np.concatenate([f[k] for f in found] or none) for k in (0, 1))))
     return counts
 
 
-def _told(table) -> tuple[Chunk, list[tuple[int, int, bytes]]]:
-    rows = list(zip(*(table.column(c).to_pylist() for c in ("n", "shard", "blob"))))
-    return Chunk.unpacked(next(b for n, _, b in rows if n == 0)), [r for r in rows if r[0]]
+def _told(table) -> list[tuple[int, int, bytes]]:
+    return list(zip(*(table.column(c).to_pylist() for c in ("n", "shard", "blob"))))
 
 
-def _ask(shards: int, orders: tuple[int, ...]):
+def _ask(folder: str, shards: int, orders: tuple[int, ...]):
     """Rows for the shards: hashes in order, and their training counts in the chunk."""
 
     def batch(number: int, chunk: Chunk, rows) -> pa.RecordBatch:
-        counts = _gathered_counts(chunk, rows)
+        counts = _gathered_counts(chunk, rows, orders[0] - 1)
         out: list[list] = [[], [], [], []]
         for n in orders:
             asked = Asked(chunk, counts, n)
@@ -243,17 +283,18 @@ def _ask(shards: int, orders: tuple[int, ...]):
             cuts = np.searchsorted((asked.hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 part = slice(cuts[s], cuts[s + 1])
-                for column, x in zip(out, (s, number, n, (cuts[s + 1] - cuts[s]).astype("<i8").tobytes() + asked.hashes[part].tobytes() + both(tuple(x[part] for x in own)))):
+                for column, x in zip(out, (s, number, n, ascending(asked.hashes[part]) + both(tuple(x[part] for x in own)))):
                     column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["shard", "chunk", "n", "blob"])
 
     def mapped(batches):
         for b in batches:
-            for number, blob in zip(b.column(0).to_pylist(), b.column(b.schema.names.index("blob"))):
-                yield batch(number, Chunk.unpacked(blob.as_py()), [])
+            for number in b.column(0).to_pylist():
+                yield batch(number, _opened(folder, number), [])
 
     def grouped(key, table):
-        return pa.Table.from_batches([batch(key[0].as_py(), *_told(table))])
+        number = key[0].as_py()
+        return pa.Table.from_batches([batch(number, _opened(folder, number), _told(table))])
 
     return mapped, grouped
 
@@ -268,9 +309,9 @@ def _count(key, table):
         hashes, own = [], []
         for r in rows:
             blob = blobs[r].as_py()
-            size = int.from_bytes(blob[:8], "little")
-            hashes.append(np.frombuffer(blob, "<u8", size, 8))
-            own.append(halves(blob[8 + 8 * size :]))
+            told, at = read_ascending(blob)
+            hashes.append(told)
+            own.append(halves(blob[at:]))
         flat = np.concatenate(hashes)
         kinds, place = np.unique(flat, return_inverse=True)
         total, every = (np.bincount(place, np.concatenate([o[k] for o in own]), len(kinds)).astype(np.int64) for k in (0, 1))
@@ -302,12 +343,12 @@ def walk(counts: list[np.ndarray], lengths: np.ndarray, total: int, distinct: in
     return weight
 
 
-def _walked(order: int, total: int, distinct: int, starts_seen: int, mu: float):
+def _walked(folder: str, order: int, total: int, distinct: int, starts_seen: int, mu: float):
     rest = math.log10(total + ADD * (distinct + 1))
 
     def run(key, table):
-        chunk, rows = _told(table)
-        counts = [train for train, _ in _gathered_counts(chunk, rows)]
+        chunk = _opened(folder, key[0].as_py())
+        counts = [train for train, _ in _gathered_counts(chunk, _told(table), order)]
         starts = np.cumsum(chunk.lengths) - chunk.lengths
         known = np.add.reduceat((counts[0] > 0).astype(np.int64), starts)
         base = np.add.reduceat(np.log10(counts[0] + ADD), starts) - chunk.lengths * rest
@@ -327,19 +368,20 @@ def score_documents(docs: DataFrame, mu: float = MU, order: int = ORDER) -> Data
         raise ValueError("the order is to be 2 at least")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    texts = scratch.write(doc_columns(docs).mapInArrow(tidy(_texts), RETURNED), "texts")
-    size = texts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    folder = scratch.path("chunks")
+    texts = scratch.write(doc_columns(docs).mapInArrow(tidy(_texts(folder)), "chunk long, tokens long"), "texts")
+    parts, size = texts.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     shards = max(8, -(-size // SHARD_GRAMS))
-    told: list[DataFrame] = [texts]
+    told: list[DataFrame] = []
     for orders in ((1, 2), *((n,) for n in range(3, order + 1))):
-        mapped, grouped = _ask(shards, orders)
-        asked = texts.mapInArrow(tidy(mapped), SHARDED) if len(told) == 1 else _together(told).groupBy("chunk").applyInArrow(grouped, SHARDED)
+        mapped, grouped = _ask(folder, shards, orders)
+        # a manifest is small whatever its chunks are: by number, so that each chunk is a task's
+        first = texts.select("chunk").repartition(max(1, min(parts, MOST_TASKS))).mapInArrow(tidy(mapped), SHARDED)
+        asked = _together(told).groupBy("chunk").applyInArrow(grouped, SHARDED) if told else first
         told.append(scratch.write(asked.groupBy("shard").applyInArrow(_count, RETURNED), f"counts{orders[0]}"))
-        del asked
-        collect_garbage(spark)
-    total, distinct = told[1].where("n = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    total, distinct = told[0].where("n = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     starts_seen = _training_texts(docs)
-    return _together(told).groupBy("chunk").applyInArrow(_walked(order, total, distinct, starts_seen, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _together(told).groupBy("chunk").applyInArrow(_walked(folder, order, total, distinct, starts_seen, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _together(told: list[DataFrame]) -> DataFrame:
