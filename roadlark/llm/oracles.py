@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
-
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 
-def _fail_bits() -> str:
-    return " + ".join(f"CASE WHEN {rule} THEN {quality.BIT[name]} ELSE 0 END" for name, rule in quality.RULES.items())
+#: The rules written out anew, so that a wrong one in the operator would show.
+_FAIL_BITS = """(n_words < 50)::INT + 2 * (2 * n_repeat_words > n_words)::INT + 4 * (n_symbols > 0.3 * n_words)::INT + 8 * (word_chars < 2 * n_words)::INT
+  + 16 * (word_chars > 20 * n_words)::INT + 32 * (n_dup_lines > n_lines / 2)::INT + 64 * (n_marks > 0.3 * n_words)::INT"""
 
 
 OP1 = rf"""
@@ -23,10 +22,10 @@ m AS (
          len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(regexp_replace(t, '[^!?]', '', 'g')) AS n_marks,
          coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words
   FROM w LEFT JOIN cov USING (r) LEFT JOIN lc USING (r)),
-b AS (SELECT *, CAST({_fail_bits()} AS BIGINT) AS fail_bits FROM m)
+b AS (SELECT *, CAST({_FAIL_BITS} AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-       (fail_bits & {quality.BASE.mask}) <> 0 AS base_failed, (fail_bits & {quality.STANDARD.mask}) = 0 AS kept, fail_bits
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, fail_bits = 0 AS kept, fail_bits
 FROM b
 """
 

@@ -63,6 +63,8 @@ class Pieces:
         self.bytes_of = ranks
         self.longest = max(map(len, ranks))
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        #: Prefix of a pre-token -> its tokens, and the last of them.
+        self.states: dict[bytes, tuple[int, bytes]] = {b"": (0, b"")}
         self.known: dict[str, int] = {}
         self.prefixes: dict[str, tuple[int, ...]] = {}
 
@@ -87,7 +89,7 @@ class Pieces:
         if len(known) > REMEMBERED:
             known.clear()
         for p in set(pieces).difference(known):
-            known[p] = self.table(p.encode("utf-8", "surrogatepass"))[-1]
+            known[p] = self.last_count(p.encode("utf-8", "surrogatepass"))
         out = list(map(known.__getitem__, pieces))
         if max(map(len, pieces), default=0) > LONGEST_REMEMBERED:
             for p in pieces:
@@ -129,6 +131,29 @@ class Pieces:
                 raise ValueError("no token fits: the vocabulary lacks single bytes")
         return counts
 
+    def last_count(self, data: bytes) -> int:
+        """The table's last entry; tables of pre-tokens that begin alike share what they have in common."""
+        if len(data) > LONGEST_REMEMBERED:
+            return self.table(data)[-1]
+        states, ranks, longest = self.states, self.bytes_of, self.longest
+        if len(states) > REMEMBERED:
+            states.clear()
+            states[b""] = 0, b""
+        k = len(data)
+        while data[:k] not in states:
+            k -= 1
+        for i in range(k + 1, len(data) + 1):
+            for j in range(max(0, i - longest), i):
+                token = data[j:i]
+                if token in ranks:
+                    n, last = states[data[:j]]
+                    if self.stays(last, token):
+                        states[data[:i]] = n + 1, token
+                        break
+            else:
+                raise ValueError("no token fits: the vocabulary lacks single bytes")
+        return states[data][0]
+
     def chars(self, piece: str) -> list[int]:
         """The same at each character."""
         counts = self.table(piece.encode("utf-8", "surrogatepass"))

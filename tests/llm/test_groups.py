@@ -440,9 +440,46 @@ def test_contamination(spark):
     assert decontam.find_contamination(docs.unionByName(docs), bench).count() == 2 * len(planted)
 
 
-def test_recall_at_the_bound():
+def test_all_documents_against_all_items():
+    """Every (document, item) pair by plain edit distance over all stretches; what is found is all there is."""
+    rng = random.Random(16)
+    usual = [sentence(rng, 1) for _ in range(25)]
+    line = lambda n: [rng.choice(usual) for _ in range(n)]
+    items = [line(rng.choice((5, 6, 9, 10, 14, 20, 23))) for _ in range(25)]
+    texts = []
+    for k in range(60):
+        words = line(rng.randint(0, 25))
+        if k % 2:
+            planted = list(rng.choice(items))
+            for _ in range(rng.randint(0, int(0.3 * len(planted)))):
+                planted[rng.randrange(len(planted)) :][:1] = [rng.choice(usual)]
+                p = rng.randrange(len(planted))
+                planted[p : p + rng.randint(0, 1)] = line(rng.randint(0, 1))
+            at = rng.randint(0, len(words))
+            words[at:at] = planted
+        texts.append(" ".join(words))
+    index = decontam.ItemIndex([(k, " ".join(x)) for k, x in enumerate(items)])
+    got = {(r, i): e for r, i, _, _, e in decontam.search_documents(texts, index)}
+    want = {}
+    for r, t in enumerate(texts):
+        words = t.split()
+        for i, item in enumerate(items):
+            row = [0] * (len(words) + 1)
+            for a, x in enumerate(item):
+                new = [a + 1]
+                for b, y in enumerate(words):
+                    new.append(min(row[b] + (x != y), row[b + 1] + 1, new[b] + 1))
+                row = new
+            if min(row) <= decontam.allowed_edits(len(item)):
+                want[r, i] = min(row)
+    assert len(want) >= 25 and set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    assert all(got[k] == want[k] for k in got)
+
+
+@pytest.mark.parametrize("n", [5, 9, 10, 14, 20, 60, 200, 500])
+def test_recall_at_the_bound(n):
     rng = random.Random(13)
-    items = [(k, sentence(rng, rng.randint(15, 60))) for k in range(150)]
+    items = [(k, sentence(rng, n)) for k in range(60)]
     index = decontam.ItemIndex(items)
     texts = []
     for _, t in items:
@@ -458,10 +495,23 @@ def test_recall_at_the_bound():
                 del words[p]
         texts.append(sentence(rng, 20) + " " + " ".join(words) + " " + sentence(rng, 20))
     found = {(r, i) for r, i, *_ in decontam.search_documents(texts, index)}
-    assert sum((k, k) in found for k in range(150)) >= 0.85 * 150
+    assert sum((k, k) in found for k in range(60)) >= 0.95 * 60
+
+
+def test_many_items_take_little_memory():
+    """An index of 4,096 items is small."""
+    import tracemalloc
+
+    rng = random.Random(20)
+    items = [(k, sentence(rng, 30)) for k in range(decontam.BLOCK_ITEMS)]
+    tracemalloc.start()
+    decontam.ItemIndex(items)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300 << 20
 
 
-@pytest.mark.parametrize(("n", "subs", "dels", "least"), [(20, 0, 1, 0.98), (20, 2, 2, 0.85), (40, 4, 4, 0.65)])
+@pytest.mark.parametrize(("n", "subs", "dels", "least"), [(20, 0, 1, 0.98), (20, 2, 2, 0.95), (40, 4, 4, 0.95), (100, 10, 10, 0.95)])
 def test_recall_where_a_document_ends(n, subs, dels, least):
     """Passages that end a document, and whole documents with fewer words than their item, are found as others are."""
     rng = random.Random(14)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from roadlark.llm import decontam, jaccard, lines, lm, packing, quality, tokens, warc
+from roadlark.llm import decontam, jaccard, lines, lm, packing, quality, suffixes, tokens, warc
 from roadlark.llm.common import lower_words_of, scratch_root
 
 from .conftest import sentence
@@ -225,6 +225,15 @@ def test_round_trip(spark):
     assert with_size[2] == "response" and with_size[5] == "revisit"
 
 
+def test_archives_are_read_by_many_tasks(spark):
+    """A hundred archives are not left to a single task, though their manifest is tiny."""
+    pages = spark.createDataFrame([(k, "u", "x" * 50 + str(k)) for k in range(100)], "page_id long, url string, html string")
+    manifest = spark.createDataFrame(warc.write_archives(pages, f"{scratch_root(spark)}/many", archive_bytes=1).collect()).coalesce(1)
+    told = warc.read_archives(manifest)
+    assert manifest.count() == 100 and told.rdd.getNumPartitions() == 100
+    assert told.count() == 100
+
+
 # Language model
 
 
@@ -340,6 +349,36 @@ def test_pipeline_of_nothing(spark, nothing, tmp_path):
         assert now.count() == 0
 
 
+# Very long texts
+
+
+def test_texts_of_20000_words(spark):
+    """The longest that tables hold, twice, beside a null and an empty text, through every operator on documents."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(99)
+    long = "\n".join(sentence(rng, 400) for _ in range(50))
+    rows = [(1, long), (2, long), (3, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = {r.doc_id: r for r in quality.evaluate(docs).collect()}
+    assert told[1].n_words == 20_000 and told[1].n_lines == 50 and told[3].n_words == told[4].n_words == 0
+    cut = {r.doc_id: r for r in lines.dedup_lines(docs).collect()}
+    assert cut[1].text == long and cut[2].text == "" and (cut[2].n_lines, cut[2].n_removed) == (50, 50) and cut[3].text is None
+    kept = {r.doc_id: r for r in suffixes.remove_repeats(docs).collect()}
+    assert bytes(kept[1].kept) == long.encode() and bytes(kept[2].kept) == b"" and kept[2].n_removed == len(long.encode())
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == {1: (19_996, 1), 2: (19_996, 1), 3: (0, 3), 4: (0, 4)}
+    n = len(Tokenizer.from_file(tokens.vocabulary_path()).encode(long, add_special_tokens=False).ids)
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs).collect()} == {1: n, 2: n, 3: 0, 4: 0}
+    packed = packing.pack_documents(docs).collect()
+    check_packing(packed, packing.CAPACITY)
+    assert sum(r.length for r in packed) == 2 * (n + 1) + 2
+    scored = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    assert scored[1].n_tokens == 20_001 and scored[3].n_tokens == 1 and math.isclose(scored[1].score, scored[2].score)
+    item = " ".join(long.replace("\n", " ").split(" ")[9_000:9_600])
+    found = decontam.find_contamination(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.start_word, r.end_word, r.edits) for r in found} == {(1, 7, 9_000, 9_600, 0), (2, 7, 9_000, 9_600, 0)}
+
+
 # Registered queries
 
 
