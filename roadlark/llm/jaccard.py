@@ -341,20 +341,19 @@ def pairs_to_count(grams: list[np.ndarray], own: list[bool], label: np.ndarray,
             yield at, np.arange(at), counts
         return
     distances = np.frombuffer(b"".join(far), "<f4").reshape(len(far), PIVOTS)
-    # sets by their distance to the first pivot, so that only a stretch of them is looked at
-    order = np.argsort(distances[:, 0], kind="stable")
-    ranked = distances[order, 0]
+    everyone, holders = np.arange(len(far)), None
+    others = {x: np.flatnonzero(label != x) for x in np.unique(label).tolist() if x >= 0}
     for at in np.flatnonzero(own).tolist():
-        a, b = np.searchsorted(ranked, [distances[at, 0] - slack, distances[at, 0] + slack])
-        near = order[a:b]
-        near = near[(near < at) & ((label[near] != label[at]) | (label[at] < 0))]
-        near = np.sort(near[(np.abs(distances[near] - distances[at]) <= slack).all(1)])
-        if len(near):
-            owner = np.repeat(np.arange(len(near)), [len(grams[k]) for k in near.tolist()])
-            flat = np.concatenate([grams[k] for k in near.tolist()])
-            mine = grams[at]
-            hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat if len(mine) else np.zeros(len(flat), bool)
-            yield at, near, np.bincount(owner[hit], minlength=len(near)).astype(np.int64)
+        near = others.get(int(label[at]), everyone)
+        near = near[: np.searchsorted(near, at)]
+        near = near[(np.abs(distances[near] - distances[at]) <= slack).all(1)]
+        if not len(near):
+            continue
+        if len(near) > 16:
+            holders = holders or Holders(grams)
+            yield at, near, holders.earlier(at)[near]
+        else:
+            yield at, near, np.array([len(np.intersect1d(grams[at], grams[k], assume_unique=True)) for k in near.tolist()], np.int64)
 
 
 def overlaps_with_earlier(sets: list[np.ndarray], asked: list[bool]):
@@ -364,23 +363,32 @@ def overlaps_with_earlier(sets: list[np.ndarray], asked: list[bool]):
             if asked[at]:
                 yield at, np.array([len(np.intersect1d(own, other, assume_unique=True)) for other in sets[:at]], np.int64)
         return
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-    every = np.concatenate(sets)
-    order = np.argsort(every, kind="stable")  # holders of a gram lie together, in the order of the sets
-    cut = starts_of_runs(every[order])
-    which = np.empty(len(every), np.int64)
-    which[order] = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-    rank = np.empty(len(every), np.int64)
-    rank[order] = np.arange(len(every)) - np.repeat(cut[:-1], np.diff(cut))
-    holders = owner[order]
-    ends = np.cumsum(sizes)
+    holders = Holders(sets)
     for at in np.flatnonzero(asked).tolist():
-        mine = slice(ends[at] - sizes[at], ends[at])
-        before = rank[mine]  # holders of each gram that come before this set
-        first = cut[which[mine]]
+        yield at, holders.earlier(at)
+
+
+class Holders:
+    """Which sets hold each gram, in the order of the sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")  # holders of a gram lie together, in the order of the sets
+        cut = starts_of_runs(every[order])
+        which = np.empty(len(every), np.int64)
+        which[order] = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        self.rank = np.empty(len(every), np.int64)
+        self.rank[order] = np.arange(len(every)) - np.repeat(cut[:-1], np.diff(cut))
+        self.first, self.holders, self.ends, self.sizes = cut[which], owner[order], np.cumsum(sizes), sizes
+
+    def earlier(self, at: int) -> np.ndarray:
+        """How many grams a set shares with each one before it."""
+        mine = slice(self.ends[at] - self.sizes[at], self.ends[at])
+        before, first = self.rank[mine], self.first[mine]  # holders of each gram that come before this set
         hits = np.repeat(first - np.cumsum(before) + before, before) + np.arange(before.sum())
-        yield at, np.bincount(holders[hits], minlength=at).astype(np.int64)[:at] if at else np.zeros(0, np.int64)
+        return np.bincount(self.holders[hits], minlength=at).astype(np.int64)[:at] if at else np.zeros(0, np.int64)
 
 
 def _sum_overlaps(percent: int):
