@@ -11,6 +11,7 @@ provinces. Pieces of full length are sequences as they are and never travel.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -249,12 +250,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, province: int = PROVINCE,
         dealt = scratch.write(dealt.select("province", F.col("own.uid").alias("uids"), F.col("own.length").alias("lengths")), f"provinces{epoch}")
         state = dealt.select("province", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.lit(None).cast("binary").alias("people"), F.lit(None).cast("binary").alias("elite"))
         tasks = min(10_000, n * ISLANDS)
+        rounds: list[DataFrame] = []
+        floor = F.greatest(F.lit(1), F.ceil(F.aggregate("lengths", F.lit(0).cast("long"), lambda x, y: x + y) / capacity))
         for k in range(ROUNDS):
             now = scratch.write(state.repartition(tasks, "province", "island").mapInArrow(tidy(_round(capacity, epoch, k)), _STATE), f"round{epoch}-{k}")
+            rounds.append(now)
+            # provinces go on until one of their packings can't have fewer bins
+            going = now.groupBy("province").agg(F.min(F.col("bins") - floor).alias("over")).where("over > 0").select("province")
+            tasks = min(10_000, going.count() * ISLANDS)
+            if not tasks:
+                break
             # the elite of each island goes to the next one in the ring
             guests = now.select("province", ((F.col("island") + 1) % ISLANDS).alias("island"), F.substring("people", F.lit(1), (F.size("lengths") * 4).cast("int")).alias("elite"))
-            state = now.join(guests, ["province", "island"]).select("province", "island", "lengths", "people", "elite")
-        best = now.groupBy("province").agg(F.max_by("people", F.struct(-F.col("bins"), "fitness")).alias("people"))
+            state = now.join(going, "province").join(guests, ["province", "island"]).select("province", "island", "lengths", "people", "elite")
+        every = reduce(DataFrame.unionByName, rounds)
+        best = every.groupBy("province").agg(F.max_by("people", F.struct(-F.col("bins"), "fitness")).alias("people"))
         told = dealt.join(best, "province").select("province", "uids", "lengths", "people").mapInArrow(tidy(_places(capacity, most, epoch)), "uid long, length long, sequence_id long, offset long, settled boolean")
         told = scratch.write(told, f"epoch{epoch}")
         placed.append(told.where("settled").select("uid", "sequence_id", "offset"))
