@@ -186,3 +186,21 @@ def test_pair_tables(spark, triangle):
     assert t["samples"].where("label = 1").count() == 3
     assert t["samples"].where("label = 0").join(t["counts"], ["node_i", "node_j"]).count() == 0
     assert t["ppmi"].count() == t["jaccard"].count() == 3
+
+
+def test_negatives_are_as_many_as_asked(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(1, 60)], "node long")
+    counts = spark.createDataFrame([(1, k) for k in range(2, 60)], "node_i long, node_j long")
+    got = [(r.node_i, r.node_j) for r in pairs.random_negatives(nodes, counts, 300, 5).collect()]
+    assert len(got) == len(set(got)) == 300 and all(1 < i < j for i, j in got)
+    few = pairs.random_negatives(nodes.where("node <= 3"), counts, 10, 5).collect()
+    assert [(r.node_i, r.node_j) for r in few] == [(2, 3)]
+
+
+def test_area_negatives(spark):
+    """Each pair lies in one cell and in no window; a crowded cell's pairs are not all written out."""
+    points = spark.createDataFrame([(k, (k % 5) * 10.0 + 1, 1.0) for k in range(1, 101)], "id long, x_loc double, y_loc double")
+    counts = spark.createDataFrame([(1, 6)], "node_i long, node_j long")
+    got = [(r.node_i, r.node_j) for r in pairs.area_negatives(points, counts, 10.0).collect()]
+    assert 50 <= len(got) <= 100 and all(i < j and i % 5 == j % 5 for i, j in got) and (1, 6) not in got
+    assert pairs.area_negatives(points, counts, 10.0, 7).count() == 7

@@ -85,6 +85,13 @@ def test_command_line(spark, files, tmp_path, capsys):
     cli.main(["combined", "--coords", big, "--hotspots", f"{out}/hotspots", "--node-counts", f"{out}/s/node_counts", "--edge-counts", f"{out}/s/edge_counts", "--output", f"{out}/l"], spark)
     assert spark.read.parquet(f"{out}/l/positive_nodes").count() == 20
     assert spark.read.parquet(f"{out}/l/regions").count() == 40
+    assert spark.read.parquet(f"{out}/s/layers_base").count() > 0 and spark.read.parquet(f"{out}/s/layers_positive_nodes").count() > 0
+    cli.main(["pairs", "--coords", big, "--graph", str(tmp_path / "big.gr"), "--queries", f"{out}/queries_test", "--output-dir", f"{out}/pairs"], spark)
+    samples = spark.read.csv(f"{out}/pairs/node_pair_samples", header=True)
+    assert samples.columns == ["node_i", "node_j", "label", "strength", "weight", "cooccur_count", "query_count", "source"] and {r[0] for r in samples.select("label").distinct().collect()} == {"0", "1"}
+    assert spark.read.csv(f"{out}/pairs/paths_train", header=True).columns == ["query_id", "origin", "destination", "distance", "path"]
+    assert spark.read.csv(f"{out}/pairs/node_features", header=True).columns == ["node", "lon", "lat", "origin_count", "destination_count", "pass_count"]
+    assert spark.read.csv(f"{out}/pairs/edge_features", header=True).columns == ["src", "dst", "weight", "pass_count"]
     cli.main(["points", "--input", big, "--output", f"{out}/p"], spark)
     cli.main(["hotspots", "--coords", big, "--hotspots", f"{out}/hotspots", "--output", f"{out}/h"], spark)
     assert spark.read.parquet(f"{out}/h/centers").count() == 4
