@@ -176,7 +176,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, by doubling; kept for the next call."""
-    if len(_powers.get(base, ())) < n:
+    if len(_powers.get(base, ())) < max(1, n):
         size = 1 << max(16, (n - 1).bit_length())
         out, filled, step = np.ones(size, np.uint64), 1, base
         with np.errstate(over="ignore"):
@@ -195,7 +195,8 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, edge: bytes = b"", by_line: bool = False):
-        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+        texts = texts if texts.type == pa.string() else texts.cast(pa.string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64) if len(texts) else np.zeros(1, np.int64)
         base, n = int(offsets[0]), int(offsets[-1] - offsets[0])
         data = np.frombuffer(texts.buffers()[2], np.uint8, n, base) if n else np.zeros(0, np.uint8)
         begins = offsets - base
@@ -240,25 +241,6 @@ class Words:
             self.line_lengths = np.bincount(self.line, minlength=int(self.lines.sum()))
 
 
-class WordHash(dict):
-    """word -> 64-bit hash, remembered for the words of one chunk or a few."""
-
-    def __init__(self, limit: int = 150_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit integers (constants: splitmix64, fixed values)."""
     with np.errstate(over="ignore"):

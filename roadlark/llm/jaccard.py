@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, Scratch, WordHash, chunks, collect_garbage, doc_columns, identified, lower_words_of, mix64, starts_of_runs, tidy, whole_groups
+from .common import NO_ID, Scratch, Words, chunks, collect_garbage, doc_columns, identified, mix64, starts_of_runs, tidy, whole_groups
 from .components import Forest, connected_components
 
 WORDS, PERCENT = 5, 80
@@ -47,10 +48,13 @@ class Shingles:
     """Sets of n-gram hashes of texts: sorted, distinct; one gram for texts with fewer words; none without words."""
 
     def __init__(self, size: int = WORDS):
-        self.size, self.memory = size, WordHash()
+        self.size = size
 
-    def grams(self, text: str | None) -> np.ndarray:
-        return np.unique(self.grams_of(self.memory.of(lower_words_of(text))))
+    def of(self, texts: pa.Array):
+        """The set of each text in turn."""
+        told = Words(pc.ascii_lower(texts))
+        for end, n in zip(np.cumsum(told.lengths).tolist(), told.lengths.tolist()):
+            yield np.unique(self.grams_of(told.hashes[end - n : end]))
 
     def grams_of(self, words: np.ndarray) -> np.ndarray:
         n = len(words)
@@ -71,8 +75,7 @@ def frequent_grams(docs: DataFrame, size: int = WORDS, most: int = FREQUENT) ->
         shingles = Shingles(size)
         for batch in chunks(batches, limit=CHUNK):
             # all texts as one: repeats within a text count as well, and the few grams over a seam are in no set
-            words = [w for t in batch.column(1) for w in lower_words_of(t.as_py())]
-            found, counts = np.unique(shingles.grams_of(shingles.memory.of(words)), return_counts=True)
+            found, counts = np.unique(shingles.grams_of(Words(pc.ascii_lower(batch.column(1))).hashes), return_counts=True)
             many = counts >= max(6, batch.num_rows // 500)
             yield pa.RecordBatch.from_arrays([pa.array(found[many].view(np.int64)), pa.array(counts[many])], names=["gram", "n"])
 
@@ -110,8 +113,7 @@ def _describe(size: int, percent: int, frequent: np.ndarray):
             if len(seen) > 500_000:
                 seen.clear()
             sizes, keys, prefixes, buckets = [], [], [], []
-            for value in batch.column(1):
-                grams = shingles.grams(value.as_py())
+            for grams in shingles.of(batch.column(1)):
                 n = len(grams)
                 sizes.append(n)
                 key = set_key(grams) if n else None
@@ -206,8 +208,7 @@ def _fragments(size: int, frequent: np.ndarray):
         shingles = Shingles(size)
         for batch in chunks(batches, limit=CHUNK):
             out: list[list] = [[] for _ in range(6)]
-            for text, component, key, sets in zip(*(c.to_pylist() for c in batch.columns)):
-                whole = shingles.grams(text)
+            for whole, component, key, sets in zip(shingles.of(batch.column(0)), *(c.to_pylist() for c in batch.columns[1:])):
                 if set_key(whole) != key:  # another text of a repeated id
                     continue
                 grams, rare = in_order(whole, frequent)
