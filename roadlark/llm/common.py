@@ -168,6 +168,8 @@ def _byte_table(members: bytes) -> np.ndarray:
     return out
 
 
+#: Bytes whose words are hashed at once, about.
+HASHED = 1 << 18
 WHITE = _byte_table(b" \t\n\x0b\x0c\r")
 #: An odd base, so that it has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15 | 5
@@ -223,10 +225,18 @@ class Words:
                 keep[rough[~some]] = False
                 start, end = start[keep], end[keep]
         self.sizes = end - start
-        with np.errstate(over="ignore"):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTES[data] * powers(BASE, n), out=sums[1:])
-            self.hashes = mix64((sums[end] - sums[start]) * powers(pow(BASE, -1, 1 << 64), n + 1)[start] + self.sizes.astype(np.uint64))
+        self.hashes = np.zeros(len(start), np.uint64)
+        at = 0
+        while at < len(start):  # some words at a time, so that memory does not grow with a text
+            to = max(at + 1, int(np.searchsorted(start, start[at] + HASHED)))
+            low, high = int(start[at]), int(end[to - 1])
+            with np.errstate(over="ignore"):
+                sums = np.zeros(high - low + 1, np.uint64)
+                np.cumsum(_BYTES[data[low:high]] * powers(BASE, high - low), out=sums[1:])
+                first = start[at:to] - low
+                own = (sums[end[at:to] - low] - sums[first]) * powers(pow(BASE, -1, 1 << 64), high - low + 1)[first]
+                self.hashes[at:to] = mix64(own + self.sizes[at:to].astype(np.uint64))
+            at = to
         self.hashes[self.hashes == 0] = 1
         self.text = np.searchsorted(begins, start, side="right") - 1
         self.lengths = np.bincount(self.text, minlength=len(texts))

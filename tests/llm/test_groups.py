@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from roadlark.llm import components, decontam, jaccard, lines, suffixes
+from roadlark.llm import common, components, decontam, jaccard, lines, suffixes
 from roadlark.llm.common import lower_words_of
 
 from .conftest import SCHEMA, edited, sentence
@@ -95,8 +95,10 @@ def test_short_lines_texts_of_one_id_and_null_ids(spark):
     assert got == sorted(((*w, "own") for w in want), key=str)
 
 
-def test_words_by_bytes():
+@pytest.mark.parametrize("hashed", [1 << 18, 5])
+def test_words_by_bytes(monkeypatch, hashed):
     """Words, sizes, texts and lines of random texts by plain string functions; equal words have equal hashes and no others."""
+    monkeypatch.setattr(common, "HASHED", hashed)
     rng = random.Random(41)
     parts = ["a", "b", "ab", "é", "漢", ".", "%%", "-", " ", "  ", "\n", "\t", "\x0b", "\x85", "\u00a0", "a.b"]
     for _ in range(200):
