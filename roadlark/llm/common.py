@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Text that one Arrow call gathers before numpy works on it; bounds a Python worker's memory.
 CHUNK_BYTES = 12 << 20
 SCRATCH = "roadlark-scratch"
-#: Spark's own switch for deleting a query's shuffle files at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: what the plan has shuffled is of no use once the table stands, and batches for workers are small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,13 +66,15 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        # what the plan has shuffled is of no use once the table stands
-        before = self.spark.conf.get(CLEANUP, None)
-        self.spark.conf.set(CLEANUP, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in WRITING}
+        for k, v in WRITING.items():
+            conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before) if before is not None else self.spark.conf.unset(CLEANUP)
+            for k, v in before.items():
+                conf.set(k, v) if v is not None else conf.unset(k)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # so that drop() finds it
         return out

@@ -35,7 +35,7 @@ BLOCK = 16_000
 CROWD, PIVOTS = 32, 8
 #: Frequent grams that are put last in the order; their number is bounded, and any choice gives the same links.
 FREQUENT = 1 << 16
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: A fixed odd number that spreads the words of a gram.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
