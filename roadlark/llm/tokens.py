@@ -25,7 +25,7 @@ from .common import doc_columns, tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces remembered by a worker before it starts anew; bounds its memory.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
 
 
