@@ -216,6 +216,13 @@ class PrefixCounts:
         cut = self.text[self.ends[start] : chars]
         return self.sums[start] + self.pieces.count(cut)
 
+    def table(self) -> list[int]:
+        """Entry k: tokens of the first k characters."""
+        out = [0]
+        for k, (p, special) in enumerate(self.parts):
+            out += [self.at(self.ends[k] + c) for c in range(1, len(p) + 1)] if special else [self.sums[k] + n for n in self.pieces.piece_prefixes(p)[1:]]
+        return out
+
     def longest_within(self, budget: int) -> int:
         """The most characters whose prefix has at most `budget` tokens."""
         k = bisect_right(self.sums, budget) - 1
@@ -296,8 +303,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, budgets: tuple[i
                 counts.append(int(sums[-1]) if len(sums) else 0)
                 cuts.append([cut_within(pieces, parts, sums, b) for b in budgets])
                 if tables:
-                    whole = PrefixCounts(pieces, text)
-                    prefixes.append([whole.at(k) for k in range(len(text) + 1)])
+                    prefixes.append(PrefixCounts(pieces, text).table())
             more = [pa.array(prefixes, ints)] if tables else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(cuts, ints), *more], names=names)
 
