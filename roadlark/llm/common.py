@@ -64,14 +64,14 @@ class Scratch:
         self._n += 1
         return f"{self.base}/{self._n:03d}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         path = self.path(name)
         conf = self.spark.conf
         before = {k: conf.get(k, None) for k in WRITING}
         for k, v in WRITING.items():
             conf.set(k, v)
         try:
-            df.write.parquet(path)
+            df.write.options(**options).parquet(path)
         finally:
             for k, v in before.items():
                 conf.set(k, v) if v is not None else conf.unset(k)

@@ -67,4 +67,35 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
 FROM d
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_suffix_dedup": OP3, "op6_ngram_jaccard": OP6, "op8_warc": OP8}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+grid AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, CAST(1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS p FROM grid JOIN size USING (lang)),
+whole AS (SELECT lang, term, sum(n) AS n FROM grid GROUP BY 1, 2),
+q AS (SELECT lang, term, CAST(1 + (1000000000 * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS BIGINT) AS q FROM whole JOIN size USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+both_parts AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+SELECT lang, source, part, item, value, CAST(row_number() OVER k AS INTEGER) AS rank FROM both_parts WINDOW k AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(ts) AS term FROM d) GROUP BY ALL),
+total AS (SELECT count(*) FILTER (len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM d),
+m AS (SELECT r, 50 + (50 * len(ts) * n) // l AS m FROM d, total WHERE len(ts) > 0),
+asked AS (SELECT DISTINCT item_id, text, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, total WHERE term IN (SELECT term FROM asked) GROUP BY term, n),
+scores AS (SELECT item_id, text, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER k AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 WINDOW k AS (PARTITION BY item_id, text ORDER BY score DESC, doc_id) QUALIFY rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op3_suffix_dedup": OP3, "op6_ngram_jaccard": OP6, "op8_warc": OP8, "op12_source_divergence": OP12, "op13_ranked_search": OP13}
