@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadlark.llm import divergence, search, sharding
+from roadlark.llm.common import Scratch
 from roadlark.llm.queries import QUERIES
 
 from .conftest import SCHEMA, sentence
@@ -80,11 +81,11 @@ def test_shards_of_hot_keys(spark, monkeypatch):
     for r in got:
         sizes[r.shard] += r.size
     assert max(sizes.values()) - min(sizes.values()) <= max(r.size for r in got)
-    keyed = table.select(F.coalesce("doc_id", F.lit(sharding.NO_ID)).alias("_id"), F.xxhash64("text").alias("_tag"), F.expr("CAST(rand(3) * 9e18 AS BIGINT)").alias("_salt"), F.lit(1.0).alias("_weight")).checkpoint() if spark.sparkContext.getCheckpointDir() else None
-    if keyed is not None:
-        splitters = sharding._splitters(keyed, 6000.0, 64, 1)
-        in_range = [r["count"] for r in sharding._with_ranges(keyed, splitters).groupBy("_range").count().collect()]
-        assert sum(in_range) == 6000 and max(in_range) <= sharding.OVERFULL * 6000 / 64 + 1
+    keyed = table.select(F.coalesce("doc_id", F.lit(sharding.NO_ID)).alias("_id"), F.xxhash64("text").alias("_tag"), F.expr("CAST(rand(3) * 9e18 AS BIGINT)").alias("_salt"), F.lit(1.0).alias("_weight"))
+    keyed = Scratch(spark, "test").write(keyed, "keys")
+    splitters = sharding._splitters(keyed, 6000.0, 64, 1)
+    in_range = [r["count"] for r in sharding._with_ranges(keyed, splitters).groupBy("_range").count().collect()]
+    assert sum(in_range) == 6000 and max(in_range) <= sharding.OVERFULL * 6000 / 64 + 1
 
 
 def test_overfull_ranges_are_subdivided(spark, monkeypatch):
