@@ -1,7 +1,7 @@
 """Shortest paths for tables of queries.
 
 `arrow` sends the graph's compressed rows to every executor, if they are within a checked size, and searches there,
-all queries of one origin together. `relax` keeps the graph distributed: rounds of joins and minima, with no bound
+all queries of one origin together. `relax` keeps the graph and all searches in tables (see `stepping`), with no bound
 on the graph but with many rounds on long paths. Both give the same rows.
 
 Of equally short paths the one is taken that, walked back from the destination, always goes to the smallest node id;
@@ -15,11 +15,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stable import stable
 from ..schemas import PATHS
+from . import stepping
 from .graph import adjacency
 
 #: Undirected edges up to which the graph is sent to executors: 24 bytes each way, 96 MB at most, and about
@@ -82,6 +83,22 @@ class Rows:
                     heapq.heappush(heap, (got[0] + ahead(v), *got, v))
         return done
 
+    def reach_from(self, starts: dict[int, float]) -> dict[int, float]:
+        """Place -> distance of all nodes, from places that begin with a distance of their own."""
+        best, done, heap = dict(starts), {}, [(d, u) for u, d in starts.items()]
+        heapq.heapify(heap)
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done[u] = d
+            for k in range(self.starts[u], self.starts[u + 1]):
+                v, far = self.to[k], d + self.weight[k]
+                if far < best.get(v, math.inf):
+                    best[v] = far
+                    heapq.heappush(heap, (far, v))
+        return done
+
     def between(self, origin: int, goal: int) -> dict[int, tuple[float, int]]:
         """Place -> (distance, 0) from the origin, final for the goal and every node on a shortest path to it; no goal if there is none.
 
@@ -183,6 +200,29 @@ def trace_paths(undirected: DataFrame, queries: DataFrame, method: str = "auto",
     return _trace_arrow(undirected, asked, points, scale) if method == "arrow" else _trace_relax(undirected, asked)
 
 
+#: Searches of a task and queries of an origin that one task answers, about.
+SEARCHES_PER_TASK, QUERIES_PER_TASK = 200, 20_000
+TASKS_PER_CORE = 4
+
+
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows dealt to tasks by the column: enough tasks for all cores, and more where there are more searches than they should take.
+
+    The number is given, so adaptive execution doesn't merge tasks that are small in bytes but long in searches. An origin
+    with more queries than a task should answer is searched from in several.
+    """
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
+    told = sizes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(told[0], max(TASKS_PER_CORE * cores, told[0] // SEARCHES_PER_TASK)))
+    if told[1] <= QUERIES_PER_TASK:
+        return rows.repartition(tasks, by)
+    hot = sizes.where(F.col("n") > QUERIES_PER_TASK).withColumn("_parts", F.ceil(F.col("n") / QUERIES_PER_TASK)).drop("n")
+    extra = hot.agg(F.sum("_parts")).first()[0]
+    part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1)))
+    return rows.join(hot, by, "left").withColumn("_part", part).repartition(tasks + extra, by, "_part").select(*rows.columns)
+
+
 def _trace_arrow(undirected: DataFrame, asked: DataFrame, points: DataFrame | None, scale: float) -> DataFrame:
     shared, most = undirected.sparkSession.sparkContext.broadcast(_collected_rows(undirected, points, scale)), MOST_PAIRWISE
 
@@ -207,7 +247,7 @@ def _trace_arrow(undirected: DataFrame, asked: DataFrame, points: DataFrame | No
                         out.append((q.query_id, q.origin, q.destination, q.count_, False, None, [], []))
             yield pd.DataFrame(out, columns=["query_id", "origin", "destination", "count", "reachable", "distance", "nodes", "edges"])
 
-    return asked.withColumnRenamed("count", "count_").repartition("origin").sortWithinPartitions("origin", "query_id").mapInPandas(run, PATHS)
+    return _dealt(asked.withColumnRenamed("count", "count_"), "origin").sortWithinPartitions("origin", "query_id").mapInPandas(run, PATHS)
 
 
 def distances(undirected: DataFrame, sources: DataFrame, method: str = "auto") -> DataFrame:
@@ -228,48 +268,41 @@ def distances(undirected: DataFrame, sources: DataFrame, method: str = "auto") -
                 nodes = [int(rows.ids[k]) for k in done] or [src]
                 yield pd.DataFrame({"src": src, "node": nodes, "distance": [d for d, _ in done.values()] or [0.0]})
 
-    return sources.repartition("src").mapInPandas(run, "src long, node long, distance double")
+    return _dealt(sources, "src").mapInPandas(run, "src long, node long, distance double")
 
 
 def _distances_relax(adj: DataFrame, sources: DataFrame) -> DataFrame:
-    """(src, node, distance, hops) by semi-naive rounds; each keeps what improved."""
-    known = stable(sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("hops")))
-    frontier = known
-    for _ in range(MOST_ROUNDS):
-        step = frontier.join(adj, "node").select("src", F.col("nbr").alias("node"), F.struct((F.col("distance") + F.col("weight")).alias("distance"), (F.col("hops") + 1).alias("hops")).alias("got"))
-        offered = step.groupBy("src", "node").agg(F.min("got").alias("got")).select("src", "node", F.col("got.distance").alias("d2"), F.col("got.hops").alias("h2"))
-        better = offered.join(known, ["src", "node"], "left").where("distance IS NULL OR d2 < distance OR (d2 = distance AND h2 < hops)").select("src", "node", F.col("d2").alias("distance"), F.col("h2").alias("hops"))
-        frontier = stable(better)
-        if frontier.isEmpty():
-            return known
-        known = stable(known.join(frontier.select("src", "node"), ["src", "node"], "left_anti").unionByName(frontier))
-    raise RuntimeError(f"not settled after {MOST_ROUNDS} rounds")
+    """(src, node, distance, hops) by delta-stepping over files."""
+    return stepping.distances(adj, sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("hops")))
 
 
 def _trace_relax(undirected: DataFrame, asked: DataFrame) -> DataFrame:
-    adj = adjacency(undirected)
+    """Searches from both ends in tables, each pair of ends once, then back from the destinations step by step."""
+    adj, pair = adjacency(undirected), list(stepping.PAIR)
     has_zero = not undirected.where("weight = 0").isEmpty()
-    known = _distances_relax(adj, asked.select(F.col("origin").alias("src")).distinct())
-    told = asked.join(known.select(F.col("src").alias("origin"), F.col("node").alias("destination"), "distance", "hops"), ["origin", "destination"], "left")
+    search = stepping.BothEnds(adj, asked)
+    known = search.forward()
+    ends = known.where("node = destination").select(*pair, "distance", "hops")
+    told = asked.join(ends, pair, "left")
     told = told.withColumn("distance", F.when(F.col("origin") == F.col("destination"), F.lit(0.0)).otherwise(F.col("distance")))
     told = stable(told.withColumn("reachable", F.col("distance").isNotNull()))
-    steps = told.where("reachable").select("query_id", "origin", F.col("destination").alias("at"), "distance", "hops", F.lit(0).alias("back"), F.lit(None).cast("long").alias("edge"))
-    walked, here = steps, stable(steps)
-    pick = Window.partitionBy("query_id").orderBy("nbr", "edge_index")
+    here = stable(ends.select(*pair, F.col("destination").alias("at"), "distance", "hops", F.lit(0).alias("back"), F.lit(None).cast("long").alias("edge")))
+    walked = here
+    pick = F.struct("nbr", "edge_index", "d0", "h0")
     for k in range(1, MOST_ROUNDS):
         moving = here.where("at <> origin")
         if moving.isEmpty():
             break
         near = moving.join(adj.select(F.col("node").alias("at"), "nbr", "weight", "edge_index"), "at").where("nbr <> at")
-        prior = known.select(F.col("src").alias("origin"), F.col("node").alias("nbr"), F.col("distance").alias("d0"), F.col("hops").alias("h0"))
-        fits = near.join(prior, ["origin", "nbr"]).where("d0 + weight = distance" + (" AND h0 + 1 = hops" if has_zero else ""))
-        chosen = fits.withColumn("_r", F.row_number().over(pick)).where("_r = 1")
-        here = stable(chosen.select("query_id", "origin", F.col("nbr").alias("at"), F.col("d0").alias("distance"), F.col("h0").alias("hops"), F.lit(k).alias("back"), F.col("edge_index").alias("edge")))
-        walked = stable(walked.unionByName(here))
-    lists = walked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("o"), "at", "edge"))).alias("s"))
-    empty = F.array().cast("array<long>")
-    out = told.join(lists, "query_id", "left")
-    return out.select("query_id", "origin", "destination", "count", "reachable", "distance", F.coalesce(F.col("s.at"), empty).alias("nodes"), F.coalesce(F.filter("s.edge", lambda e: e.isNotNull()), empty).alias("edges"))
+        prior = known.select(*pair, F.col("node").alias("nbr"), F.col("distance").alias("d0"), F.col("hops").alias("h0"))
+        fits = near.join(prior, [*pair, "nbr"]).where("d0 + weight = distance" + (" AND h0 + 1 = hops" if has_zero else ""))
+        chosen = fits.groupBy(*pair).agg(F.min(pick).alias("c"))
+        here = stable(chosen.select(*pair, F.col("c.nbr").alias("at"), F.col("c.d0").alias("distance"), F.col("c.h0").alias("hops"), F.lit(k).alias("back"), F.col("c.edge_index").alias("edge")))
+        walked = walked.unionByName(here)
+    lists = walked.groupBy(*pair).agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("o"), "at", "edge"))).alias("s"))
+    own = F.when(F.col("origin") == F.col("destination"), F.array("origin")).otherwise(F.array().cast("array<long>"))
+    out = told.join(lists, pair, "left")
+    return out.select("query_id", "origin", "destination", "count", "reachable", "distance", F.coalesce(F.col("s.at"), own).alias("nodes"), F.coalesce(F.filter("s.edge", lambda e: e.isNotNull()), F.array().cast("array<long>")).alias("edges"))
 
 
 def path_text(paths: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,30 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class Tables:
+    """Folders for tables of one run in the shared folder; `drop` deletes them all."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.base, self._n = spark, f"{shared_folder(spark)}/roadlark-tables/{label}-{uuid.uuid4().hex}", 0
+
+    def path(self, name: str) -> str:
+        self._n += 1
+        return f"{self.base}/{self._n:04d}-{name}"
+
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def listed(self, path: str) -> list[str]:
+        """Names in a folder."""
+        at, files = self._at(path)
+        return sorted(x.getPath().getName() for x in files.listStatus(at))
+
+    def drop(self) -> None:
+        at, files = self._at(self.base)
+        files.delete(at, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draw_sql, uniform_sql
-from ..operators import frequency, graph, layers, pairs, paths, workload
+from ..operators import frequency, graph, layers, overlay, pairs, paths, workload
 from ..plans.stable import stable
 from ..sources import declared_counts, numbered_lines, points_universe, read_arcs, read_points, read_queries, read_unit_edges, write_table
 from . import derive as d
@@ -280,6 +280,28 @@ def trace_paths_guided(spark, sf_dir):
     return paths.trace_paths(und, d.road_queries(spark, sf_dir), "auto", p, scale).select("query_id", "distance")
 
 
+@query(f"WITH RECURSIVE {d.ADJ}, {d.QUERIES}, {d.SHORTEST} SELECT query_id, origin, destination, d IS NOT NULL AS reachable, d AS distance FROM q LEFT JOIN sp ON src = origin AND node = destination")
+def trace_paths_relaxed(spark, sf_dir):
+    """Two frontiers for each query, graph and searches in tables."""
+    return _traced(spark, sf_dir, "relax").select("query_id", "origin", "destination", "reachable", "distance")
+
+
+def _overlay(spark, sf_dir, most=40):
+    """Cells of 25 by 25 on a map of 100 by 100, quartered down to 40 nodes, as the test tables are small."""
+    return overlay.Overlay(d.kept_graph(spark, sf_dir), _places(spark, sf_dir), 25.0, most)
+
+
+@query(f"WITH RECURSIVE {d.ADJ}, {d.QUERIES}, {d.SHORTEST} SELECT query_id, d AS distance FROM q LEFT JOIN sp ON src = origin AND node = destination")
+def block_route_distances(spark, sf_dir):
+    return overlay.route_distances(_overlay(spark, sf_dir), d.road_queries(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {d.ADJ}, {d.UNIVERSE}, q AS ({_CENTERS}), {d.SHORTEST} SELECT src, node, d AS distance FROM sp")
+def block_distances(spark, sf_dir):
+    centers = workload.hotspot_centers(d.universe(spark, sf_dir), 3)
+    return overlay.distances(_overlay(spark, sf_dir), centers.select(F.col("center_node").alias("src")))
+
+
 # Frequencies and samples
 
 
