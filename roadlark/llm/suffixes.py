@@ -93,13 +93,13 @@ def _bytes_of(values: list) -> list[bytes]:
 
 
 def _run_batches(length: int):
-    """Rows (gram, context, doc_id, first, count, back): a chunk's runs. Of runs with equal contexts the earliest goes on;
+    """Rows (gram, context, doc_id, tag, place): a chunk's runs. Of runs with equal contexts the earliest goes on;
     later ones are marks already and have count 0 less than nothing: -count."""
 
     def run(batches):
         for batch in chunks(batches, limit=CHUNK):
-            ids, spots, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2).to_pylist())
-            told = [((i, s), t) for i, s, t in zip(ids, spots, texts) if len(t) >= length]
+            ids, tags, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes_of(batch.column(2).to_pylist())
+            told = [((i, s), t) for i, s, t in zip(ids, tags, texts) if len(t) >= length]
             for part in _parts(told, length):
                 yield from _rows_of(part, length)
 
@@ -131,25 +131,25 @@ def _rows_of(part: list[tuple[tuple[int, int], int, bytes]], length: int):
         return
     row = np.searchsorted(ends, found["first"], side="right")
     base = ends[row] - np.array([len(t) for _, _, t in part], np.int64)[row] - np.array([at for _, at, _ in part], np.int64)[row]
-    docs, spots = (np.array([x[0][k] for x in part], np.int64)[row] for k in (0, 1))
+    docs, tags = (np.array([x[0][k] for x in part], np.int64)[row] for k in (0, 1))
     back = found["pick"] - found["first"]
-    first = found["first"] - base + spots
-    order = np.lexsort((first, docs, found["context"], found["gram"]))
+    first = found["first"] - base
+    order = np.lexsort((first, tags, docs, found["context"], found["gram"]))
     gram, context, count = found["gram"][order], found["context"][order], found["count"][order]
-    docs, first, back = docs[order], first[order], back[order]
+    docs, tags, first, back = docs[order], tags[order], first[order], back[order]
     runs = starts_of_runs(gram, context)
     lead = np.repeat(runs[:-1], np.diff(runs))
-    later = (docs != docs[lead]) | (first != first[lead])
+    later = (docs != docs[lead]) | (tags != tags[lead]) | (first != first[lead])
     count = np.where(later, -count, count)
     # marks need no company: any key that deals them out evenly will do
-    gram = np.where(later, mix64(docs.view(np.uint64) + first.view(np.uint64)), gram)
+    gram = np.where(later, mix64((docs ^ tags).view(np.uint64) + first.view(np.uint64)), gram)
     for k in range(0, len(gram), 50_000):
         s = slice(k, k + 50_000)
-        yield pa.RecordBatch.from_arrays([pa.array(gram[s].view(np.int64)), pa.array(context[s].view(np.int64)), pa.array(docs[s]), pa.array(_packed(first[s], count[s], back[s]))], names=["gram", "context", "doc_id", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(gram[s].view(np.int64)), pa.array(context[s].view(np.int64)), pa.array(docs[s]), pa.array(tags[s]), pa.array(_packed(first[s], count[s], back[s]))], names=["gram", "context", "doc_id", "tag", "place"])
 
 
 def _packed(first: np.ndarray, count: np.ndarray, back: np.ndarray) -> np.ndarray:
-    """first < 2^45 (a place < 2^31 and SPOT_BITS of the row's tag above it), |count| < 2^9 and back < 2^8 in one long."""
+    """first < 2^45, |count| < 2^9 and back < 2^8 in one long."""
     return (first << 18) | ((count < 0).astype(np.int64) << 17) | (np.abs(count) << 8) | back
 
 
@@ -158,26 +158,26 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> 18, np.where((place >> 17) & 1 == 1, -size, size), place & 0xFF
 
 
-_MARKS = "gram long, doc_id long, first long, count int, back int, sure boolean"
+_MARKS = "gram long, doc_id long, tag long, first long, count int, back int, sure boolean"
 
 
 def _meet(batches):
     """Runs of a gram together: later ones of equal contexts are sure marks; the first of several contexts is asked for."""
     for table in whole_groups(batches, ("gram",)):
-        gram, context, docs, place = (table.column(c).to_numpy() for c in ("gram", "context", "doc_id", "place"))
+        gram, context, docs, tags, place = (table.column(c).to_numpy() for c in ("gram", "context", "doc_id", "tag", "place"))
         first, count, back = _unpacked(place)
         marks = np.flatnonzero(count < 0)
         at = np.flatnonzero(count > 0)
-        at = at[np.lexsort((first[at], docs[at], context[at], gram[at]))]
+        at = at[np.lexsort((first[at], tags[at], docs[at], context[at], gram[at]))]
         runs = starts_of_runs(gram[at], context[at])
         lead = at[runs[:-1]] if len(at) else at
         leads = np.repeat(lead, np.diff(runs)) if len(at) else at
-        later = at[(docs[at] != docs[leads]) | (first[at] != first[leads])]
+        later = at[(docs[at] != docs[leads]) | (tags[at] != tags[leads]) | (first[at] != first[leads])]
         kinds = starts_of_runs(gram[lead])
         asked = lead[np.repeat(np.diff(kinds) > 1, np.diff(kinds))] if len(lead) else lead
         for rows, sure in ((np.concatenate([marks, later]), True), (asked, False)):
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(gram[rows]), pa.array(docs[rows]), pa.array(first[rows]), pa.array(np.abs(count[rows]).astype(np.int32)), pa.array(back[rows].astype(np.int32)), pa.array(np.full(len(rows), sure))], names=["gram", "doc_id", "first", "count", "back", "sure"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[rows]), pa.array(docs[rows]), pa.array(tags[rows]), pa.array(first[rows]), pa.array(np.abs(count[rows]).astype(np.int32)), pa.array(back[rows].astype(np.int32)), pa.array(np.full(len(rows), sure))], names=["gram", "doc_id", "tag", "first", "count", "back", "sure"])
 
 
 def _fetch(length: int):
@@ -185,15 +185,15 @@ def _fetch(length: int):
 
     def run(batches):
         for batch in chunks(batches, limit=CHUNK):
-            out: list[list] = [[] for _ in range(6)]
-            for doc_id, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list] = [[] for _ in range(7)]
+            for doc_id, tag, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode("utf-8", "surrogatepass")
                 for a in asked:
-                    at = a["first"] & PLACE
-                    for column, x in zip(out, (a["gram"], doc_id, a["first"], a["count"], a["back"], data[at : at + a["count"] + length - 1])):
+                    at = a["first"]
+                    for column, x in zip(out, (a["gram"], doc_id, tag, at, a["count"], a["back"], data[at : at + a["count"] + length - 1])):
                         column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["gram", "doc_id", "first", "count", "back", "context"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["gram", "doc_id", "tag", "first", "count", "back", "context"])
 
     return run
 
@@ -285,10 +285,10 @@ def _decide(length: int):
 
     def run(batches):
         for table in whole_groups(batches, ("gram",), limit=2 << 20):
-            gram, docs, first = (table.column(c).to_numpy() for c in ("gram", "doc_id", "first"))
-            once = starts_of_runs(gram, docs, first)[:-1]  # rows that repeat an id bring their runs again
+            gram, docs, tags, first = (table.column(c).to_numpy() for c in ("gram", "doc_id", "tag", "first"))
+            once = starts_of_runs(gram, docs, tags, first)[:-1]  # rows that repeat an id bring their runs again
             if len(once) < len(gram):
-                table, gram, docs, first = table.take(pa.array(once)), gram[once], docs[once], first[once]
+                table, gram, docs, tags, first = table.take(pa.array(once)), gram[once], docs[once], tags[once], first[once]
             count, back = (table.column(c).to_numpy() for c in ("count", "back"))
             contexts = table.column("context").to_pylist()
             data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -297,7 +297,7 @@ def _decide(length: int):
             run_of = np.repeat(np.arange(len(count)), count)
             step = np.arange(len(run_of)) - np.repeat(np.cumsum(count) - count, count)
             group_key = np.unique(gram, return_inverse=True)[1][run_of] * 512 + (back[run_of] - step)
-            order = np.lexsort((first[run_of] + step, docs[run_of], group_key))
+            order = np.lexsort((first[run_of] + step, tags[run_of], docs[run_of], group_key))
             run_of, step, group_key = run_of[order], step[order], group_key[order]
             runs = starts_of_runs(group_key)
             alone = np.repeat(np.diff(runs) == 1, np.diff(runs))
@@ -330,7 +330,7 @@ def _decide(length: int):
             at = np.flatnonzero(cut)
             lengths = np.diff(np.append(at, len(order)))
             r = runs_marked[at]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[r]), pa.array(first[r] + steps[at]), pa.array(lengths.astype(np.int32))], names=["doc_id", "first", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs[r]), pa.array(tags[r]), pa.array(first[r] + steps[at]), pa.array(lengths.astype(np.int32))], names=["doc_id", "tag", "first", "count"])
 
     return run
 
@@ -354,35 +354,23 @@ def _bounded(runs: np.ndarray, most: int):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, spot, first, count): `count` neighbouring windows from byte `first` on that start earlier as well, in rows as
-    spotted() knows them; runs may overlap.
+    """(doc_id, tag, first, count): `count` neighbouring windows from byte `first` on that start earlier as well, in rows as
+    common.identified() knows them; runs may overlap.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    plain = spotted(docs)
-    runs = plain.mapInArrow(tidy(_run_batches(length)), "gram long, context long, doc_id long, place long")
+    plain = identified(docs)
+    runs = plain.mapInArrow(tidy(_run_batches(length)), "gram long, context long, doc_id long, tag long, place long")
     met = scratch.write(runs.repartition(F.col("gram")).sortWithinPartitions("gram").mapInArrow(tidy(_meet), _MARKS), "met")
     del runs
     collect_garbage(spark)
-    spot = F.col("first").bitwiseAND(F.lit(~PLACE)).alias("spot")
-    asked = met.where("NOT sure").groupBy("doc_id", spot).agg(F.collect_list(F.struct("gram", "first", "count", "back")).alias("asked"))
-    fetched = plain.where("text IS NOT NULL").join(asked.hint("shuffle_hash"), ["doc_id", "spot"]).select("doc_id", "text", "asked").mapInArrow(tidy(_fetch(length)), "gram long, doc_id long, first long, count int, back int, context binary")
-    decided = fetched.repartition(F.col("gram")).sortWithinPartitions("gram", "doc_id", "first").mapInArrow(tidy(_decide(length)), "doc_id long, first long, count int")
+    asked = met.where("NOT sure").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("gram", "first", "count", "back")).alias("asked"))
+    fetched = plain.where("text IS NOT NULL").join(asked.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "asked").mapInArrow(tidy(_fetch(length)), "gram long, doc_id long, tag long, first long, count int, back int, context binary")
+    decided = fetched.repartition(F.col("gram")).sortWithinPartitions("gram", "doc_id", "tag", "first").mapInArrow(tidy(_decide(length)), "doc_id long, tag long, first long, count int")
     more = scratch.write(decided, "decided")
     del fetched, decided, asked
     collect_garbage(spark)
-    every = met.where("sure").select("doc_id", "first", "count").unionByName(more)
-    return every.select("doc_id", spot, F.col("first").bitwiseAND(F.lit(PLACE)).alias("first"), "count")
-
-
-#: A row's tag within the number that orders places: texts that share an id stay apart, but for one in 2^SPOT_BITS.
-SPOT_BITS = 14
-PLACE = (1 << 31) - 1
-
-
-def spotted(docs: DataFrame) -> DataFrame:
-    """(doc_id, spot, text): rows as common.identified() knows them, with SPOT_BITS of the tag above a place in the text."""
-    return identified(docs).select("doc_id", F.shiftleft(F.pmod("tag", F.lit(1 << SPOT_BITS)), 31).alias("spot"), "text")
+    return met.where("sure").select("doc_id", "tag", "first", "count").unionByName(more)
 
 
 def _cut(length: int):
@@ -428,7 +416,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     different texts of one id are documents of their own. Rows without an id come behind all others.
     Matches never reach over documents.
     """
-    marks = repeated_spans(docs, length).groupBy("doc_id", "spot").agg(F.collect_list(F.struct("first", "count")).alias("marks"))
-    rows = spotted(docs).join(marks.hint("shuffle_hash"), ["doc_id", "spot"], "left")
+    marks = repeated_spans(docs, length).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("marks"))
+    rows = identified(docs).join(marks.hint("shuffle_hash"), ["doc_id", "tag"], "left")
     return rows.select(F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), "text", "marks").mapInArrow(tidy(_cut(length)), "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
 

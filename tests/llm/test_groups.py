@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from roadlark.llm import common, components, decontam, jaccard, lines, suffixes
-from roadlark.llm.common import lower_words_of
+from roadlark.llm.common import NO_ID, identified, lower_words_of
 
 from .conftest import SCHEMA, edited, sentence
 
@@ -266,6 +266,18 @@ def test_repeats_of_texts_that_share_an_id_and_of_rows_without_one(spark):
     assert {k for i, k, n in got if not n} == {a, b, c} and any(k.startswith("front ") and len(k) < 20 for _, k, n in got if n)
 
 
+@pytest.mark.parametrize("n", [2000])
+def test_repeats_of_many_rows_without_an_id_and_under_one(spark, n):
+    """Each row has one of 40 passages: all of them are left once, whatever the rows' ids."""
+    rng = random.Random(29)
+    passages = [sentence(rng, 30) for _ in range(40)]
+    rows = [(i, f"{sentence(rng, 2)} {rng.choice(passages)} {sentence(rng, rng.randint(1, 12))}") for i in [None] * n + [5] * n + list(range(20))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = [((r.doc_id, r.tag), r.text) for r in identified(table).collect()]
+    want = Counter((None if i == NO_ID else i, kept, len(spans)) for (i, _), (kept, spans) in slow_repeats(known, suffixes.LENGTH).items())
+    assert Counter((r.doc_id, bytes(r.kept), len(r.spans)) for r in suffixes.remove_repeats(table).collect()) == want
+
+
 def test_links_of_texts_that_share_an_id_and_of_rows_without_one(spark):
     rng = random.Random(23)
     a, b = sentence(rng, 60), sentence(rng, 60)
