@@ -6,10 +6,13 @@ its opposite of the same value into one undirected edge. `build_undirected` make
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.stable import numbered
+from ..schemas import POINTS
 
 
 def _low(a: str = "u", b: str = "v") -> Column:
@@ -20,23 +23,114 @@ def _high(a: str = "u", b: str = "v") -> Column:
     return F.greatest(a, b)
 
 
-def build_graph(arcs: DataFrame) -> DataFrame:
-    """(from_point, to_point, value, directed) of arcs (u, v, w) that may have `directed` (true) and `seq`, their order of
-    arrival; with it also `seq`, the first arrival of each edge.
+BUCKET = ("a", "b", "value")
+
+
+def graph_state(arcs: DataFrame) -> DataFrame:
+    """(a, b, value, first, up, down) of arcs (u, v, w) that may have `directed` (true) and `seq`, their order of arrival.
 
-    In each bucket of equal ends and value, loops left out: if the first arrival is undirected it stands as it is.
-    If it is directed and its opposite arrives as well, one undirected edge with ascending ends; else the arc.
-    One aggregation; arcs that are all directed need no order.
+    A row for each bucket of equal ends and value, loops left out: its first arrival, and whether directed ones came
+    either way. States merge in any order and grouping (`merge_states`).
     """
     rows = arcs.where("u <> v")
     directed = F.col("directed") if "directed" in arcs.columns else F.lit(True)
     seq = F.col("seq") if "seq" in arcs.columns else F.lit(0)
     rows = rows.select("u", "v", F.col("w").alias("value"), directed.alias("directed"), seq.alias("seq"))
-    up = F.coalesce(F.bool_or(F.when(F.col("directed"), F.col("u") < F.col("v"))), F.lit(False))
-    down = F.coalesce(F.bool_or(F.when(F.col("directed"), F.col("u") > F.col("v"))), F.lit(False))
-    bucket = rows.groupBy(_low().alias("a"), _high().alias("b"), "value").agg(F.min(F.struct("seq", "directed", "u", "v")).alias("first"), (up & down).alias("met"))
-    merged = F.col("first.directed") & F.col("met")
-    return bucket.select(F.when(merged, F.col("a")).otherwise(F.col("first.u")).alias("from_point"), F.when(merged, F.col("b")).otherwise(F.col("first.v")).alias("to_point"), "value", (F.col("first.directed") & ~F.col("met")).alias("directed"), *([F.col("first.seq").alias("seq")] if "seq" in arcs.columns else []))
+    way = lambda c: F.coalesce(F.bool_or(F.when(F.col("directed"), c)), F.lit(False))
+    return rows.groupBy(_low().alias("a"), _high().alias("b"), "value").agg(F.min(F.struct("seq", "directed", "u", "v")).alias("first"), way(F.col("u") < F.col("v")).alias("up"), way(F.col("u") > F.col("v")).alias("down"))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of all arrivals that the given states have seen."""
+    rows = states[0]
+    for s in states[1:]:
+        rows = rows.unionByName(s)
+    return rows.groupBy(*BUCKET).agg(F.min("first").alias("first"), F.bool_or("up").alias("up"), F.bool_or("down").alias("down"))
+
+
+def edges_of(state: DataFrame) -> DataFrame:
+    """(from_point, to_point, value, directed, seq): the edges that a state stands for, seq their first arrival.
+
+    If a bucket's first arrival is undirected it stands as it is. If it is directed and its opposite arrived as well,
+    one undirected edge with ascending ends; else the arc.
+    """
+    met = F.col("up") & F.col("down")
+    merged = F.col("first.directed") & met
+    return state.select(F.when(merged, F.col("a")).otherwise(F.col("first.u")).alias("from_point"), F.when(merged, F.col("b")).otherwise(F.col("first.v")).alias("to_point"), "value", (F.col("first.directed") & ~met).alias("directed"), F.col("first.seq").alias("seq"))
+
+
+def build_graph(arcs: DataFrame) -> DataFrame:
+    """(from_point, to_point, value, directed) of arcs (u, v, w) that may have `directed` (true) and `seq`, their order of
+    arrival; with it also `seq`, the first arrival of each edge. One aggregation; arcs that are all directed need no order.
+    """
+    edges = edges_of(graph_state(arcs))
+    return edges if "seq" in arcs.columns else edges.drop("seq")
+
+
+class GrowingGraph:
+    """A graph in a folder that points and arcs are added to: a batch writes its own state next to what is there.
+
+    Reading merges the states. When there are more than `most` of them they are compacted into one; the new set of files
+    is named in a small table that is written last, so a run that fails on the way changes nothing. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, most: int = 16):
+        self.spark, self.folder, self.most = spark, folder.rstrip("/"), most
+
+    def _parts(self, kind: str) -> list[str]:
+        """Folders of the current version of `edges` or `points`."""
+        at, files = self._at(f"{self.folder}/{kind}")
+        if not files.exists(at):
+            return []
+        versions = sorted((x.getPath().getName() for x in files.listStatus(at) if x.getPath().getName().startswith("v") and files.exists(self._at(f"{self.folder}/{kind}/{x.getPath().getName()}/_SUCCESS")[0])), key=lambda n: int(n[1:]))
+        return [r[0] for r in self.spark.read.schema("part string").json(f"{self.folder}/{kind}/{versions[-1]}").collect()] if versions else []
+
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _commit(self, kind: str, parts: list[str]) -> None:
+        at, files = self._at(f"{self.folder}/{kind}")
+        numbers = [int(x.getPath().getName()[1:]) for x in files.listStatus(at) if x.getPath().getName().startswith("v")] if files.exists(at) else []
+        self.spark.createDataFrame([(p,) for p in parts], "part string").coalesce(1).write.json(f"{self.folder}/{kind}/v{max(numbers, default=0) + 1}")
+
+    def _add(self, kind: str, rows: DataFrame, merged) -> None:
+        part = f"{self.folder}/{kind}/part-{uuid.uuid4().hex}"
+        rows.write.parquet(part)
+        parts = [*self._parts(kind), part]
+        if len(parts) > self.most:
+            whole = f"{self.folder}/{kind}/part-{uuid.uuid4().hex}"
+            merged(*[self.spark.read.parquet(p) for p in parts]).write.parquet(whole)
+            parts = [whole]
+        self._commit(kind, parts)
+
+    def add_arcs(self, arcs: DataFrame) -> None:
+        """Arcs as for build_graph, with `seq`; it orders arrivals over all batches."""
+        self._add("edges", graph_state(arcs.withColumn("seq", F.col("seq").cast("long"))), merge_states)
+
+    def add_points(self, points: DataFrame) -> None:
+        """Points behind those that are there; ids are not compared."""
+        self._add("points", points, lambda first, *rest: _all_rows(first, *rest))
+
+    def edges(self) -> DataFrame:
+        parts = self._parts("edges")
+        if not parts:
+            return self.spark.createDataFrame([], "from_point long, to_point long, value double, directed boolean, seq long")
+        return edges_of(merge_states(*[self.spark.read.parquet(p) for p in parts]))
+
+    def points(self) -> DataFrame:
+        parts = self._parts("points")
+        return _all_rows(*[self.spark.read.parquet(p) for p in parts]) if parts else self.spark.createDataFrame([], POINTS)
+
+    def follow(self, arcs: DataFrame, checkpoint: str, **trigger):
+        """Add the arcs of a stream, a batch at a time; a batch that comes again after a failure changes nothing, as states merge."""
+        return arcs.writeStream.foreachBatch(lambda batch, _: self.add_arcs(batch)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _all_rows(first: DataFrame, *rest: DataFrame) -> DataFrame:
+    for x in rest:
+        first = first.unionByName(x)
+    return first
 
 
 def accepted_events(arcs: DataFrame) -> DataFrame:
@@ -63,6 +157,22 @@ def point_by_id(points: DataFrame, point_id: int) -> DataFrame:
     return points.where(F.col("id") == point_id)
 
 
+def point_at(points: DataFrame, position: int, order: list[str] | None = None) -> DataFrame:
+    """The point at a position, from 1, in the order in which points were added (column `seq` or `line`, or as given); or no row.
+
+    Ids are not looked at: where ids are 1, 2, .. in that order it is the point of that id, else it may be another.
+    """
+    by = order or [c for c in ("seq", "line") if c in points.columns] or ["id"]
+    if position > MOST_TAKEN:
+        return numbered(points, [F.col(c) for c in by], "_place", 1).where(F.col("_place") == position).drop("_place")
+    first = points.orderBy(*by).limit(max(position, 0))
+    return first.withColumn("_place", F.row_number().over(Window.orderBy(*by))).where(F.col("_place") == position).drop("_place")
+
+
+#: Rows that a look-up by position may sort out in one task; beyond that rows are numbered by a distributed sort.
+MOST_TAKEN = 10_000
+
+
 def check_dense_ids(points: DataFrame) -> DataFrame:
     """One row: n, smallest, largest, distinct ids, and whether ids are 1..n once each, as positional look-ups presume."""
     told = points.agg(F.count("*").alias("n"), F.min("id").alias("smallest"), F.max("id").alias("largest"), F.countDistinct("id").alias("distinct_ids"))
@@ -164,13 +274,31 @@ def adjacency(undirected: DataFrame) -> DataFrame:
     return undirected.select(F.explode(F.array(way("src", "dst"), way("dst", "src"))).alias("e")).select("e.*")
 
 
-def two_hop_neighbors(undirected: DataFrame, include_one_hop: bool = True) -> DataFrame:
-    """(node_i, node_j), node_i < node_j, at most two edges apart."""
+#: Neighbours of a block, about; a node with more is met by pairs of blocks, each in a place of its own.
+HUB_BLOCK = 2048
+
+
+def wedge_blocks(steps: DataFrame, block: int = HUB_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Two tables (node, i, j, nbr) that meet on (node, i, j): all pairs of neighbours of each node, each pair in one such place.
+
+    Neighbours are dealt into blocks by a hash, and a node of n blocks has n (n + 1) / 2 places with about two blocks
+    of neighbours each, so a hub is as many places as its pairs call for and none is larger than a block by a block.
+    """
+    sizes = steps.groupBy("node").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = steps.join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("nbr"), F.col("blocks")).cast("int"))
+    left = dealt.select("node", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), "nbr")
+    right = dealt.select("node", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), "nbr")
+    return left, right
+
+
+def two_hop_neighbors(undirected: DataFrame, include_one_hop: bool = True, block: int = HUB_BLOCK) -> DataFrame:
+    """(node_i, node_j), node_i < node_j, at most two edges apart. A hub's pairs are made in blocks, not in one task."""
     steps = adjacency(undirected).select("node", "nbr").where("node <> nbr").distinct()
-    two = steps.alias("a").join(steps.alias("b"), F.col("a.nbr") == F.col("b.node")).select(F.col("a.node").alias("node_i"), F.col("b.nbr").alias("node_j"))
-    one = steps.select(F.col("node").alias("node_i"), F.col("nbr").alias("node_j"))
-    pairs = (two.unionByName(one) if include_one_hop else two.join(one, ["node_i", "node_j"], "left_anti")).where("node_i < node_j")
-    return pairs.distinct()
+    left, right = wedge_blocks(steps, block)
+    met = left.withColumnRenamed("nbr", "a").join(right.withColumnRenamed("nbr", "b"), ["node", "i", "j"]).where("i < j OR a < b")
+    two = met.select(F.least("a", "b").alias("node_i"), F.greatest("a", "b").alias("node_j")).distinct()
+    one = steps.select(F.col("node").alias("node_i"), F.col("nbr").alias("node_j")).where("node_i < node_j")
+    return two.unionByName(one).distinct() if include_one_hop else two.join(one, ["node_i", "node_j"], "left_anti")
 
 
 def grid_cells(points: DataFrame, delta: float) -> DataFrame:

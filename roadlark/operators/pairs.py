@@ -123,15 +123,48 @@ def services(paths: DataFrame) -> DataFrame:
     return paths.select(F.explode("nodes").alias("node"), "query_id").distinct()
 
 
+#: Words of 64 queries that a block has, and from how many with any query on a node's block is an array of all its words.
+BLOCK_WORDS, DENSE_WORDS = 64, 16
+
+
+def query_blocks(served: DataFrame) -> DataFrame:
+    """(node, block, n, words, all_words): the queries of a node as compressed bitmaps, by blocks of 4096 queries that are numbered without gaps.
+
+    `words` are the 64-bit words in which the node has any query, as a map from their place in the block; where they are
+    many they stand in `all_words`, an array with all words of the block, and `words` is null. `n` is the number of queries.
+    """
+    numbers = numbered(served.select("query_id").distinct(), [F.col("query_id")], "number")
+    at = served.join(numbers, "query_id").select("node", F.shiftright("number", 12).alias("block"), (F.shiftright("number", 6) % BLOCK_WORDS).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(number % 64 AS INT))").alias("bit"))
+    bits = at.groupBy("node", "block", "word").agg(F.bit_or("bit").alias("bits"))
+    blocks = bits.groupBy("node", "block").agg(F.sum(F.bit_count("bits")).alias("n"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("found"))
+    dense = F.size("found") >= DENSE_WORDS
+    every = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1)), lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0).cast("long")))
+    return blocks.select("node", "block", "n", F.when(~dense, F.col("found")).alias("words"), F.when(dense, every).alias("all_words"))
+
+
+def _shared(p: str, p_all: str, q: str, q_all: str) -> Column:
+    """Bits that two blocks have in common: word by word, or by the words of the one with fewer."""
+    zero = F.lit(0).cast("long")
+    count = lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")
+    both = F.aggregate(F.zip_with(p_all, q_all, count), zero, lambda n, x: n + x)
+    few = lambda words, other: F.aggregate(F.map_entries(words), zero, lambda n, e: n + count(e["value"], other(e["key"])))
+    at, of = (lambda c: lambda key: F.element_at(F.col(c), key + 1)), (lambda c: lambda key: F.coalesce(F.try_element_at(F.col(c), key), zero))
+    dense = F.col(p_all).isNotNull(), F.col(q_all).isNotNull()
+    return F.when(dense[0] & dense[1], both).when(dense[0], few(q, at(p_all))).when(dense[1], few(p, at(q_all))).otherwise(few(p, of(q)))
+
+
 def service_jaccard(served: DataFrame, candidates: DataFrame, least: float = 0.0) -> DataFrame:
     """(node_i, node_j, shared, jaccard) of candidate pairs: queries that pass both over queries that pass either.
 
-    Only candidates are counted, so a query's path is never squared.
+    A pair meets once for each block of queries that both nodes have, whatever their number of queries; only candidates
+    are counted, so a query's path is never squared.
     """
-    sizes = served.groupBy("node").agg(F.count("*").alias("n"))
+    blocks = stable(query_blocks(served))
+    sizes = blocks.groupBy("node").agg(F.sum("n").alias("n"))
     pairs = candidates.select("node_i", "node_j").distinct()
-    both = pairs.join(served.select(F.col("node").alias("node_i"), "query_id"), "node_i").join(served.select(F.col("node").alias("node_j"), "query_id"), ["node_j", "query_id"])
-    shared = both.groupBy("node_i", "node_j").agg(F.count("*").alias("shared"))
+    left, right = blocks.drop("n").toDF("node_i", "block", "p", "p_all"), blocks.drop("n").toDF("node_j", "block", "q", "q_all")
+    met = pairs.join(left, "node_i").join(right, ["node_j", "block"])
+    shared = met.groupBy("node_i", "node_j").agg(F.sum(_shared("p", "p_all", "q", "q_all")).alias("shared"))
     told = pairs.join(shared, ["node_i", "node_j"], "left").join(sizes.select(F.col("node").alias("node_i"), F.col("n").alias("ni")), "node_i").join(sizes.select(F.col("node").alias("node_j"), F.col("n").alias("nj")), "node_j")
     s = F.coalesce("shared", F.lit(0))
     return told.select("node_i", "node_j", s.alias("shared"), (s / (F.col("ni") + F.col("nj") - s)).alias("jaccard")).where(F.col("jaccard") >= least)

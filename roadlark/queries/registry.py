@@ -109,6 +109,34 @@ def graph_merge_mixed_events(spark, sf_dir):
     return graph.build_graph(_events(spark, sf_dir)).drop("seq")
 
 
+@query(
+    f"""WITH {_BUCKETS}, m AS (SELECT a, b, w, bool_or(opposite) AS met, any_value(fd) AS fd, any_value(fu) AS fu, any_value(fv) AS fv, min(seq) AS seq FROM h GROUP BY 1, 2, 3)
+    SELECT CASE WHEN met THEN a ELSE fu END AS from_point, CASE WHEN met THEN b ELSE fv END AS to_point, w AS value, fd AND NOT met AS directed, seq FROM m"""
+)
+def graph_append_events(spark, sf_dir):
+    """The same arrivals in four batches, each added to the graph that stands; compacted on the way."""
+    events = _events(spark, sf_dir)
+    grown = graph.GrowingGraph(spark, f"{d.shared_folder(spark)}/roadlark-text/{d.uuid.uuid4().hex}", most=2)
+    step = events.agg(F.max("seq")).first()[0] // 4 + 1
+    for k in range(4):
+        grown.add_arcs(events.where((F.col("seq") >= k * step) & (F.col("seq") < (k + 1) * step)))
+    return grown.edges()
+
+
+@query(f"WITH {d.MERGED} SELECT id FROM gpoints UNION ALL SELECT c_custkey + 1 AS id FROM customer")
+def graph_append_points(spark, sf_dir):
+    grown = graph.GrowingGraph(spark, f"{d.shared_folder(spark)}/roadlark-text/{d.uuid.uuid4().hex}")
+    grown.add_points(d.merge_points(spark, sf_dir))
+    grown.add_points(graph.add_points(d.merge_points(spark, sf_dir).limit(0), d.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("id"))))
+    return grown.points()
+
+
+@query(f"WITH {d.MERGED} SELECT id FROM gpoints ORDER BY id LIMIT 1 OFFSET 6")
+def graph_point_at(spark, sf_dir):
+    """By position: the seventh point, whatever its id."""
+    return graph.point_at(d.merge_points(spark, sf_dir), 7)
+
+
 @query(f"WITH {d.MERGED} SELECT 'test' AS info, (SELECT count(*) FROM gpoints) AS num_points, count(*) FILTER (directed) AS num_directed_edges, count(*) FILTER (NOT directed) AS num_undirected_edges, count(*) AS num_total_edges FROM gedges")
 def graph_summary(spark, sf_dir):
     return graph.summary(d.merge_points(spark, sf_dir), graph.build_graph(d.merge_arcs(spark, sf_dir)), "test")
