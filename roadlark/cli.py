@@ -16,9 +16,9 @@ def _points(spark: SparkSession, path: str):
     return sources.read_points(spark, path, allow_empty=False).select(F.col("id").alias("node"), F.col("x_loc").alias("lon"), F.col("y_loc").alias("lat"))
 
 
-def _write_layers(tables: dict, folder: str) -> None:
-    for name, table in tables.items():
-        sources.write_table(table, f"{folder}/{name}")
+def _report(spark: SparkSession, counted: dict[str, int], where: str) -> None:
+    plans.one_row(spark, counted).show(truncate=False)
+    print(f"Output: {where}")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
 
     command("summary", ("coords", ""), ("graph", ""), ("info", "graph"))
     command("workload", ("coords", ""), ("output-dir", ""), ("train-size", 10_000), ("test-size", 2_000), ("num-hotspots", 20), ("nodes-per-hotspot", 800), ("seed", 42))
-    command("samples", ("coords", ""), ("graph", ""), ("queries", ""), ("output-dir", ""), ("seed", 42), ("max-queries", -1))
+    command("samples", ("coords", ""), ("graph", ""), ("queries", ""), ("output-dir", ""), ("seed", 42), ("max-queries", -1), ("workers", 0), ("chunk-size", 100))
     command("pairs", ("coords", ""), ("graph", ""), ("queries", ""), ("output-dir", ""), ("seed", 42), ("window", 3))
     command("points", ("input", ""), ("output", ""))
     command("hotspots", ("coords", ""), ("hotspots", ""), ("output", ""))
@@ -47,25 +47,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         plans.graph_summary(spark, a.coords, a.graph, a.info).show(truncate=False)
     elif a.command == "workload":
         tables = plans.generate_workload(spark, a.coords, a.train_size, a.test_size, a.num_hotspots, a.nodes_per_hotspot, a.seed)
-        for name, folder, order in (("hotspots", "hotspots", "hotspot_id"), ("train", "queries_train", "query_id"), ("test", "queries_test", "query_id")):
-            sources.write_table(tables[name], f"{a.output_dir}/{folder}", "csv", order)
+        _report(spark, plans.write_workload(tables, a.output_dir), a.output_dir)
     elif a.command == "samples":
-        tables = plans.frequency_samples(spark, a.coords, a.graph, a.queries, a.seed, None if a.max_queries < 0 else a.max_queries)
-        plans.write_samples(tables, a.output_dir)
-        plans.write_layers(tables, tables["universe"], a.output_dir)
-        tables["summary"].show()
+        tables = plans.frequency_samples(spark, a.coords, a.graph, a.queries, a.seed, None if a.max_queries < 0 else a.max_queries, a.workers or None, a.chunk_size)
+        counted = plans.write_samples(tables, a.output_dir)
+        plans.write_layers(layers.sample_layers(tables["universe"], tables["nodes"], tables["edges"]), a.output_dir, "layers_")
+        _report(spark, counted, a.output_dir)
     elif a.command == "pairs":
         tables = plans.frequency_samples(spark, a.coords, a.graph, a.queries, a.seed)
-        plans.write_pairs(tables, plans.pair_tables(tables["undirected"], tables["paths"], a.window, seed=a.seed), a.output_dir)
+        _report(spark, plans.write_pairs(tables, plans.pair_tables(tables["undirected"], tables["paths"], a.window, seed=a.seed), a.output_dir), a.output_dir)
     elif a.command == "points":
-        p = _points(spark, a.input)
-        print(layers.title(a.input, p.count()))
-        _write_layers({"points": layers.point_layer(p)}, a.output)
+        counted = plans.write_layers({"points": layers.point_layer(_points(spark, a.input))}, a.output, "")
+        print(layers.title(a.input, counted["points"]))
+        _report(spark, counted, a.output)
     elif a.command == "hotspots":
-        _write_layers(layers.hotspot_layers(_points(spark, a.coords), sources.read_hotspots(spark, a.hotspots)), a.output)
+        counted = plans.write_layers(layers.hotspot_layers(_points(spark, a.coords), sources.read_hotspots(spark, a.hotspots)), a.output)
+        _report(spark, {"points": counted["base"], "hotspots": counted["centers"]}, a.output)
     else:
         nodes, edges = sources.read_node_samples(spark, a.node_counts, None), sources.read_edge_samples(spark, a.edge_counts, None)
-        _write_layers(layers.combined_layers(_points(spark, a.coords), sources.read_hotspots(spark, a.hotspots), nodes, edges), a.output)
+        counted = plans.write_layers(layers.combined_layers(_points(spark, a.coords), sources.read_hotspots(spark, a.hotspots), nodes, edges), a.output)
+        _report(spark, {"hotspots": counted["centers"], "positive_nodes": counted["positive_nodes"], "positive_edges": counted["positive_edges"]}, a.output)
 
 
 if __name__ == "__main__":

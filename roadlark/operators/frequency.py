@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import random
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draw
-from ..plans.stable import numbered, stable
+from ..plans.stable import nth_smallest, numbered, smallest, stable
 
 
 def origin_counts(queries: DataFrame) -> DataFrame:
@@ -55,40 +57,80 @@ def share(n: int) -> int:
 
 
 def top_decile(table: DataFrame, key: str, value: str = "pass_count") -> DataFrame:
-    """The tenth of the rows with the highest values, ties by ascending key; rows with 0 may be among them."""
-    return _ranked(table, key, value).where(F.col("_rank") < F.col("_k")).drop("_rank", "_k")
+    """The tenth of the rows with the highest values, ties by ascending key; rows with 0 may be among them.
 
+    Both columns are integers, and keys tell rows apart. The edge of the tenth is found by histograms of values, then of
+    the keys that tie there, so no row is sorted or moved.
+    """
+    rows = stable(table)
+    n = rows.count()
+    return rows.where(_top(rows, share(n), key, value)) if n else rows
 
-def _ranked(table: DataFrame, key: str, value: str) -> DataFrame:
-    rows = numbered(table, [F.desc(value), F.asc(key)], "_rank")
-    return rows.withColumn("_k", F.lit(share(rows.count())))
+
+def _top(rows: DataFrame, n: int, key: str, value: str) -> Column:
+    """The condition that holds for the n rows with the highest values, ties by ascending key."""
+    turned = rows.select(F.col(key).alias("_key"), (-F.col(value)).alias("_value"))
+    edge = nth_smallest(turned, "_value", n)
+    ties = n - turned.where(F.col("_value") < edge).count()
+    last = nth_smallest(turned.where(F.col("_value") == edge), "_key", ties)
+    return (F.col(value) > -edge) | ((F.col(value) == -edge) & (F.col(key) <= last))
 
 
 def sample_negatives(candidates: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n candidates (all, if they are fewer) by a draw on their key."""
-    drawn = numbered(candidates.withColumn("_d", draw(key, seed)), [F.col("_d"), F.col(key)], "_rank")
-    return drawn.where(F.col("_rank") < n).drop("_d", "_rank")
+    drawn = stable(candidates.withColumn("_d", draw(key, seed)))
+    if n >= drawn.count():
+        return candidates
+    return drawn.where(smallest(drawn, n, "_d", key) if n else F.lit(False)).drop("_d")
 
 
 def sample_negatives_like_random(candidates: DataFrame, key: str, n: int, rng: random.Random) -> DataFrame:
-    """The rows that Python's `rng.sample` takes from the candidates in ascending order of key; the n ranks are drawn on the driver."""
+    """The rows that Python's `rng.sample` takes from the candidates in ascending order of key. The ranks are drawn in a task,
+    in one row of draws as the generator has but one; `rng` goes on from where that stopped."""
     rows = numbered(candidates, [F.col(key)], "_rank")
     total = rows.count()
     if n >= total:
         return rows.drop("_rank")
-    ranks = candidates.sparkSession.createDataFrame([(r,) for r in rng.sample(range(total), n)], "_rank long")
-    return rows.join(ranks, "_rank", "left_semi").drop("_rank")
+    return rows.join(_ranks_like_random(candidates, rng, total, n), "_rank", "left_semi").drop("_rank")
+
+
+def _ranks_like_random(rows: DataFrame, rng: random.Random, total: int, n: int) -> DataFrame:
+    state = pickle.dumps(rng.getstate())
+
+    def run(batches):
+        for _ in batches:
+            own = random.Random()
+            own.setstate(pickle.loads(state))
+            ranks = own.sample(range(total), n)
+            for k in range(0, n, 100_000):
+                yield pd.DataFrame({"_rank": ranks[k : k + 100_000], "_state": None})
+            yield pd.DataFrame({"_rank": [-1], "_state": [pickle.dumps(own.getstate())]})
+
+    told = stable(rows.sparkSession.range(0, 1, 1, 1).mapInPandas(run, "_rank long, _state binary"))
+    rng.setstate(pickle.loads(bytes(told.where("_rank < 0").first()["_state"])))
+    return told.where("_rank >= 0").select("_rank")
 
 
 def label(table: DataFrame, key: str, value: str = "pass_count", seed: int = 42, rng: random.Random | None = None) -> DataFrame:
-    """All rows with label (1 for the top tenth, else 0) and sample_role (positive, negative, unused); as many negatives as positives."""
-    ranked = stable(_ranked(table, key, value).withColumn("_positive", F.col("_rank") < F.col("_k")))
-    n = ranked.where("_positive").count()
-    rest = ranked.where("NOT _positive").select(key)
-    negatives = sample_negatives(rest, key, n, seed) if rng is None else sample_negatives_like_random(rest, key, n, rng)
-    told = ranked.join(negatives.withColumn("_negative", F.lit(True)), key, "left")
-    role = F.when(F.col("_positive"), "positive").when(F.col("_negative"), "negative").otherwise("unused")
-    return told.withColumn("label", F.when(F.col("_positive"), 1).otherwise(0)).withColumn("sample_role", role).select(*table.columns, "label", "sample_role")
+    """All rows with label (1 for the top tenth, else 0) and sample_role (positive, negative, unused); as many negatives as positives.
+
+    Both kinds are conditions on a row's own value, key and draw, so rows stay where they are.
+    """
+    rows = stable(table)
+    total = rows.count()
+    if not total:
+        return rows.withColumn("label", F.lit(0)).withColumn("sample_role", F.lit("unused"))
+    n = share(total)
+    positive = _top(rows, n, key, value)
+    if rng is not None:
+        drawn = sample_negatives_like_random(rows.where(~positive).select(key), key, n, rng)
+        rows, negative = rows.join(drawn.withColumn("_negative", F.lit(True)), key, "left"), F.coalesce(F.col("_negative"), F.lit(False))
+    else:
+        rows = rows.withColumn("_draw", draw(key, seed))
+        rest = rows.where(~positive).select("_draw", key)
+        negative = smallest(rest, n, "_draw", key) if n < total - n else F.lit(True)
+    role = F.when(positive, "positive").when(negative, "negative").otherwise("unused")
+    return rows.withColumn("label", F.when(positive, 1).otherwise(0)).withColumn("sample_role", role).select(*table.columns, "label", "sample_role")
 
 
 def label_by_threshold(table: DataFrame, positive_from: int = 1, negative_to: int = 0, value: str = "pass_count") -> DataFrame:

@@ -44,9 +44,9 @@ def positive_pairs(counts: DataFrame, kind: str = "log_product") -> DataFrame:
     return counts.select("node_i", "node_j", F.lit(1).alias("label"), strength().alias("strength"), weight(kind).alias("weight"), "cooccur_count", "query_count", F.lit("path_window").alias("source"))
 
 
-def _negatives(pairs: DataFrame, source: str) -> DataFrame:
+def _negatives(pairs: DataFrame, source: str | Column) -> DataFrame:
     zero = F.lit(0).cast("long")
-    return pairs.select("node_i", "node_j", F.lit(0).alias("label"), F.lit("negative").alias("strength"), F.lit(1.0).alias("weight"), zero.alias("cooccur_count"), zero.alias("query_count"), F.lit(source).alias("source"))
+    return pairs.select("node_i", "node_j", F.lit(0).alias("label"), F.lit("negative").alias("strength"), F.lit(1.0).alias("weight"), zero.alias("cooccur_count"), zero.alias("query_count"), (F.lit(source) if isinstance(source, str) else source).alias("source"))
 
 
 def _some(pairs: DataFrame, n: int | None, seed: int) -> DataFrame:
@@ -74,36 +74,45 @@ def area_negatives(points: DataFrame, counts: DataFrame, delta: float, n: int |
     return _negatives(_some(pairs.join(counts.select("node_i", "node_j"), ["node_i", "node_j"], "left_anti"), n, seed), "hard_negative")
 
 
-#: How often random_negatives doubles its draws when pairs turn out equal, repeated or held by a window.
-MOST_DOUBLINGS = 8
-
-
 def random_negatives(nodes: DataFrame, counts: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n pairs of different nodes (column `node`) that no path window holds together: the first of a row of draws, each once.
 
-    They are fewer only where n * 2^MOST_DOUBLINGS draws have no more, as on graphs of a few nodes.
+    Where half of all such pairs or more are asked for, all are listed and drawn from, so they are fewer only if there are no more.
     """
     ranked = stable(numbered(nodes.select("node").distinct(), [F.col("node")], "rank"))
     total = ranked.count()
-    if total < 2:
-        return _negatives(counts.select("node_i", "node_j").limit(0), "random_negative")
+    held = stable(counts.select("node_i", "node_j"))
+    spark, every = nodes.sparkSession, total * (total - 1) // 2
+    if total < 2 or not n:
+        return _negatives(held.limit(0), "random_negative")
+    named = lambda pairs: pairs.join(ranked.select(F.col("rank").alias("a"), F.col("node").alias("node_i")), "a").join(ranked.select(F.col("rank").alias("b"), F.col("node").alias("node_j")), "b").join(held, ["node_i", "node_j"], "left_anti")
     draws = n
-    for _ in range(MOST_DOUBLINGS):
+    while every > 2 * (n + held.count()) and draws <= 16 * every:
         draws *= 2
-        drawn = nodes.sparkSession.range(1, draws + 1).select("id", F.expr(uniform_sql("id", seed, str(total))).alias("a"), F.expr(uniform_sql("id", seed + 1, str(total))).alias("b")).where("a <> b")
+        drawn = spark.range(1, draws + 1).select("id", F.expr(uniform_sql("id", seed, str(total))).alias("a"), F.expr(uniform_sql("id", seed + 1, str(total))).alias("b")).where("a <> b")
         pairs = drawn.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("id").alias("id"))
-        named = pairs.join(ranked.select(F.col("rank").alias("a"), F.col("node").alias("node_i")), "a").join(ranked.select(F.col("rank").alias("b"), F.col("node").alias("node_j")), "b")
-        found = stable(named.join(counts.select("node_i", "node_j"), ["node_i", "node_j"], "left_anti").orderBy("id").limit(n).select("node_i", "node_j"))
+        found = stable(named(pairs).orderBy("id").limit(n).select("node_i", "node_j"))
         if found.count() == n:
-            break
-    return _negatives(found, "random_negative")
+            return _negatives(found, "random_negative")
+    # pairs are no more than what is asked for and held, or than what was drawn; number x is the ranks a < b with x = b (b - 1) / 2 + a
+    b = F.floor((1 + F.sqrt(1 + 8 * F.col("x").cast("double"))) / 2).cast("long")
+    near = spark.range(every).withColumnRenamed("id", "x").withColumn("b", b)
+    near = near.withColumn("b", F.when(F.expr("b * (b - 1) div 2 > x"), F.col("b") - 1).when(F.expr("(b + 1) * b div 2 <= x"), F.col("b") + 1).otherwise(F.col("b")))
+    pairs = named(near.select(F.expr("x - b * (b - 1) div 2").alias("a"), "b"))
+    return _negatives(_some(pairs.select("node_i", "node_j"), n, seed), "random_negative")
 
 
 def pair_samples(counts: DataFrame, *negatives: DataFrame, kind: str = "log_product") -> DataFrame:
+    """Positive pairs, and the pairs of all negatives: each once, from the first table that has it; none that is positive."""
     out = positive_pairs(counts, kind)
-    for n in negatives:
-        out = out.unionByName(n)
-    return out
+    if not negatives:
+        return out
+    told = None
+    for k, n in enumerate(negatives):
+        rows = n.select("node_i", "node_j", F.struct(F.lit(k).alias("at"), "source").alias("s"))
+        told = rows if told is None else told.unionByName(rows)
+    once = told.groupBy("node_i", "node_j").agg(F.min("s").alias("s")).join(counts.select("node_i", "node_j"), ["node_i", "node_j"], "left_anti")
+    return out.unionByName(_negatives(once, F.col("s.source")))
 
 
 def ppmi(counts: DataFrame, least: float = 0.0) -> DataFrame:

@@ -15,11 +15,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..plans.stable import stable
-from ..schemas import PATHS
+from ..schemas import PATH_STEPS, PATHS
 from . import stepping
 from .graph import adjacency
 
@@ -185,19 +186,19 @@ def _fits(table: DataFrame) -> bool:
     return table.limit(MOST_BROADCAST_EDGES + 1).count() <= MOST_BROADCAST_EDGES
 
 
-def trace_paths(undirected: DataFrame, queries: DataFrame, method: str = "auto", points: DataFrame | None = None, scale: float = 0.0) -> DataFrame:
+def trace_paths(undirected: DataFrame, queries: DataFrame, method: str = "auto", points: DataFrame | None = None, scale: float = 0.0, tasks: int | None = None) -> DataFrame:
     """(query_id, origin, destination, count, reachable, distance, nodes, edges) for each query.
 
     Unreachable queries have a null distance and empty lists. An origin that is its destination has distance 0,
     one node and no edge, even if no edge names it. With `points` and `scale` the search is led towards the destination;
-    more points than the checked size are not sent, which changes no row.
+    more points than the checked size are not sent, which changes no row. `tasks` sets how many tasks search.
     """
     if method == "auto":
         method = "arrow" if _fits(undirected) else "relax"
     if points is not None and not _fits(points):
         points = None
     asked = queries.select(*(F.col(c).cast("long") for c in ("query_id", "origin", "destination", "count")))
-    return _trace_arrow(undirected, asked, points, scale) if method == "arrow" else _trace_relax(undirected, asked)
+    return _trace_arrow(undirected, asked, points, scale, tasks) if method == "arrow" else _trace_relax(undirected, asked)
 
 
 #: Searches of a task and queries of an origin that one task answers, about.
@@ -205,7 +206,7 @@ SEARCHES_PER_TASK, QUERIES_PER_TASK = 200, 20_000
 TASKS_PER_CORE = 4
 
 
-def _dealt(rows: DataFrame, by: str) -> DataFrame:
+def _dealt(rows: DataFrame, by: str, tasks: int | None = None) -> DataFrame:
     """Rows dealt to tasks by the column: enough tasks for all cores, and more where there are more searches than they should take.
 
     The number is given, so adaptive execution doesn't merge tasks that are small in bytes but long in searches. An origin
@@ -214,7 +215,7 @@ def _dealt(rows: DataFrame, by: str) -> DataFrame:
     sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
     told = sizes.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(told[0], max(TASKS_PER_CORE * cores, told[0] // SEARCHES_PER_TASK)))
+    tasks = tasks or max(1, min(told[0], max(TASKS_PER_CORE * cores, told[0] // SEARCHES_PER_TASK)))
     if told[1] <= QUERIES_PER_TASK:
         return rows.repartition(tasks, by)
     hot = sizes.where(F.col("n") > QUERIES_PER_TASK).withColumn("_parts", F.ceil(F.col("n") / QUERIES_PER_TASK)).drop("n")
@@ -223,7 +224,7 @@ def _dealt(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(hot, by, "left").withColumn("_part", part).repartition(tasks + extra, by, "_part").select(*rows.columns)
 
 
-def _trace_arrow(undirected: DataFrame, asked: DataFrame, points: DataFrame | None, scale: float) -> DataFrame:
+def _trace_arrow(undirected: DataFrame, asked: DataFrame, points: DataFrame | None, scale: float, tasks: int | None) -> DataFrame:
     shared, most = undirected.sparkSession.sparkContext.broadcast(_collected_rows(undirected, points, scale)), MOST_PAIRWISE
 
     def run(batches):
@@ -247,7 +248,7 @@ def _trace_arrow(undirected: DataFrame, asked: DataFrame, points: DataFrame | No
                         out.append((q.query_id, q.origin, q.destination, q.count_, False, None, [], []))
             yield pd.DataFrame(out, columns=["query_id", "origin", "destination", "count", "reachable", "distance", "nodes", "edges"])
 
-    return _dealt(asked.withColumnRenamed("count", "count_"), "origin").sortWithinPartitions("origin", "query_id").mapInPandas(run, PATHS)
+    return _dealt(asked.withColumnRenamed("count", "count_"), "origin", tasks).sortWithinPartitions("origin", "query_id").mapInPandas(run, PATHS)
 
 
 def distances(undirected: DataFrame, sources: DataFrame, method: str = "auto") -> DataFrame:
@@ -308,3 +309,31 @@ def _trace_relax(undirected: DataFrame, asked: DataFrame) -> DataFrame:
 def path_text(paths: DataFrame) -> DataFrame:
     """(query_id, origin, destination, distance, path): node ids joined by spaces."""
     return paths.select("query_id", "origin", "destination", "distance", F.array_join("nodes", " ").alias("path"))
+
+
+class PathSteps:
+    """Table function: a row for each node of a path, and the edge by which the path leaves it; the last has none."""
+
+    @staticmethod
+    def analyze(paths) -> "AnalyzeResult":
+        from pyspark.sql.udtf import AnalyzeResult
+
+        have = {f.name for f in paths.dataType.fields} if paths.isTable else set()
+        if not {"query_id", "nodes", "edges"} <= have:
+            raise ValueError("path_steps takes a table with query_id, nodes and edges")
+        return AnalyzeResult(PATH_STEPS)
+
+    def eval(self, row):
+        edges = row["edges"]
+        for pos, node in enumerate(row["nodes"]):
+            yield row["query_id"], pos, node, edges[pos] if pos < len(edges) else None
+
+
+def path_steps(paths: DataFrame) -> DataFrame:
+    """(query_id, pos, node, edge_index) of traced paths (query_id, nodes, edges): nodes and edges in one pass."""
+    return udtf(PathSteps)(paths.select("query_id", "nodes", "edges").asTable())
+
+
+def register_path_steps(spark: SparkSession) -> None:
+    """For SQL: SELECT * FROM path_steps(TABLE(paths))."""
+    spark.udtf.register("path_steps", udtf(PathSteps))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,43 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stable_counted(df: DataFrame, **counters: Column) -> tuple[DataFrame, dict[str, int]]:
+    """The same rows from a table in the shared folder, and aggregates over them that were counted while it was written."""
+    path, seen = Tables(df.sparkSession, "kept").path("rows"), Observation()
+    df.observe(seen, *[c.alias(n) for n, c in counters.items()]).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), dict(seen.get)
+
+
+#: Cells of a histogram when values are searched for by rank.
+CELLS = 4096
+
+
+def nth_smallest(rows: DataFrame, value: str, n: int) -> int:
+    """The n-th smallest of an integer column, from 1, equal values counted each; rows are read a few times and never sorted.
+
+    A histogram of at most CELLS cells tells the cell that holds it, and the next one cuts that cell, until it is one value.
+    """
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    while low < high:
+        width = (high - low) // CELLS + 1
+        cell = F.floor((F.col(value) - F.lit(low)) / F.lit(width)) if high - low < 1 << 52 else F.expr(f"(CAST({value} AS DECIMAL(20, 0)) - {low}) div {width}")
+        counts = sorted(tuple(r) for r in rows.where(F.col(value).between(low, high)).groupBy(cell.cast("long").alias("cell")).count().collect())
+        for k, size in counts:
+            if n <= size:
+                low, high = low + k * width, min(high, low + (k + 1) * width - 1)
+                break
+            n -= size
+    return low
+
+
+def smallest(rows: DataFrame, n: int, value: str, key: str) -> Column:
+    """The condition that holds for the n rows (n of at least 1, at most all) with the least values, ties by key; both are integers, keys tell rows apart."""
+    edge = nth_smallest(rows, value, n)
+    ties = n - rows.where(F.col(value) < edge).count()
+    last = nth_smallest(rows.where(F.col(value) == edge), key, ties)
+    return (F.col(value) < edge) | ((F.col(value) == edge) & (F.col(key) <= last))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
     """Rows numbered from `start` in the given order, without gaps and without one task that sees them all.
 

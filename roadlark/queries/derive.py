@@ -53,13 +53,18 @@ def merge_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + F.floor(F.col("s_suppkey") / 2) + 1).alias("id"))
 
 
-def text_files(lines: DataFrame) -> str:
+def text_files(lines: DataFrame, compression: str | None = None) -> str:
     """Write lines (column value) as text files into the shared folder; the path."""
-    path = f"{shared_folder(lines.sparkSession)}/roadlark-text/{uuid.uuid4().hex}"
-    lines.select("value").write.text(path)
+    path = folder(lines.sparkSession)
+    lines.select("value").write.text(path, compression=compression)
     return path
 
 
+def folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/roadlark-text/{uuid.uuid4().hex}"
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return e.select((F.col("vec_id") + 1).alias("node"), F.col("embedding")[0].cast("double").alias("lon"), F.col("embedding")[1].cast("double").alias("lat"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import draw_sql, uniform_sql
 from ..operators import frequency, graph, layers, overlay, pairs, paths, workload
 from ..plans.stable import stable
-from ..sources import declared_counts, numbered_lines, points_universe, read_arcs, read_points, read_queries, read_unit_edges, write_table
+from ..plans import frequency_samples as plans
+from ..sources import declared_counts, numbered_lines, points_universe, read_arcs, read_edge_samples, read_edges, read_hotspots, read_node_samples, read_nodes, read_points, read_queries, read_roads, read_unit_edges, scale_paths, write_table
 from . import derive as d
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +32,15 @@ def query(sql: str | None = None):
 # Sources
 
 
-def _file(df: DataFrame, *parts, head: tuple[str, ...]) -> str:
+def _file(df: DataFrame, *parts, head: tuple[str, ...], compression: str | None = None) -> str:
     """Lines of text, written to the shared folder as files."""
     lines = df.select(F.concat_ws(" ", *parts).alias("value"))
-    return d.text_files(df.sparkSession.createDataFrame([(h,) for h in head], "value string").unionByName(lines))
+    return d.text_files(df.sparkSession.createDataFrame([(h,) for h in head], "value string").unionByName(lines), compression)
+
+
+def _arc_file(spark, sf_dir, compression=None) -> str:
+    n, m = d.n_nodes(spark, sf_dir), d.table(spark, sf_dir, "orders").count()
+    return _file(d.road_arcs(spark, sf_dir), F.lit("a"), "u", "v", F.col("w").cast("long").cast("string"), head=("c sample", f"p sp {n} {m}"), compression=compression)
 
 
 @query(f"WITH {d.POINTS} SELECT node AS id, floor(lon * 1e6) / 1e6 AS x_loc, floor(lat * 1e6) / 1e6 AS y_loc FROM pts")
@@ -74,6 +80,50 @@ def points_universe_filled(spark, sf_dir):
     return points_universe(early.unionByName(late))
 
 
+@query(f"WITH {d.ARCS} SELECT u, v, w FROM arcs")
+def arcs_scan_gzip(spark, sf_dir):
+    return read_arcs(spark, _arc_file(spark, sf_dir, "gzip")).select("u", "v", "w")
+
+
+@query(f"WITH {d.ARCS} SELECT u, v, w FROM arcs")
+def arcs_source(spark, sf_dir):
+    """By the data source, files cut into ranges of 64 KB."""
+    return read_roads(spark, _arc_file(spark, sf_dir), "arcs", 1 << 16).select("u", "v", "w")
+
+
+@query("SELECT 'a' AS tag, count(*) AS n FROM orders UNION ALL SELECT 'p', 1")
+def line_tags_source(spark, sf_dir):
+    """Lines by tag; the filter on tags is done in the scan."""
+    lines = read_roads(spark, _arc_file(spark, sf_dir), "lines", 1 << 16).where(F.col("tag").isin("a", "p"))
+    return lines.groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'arcs' AS kind, (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM orders) AS m")
+def declared_counts_source(spark, sf_dir):
+    return read_roads(spark, _arc_file(spark, sf_dir), "problem").select("kind", "n", "m")
+
+
+@query(f"WITH {d.POINTS}, {d.ARCS} SELECT 'node' AS kind, node AS a, NULL::BIGINT AS b, lon AS x, lat AS y FROM pts UNION ALL SELECT 'edge', u, v, w, NULL::DOUBLE FROM arcs")
+def normalised_tables(spark, sf_dir):
+    """Node and edge tables, written as CSV and read again."""
+    nodes, edges = d.folder(spark), d.folder(spark)
+    write_table(d.points(spark, sf_dir), nodes, "csv")
+    write_table(d.road_arcs(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("weight")), edges, "csv")
+    none = lambda kind: F.lit(None).cast(kind)
+    a = read_nodes(spark, nodes).select(F.lit("node").alias("kind"), F.col("id").alias("a"), none("long").alias("b"), F.col("x_loc").alias("x"), F.col("y_loc").alias("y"))
+    return a.unionByName(read_edges(spark, edges).select(F.lit("edge").alias("kind"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("w").alias("x"), none("double").alias("y")))
+
+
+@query(f"WITH {d.POINTS} SELECT node AS id, floor(lon * 1e6) / 1e6 AS x_loc, floor(lat * 1e6) / 1e6 AS y_loc, 'DIMACS medium nodes - USA-road-d.BAY (' || format('{{:,}}', (SELECT count(*) FROM pts)) || ' points)' AS title FROM pts")
+def points_of_scale(spark, sf_dir):
+    """A data set of its scale's folder, with the title of its plot."""
+    path = scale_paths(d.folder(spark), "medium")[0]
+    micro = lambda c: F.floor(F.col(c) * 1e6).cast("string")
+    d.points(spark, sf_dir).select(F.concat_ws(" ", F.lit("v"), "node", micro("lon"), micro("lat")).alias("value")).write.text(path)
+    found = read_points(spark, path)
+    return found.select("id", "x_loc", "y_loc", F.lit(layers.title(path, found.count())).alias("title"))
+
+
 # Graphs
 
 
@@ -116,7 +166,7 @@ def graph_merge_mixed_events(spark, sf_dir):
 def graph_append_events(spark, sf_dir):
     """The same arrivals in four batches, each added to the graph that stands; compacted on the way."""
     events = _events(spark, sf_dir)
-    grown = graph.GrowingGraph(spark, f"{d.shared_folder(spark)}/roadlark-text/{d.uuid.uuid4().hex}", most=2)
+    grown = graph.GrowingGraph(spark, d.folder(spark), most=2)
     step = events.agg(F.max("seq")).first()[0] // 4 + 1
     for k in range(4):
         grown.add_arcs(events.where((F.col("seq") >= k * step) & (F.col("seq") < (k + 1) * step)))
@@ -125,7 +175,7 @@ def graph_append_events(spark, sf_dir):
 
 @query(f"WITH {d.MERGED} SELECT id FROM gpoints UNION ALL SELECT c_custkey + 1 AS id FROM customer")
 def graph_append_points(spark, sf_dir):
-    grown = graph.GrowingGraph(spark, f"{d.shared_folder(spark)}/roadlark-text/{d.uuid.uuid4().hex}")
+    grown = graph.GrowingGraph(spark, d.folder(spark))
     grown.add_points(d.merge_points(spark, sf_dir))
     grown.add_points(graph.add_points(d.merge_points(spark, sf_dir).limit(0), d.table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("id"))))
     return grown.points()
@@ -275,6 +325,15 @@ def paths_table(spark, sf_dir):
     return paths.path_text(_traced(spark, sf_dir).where("reachable"))
 
 
+@query(
+    f"""{d.TRACED}, {d.STEPS}, ends AS (SELECT query_id, max(back) AS far FROM walk GROUP BY 1)
+    SELECT w.query_id, CAST(far - w.back AS INTEGER) AS pos, w.node, s.edge_index FROM walk w JOIN ends USING (query_id) LEFT JOIN steps s ON s.query_id = w.query_id AND s.back = w.back - 1"""
+)
+def trace_paths_steps(spark, sf_dir):
+    """Nodes and the edges by which paths leave them, by a table function in one pass."""
+    return paths.path_steps(_traced(spark, sf_dir))
+
+
 @query(f"WITH RECURSIVE {d.ADJ}, {d.QUERIES}, {d.SHORTEST} SELECT count(*) AS num_queries, count(*) FILTER (d IS NULL) AS unreachable_queries FROM q LEFT JOIN sp ON src = origin AND node = destination")
 def unreachable_count(spark, sf_dir):
     return frequency.trace_summary(_traced(spark, sf_dir))
@@ -424,7 +483,7 @@ def negatives_sampled(spark, sf_dir):
 @query(f"WITH {d.QUERIES} SELECT query_id, origin, destination, count FROM q ORDER BY destination, query_id DESC LIMIT 10")
 def first_queries(spark, sf_dir):
     """The first rows in the order of the files, which are not in the order of ids."""
-    path = f"{d.shared_folder(spark)}/roadlark-text/{d.uuid.uuid4().hex}"
+    path = d.folder(spark)
     write_table(d.road_queries(spark, sf_dir).orderBy("destination", F.desc("query_id")), path, "csv")
     return frequency.first_queries(read_queries(spark, path), 10, "line").drop("line")
 
@@ -476,9 +535,10 @@ g AS (SELECT e.*, k.place AS skip, s.size - (CASE WHEN k.place IS NULL THEN 0 EL
 h AS (SELECT g.*, {draw_sql('query_id', _salt('destination'))} % free AS x FROM g)"""
 
 
-@query(f"WITH {_TYPED} SELECT query_type, count(*) AS n FROM typed GROUP BY 1")
+@query(f"WITH {_TYPED.replace('SELECT unnest(range(1, 1001)) AS query_id', 'SELECT o_orderkey AS query_id FROM orders')} SELECT query_type, count(*) AS n FROM typed GROUP BY 1")
 def workload_type_mix(spark, sf_dir):
-    return workload.query_types(spark.range(1, 1001).withColumnRenamed("id", "query_id")).groupBy("query_type").agg(F.count("*").alias("n"))
+    """The types that are drawn for all orders as queries."""
+    return workload.query_types(d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"))).groupBy("query_type").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_OD} SELECT query_id, origin, p.node AS destination, query_type, source_hotspot, target_hotspot, 1 AS count FROM h JOIN all_places p ON p.hotspot_id = target_hotspot AND p.place = x + (CASE WHEN skip IS NOT NULL AND x >= skip THEN 1 ELSE 0 END)")
@@ -487,6 +547,73 @@ def workload_od(spark, sf_dir):
     return workload.generate_queries(p, stable(m), 1000)
 
 
+# Files of results, written and read again
+
+
+@query(f"WITH {_REGIONS} SELECT hotspot_id, center_node, center_lon, center_lat, CAST(count(*) AS INTEGER) AS num_nodes FROM c JOIN m USING (hotspot_id) GROUP BY ALL")
+def hotspots_file(spark, sf_dir):
+    _, c, m = _members(spark, sf_dir)
+    path = d.folder(spark)
+    write_table(workload.hotspot_table(c, m), path, "csv", order="hotspot_id")
+    return read_hotspots(spark, path)
+
+
+@query(f"WITH {_OD} SELECT query_id, origin, p.node AS destination, 1 AS count FROM h JOIN all_places p ON p.hotspot_id = target_hotspot AND p.place = x + (CASE WHEN skip IS NOT NULL AND x >= skip THEN 1 ELSE 0 END)")
+def workload_file(spark, sf_dir):
+    p, _, m = _members(spark, sf_dir)
+    path = d.folder(spark)
+    write_table(workload.generate_queries(p, stable(m), 1000), path, "csv", order="query_id")
+    return read_queries(spark, path).drop("line")
+
+
+def _sample_files(spark, sf_dir):
+    """Node and edge counts with labels of the routed orders, as CSV; the folder and the run's counters."""
+    path = d.folder(spark)
+    tables = plans.sample_tables(d.universe(spark, sf_dir), d.kept_graph(spark, sf_dir), d.road_queries(spark, sf_dir))
+    return path, tables, plans.write_samples(tables, path)
+
+
+@query(f"{_NODES}, {_labelled('nf', 'node', 42)} SELECT node FROM told WHERE sample_role = 'positive'")
+def node_samples_file(spark, sf_dir):
+    return read_node_samples(spark, f"{_sample_files(spark, sf_dir)[0]}/node_counts")
+
+
+@query(f"{_EDGES}, {_labelled('ef', 'edge_index', 43)} SELECT src, dst FROM told WHERE sample_role = 'negative'")
+def edge_samples_file(spark, sf_dir):
+    return read_edge_samples(spark, f"{_sample_files(spark, sf_dir)[0]}/edge_counts", "negative")
+
+
+@query(
+    f"""{d.TRACED}, tops AS (SELECT (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM und) AS edges)
+    SELECT (SELECT count(*) FROM q) AS num_queries, (SELECT count(*) FROM q LEFT JOIN sp ON src = origin AND node = destination WHERE d IS NULL) AS unreachable_queries,
+      nodes, edges, (nodes + 9) // 10 AS positive_nodes, (nodes + 9) // 10 AS negative_nodes, (edges + 9) // 10 AS positive_edges, (edges + 9) // 10 AS negative_edges FROM tops"""
+)
+def samples_summary(spark, sf_dir):
+    """What a run of samples reports, counted while its files are written."""
+    return plans.one_row(spark, _sample_files(spark, sf_dir)[2])
+
+
+@query(f"{d.TRACED}, {d.STEPS} SELECT w.query_id, q.origin, q.destination, max(w.d) AS distance, string_agg(CAST(w.node AS VARCHAR), ' ' ORDER BY w.back DESC) AS path FROM walk w JOIN q USING (query_id) GROUP BY 1, 2, 3")
+def paths_file(spark, sf_dir):
+    path, kept = d.folder(spark), stable(_traced(spark, sf_dir))
+    plans.write_paths(kept, path)
+    return spark.read.csv(path, header=True, schema="query_id long, origin long, destination long, distance double, path string")
+
+
+@query(f"{_NODES} SELECT * FROM nf")
+def node_features_file(spark, sf_dir):
+    path = d.folder(spark)
+    plans.write_node_features(_node_features(spark, sf_dir), path)
+    return spark.read.csv(path, header=True, schema="node long, lon double, lat double, origin_count long, destination_count long, pass_count long")
+
+
+@query(f"{_EDGES} SELECT src, dst, weight, pass_count FROM ef")
+def edge_features_file(spark, sf_dir):
+    path = d.folder(spark)
+    plans.write_edge_features(_edge_features(spark, sf_dir), path)
+    return spark.read.csv(path, header=True, schema="src long, dst long, weight double, pass_count long")
+
+
 # Plot layers
 
 
@@ -598,25 +725,47 @@ _PAIR = draw_sql("node_i * 1000003 + node_j", 42)
 _CELLS = "cells AS (SELECT node, CAST(floor(lon / 20.0) AS BIGINT) AS cell_x, CAST(floor(lat / 20.0) AS BIGINT) AS cell_y FROM nodes)"
 
 
+_DRAWN = f"""g AS (SELECT row_number() OVER (ORDER BY node) - 1 AS rank, node FROM (SELECT DISTINCT u AS node FROM adj)),
+    i AS (SELECT unnest(range(1, 8001)) AS id), r AS (SELECT id, {uniform_sql('id', 7, '(SELECT count(*) FROM g)')} AS a, {uniform_sql('id', 8, '(SELECT count(*) FROM g)')} AS b FROM i),
+    k AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(id) AS id FROM r WHERE a <> b GROUP BY 1, 2),
+    rnd AS (SELECT x.node AS node_i, y.node AS node_j FROM k JOIN g x ON x.rank = a JOIN g y ON y.rank = b ANTI JOIN pw ON pw.node_i = x.node AND pw.node_j = y.node ORDER BY id LIMIT 250)"""
+
+
 @query(
     f"""{_PATH_WINDOWS}, {_HOP}, {d.UNIVERSE}, {_CELLS}, wc AS (SELECT least(a.node, b.node) AS node_i, greatest(a.node, b.node) AS node_j, a.query_id FROM wk a JOIN wk b ON a.query_id = b.query_id AND b.pos > a.pos AND b.pos <= a.pos + 3 WHERE a.node <> b.node),
     pc AS (SELECT node_i, node_j, count(*) AS cooccur_count, count(DISTINCT query_id) AS query_count FROM wc GROUP BY 1, 2),
     hard AS (SELECT node_i, node_j FROM hop ANTI JOIN pw USING (node_i, node_j) ORDER BY {_PAIR}, node_i, node_j LIMIT 300),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY cell_x, cell_y ORDER BY node) - 1 AS r, count(*) OVER (PARTITION BY cell_x, cell_y) AS n FROM cells),
     area AS (SELECT DISTINCT least(a.node, b.node) AS node_i, greatest(a.node, b.node) AS node_j FROM ranked a JOIN ranked b ON a.cell_x = b.cell_x AND a.cell_y = b.cell_y AND b.r = (a.r + 1 + {draw_sql('a.node', 42)} % (a.n - 1)) % a.n WHERE a.n > 1),
-    near AS (SELECT node_i, node_j FROM area ANTI JOIN pw USING (node_i, node_j) ORDER BY {_PAIR}, node_i, node_j LIMIT 200)
+    near AS (SELECT node_i, node_j FROM area ANTI JOIN pw USING (node_i, node_j) ORDER BY {_PAIR}, node_i, node_j LIMIT 200), {_DRAWN},
+    difficult AS (SELECT * FROM hard UNION SELECT * FROM near)
     SELECT node_i, node_j, 1 AS label, CASE WHEN query_count >= 3 AND cooccur_count >= 5 THEN 'strong' ELSE 'weak' END AS strength,
       round(ln(1 + cooccur_count) * ln(1 + query_count), 6) AS weight, cooccur_count, query_count, 'path_window' AS source FROM pc
-    UNION ALL SELECT node_i, node_j, {_NEGATIVE}, 'hard_negative' FROM hard UNION ALL SELECT node_i, node_j, {_NEGATIVE}, 'hard_negative' FROM near"""
+    UNION ALL SELECT node_i, node_j, {_NEGATIVE}, 'hard_negative' FROM difficult UNION ALL SELECT node_i, node_j, {_NEGATIVE}, 'random_negative' FROM rnd ANTI JOIN difficult USING (node_i, node_j)"""
 )
 def pair_samples_all(spark, sf_dir):
-    """Positives, and drawn negatives of both hard kinds: a hop or two apart, and of one area."""
+    """Positives, drawn negatives of both hard kinds (a hop or two apart, and of one area), and random ones; each pair once."""
+    return _pair_samples(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+
+
+def _pair_samples(spark, sf_dir):
     und = d.kept_graph(spark, sf_dir)
     counts = stable(pairs.pair_counts(pairs.window_pairs(paths.trace_paths(und, d.road_queries(spark, sf_dir)), 3)))
-    told = pairs.pair_samples(counts, pairs.hard_negatives(und, counts, 300), pairs.area_negatives(_places(spark, sf_dir), counts, 20.0, 200))
+    difficult = pairs.hard_negatives(und, counts, 300), pairs.area_negatives(_places(spark, sf_dir), counts, 20.0, 200)
+    return pairs.pair_samples(counts, *difficult, pairs.random_negatives(graph.adjacency(und).select("node"), counts, 250, 7))
+
+
+def pair_samples_file(spark, sf_dir):
+    """The same as a file, read again."""
+    path = d.folder(spark)
+    plans.write_pair_samples(_pair_samples(spark, sf_dir), path)
+    told = spark.read.csv(path, header=True, schema="node_i long, node_j long, label int, strength string, weight double, cooccur_count long, query_count long, source string")
     return told.withColumn("weight", F.round("weight", 6))
 
 
+query(ORACLES["pair_samples_all"])(pair_samples_file)
+
+
 @query(
     f"""{_EDGES}, {_top('ef', 'edge_index')}, {d.UNIVERSE}, {_CELLS},
     warm AS (SELECT DISTINCT cell_x, cell_y FROM cells WHERE node IN (SELECT src FROM top WHERE pass_count > 0 UNION SELECT dst FROM top WHERE pass_count > 0))

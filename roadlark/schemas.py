@@ -21,3 +21,4 @@ HOTSPOTS = _struct(hotspot_id=INT, center_node=LONG, center_lon=DOUBLE, center_l
 NODE_COUNTS = _struct(node=LONG, lon=DOUBLE, lat=DOUBLE, origin_count=LONG, destination_count=LONG, pass_count=LONG, label=INT, sample_role=STRING)
 EDGE_COUNTS = _struct(edge_index=LONG, src=LONG, dst=LONG, weight=DOUBLE, pass_count=LONG, label=INT, sample_role=STRING)
 PATHS = "query_id long, origin long, destination long, count long, reachable boolean, distance double, nodes array<long>, edges array<long>"
+PATH_STEPS = _struct(query_id=LONG, pos=INT, node=LONG, edge_index=LONG)

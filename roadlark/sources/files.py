@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,11 +51,18 @@ def read_edge_samples(spark: SparkSession, path: str, role: str | None = "positi
     return table if role is None else table.where(F.col("sample_role") == role).select("src", "dst")
 
 
-def write_table(table: DataFrame, path: str, kind: str = "parquet", order: str | None = None, files: int | None = None) -> None:
-    """Overwrite a folder. With `order` rows are sorted over all files; `files=1` is for small results."""
+def write_table(table: DataFrame, path: str, kind: str = "parquet", order: str | None = None, files: int | None = None, **counters: Column) -> dict[str, int]:
+    """Overwrite a folder. With `order` rows are sorted over all files; `files=1` is for small results.
+
+    `counters` are aggregates over the rows; they are counted while these are written, in no pass of their own, and returned.
+    """
     if order:
         table = table.orderBy(order)
+    seen = Observation()
+    if counters:
+        table = table.observe(seen, *[c.alias(n) for n, c in counters.items()])
     if files:
         table = table.coalesce(files)
     writer = table.write.mode("overwrite")
     writer.csv(path, header=True) if kind == "csv" else writer.format(kind).save(path)
+    return dict(seen.get) if counters else {}
