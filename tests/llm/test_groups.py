@@ -148,6 +148,30 @@ def test_recall_of_similar_lines(spark, n, share):
         assert len(want) >= 40
 
 
+def short_words(rng, n, letters):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(*letters))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("letters", [(1, 2), (2, 3), (2, 4), (3, 4), (1, 4)])
+def test_recall_of_lines_of_short_words(spark, letters):
+    """Codes, numbers and abbreviations: with a fifth of the words replaced, at random places and evenly spaced."""
+    rng = random.Random(letters[0] * 10 + letters[1])
+    rows, kinds = [], {}
+    for k in range(160):
+        n, even = (10, 20, 40, 80)[k % 4], k // 4 % 2
+        line = short_words(rng, n, letters)
+        other = list(line)
+        for at in range(2, n, 5) if even else rng.sample(range(n), n // 5):
+            while other[at] == line[at]:
+                other[at] = short_words(rng, 1, letters)[0]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+        kinds[2 * k + 1] = n, even
+    got = {r.doc_id for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert got <= set(kinds)
+    for kind in set(kinds.values()):
+        assert sum(i in got for i, x in kinds.items() if x == kind) >= 0.9 * 20, kind
+
+
 def test_halves_lose_no_pair():
     """Lines with one edit at most always have a block in common."""
     rng = random.Random(7)
