@@ -187,7 +187,7 @@ def slow_segment(value, a, b):
             ways.append(math.log10(160) + math.log10(n) * (2 if math.log10(160) > per_char else 1))
         if {ord(y) - ord(x) for x, y in zip(low, low[1:])} in ({1}, {-1}):
             ways.append(math.log10(40) + math.log10(n) * (2 if math.log10(40) > per_char else 1))
-    if 2 <= n <= 16 and a >= n and value[a - n : a].lower() == low:
+    if 2 <= n <= a and value[a - n : a].lower() == low:
         ways.append(math.log10(3))
     return min(ways, default=None)
 
@@ -203,6 +203,27 @@ def slow_cost(value):
     return best
 
 
+def slow_cost_of_long(value):
+    """The least over all segmentations, by all segments that end at each place."""
+    best = [0.0]
+    for i in range(1, len(value) + 1):
+        parts = ((best[a], slow_segment(value, a, i)) for a in range(i))
+        best.append(min(x + y for x, y in parts if y is not None))
+    return best[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "ab", "aaaaaaa", "bbbbbbbbbbbbb", "abababababababab", "abcdefgh", "a" * 70, "summer", "aab" * 7, "abbabaabbaababba" * 2]), min_size=1, max_size=7))
+def test_cost_of_long_values_of_few_letters(parts):
+    value = "".join(parts)
+    assert math.isclose(secrets.guess_cost(value, words=("summer",)), slow_cost_of_long(value), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("value", ["summer" + "r" * 70, "ab" * 40 + "b" * 70, "k7Qz9vXw2LmP4rTy8N" * 4, "qwertyuiop" * 3 + "p" * 90, "x" + "0" * 300, "abc" * 50])
+def test_cost_has_no_caps(value):
+    assert math.isclose(secrets.guess_cost(value, words=("summer",)), slow_cost_of_long(value), abs_tol=1e-9)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="sumerabcqw12345A0", min_size=1, max_size=9))
 def test_cost_is_the_least_of_all_segmentations(value):
