@@ -37,6 +37,8 @@ PART = 16
 REPETITIONS, SAMPLES = 10, 3
 #: Items of one index, and indexes that a worker holds at once; a larger benchmark is searched index by index.
 BLOCK_ITEMS, HELD = 4096, 4
+#: Text that a worker keeps while it goes through more indexes than it can hold.
+TEXT_HELD = 64 << 20
 CHUNK = 3 << 20
 
 
@@ -363,12 +365,31 @@ class ItemBlocks:
             self.held[k] = ItemIndex(list(zip(*(c.to_pylist() for c in table.columns))), self.similarity, self.least_words)
         return self.held[k]
 
-    def search(self, texts: pa.Array):
-        """(index, row, item number, start, end, edits) of all blocks."""
-        for k in range(self.count):
-            index = self.index(k)
-            for found in search_documents(texts, index):
-                yield index, *found
+    def search(self, texts: pa.Array, k: int) -> list[tuple]:
+        """(row, item id, words of the item, start, end, edits) of block k."""
+        index = self.index(k)
+        return [(row, index.ids[i], len(index.numbers[i]), start, end, edits) for row, i, start, end, edits in search_documents(texts, index)]
+
+    def searched(self, batches, column: str, limit: int):
+        """(batch, what search finds in it in all blocks). Where workers can't hold all indexes, each is built once for TEXT_HELD bytes of
+        text, and blocks are gone through forth and back, so that the last ones are used again."""
+        position = lambda batch: batch.column(batch.schema.names.index(column))
+        held, size, forth = [], 0, True
+
+        def told():
+            found: list[list[tuple]] = [[] for _ in held]
+            for k in range(self.count) if forth else reversed(range(self.count)):
+                for batch, own in zip(held, found):
+                    own += self.search(position(batch), k)
+            return list(zip(held, found))
+
+        for batch in chunks(batches, column=column, limit=limit):
+            held.append(batch)
+            size += batch.nbytes
+            if self.count <= HELD or size >= TEXT_HELD:
+                yield from told()
+                held, size, forth = [], 0, not forth
+        yield from told()
 
 
 def item_blocks(benchmark: DataFrame, size: int):
@@ -394,9 +415,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     blocks = ItemBlocks(benchmark, similarity, least_words, block_items)
 
     def run(batches):
-        for batch in chunks(batches, limit=CHUNK):
+        for batch, found in blocks.searched(batches, "text", CHUNK):
             ids = batch.column(0).to_pylist()
-            rows = [(ids[r], index.ids[i], a, b, e, 1 - e / len(index.numbers[i])) for index, r, i, a, b, e in blocks.search(batch.column(1))]
+            rows = [(ids[r], item, a, b, e, 1 - e / n) for r, item, n, a, b, e in found]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=names)
 
     return doc_columns(docs).mapInArrow(tidy(run), "doc_id long, item_id long, start_word long, end_word long, edits long, similarity double")
@@ -411,8 +432,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
     blocks = ItemBlocks(benchmark, similarity, least_words, block_items)
 
     def run(batches):
-        for batch in chunks(batches, column="_text", limit=CHUNK):
-            bad = {found[1] for found in blocks.search(batch.column(1))}
+        for batch, found in blocks.searched(batches, "_text", CHUNK):
+            bad = {row for row, *_ in found}
             rows = batch.select(["_row"])
             yield rows.filter(pa.array([r not in bad for r in range(batch.num_rows)])) if bad else rows
 

@@ -593,3 +593,29 @@ def test_edit_search():
 
 def test_schema_is_shared():
     assert SCHEMA.startswith("doc_id long")
+
+
+def test_indexes_are_built_once_for_much_text(spark, monkeypatch):
+    """More blocks of items than a worker holds: each index is built once for a load of text, not once for each batch."""
+    rng = random.Random(31)
+    items = [(k, sentence(rng, 12)) for k in range(13)]
+    texts = [f"{sentence(rng, 20)} {rng.choice(items)[1]} {sentence(rng, 5)}" for _ in range(60)]
+    batches = [decontam.pa.RecordBatch.from_arrays([decontam.pa.array(texts[k : k + 3])], names=["text"]) for k in range(0, 60, 3)]
+    built = []
+
+    class Counted(decontam.ItemIndex):
+        def __init__(self, *args):
+            built.append(1)
+            super().__init__(*args)
+
+    monkeypatch.setattr(decontam, "ItemIndex", Counted)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    told = lambda blocks: [sorted(x[:2] for x in found) for _, found in blocks.searched(iter(batches), "text", 1 << 20)]
+    one = told(decontam.ItemBlocks(benchmark, 0.8, 5, 100))
+    assert len(built) == 1 and sum(map(len, one)) >= 60
+    built.clear()
+    blocks = decontam.ItemBlocks(benchmark, 0.8, 5, 2)
+    assert told(blocks) == one and blocks.count == 7 and len(built) == 7
+    monkeypatch.setattr(decontam, "TEXT_HELD", sum(b.nbytes for b in batches) // 4)
+    built.clear()
+    assert told(decontam.ItemBlocks(benchmark, 0.8, 5, 2)) == one and len(built) <= 7 + 4 * (7 - decontam.HELD)
