@@ -326,21 +326,60 @@ def _count(key, table):
     return pa.table({name: pa.array(c, t) for name, c, t in zip(("chunk", "n", "shard", "blob", "tokens", "kinds"), out, kinds)})
 
 
-def walk(counts: list[np.ndarray], lengths: np.ndarray, total: int, distinct: int, starts_seen: int, mu: float) -> np.ndarray:
-    """log10 probability of each token, by the arcs and failure arcs of a walk from left to right.
+class Arcs:
+    """The arcs and failure arcs that a chunk's texts may take: at each token, for a state of n words, whether it has an arc for
+    the token (it leads to n + 1 words), the arc's weight, and that of the failure arc to n - 1 words.
 
-    counts[n - 1] says how often the n-gram that ends at a token was seen; a state's own count is the one before.
+    counts[n][t] says how often the n + 1 words that end at token t were seen; a state's own count is that of its words.
     """
-    first = np.cumsum(lengths) - lengths
-    weight = np.log10(counts[0] + ADD) - math.log10(total + ADD * (distinct + 1))
-    for n in range(2, len(counts) + 1):
-        state = np.roll(counts[n - 2], 1)
-        state[first] = starts_seen if n == 2 else 0
-        arc = counts[n - 1] > 0
-        failure = math.log10(mu) - np.log10(state + mu)
-        # where the state was never seen there is neither arc nor weight: the walk was further down already
-        weight = np.where(arc, np.log10(counts[n - 1] + mu * 10**weight) - np.log10(state + mu), weight + failure)
-    return weight
+
+    def __init__(self, counts: list[np.ndarray], lengths: np.ndarray, total: int, distinct: int, starts_seen: int, mu: float):
+        first = np.cumsum(lengths) - lengths
+        self.start, self.order = 1 if starts_seen else 0, len(counts)
+        probability = (counts[0] + ADD) / (total + ADD * (distinct + 1))
+        self.seen, self.weight, self.failure = [counts[0] > 0], [np.log10(probability)], [np.zeros(len(probability))]
+        for n in range(1, self.order):
+            state = np.roll(counts[n - 1], 1)
+            state[first] = starts_seen if n == 1 else 0
+            probability = (counts[n] + mu * probability) / (state + mu)
+            self.seen.append(counts[n] > 0)
+            self.weight.append(np.log10(probability))
+            self.failure.append(math.log10(mu) - np.log10(state + mu))
+
+    def scores(self, lengths: np.ndarray) -> list[float]:
+        """One walk over each text from left to right: the state goes from token to token, weights add up."""
+        out, longest = [], self.order - 1
+        ends = np.cumsum(lengths)
+        for a, b in _stretches(ends, WALKED):
+            low, high = int(ends[a - 1]) if a else 0, int(ends[b - 1])
+            seen, weight, failure = ([x[low:high].tolist() for x in parts] for parts in (self.seen, self.weight, self.failure))
+            at = 0
+            for size in lengths[a:b].tolist():
+                n, score = self.start, 0.0
+                for t in range(at, at + size):
+                    while n and not seen[n][t]:  # no arc: back off
+                        score += failure[n][t]
+                        n -= 1
+                    score += weight[n][t]
+                    if n or seen[0][t]:  # a word never seen leads to the root
+                        n = n + 1 if n < longest else longest
+                at += size
+                out.append(score)
+        return out
+
+
+#: Tokens whose arcs are lists at once, about.
+WALKED = 100_000
+
+
+def _stretches(ends: np.ndarray, most: int):
+    """Runs of whole texts (from, to) with at most so many tokens, or one text."""
+    a = 0
+    while a < len(ends):
+        base = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, base + most, side="right")))
+        yield a, b
+        a = b
 
 
 def _walked(folder: str, order: int, total: int, distinct: int, starts_seen: int, mu: float):
@@ -352,7 +391,7 @@ def _walked(folder: str, order: int, total: int, distinct: int, starts_seen: int
         starts = np.cumsum(chunk.lengths) - chunk.lengths
         known = np.add.reduceat((counts[0] > 0).astype(np.int64), starts)
         base = np.add.reduceat(np.log10(counts[0] + ADD), starts) - chunk.lengths * rest
-        score = np.add.reduceat(walk(counts, chunk.lengths, total, distinct, starts_seen, mu), starts)
+        score = Arcs(counts, chunk.lengths, total, distinct, starts_seen, mu).scores(chunk.lengths)
         return pa.table({"doc_id": pa.array(chunk.ids, mask=chunk.known == 0), "held_out": pa.array(chunk.held == 1), "n_tokens": pa.array(chunk.lengths), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(starts), total, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     return run

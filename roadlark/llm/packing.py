@@ -28,7 +28,7 @@ PROVINCE = 2500
 #: Islands in a ring, packings on each, and rounds between which elites migrate.
 ISLANDS, POPULATION, ROUNDS = 3, 4, 3
 #: Pieces that children of a round place in all: as many children as that makes for the pieces of a province.
-EFFORT = 30_000
+EFFORT = 250_000
 #: Free tokens up to which a bin is settled, by epoch; the last epoch settles all.
 SLACK = (4, 8, 16, CAPACITY)
 
