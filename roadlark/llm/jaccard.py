@@ -295,7 +295,11 @@ def _roots(batches):
 
 
 def _partial_overlaps(percent: int):
-    """For each own set of a block: keys, sizes and partial overlaps of the sets with lesser keys and other labels that it may link to."""
+    """For each own set of a place: keys, sizes and partial overlaps of the sets before it, with other labels, that it may link to.
+
+    A place below 0 has one block, whose sets are all own. Others have two: the sets of the first, and behind them own ones,
+    which are held against the former alone.
+    """
     slack = 1 - percent / 100 + 1e-5
 
     def run(batches):
@@ -314,7 +318,7 @@ def _partial_overlaps(percent: int):
             for lo, hi in zip(runs[:-1].tolist(), runs[1:].tolist()):
                 here = np.array([len(g) for g in grams[lo:hi]], np.int64)
                 total, keys = n[lo:hi], key[lo:hi]
-                told = pairs_to_count(grams[lo:hi], own[lo:hi], label[lo:hi], far[lo:hi], slack)
+                told = pairs_to_count(grams[lo:hi], own[lo:hi], label[lo:hi], far[lo:hi], slack, block[lo] >= 0)
                 for at, with_whom, counts in told:
                     bound = counts + np.minimum(total[at] - here[at], total[with_whom] - here[with_whom])
                     some = (100 * bound >= percent * (total[at] + total[with_whom] - bound)) & (counts > 0)
@@ -332,8 +336,9 @@ def _partial_overlaps(percent: int):
     return run
 
 
-def pairs_to_count(grams: list[np.ndarray], own: list[bool], label: np.ndarray, far: list[bytes | None], slack: float):
-    """For each own set: its place, the places of earlier sets that it may be linked with by a link not known yet, and what they share.
+def pairs_to_count(grams: list[np.ndarray], own: list[bool], label: np.ndarray, far: list[bytes | None], slack: float, between: bool = False):
+    """For each own set: its place, the places of sets before it that it may be linked with by a link not known yet, and what they share.
+    In a place `between` two blocks only the sets that are not own are looked at.
 
     A label of -1 is like no other. `far` are distances to pivots, which a link changes by `slack` at most.
     """
@@ -344,9 +349,10 @@ def pairs_to_count(grams: list[np.ndarray], own: list[bool], label: np.ndarray,
     distances = np.frombuffer(b"".join(far), "<f4").reshape(len(far), PIVOTS)
     everyone, holders = np.arange(len(far)), None
     others = {x: np.flatnonzero(label != x) for x in np.unique(label).tolist() if x >= 0}
+    foreign = len(own) - sum(own)  # they come first
     for at in np.flatnonzero(own).tolist():
         near = others.get(int(label[at]), everyone)
-        near = near[: np.searchsorted(near, at)]
+        near = near[: np.searchsorted(near, foreign if between else at)]
         near = near[(np.abs(distances[near] - distances[at]) <= slack).all(1)]
         if not len(near):
             continue
@@ -467,10 +473,12 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     star = told_of.where("low >= 0").select(F.col("key").alias("a"), F.col("pivots")[F.col("low")].alias("b"))
     between = told_of.where("low >= 0").select("component", "low", "mask", "pivots").distinct().select(F.col("pivots")[F.col("low")].alias("a"), F.explode("pivots").alias("b"), F.array_position("pivots", F.col("b")).alias("k"), "mask").where("mask >> cast(k - 1 as int) & 1 = 1").select("a", "b").distinct()
     labels = told_of.where("NOT closed").select("component", "key", "far", F.when(F.col("low") >= 0, F.col("roots")[F.col("low")]).otherwise(-1).alias("label"))
-    small = parts.where(F.col("sets") <= CROWD).select("component", "fragment", F.lit(0).cast("long").alias("block"), F.lit(True).alias("own"), "key", "n", F.lit(-1).alias("label"), F.lit(None).cast("binary").alias("far"), "grams")
-    open_sets = big.join(labels, ["component", "key"]).select("component", "fragment", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "sets", "key", "n", "label", "far", "grams")
-    open_sets = open_sets.select("component", "fragment", "block", (F.pmod("key", blocks) == F.col("block")).alias("own"), "key", "n", "label", "far", "grams")
-    compared = small.unionByName(open_sets).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "key").mapInArrow(tidy(_partial_overlaps(percent)), "key long, n long, others array<long>, sizes array<int>, overlaps array<int>")
+    small = parts.where(F.col("sets") <= CROWD).select("component", "fragment", F.lit(-1).cast("long").alias("block"), F.lit(True).alias("own"), "key", "n", F.lit(-1).alias("label"), F.lit(None).cast("binary").alias("far"), "grams")
+    # each block meets each other one, and itself, in a place of its own, so no task holds more than two blocks
+    mine, other = F.pmod("key", blocks), F.col("other")
+    open_sets = big.join(labels, ["component", "key"]).select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    open_sets = open_sets.select("component", "fragment", F.when(mine == other, -1 - mine).otherwise(F.least(mine, other) * blocks + F.greatest(mine, other)).alias("block"), (other <= mine).alias("own"), "key", "n", "label", "far", "grams")
+    compared = small.unionByName(open_sets).repartition(*_PLACE).sortWithinPartitions(*_PLACE, "own", "key").mapInArrow(tidy(_partial_overlaps(percent)), "key long, n long, others array<long>, sizes array<int>, overlaps array<int>")
     summed = compared.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(tidy(_sum_overlaps(percent)), "a long, b long")
     links = scratch.write(summed.unionByName(star).unionByName(between), "links")
     scratch.drop(parts)
