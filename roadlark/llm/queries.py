@@ -32,7 +32,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = tokens.count_tokens(read_table(spark, sf_dir, "documents"), budgets=(512,))
+    counts = tokens.count_tokens(read_table(spark, sf_dir, "documents"), budgets=(512,), cuts=False)
     return counts.select("doc_id", "n_bytes", "n_tokens", F.element_at("over", 1).alias("over_limit"))
 
 

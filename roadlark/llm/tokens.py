@@ -203,16 +203,14 @@ class PrefixCounts:
         return self.sums[-1]
 
     def at(self, chars: int) -> int:
-        """Tokens of text[:chars]. A cut inside a special string leaves ordinary text, encoded with the stretch before it."""
+        """Tokens of text[:chars]. A cut inside a special string leaves ordinary text, which may lengthen the piece before it but none before that."""
         k = bisect_right(self.ends, chars) - 1
         if k >= len(self.parts) or self.ends[k] == chars:
             return self.sums[k]
         piece, special = self.parts[k]
         if not special:
             return self.sums[k] + self.pieces.piece_prefixes(piece)[chars - self.ends[k]]
-        start = k
-        while start and not self.parts[start - 1][1]:
-            start -= 1
+        start = k - 1 if k and not self.parts[k - 1][1] else k
         cut = self.text[self.ends[start] : chars]
         return self.sums[start] + self.pieces.count(cut)
 
@@ -280,33 +278,34 @@ def _before(parts: list[str], k: int) -> int:
     return sum(map(len, parts[:k]))
 
 
-def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, budgets: tuple[int, ...] = (512,), tables: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_tokens; for each budget `over`, and `cuts`, the most characters from the
-    start that fit it (in front of a special string that does not fit, nothing of it); with tables=True also `prefixes`:
-    entry k is the tokens of the first k characters.
+def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, budgets: tuple[int, ...] = (512,), tables: bool = False, cuts: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_tokens; for each budget `over`, and with cuts=True `cuts`, the most characters
+    from the start that fit it (in front of a special string that does not fit, nothing of it); with tables=True also
+    `prefixes`: entry k is the tokens of the first k characters.
 
     Null and empty texts have 0 bytes, 0 tokens and one prefix. Special strings in a text count as the
     library's default has them. Texts are taken whole, whatever their length.
     """
-    names = ["doc_id", "n_bytes", "n_tokens", "cuts", *(("prefixes",) if tables else ())]
+    names = ["doc_id", "n_bytes", "n_tokens", *(("cuts",) if cuts else ()), *(("prefixes",) if tables else ())]
 
     def run(batches):
         pieces = pieces_for(vocabulary_path(vocabulary))
         ints = pa.list_(pa.int64())
         for batch in batches:
-            sizes, counts, cuts, prefixes = [], [], [], []
+            sizes, counts, places, prefixes = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
                 parts, each = pieces.cut(text)
                 sums = np.cumsum(np.array(each, np.int64))  # the table at each pre-token's end
                 counts.append(int(sums[-1]) if len(sums) else 0)
-                cuts.append([cut_within(pieces, parts, sums, b) for b in budgets])
+                if cuts:
+                    places.append([cut_within(pieces, parts, sums, b) for b in budgets])
                 if tables:
                     prefixes.append(PrefixCounts(pieces, text).table())
-            more = [pa.array(prefixes, ints)] if tables else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(cuts, ints), *more], names=names)
+            more = [pa.array(x, ints) for x, asked in ((places, cuts), (prefixes, tables)) if asked]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), *more], names=names)
 
-    schema = "doc_id long, n_bytes long, n_tokens long, cuts array<long>" + (", prefixes array<long>" if tables else "")
+    schema = "doc_id long, n_bytes long, n_tokens long" + (", cuts array<long>" if cuts else "") + (", prefixes array<long>" if tables else "")
     out = doc_columns(docs).mapInArrow(tidy(run), schema)
     return out.withColumn("over", F.transform(F.array(*map(F.lit, budgets)), lambda b: F.col("n_tokens") > b))
