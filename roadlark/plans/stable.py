@@ -22,11 +22,25 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application under the shared one."""
+    return f"{shared_folder(spark)}/roadlark-tables/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables and files that this application has left in the shared folder; for when its results have been written.
+
+    Checkpoints go with spark.cleaner.referenceTracking.cleanCheckpoints, when nothing refers to them any more.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Tables:
     """Folders for tables of one run in the shared folder; `drop` deletes them all."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base, self._n = spark, f"{shared_folder(spark)}/roadlark-tables/{label}-{uuid.uuid4().hex}", 0
+        self.spark, self.base, self._n = spark, f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
         self._n += 1

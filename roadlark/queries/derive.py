@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph
-from ..plans.stable import shared_folder, stable
+from ..plans.stable import run_folder, stable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,7 @@ def text_files(lines: DataFrame, compression: str | None = None) -> str:
 
 def folder(spark: SparkSession) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/roadlark-text/{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

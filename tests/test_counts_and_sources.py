@@ -164,3 +164,16 @@ def test_random_negatives_of_a_small_graph(spark):
         got = [(r.node_i, r.node_j) for r in pairs.random_negatives(nodes, counts, n).collect()]
         assert len(got) == len(set(got)) == min(n, len(every)) and set(got) <= every
     assert pairs.random_negatives(nodes, counts, 0).count() == 0
+
+
+def test_what_a_run_left_can_be_deleted(spark):
+    from roadlark.plans.stable import Tables, clean, run_folder
+
+    tables = Tables(spark, "some")
+    spark.range(3).write.parquet(tables.path("rows"))
+    assert tables.listed(tables.base) == ["0001-rows"] and tables.base.startswith(run_folder(spark))
+    tables.drop()
+    spark.range(3).write.parquet(Tables(spark, "others").path("rows"))
+    clean(spark)
+    with pytest.raises(Exception, match="does not exist"):
+        tables.listed(run_folder(spark))
