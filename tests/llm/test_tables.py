@@ -411,7 +411,7 @@ def test_queries_return_what_they_should(spark, name):
         assert kinds[c] == ("boolean" if c in ("base_failed", "kept", "over_limit", "held_out") else "int" if c == "piece" else "double" if c.endswith("score") else "string" if c in ("kept_sha256", "payload_digest", "record_type", "base_sha256", "spans") else "bigint"), c
 
 
-@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_suffix_dedup", "op6_ngram_jaccard", "op8_warc", "op12_source_divergence", "op13_ranked_search"])
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_suffix_dedup", "op6_ngram_jaccard", "op8_warc", "op11_sharding", "op12_source_divergence", "op13_ranked_search"])
 def test_queries_against_sql(spark, name):
     import duckdb
 
