@@ -101,9 +101,9 @@ def test_selection_by_rank(spark, monkeypatch):
     values = [rng.choice([0, 0, 0, 1, 5, 10**12, -7, rng.randint(-(10**15), 10**15)]) for _ in range(400)]
     rows = spark.createDataFrame([(k * 3, v) for k, v in enumerate(values)], "key long, value long").repartition(3)
     expected = sorted(range(400), key=lambda k: (values[k], k))
-    for cells in (3, 4096):
+    for cells in (9, 4096):
         monkeypatch.setattr("roadlark.plans.stable.CELLS", cells)
-        for n in (1, 57, 200, 399, 400) if cells > 3 else (200,):
+        for n in (1, 200, 400) if cells > 9 else (57,):
             assert nth_smallest(rows, "value", n) == sorted(values)[n - 1]
             assert sorted(r.key for r in rows.where(smallest(rows, n, "value", "key")).collect()) == sorted(3 * k for k in expected[:n])
     wide = spark.createDataFrame([(k, v) for k, v in enumerate((-(2**62), 5, 2**62, 7))], "key long, value long")
