@@ -57,7 +57,19 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str
     return doc_columns(docs).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids binary")
 
 
-Bins = list[list[int]]
+class Bin(list):
+    """Indexes of pieces; `filled` is the sum of their lengths, once it has been asked for."""
+
+    __slots__ = ("filled",)
+
+
+Bins = list[Bin]
+
+
+def _copy(b: Bin) -> Bin:
+    out = Bin(b)
+    out.filled = b.filled
+    return out
 
 
 class Island:
@@ -67,8 +79,12 @@ class Island:
         self.lengths, self.capacity, self.rng = lengths, capacity, random.Random(seed)
         self.floor = -(-sum(lengths) // capacity)
 
-    def fill(self, b: list[int]) -> int:
-        return sum(map(self.lengths.__getitem__, b))
+    def fill(self, b: Bin) -> int:
+        try:
+            return b.filled
+        except AttributeError:
+            b.filled = sum(map(self.lengths.__getitem__, b))
+            return b.filled
 
     def best_fit(self, items: list[int], bins: Bins) -> Bins:
         """Put items, in their order, where the least room is left over. `open_at[r]`: bins with room r; bit r of mask: any."""
@@ -88,10 +104,13 @@ class Island:
                 if not open_at[room]:
                     mask &= ~(1 << room)
                 bins[k].append(i)
+                bins[k].filled += need
                 room -= need
             else:
                 k, room = len(bins), self.capacity - need
-                bins.append([i])
+                new = Bin((i,))
+                new.filled = need
+                bins.append(new)
             if room:
                 open_at.setdefault(room, []).append(k)
                 mask |= 1 << room
@@ -99,7 +118,7 @@ class Island:
 
     def fitness(self, bins: Bins) -> float:
         """Fewer bins first; of as many, the one with fuller bins and emptier leftovers."""
-        return sum((self.fill(b) / self.capacity) ** 2 for b in bins) / max(1, len(bins))
+        return sum((x / self.capacity) ** 2 for x in map(self.fill, bins)) / max(1, len(bins))
 
     def newcomer(self, noise: float) -> Bins:
         order = sorted(range(len(self.lengths)), key=lambda i: -self.lengths[i] * (1 + noise * self.rng.random()))
@@ -110,10 +129,11 @@ class Island:
         gifts = sorted(other, key=lambda b: (self.fill(b), self.rng.random()), reverse=True)
         gifts = [b for b in gifts[: max(1, int(len(gifts) * self.rng.uniform(0.2, 0.7)))] if self.rng.random() < 0.9] or gifts[:1]
         taken = {i for b in gifts for i in b}
-        kept, displaced = [list(b) for b in gifts], []
+        kept, displaced = [_copy(b) for b in gifts], []
         for b in one:
             if taken.isdisjoint(b):
-                kept.append(list(b))
+                self.fill(b)
+                kept.append(_copy(b))
             else:
                 displaced += [i for i in b if i not in taken]
         return self._refit(kept, displaced)
@@ -124,7 +144,7 @@ class Island:
         n = self.rng.randint(1, max(1, len(order) // 12))
         gone = order[:n] + self.rng.sample(order[n:], min(len(order) - n, self.rng.randint(1, max(2, n))))
         ids = set(map(id, gone))
-        return self._refit([list(b) for b in bins if id(b) not in ids], [i for b in gone for i in b])
+        return self._refit([_copy(b) for b in bins if id(b) not in ids], [i for b in gone for i in b])
 
     def _refit(self, kept: Bins, displaced: list[int]) -> Bins:
         noise = self.rng.choice((0.0, 0.1, 0.5))  # long pieces first, more or less
@@ -147,17 +167,18 @@ class Island:
 
     def evolve(self, people: list[Bins], children: int | None = None) -> list[Bins]:
         """The population after a round, best first; stops where no packing can have fewer bins."""
-        people = sorted(people, key=self.score, reverse=True)
+        ranked = sorted(((self.score(p), p) for p in people), key=lambda x: x[0], reverse=True)
         for _ in range(children or max(1, EFFORT // max(1, len(self.lengths)))):
-            if self.settled(people[0]):
+            one = ranked[0][1]
+            if self.settled(one):
                 break
-            one = people[0]
-            other = self.rng.choice(people[1:]) if len(people) > 1 else one
+            other = self.rng.choice(ranked[1:])[1] if len(ranked) > 1 else one
             child = self.cross(other, one) if other is not one and self.rng.random() < 0.6 else self.mutate(one if self.rng.random() < 0.5 else other)
-            if self.score(child) > self.score(people[-1]) and child not in people:
-                people[-1:] = [child] if len(people) >= POPULATION else [people[-1], child]
-                people.sort(key=self.score, reverse=True)
-        return people
+            score = self.score(child)
+            if score > ranked[-1][0] and all(child != p for _, p in ranked):
+                ranked[-1:] = [(score, child)] if len(ranked) >= POPULATION else [ranked[-1], (score, child)]
+                ranked.sort(key=lambda x: x[0], reverse=True)
+        return [p for _, p in ranked]
 
 
 def pack_ring(lengths: list[int], capacity: int, seed: int = 0, islands: int = ISLANDS, rounds: int = ROUNDS, children: int | None = None) -> Bins:
@@ -183,7 +204,7 @@ def _written(people: list[Bins], n: int) -> bytes:
 def _read(blob: bytes, n: int) -> list[Bins]:
     people = []
     for row in np.frombuffer(blob, "<i4").reshape(-1, n) if n else []:
-        bins: Bins = [[] for _ in range(int(row.max()) + 1)]
+        bins: Bins = [Bin() for _ in range(int(row.max()) + 1)]
         for i, k in enumerate(row.tolist()):
             bins[k].append(i)
         people.append(bins)
