@@ -153,7 +153,8 @@ def count_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, term, vec, total): the terms in at least `least` documents of a language, vec their counts by source, in order of sources."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     counted = docs.select(text("lang"), text("source"), text("text")).mapInArrow(tidy(_count_batches), "lang string, source string, term string, cnt long, df long")
-    by_source = counted.groupBy("lang", "source", "term").agg(F.sum("cnt").alias("cnt"), F.sum("df").alias("df"))
+    # dealt by language and term, counts of a source and vectors of a term are both summed where they are
+    by_source = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("cnt").alias("cnt"), F.sum("df").alias("df"))
     by_term = by_source.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sort_array(F.collect_list(F.struct("source", "cnt"))).alias("vec"), F.sum("cnt").alias("total"))
     return by_term.where(F.col("df") >= least).select("lang", "term", "vec", "total")
 
