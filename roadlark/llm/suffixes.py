@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by a hash-compared suffix sort.
+"""Removal of repeated byte strings by a suffix sort.
 
 A byte goes if it lies in a string of `length` bytes that also starts earlier: in a document with a smaller
 id, or earlier in the same one. Every window of that length picks the least-hashed gram of GRAM bytes in it
@@ -8,10 +8,9 @@ equal. Neighbouring windows with the same pick form a run, and runs rather than
 1. Runs meet by their gram. A run whose whole context (all bytes of its windows) was seen earlier is
    marked at once. Grams with a single context need nothing more.
 2. For grams with several contexts the first of each is fetched. The windows of one gram at one place in it
-   are sorted as suffixes: merges of ever longer sorted lists, each suffix finding its rank in the other list
-   by binary search; two suffixes are compared at their common extension, which a binary search over prefix
-   polynomial hashes finds. Neighbours that agree in `length` bytes by hash are held against each other byte
-   by byte, and if a collision shows, those bytes alone decide.
+   are sorted as suffixes, word by word of eight bytes, and only among suffixes that agree in all words before.
+   Neighbours that agree in `length` bytes by hash are held against each other byte by byte, and if a collision
+   shows, those bytes alone decide.
 3. Marks meet by document and are cut out of its text.
 """
 
@@ -204,62 +203,41 @@ class SuffixOrder:
     def __init__(self, data: np.ndarray, length: int = LENGTH):
         self.data, self.length = data, length
         self.hashes = PrefixHashes(data)
+        self.words = np.ndarray(len(data) + 1, ">u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))
 
-    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common bytes from a and from b on, at most `length`, by binary search over hashes of prefixes."""
-        low = np.zeros(len(a), np.int64)
-        whole = self.hashes.of(a, self.length) == self.hashes.of(b, self.length)
-        low[whole] = self.length
-        left = np.flatnonzero(~whole)
-        lo, hi = np.zeros(len(left), np.int64), np.full(len(left), self.length - 1)
-        x, y = a[left], b[left]
-        while len(left) and (lo < hi).any():
-            mid = (lo + hi + 1) >> 1
-            same = self.hashes.of(x, mid) == self.hashes.of(y, mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        low[left] = lo
-        return low
-
-    def less(self, a: np.ndarray, b: np.ndarray, ties: bool) -> np.ndarray:
-        """Whether suffix a stands before suffix b; `ties` for equal ones."""
-        e = self.extension(a, b)
-        at = np.minimum(e, self.length - 1)
-        return np.where(e == self.length, ties, self.data[a + at] < self.data[b + at])
+    def word(self, suffixes: np.ndarray, k: int) -> np.ndarray:
+        """The eight bytes from place k on of each suffix as a number that sorts as they do; zeros behind `length`."""
+        told = self.words[suffixes + k].astype(np.uint64)
+        beyond = max(0, k + 8 - self.length)
+        return told >> np.uint64(8 * beyond) << np.uint64(8 * beyond)
 
     def sort(self, suffixes: np.ndarray, group_ends: np.ndarray) -> np.ndarray:
-        """Suffixes with each group in order; groups lie one after another. Merge sort, all merges of a level at once."""
+        """Suffixes with each group in order; groups lie one after another, equal suffixes stay as they came.
+
+        By words of eight bytes, from the first on: each sorts anew what agreed in all words before. Suffixes that no other
+        agrees with go, and where all of a class agree nothing is sorted, so the cost grows with the suffixes and not with
+        the size of a group.
+        """
         out = suffixes.copy()
         starts = np.concatenate([[0], group_ends[:-1]])
         sizes = group_ends - starts
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        within = np.arange(len(out)) - starts[group]
-        width, widest = 1, int(sizes.max(initial=0))
-        while width < widest:
-            live = np.flatnonzero(sizes[group] > width)
-            g, w = group[live], within[live]
-            block = w // (2 * width) * (2 * width)
-            is_left = w - block < width
-            base = starts[g] + block
-            middle = np.minimum(base + width, group_ends[g])
-            end = np.minimum(base + 2 * width, group_ends[g])
-            # the rank of each suffix in the other half; of equal ones those of the left half come first
-            lo, hi = np.where(is_left, middle, base), np.where(is_left, end, middle)
-            low0 = lo.copy()
-            todo = np.flatnonzero(lo < hi)
-            while len(todo):
-                mid = (lo[todo] + hi[todo]) >> 1
-                other, own = out[mid], out[live[todo]]
-                left = is_left[todo]
-                before = np.where(left, self.less(other, own, False), self.less(other, own, True))
-                lo[todo] = np.where(before, mid + 1, lo[todo])
-                hi[todo] = np.where(before, hi[todo], mid)
-                todo = todo[lo[todo] < hi[todo]]
-            own_rank = live - np.where(is_left, base, middle)
-            target = base + own_rank + (lo - low0)
-            merged = out.copy()
-            merged[target] = out[live]
-            out = merged
-            width *= 2
+        for k in range(0, self.length, 8):
+            more = sizes > 1
+            starts, sizes = starts[more], sizes[more]
+            if not len(starts):
+                break
+            begin = np.cumsum(sizes) - sizes
+            live = np.repeat(starts - begin, sizes) + np.arange(begin[-1] + sizes[-1])
+            word = self.word(out[live], k)
+            mixed = np.repeat(np.minimum.reduceat(word, begin) != np.maximum.reduceat(word, begin), sizes)
+            if not mixed.any():
+                continue
+            owner = np.repeat(np.arange(len(begin)), sizes)
+            at = np.flatnonzero(mixed)
+            order = at[np.lexsort((word[at], owner[at]))]
+            out[live[at]], word[at] = out[live[order]], word[order]
+            cut = starts_of_runs(owner, word)
+            starts, sizes = live[cut[:-1]], np.diff(cut)
         return out
 
     def classes(self, ordered: np.ndarray, group_ends: np.ndarray) -> np.ndarray:
@@ -297,7 +275,7 @@ def _decide(length: int):
             run_of = np.repeat(np.arange(len(count)), count)
             step = np.arange(len(run_of)) - np.repeat(np.cumsum(count) - count, count)
             group_key = np.unique(gram, return_inverse=True)[1][run_of] * 512 + (back[run_of] - step)
-            order = np.lexsort((first[run_of] + step, tags[run_of], docs[run_of], group_key))
+            order = np.argsort(group_key, kind="stable")  # runs came by place, and so do their windows at one place of the gram
             run_of, step, group_key = run_of[order], step[order], group_key[order]
             runs = starts_of_runs(group_key)
             alone = np.repeat(np.diff(runs) == 1, np.diff(runs))

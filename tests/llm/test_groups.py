@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -339,6 +340,18 @@ def test_suffix_sort():
         a = e
 
 
+def test_sort_of_one_large_group():
+    """A passage in 40,000 documents, each with a byte of its own: the cost of a window does not grow with its group."""
+    rng = np.random.default_rng(2)
+    n, width = 40_000, 168
+    data = np.tile(rng.integers(97, 123, width).astype(np.uint8), (n, 1))
+    data[np.arange(n), rng.integers(0, width, n)] = rng.integers(0, 256, n)
+    windows, began = np.arange(n) * width + 30, time.process_time()
+    got = suffixes.SuffixOrder(data.reshape(-1), 100).sort(windows, np.array([n]))
+    assert time.process_time() - began < 2
+    assert got.tolist() == sorted(windows.tolist(), key=lambda p: (data.reshape(-1)[p : p + 100].tobytes(), p))
+
+
 def test_collisions_are_seen(monkeypatch):
     """With a hash that holds all stretches for equal the bytes alone decide the classes."""
     data = np.frombuffer(b"abcdabceabcd", np.uint8)
