@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,40 @@ def test_tasks_of_tracing(spark, monkeypatch):
     assert len(got) == 600 and all((r.distance if r.reachable else math.inf) == best[r.origin, r.destination] for r in got)
 
 
+@pytest.mark.parametrize("zero", [False, True])
+def test_graph_in_files(spark, monkeypatch, zero):
+    """Beyond what is broadcast executors read rows from files of few nodes; with the same paths, and no edge through the driver."""
+    edges = random_graph(3, zero=zero) + [(90, 40, 41, 2.0)]
+    und = spark.createDataFrame(edges, UND)
+    asked = spark.createDataFrame([(a * 100 + b, a, b, 1) for a in [*range(1, 15, 2), 40, 77] for b in [*range(1, 15, 3), 41]], ASK)
+    told = lambda method: sorted((r.query_id, r.reachable, r.distance, r.nodes, r.edges) for r in paths.trace_paths(und, asked, method).collect())
+    want = told("arrow")
+    monkeypatch.setattr(paths, "ROWS_PER_FILE", 12)
+    monkeypatch.setattr(paths, "MOST_BROADCAST_EDGES", 5)
+    monkeypatch.setattr(paths, "_collected_rows", None)
+    assert paths.GraphFiles(und).parts > 3 and paths.method_for(und) == "files"
+    assert told("auto") == want
+    best = floyd(edges[:-1], 14)
+    got = paths.distances(und, spark.createDataFrame([(1,), (5,), (99,)], "src long")).collect()
+    assert {(r.src, r.node): r.distance for r in got} == {(s, n): best[s, n] for s in (1, 5) for n in range(1, 15) if best[s, n] < math.inf} | {(99, 99): 0.0}
+
+
+def test_searches_follow_few_edges(monkeypatch):
+    """On a graph of many edges a node both ends settle few nodes, and take few edges of each."""
+    rng = np.random.default_rng(4)
+    n, m = 4000, 80_000
+    graph = paths.Rows(rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(1, 1000, m).astype(float), np.arange(m))
+    pushed = []
+    monkeypatch.setattr(paths.heapq, "heappush", lambda heap, x, push=paths.heapq.heappush: (pushed.append(1), push(heap, x)))
+    for goal in range(1, 20):
+        done, whole = graph.between(0, goal), None
+        few = len(pushed)
+        whole = graph.reach(0, {goal})
+        assert done[goal][0] == whole[goal][0] and graph.back(done, 0, goal) == graph.back(whole, 0, goal)
+        assert len(done) < n / 8 and few < n / 2
+        pushed.clear()
+
+
 # Blocks
 
 
@@ -114,6 +149,18 @@ def test_blocks_against_all_pairs(spark, seed, most, method):
         assert len({(r.src, r.node) for r in rows}) == len(rows)
 
 
+def test_routes_settle_little(spark, monkeypatch):
+    """Routes over blocks are searched for from both ends, not from each origin through the whole overlay."""
+    edges, points = city(1)
+    und, places = spark.createDataFrame(edges, UND), spark.createDataFrame(points, "id long, x_loc double, y_loc double")
+    blocks, best = overlay.Overlay(und, places, 6.0, 8), floyd(edges, 60)
+    monkeypatch.setattr(overlay.Overlay, "reached", None)
+    monkeypatch.setattr(paths, "MOST_BROADCAST_EDGES", 5)
+    asked = spark.createDataFrame([(k, 1 + k % 7, 1 + k % 60) for k in range(120)], "query_id long, origin long, destination long")
+    got = {r.query_id: r.distance for r in overlay.route_distances(blocks, asked).collect()}
+    assert got == {k: None if best[1 + k % 7, 1 + k % 60] == math.inf else best[1 + k % 7, 1 + k % 60] for k in range(120)}
+
+
 def test_shortcuts_pass_no_border(spark):
     """Two cells: 1 - 2 - 3 | 4, 1 and 3 on the border; one shortcut 1-3, none through a border node."""
     und = spark.createDataFrame([(0, 1, 2, 1.0), (1, 2, 3, 1.0), (2, 1, 4, 5.0), (3, 3, 4, 5.0), (4, 3, 5, 1.0), (5, 5, 4, 1.0)], UND)
