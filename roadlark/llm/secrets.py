@@ -14,6 +14,7 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -100,8 +101,8 @@ def frequent_words(docs: DataFrame, most: int = MOST_WORDS) -> tuple[str, ...]:
 
 #: No segment but runs is longer: words, dates, units said twice.
 LONGEST_SEGMENT = 32
-#: Units said twice are looked for up to this length; in values of at most LONG_UNITS_IN characters in any length.
-LONGEST_UNIT, LONG_UNITS_IN = 16, 2000
+#: Units said twice are compared one by one up to this length, longer ones by where equal stretches begin.
+LONGEST_UNIT = 16
 YEARS = range(1900, 2051)
 
 
@@ -175,23 +176,32 @@ class _Runs:
         return best[places[-1]] + self.first + self.c * math.log10(i - places[-1])
 
 
-def _long_units(low: str) -> dict[int, list[int]]:
-    """End -> lengths beyond LONGEST_UNIT of units that are said twice up to there; by the places at which equal stretches begin."""
-    n, size = len(low), LONGEST_UNIT + 1
-    out: dict[int, list[int]] = {}
-    if n < 2 * size or n > LONG_UNITS_IN:
-        return out
-    at: dict[str, list[int]] = {}
-    for k in range(n - size + 1):
-        at.setdefault(low[k : k + size], []).append(k)
-    apart = {b - a for places in at.values() if len(places) > 1 for k, b in enumerate(places) for a in places[:k] if b - a >= size}
-    for unit in sorted(apart):
-        run = 0
-        for k in range(unit, n):
-            run = run + 1 if low[k] == low[k - unit] else 0
-            if run >= unit:
-                out.setdefault(k + 1, []).append(unit)
-    return out
+class _LongUnits:
+    """Units beyond LONGEST_UNIT that are said twice, in values of any length. `units` are lengths that may be: equal stretches begin so
+    far apart. While the end moves on, each knows for how many characters the value has been what it was a unit before."""
+
+    def __init__(self, low: str):
+        n, size = len(low), LONGEST_UNIT + 1
+        at: dict[str, list[int]] = {}
+        for k in range(n - size + 1 if n >= 2 * size else 0):
+            at.setdefault(low[k : k + size], []).append(k)
+        several = [np.array(places) for places in at.values() if len(places) > 1]
+        if sum(len(p) ** 2 for p in several) > 64 * n:
+            units = np.arange(size, n // 2 + 1)  # more pairs of places than lengths
+        else:
+            units = np.unique(np.concatenate([(p[None, :] - p[:, None]).ravel() for p in several])) if several else np.zeros(0, np.int64)
+        self.units = units[(units >= size) & (2 * units <= n)]
+        self.runs, self.low = np.zeros(len(self.units), np.int64), np.array([ord(c) for c in low], np.int32) if len(self.units) else None
+        self.best = np.zeros(n + 1) if len(self.units) else None
+
+    def least(self, i: int) -> float:
+        """The least cost of what stands before a second saying that ends at i; called for each i in turn."""
+        there = self.units[: int(np.searchsorted(self.units, i - 1, side="right"))]
+        runs = self.runs[: len(there)]
+        runs += 1
+        runs[self.low[i - 1] != self.low[i - 1 - there]] = 0
+        said = there[runs >= there]
+        return float(self.best[i - said].min()) if len(said) else math.inf
 
 
 def _cost(value: str, enough: float, words: tuple[str, ...]) -> float:
@@ -204,7 +214,7 @@ def _cost(value: str, enough: float, words: tuple[str, ...]) -> float:
     plain = low.translate(LEET)
     per_char = math.log10(_class_size(value))
     best = [0.0] + [math.inf] * n
-    units = _long_units(low)
+    long = _LongUnits(low)
     runs = [_Runs(kind, per_char) for kind in ("same", "walk", "step")]
     # runs that end at i: as far back as each character continues what was before it
     same = [0] * (n + 1)
@@ -230,12 +240,13 @@ def _cost(value: str, enough: float, words: tuple[str, ...]) -> float:
         for unit in range(2, min(LONGEST_UNIT, i // 2) + 1):
             if low[i - unit : i] == low[i - 2 * unit : i - unit]:
                 cost = min(cost, best[i - unit] + UNIT_COST)
-        for unit in units.get(i, ()):
-            cost = min(cost, best[i - unit] + UNIT_COST)
+        if len(long.units):
+            cost = min(cost, long.least(i) + UNIT_COST)
+            long.best[i] = cost
         best[i] = cost
         above = above + 1 if cost >= enough else 0
         # every way on starts from one of these places, as no segment that goes on beyond i began before them
-        if not units and above > max(LONGEST_SEGMENT, same[i], walk[i], step[i]):
+        if not len(long.units) and above > max(LONGEST_SEGMENT, same[i], walk[i], step[i]):
             return min(best[i + 1 - above : i + 1])
     return best[n]
 

@@ -230,6 +230,14 @@ def test_cost_is_the_least_of_all_segmentations(value):
     assert math.isclose(secrets.guess_cost(value, words=("summer",)), slow_cost(value), abs_tol=1e-9)
 
 
+def test_long_units_in_values_of_any_length():
+    """Saying a unit twice costs as much more in a value of 3,000 characters as in one of 1,800."""
+    letters = random.Random(6).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=1500)
+    for n in (900, 1500):
+        unit = "".join(letters[:n])
+        assert secrets.guess_cost(unit * 2, words=("summer",)) < secrets.guess_cost(unit, words=("summer",)) + 2 * secrets.UNIT_COST + 1
+
+
 @pytest.mark.parametrize("value", ["summerrrrr1", "aaaabbbb", "qwerty2020", "Summer12345", "passw0rd111"])
 def test_cost_of_ambiguous_runs(value):
     assert math.isclose(secrets.guess_cost(value, words=("summer",)), slow_cost(value), abs_tol=1e-9)
