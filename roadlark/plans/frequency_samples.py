@@ -55,7 +55,7 @@ def frequency_samples(spark: SparkSession, coords: str, arcs: str, queries: str,
         asked = frequency.first_queries(asked, max_queries, "line")
     tasks = workers and max(1, min(workers, -(-asked.count() // chunk_size)))
     universe = points_universe(read_points(spark, coords))
-    undirected = stable(graph.build_undirected(read_arcs(spark, arcs)))
+    undirected = graph.build_undirected(read_arcs(spark, arcs))
     return sample_tables(universe, undirected, asked, seed, tasks=tasks)
 
 
