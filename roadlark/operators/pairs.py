@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draw, draw_sql, uniform_sql
-from ..plans.stable import numbered, stable
+from ..plans.stable import kept, numbered, stable
 from .frequency import top_decile
 from .graph import grid_cells, two_hop_neighbors
 
@@ -151,29 +153,47 @@ def query_blocks(served: DataFrame) -> DataFrame:
     return blocks.select("node", "block", "n", F.when(~dense, F.col("found")).alias("words"), F.when(dense, every).alias("all_words"))
 
 
-def _shared(p: str, p_all: str, q: str, q_all: str) -> Column:
-    """Bits that two blocks have in common: word by word, or by the words of the one with fewer."""
-    zero = F.lit(0).cast("long")
-    count = lambda x, y: F.bit_count(x.bitwiseAND(y)).cast("long")
-    both = F.aggregate(F.zip_with(p_all, q_all, count), zero, lambda n, x: n + x)
-    few = lambda words, other: F.aggregate(F.map_entries(words), zero, lambda n, e: n + count(e["value"], other(e["key"])))
-    at, of = (lambda c: lambda key: F.element_at(F.col(c), key + 1)), (lambda c: lambda key: F.coalesce(F.try_element_at(F.col(c), key), zero))
-    dense = F.col(p_all).isNotNull(), F.col(q_all).isNotNull()
-    return F.when(dense[0] & dense[1], both).when(dense[0], few(q, at(p_all))).when(dense[1], few(p, at(q_all))).otherwise(few(p, of(q)))
+#: Blocks whose bitmaps meet in one task: 65,536 queries.
+REGION_BLOCKS = 16
+#: Pairs that are counted at once in a block; their bitmaps take 1 KB each.
+PAIRS_AT_ONCE = 20_000
+
+
+def _count_region(blocks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """(node_i, node_j, shared) of the asked pairs in the blocks of one region: bits that both bitmaps of a block have."""
+    nodes = np.sort(blocks["node"].unique())
+    i, j = (np.searchsorted(nodes, asked[c].to_numpy()) for c in ("node_i", "node_j"))
+    shared = np.zeros(len(asked), np.int64)
+    for _, own in blocks.groupby("block"):
+        row = np.full(len(nodes), -1)
+        row[np.searchsorted(nodes, own["node"].to_numpy())] = np.arange(len(own))
+        bits = np.zeros((len(own), BLOCK_WORDS), np.uint64)
+        for k, (at, words) in enumerate(zip(own["at"], own["bits"])):
+            bits[k, at] = words.view(np.uint64)
+        a, b = row[i], row[j]
+        both = np.flatnonzero((a >= 0) & (b >= 0))
+        for k in range(0, len(both), PAIRS_AT_ONCE):
+            part = both[k : k + PAIRS_AT_ONCE]
+            shared[part] += np.bitwise_count(bits[a[part]] & bits[b[part]]).sum(1, dtype=np.int64)
+    found = np.flatnonzero(shared)
+    return pd.DataFrame({"node_i": asked["node_i"].to_numpy()[found], "node_j": asked["node_j"].to_numpy()[found], "shared": shared[found]})
 
 
 def service_jaccard(served: DataFrame, candidates: DataFrame, least: float = 0.0) -> DataFrame:
     """(node_i, node_j, shared, jaccard) of candidate pairs: queries that pass both over queries that pass either.
 
-    A pair meets once for each block of queries that both nodes have, whatever their number of queries; only candidates
-    are counted, so a query's path is never squared.
+    A task has the bitmaps of a region of queries and the candidates both of whose nodes have queries there, so bitmaps are
+    sent once, not once a pair. Only candidates are counted, so a query's path is never squared.
     """
-    blocks = stable(query_blocks(served))
-    sizes = blocks.groupBy("node").agg(F.sum("n").alias("n"))
-    pairs = candidates.select("node_i", "node_j").distinct()
-    left, right = blocks.drop("n").toDF("node_i", "block", "p", "p_all"), blocks.drop("n").toDF("node_j", "block", "q", "q_all")
-    met = pairs.join(left, "node_i").join(right, ["node_j", "block"])
-    shared = met.groupBy("node_i", "node_j").agg(F.sum(_shared("p", "p_all", "q", "q_all")).alias("shared"))
+    blocks = kept(query_blocks(served).withColumn("region", F.expr(f"block div {REGION_BLOCKS}")))
+    sizes = kept(blocks.groupBy("node").agg(F.sum("n").alias("n")))
+    pairs = kept(candidates.select("node_i", "node_j").distinct())
+    there = kept(blocks.select("node", "region").distinct())
+    asked = pairs.join(there.withColumnRenamed("node", "node_i"), "node_i").join(there.withColumnRenamed("node", "node_j"), ["node_j", "region"])
+    every = F.sequence(F.lit(0), F.lit(BLOCK_WORDS - 1))
+    bitmaps = blocks.select("region", "node", "block", F.coalesce(F.map_keys("words"), every).alias("at"), F.coalesce(F.map_values("words"), "all_words").alias("bits"))
+    met = bitmaps.groupBy("region").cogroup(asked.groupBy("region")).applyInPandas(_count_region, "node_i long, node_j long, shared long")
+    shared = met.groupBy("node_i", "node_j").agg(F.sum("shared").alias("shared"))
     told = pairs.join(shared, ["node_i", "node_j"], "left").join(sizes.select(F.col("node").alias("node_i"), F.col("n").alias("ni")), "node_i").join(sizes.select(F.col("node").alias("node_j"), F.col("n").alias("nj")), "node_j")
     s = F.coalesce("shared", F.lit(0))
     return told.select("node_i", "node_j", s.alias("shared"), (s / (F.col("ni") + F.col("nj") - s)).alias("jaccard")).where(F.col("jaccard") >= least)

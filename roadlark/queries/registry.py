@@ -680,7 +680,7 @@ def pairs_ppmi(spark, sf_dir):
     SELECT node_i, node_j, shared, round(shared / CAST(zi.n + zj.n - shared AS DOUBLE), 6) AS jaccard FROM b JOIN z zi ON zi.node = node_i JOIN z zj ON zj.node = node_j"""
 )
 def pairs_jaccard(spark, sf_dir):
-    p = d.line_paths(spark, sf_dir)
+    p = kept(d.line_paths(spark, sf_dir))
     return pairs.service_jaccard(pairs.services(p), pairs.window_pairs(p, 3)).withColumn("jaccard", F.round("jaccard", 6))
 
 
