@@ -70,9 +70,17 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("vec_id") + 1).alias("node"), F.col("embedding")[0].cast("double").alias("lon"), F.col("embedding")[1].cast("double").alias("lat"))
 
 
+#: Line items of a task whose paths and window pairs it holds.
+ITEMS_PER_TASK = 250_000
+
+
 def line_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, nodes): a path for each order, over its line items in order."""
+    """(query_id, nodes): a path for each order, over its line items in order.
+
+    Tasks grow in number with the items, not in size: the pairs of a query are counted where its path was made.
+    """
     li = table(spark, sf_dir, "lineitem")
+    li = li.repartition(max(1, -(-li.count() // ITEMS_PER_TASK)), "l_orderkey")
     step = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", (1 + F.col("l_partkey") % 300).alias("node"))
     return li.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.sort_array(F.collect_list(step)).alias("s")).select("query_id", F.col("s.node").alias("nodes"))
 

@@ -67,3 +67,13 @@ def test_bitmaps_are_sent_once_not_once_a_pair(spark, monkeypatch, blocks):
     for r in served.collect():
         own[r.node].add(r.query_id)
     assert got == {(a, b): len(own[a] & own[b]) for a in range(300) for b in range(a + 1, 300)}
+
+
+def test_tasks_of_line_paths_grow_in_number(spark, monkeypatch):
+    from roadlark.queries import derive
+
+    folder = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    monkeypatch.setattr(derive, "ITEMS_PER_TASK", 500, raising=False)
+    told = pairs.window_pairs(derive.line_paths(spark, folder), 3).groupBy(F.spark_partition_id()).agg(F.count_distinct("query_id").alias("n")).collect()
+    assert len(told) >= 0.9 * items / 500
