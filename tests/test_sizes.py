@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadlark.operators import graph, pairs
+from roadlark.operators import graph, pairs, paths
 from roadlark.plans.stable import kept, numbered
 
 
@@ -77,3 +78,14 @@ def test_tasks_of_line_paths_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(derive, "ITEMS_PER_TASK", 500, raising=False)
     told = pairs.window_pairs(derive.line_paths(spark, folder), 3).groupBy(F.spark_partition_id()).agg(F.count_distinct("query_id").alias("n")).collect()
     assert len(told) >= 0.9 * items / 500
+
+
+@pytest.mark.parametrize("least", [0, 1])
+@pytest.mark.parametrize("edges", [0, 40, 3000])
+def test_whole_frontiers_find_what_a_heap_finds(least, edges):
+    rng = np.random.default_rng(edges + least)
+    src, dst = rng.integers(0, 300, edges + 1), rng.integers(0, 300, edges + 1)
+    rows = paths.Rows(src, dst, rng.integers(least, 50, edges + 1) / 7.0, np.arange(edges + 1))
+    for origin in range(0, len(rows.ids), 7):
+        nodes, told = rows.spread(origin)
+        assert dict(zip(nodes.tolist(), told.tolist())) == {v: d for v, (d, _) in rows.reach(origin, None).items()}
