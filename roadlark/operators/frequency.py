@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draw
-from ..plans.stable import nth_smallest, numbered, smallest, stable
+from ..plans.stable import kept, nth_smallest, numbered, smallest, stable
 
 
 def origin_counts(queries: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def top_decile(table: DataFrame, key: str, value: str = "pass_count") -> DataFra
     Both columns are integers, and keys tell rows apart. The edge of the tenth is found by histograms of values, then of
     the keys that tie there, so no row is sorted or moved.
     """
-    rows = stable(table)
+    rows = kept(table)
     n = rows.count()
     return rows.where(_top(rows, share(n), key, value)) if n else rows
 
@@ -78,7 +78,7 @@ def _top(rows: DataFrame, n: int, key: str, value: str) -> Column:
 
 def sample_negatives(candidates: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n candidates (all, if they are fewer) by a draw on their key."""
-    drawn = stable(candidates.withColumn("_d", draw(key, seed)))
+    drawn = kept(candidates.withColumn("_d", draw(key, seed)))
     if n >= drawn.count():
         return candidates
     return drawn.where(smallest(drawn, n, "_d", key) if n else F.lit(False)).drop("_d")
@@ -116,7 +116,7 @@ def label(table: DataFrame, key: str, value: str = "pass_count", seed: int = 42,
 
     Both kinds are conditions on a row's own value, key and draw, so rows stay where they are.
     """
-    rows = stable(table)
+    rows = kept(table)
     total = rows.count()
     if not total:
         return rows.withColumn("label", F.lit(0)).withColumn("sample_role", F.lit("unused"))

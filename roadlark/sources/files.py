@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..plans.stable import tidy_shuffles
 from .roads import line_order
 
 
@@ -64,5 +65,6 @@ def write_table(table: DataFrame, path: str, kind: str = "parquet", order: str |
     if files:
         table = table.coalesce(files)
     writer = table.write.mode("overwrite")
-    writer.csv(path, header=True) if kind == "csv" else writer.format(kind).save(path)
+    with tidy_shuffles(table.sparkSession):
+        writer.csv(path, header=True) if kind == "csv" else writer.format(kind).save(path)
     return dict(seen.get) if counters else {}

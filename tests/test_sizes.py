@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +36,22 @@ def test_kept_tables_leave_no_shuffles(spark, arcs):
     assert shuffle_files(spark) == before
 
 
+def test_labels_and_files_leave_no_shuffles(spark, tmp_path):
+    from roadlark.operators import frequency
+    from roadlark.sources import write_table
+
+    table = spark.range(400_000).groupBy(F.col("id").alias("src")).agg(F.count("*").alias("pass_count"))
+    before = shuffle_files(spark)
+    told = frequency.label(table, "src")
+    top = frequency.top_decile(table, "src")
+    assert write_table(told, f"{tmp_path}/told", "csv", "src", n=F.count(F.lit(1)))["n"] == told.count() and top.count() == frequency.share(told.count())
+    assert {f for f in shuffle_files(spark) - before if shuffled_size(spark, f) > 150_000} == set()  # histograms of 4,096 cells stay
+
+
+def shuffled_size(spark, name: str) -> int:
+    return spark._jsc.sc().env().blockManager().diskBlockManager().getFile(name).length()
+
+
 def test_numbers_stand(spark):
     """Numbers are the same each time they are read, whatever partitions are made of them."""
     rows = numbered(spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")), [F.col("k")], "n")
@@ -89,3 +107,28 @@ def test_whole_frontiers_find_what_a_heap_finds(least, edges):
     for origin in range(0, len(rows.ids), 7):
         nodes, told = rows.spread(origin)
         assert dict(zip(nodes.tolist(), told.tolist())) == {v: d for v, (d, _) in rows.reach(origin, None).items()}
+
+
+def test_graph_files_are_narrow(spark):
+    """Whole weights and usual edge numbers take 12 bytes each way, and both ways of an edge go through one narrow shuffle."""
+    n = 60_000
+    und = kept(spark.range(n).select(F.col("id").alias("edge_index"), (F.col("id") * 7919 % 9973 * 3).alias("src"), (F.col("id") * 104729 % 9967 * 3).alias("dst"), (1 + F.col("id") % 500).cast("double").alias("weight")))
+    before = shuffled(spark)
+    files = paths.GraphFiles(und)
+    assert shuffled(spark) - before < 36 * n
+    folder = Path("/" + files.base.removeprefix("file:").lstrip("/"))
+    assert sum(x.stat().st_size for x in folder.iterdir() if x.name.startswith("rows-")) < 13 * 2 * n + 16 * 20_000 + 200
+
+
+@pytest.mark.parametrize("number", [0, 1 << 40])
+@pytest.mark.parametrize("part", [1.0, 0.1, 1e-300])
+def test_graph_files_keep_every_bit(spark, monkeypatch, number, part):
+    """Weights and edge numbers that 32 bits don't hold, ids far apart, two edges of a pair, a loop."""
+    rng = np.random.default_rng(3)
+    far = lambda k: int(k) * (1 << 50) - (1 << 53)
+    edges = [(number + k, far(a), far(b), float(w) * part) for k, (a, b, w) in enumerate(zip(rng.integers(0, 12, 60), rng.integers(0, 12, 60), rng.integers(1, 99, 60)))]
+    monkeypatch.setattr(paths, "ROWS_PER_FILE", 30)
+    rows = paths.GraphFiles(spark.createDataFrame(edges, "edge_index long, src long, dst long, weight double").repartition(3)).value
+    assert len(rows.parts) > 2
+    got = sorted((int(e), int(rows.nodes([u])[0]), int(rows.nodes([v])[0]), w) for u in (rows.place(far(k)) for k in range(12)) if u >= 0 for v, w, e in zip(*rows.row(u), rows.edges(u)))
+    assert got == sorted([(k, a, b, w) for k, a, b, w in edges] + [(k, b, a, w) for k, a, b, w in edges])
