@@ -132,3 +132,16 @@ def test_graph_files_keep_every_bit(spark, monkeypatch, number, part):
     assert len(rows.parts) > 2
     got = sorted((int(e), int(rows.nodes([u])[0]), int(rows.nodes([v])[0]), w) for u in (rows.place(far(k)) for k in range(12)) if u >= 0 for v, w, e in zip(*rows.row(u), rows.edges(u)))
     assert got == sorted([(k, a, b, w) for k, a, b, w in edges] + [(k, b, a, w) for k, a, b, w in edges])
+
+
+def test_block_tables_do_not_pass_the_driver(spark):
+    """Cells, borders and what else grows with the graph are merged, however small they look."""
+    from roadlark.operators import overlay
+
+    und = spark.createDataFrame([(k, k, k + 1, 1.0) for k in range(30)], "edge_index long, src long, dst long, weight double")
+    places = spark.range(31).select("id", (F.col("id") / 3.0).alias("x_loc"), F.lit(0.0).alias("y_loc"))
+    blocks = overlay.Overlay(und, places, 2.0, 8)
+    assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+    got = overlay.distances(blocks, spark.createDataFrame([(3,)], "src long"), "arrow")
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.node: r.distance for r in got.collect()} == {k: float(abs(k - 3)) for k in range(31)}
