@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import pickle
 import random
+import uuid
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import draw
-from ..plans.stable import kept, nth_smallest, numbered, smallest, stable
+from ..plans.stable import Tables, kept, nth_smallest, numbered, smallest, stable, tidy_shuffles
+from .paths import Places, mapped_longs, put_longs
 
 
 def origin_counts(queries: DataFrame) -> DataFrame:
@@ -46,9 +51,49 @@ def node_features(universe: DataFrame, queries: DataFrame, paths: DataFrame) ->
     return universe.join(counts, "node", "left").select("node", "lon", "lat", _zero("origin_count"), _zero("destination_count"), _zero("pass_count"))
 
 
+class KeptCounts:
+    """Counts by a key of 64 bits, in sorted files of the shared folder that workers map, so that a larger table with the key need not move."""
+
+    def __init__(self, counts: DataFrame, key: str, value: str):
+        base = Tables(counts.sparkSession, "counts").base
+
+        def run(batches):
+            rows = [x for x in batches if len(x)]
+            if rows:
+                own, name = pd.concat(rows).sort_values(key), uuid.uuid4().hex
+                put_longs(base, f"value-{name}", own[value].to_numpy())
+                put_longs(base, name, own[key].to_numpy())
+                yield pd.DataFrame({"name": [name], "first": own[key].iloc[0], "size": len(own)})
+
+        rows = counts.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(value).cast("long").alias(value))
+        with tidy_shuffles(counts.sparkSession):
+            told = sorted((r["first"], r["name"], r["size"]) for r in rows.repartitionByRange(key).mapInPandas(run, "name string, first long, size long").collect())  # one row a partition
+        self.base, self.names = base, [x[1] for x in told]
+        self.places = Places(base, self.names, [x[0] for x in told], [x[2] for x in told])
+
+    def of(self, column: pa.Array) -> np.ndarray:
+        """The count of each key, 0 where there is none."""
+        keys = column.cast(pa.int64()).fill_null(-1 << 63).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(keys), np.int64)
+        part = np.searchsorted(self.places.firsts, keys, side="right") - 1
+        for k in np.unique(part[part >= 0]).tolist():
+            own = np.flatnonzero(part == k)
+            ids, values = self.places.part(k), mapped_longs(f"{self.base}/value-{self.names[k]}")
+            at = np.minimum(np.searchsorted(ids, keys[own]), len(ids) - 1)
+            out[own] = np.where(ids[at] == keys[own], values[at], 0)
+        return out
+
+
 def edge_features(undirected: DataFrame, paths: DataFrame) -> DataFrame:
-    """(edge_index, src, dst, weight, pass_count) for every edge."""
-    return undirected.join(edge_pass_counts(paths), "edge_index", "left").select("edge_index", "src", "dst", "weight", _zero("pass_count"))
+    """(edge_index, src, dst, weight, pass_count) for every edge. Edges stay where they are: they look up what the paths, which are traced here, count."""
+    counts = KeptCounts(edge_pass_counts(paths), "edge_index", "pass_count")
+    rows = undirected.select("edge_index", "src", "dst", "weight")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts.of(batch.column(0)))], names=[*batch.schema.names, "pass_count"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("pass_count", LongType())]))
 
 
 def share(n: int) -> int:

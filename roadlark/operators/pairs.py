@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draw, draw_sql, uniform_sql
 from ..plans.stable import kept, numbered, stable
-from .frequency import top_decile
+from .frequency import KeptCounts, top_decile
 from .graph import grid_cells, two_hop_neighbors
 
 STRONG_QUERIES, STRONG_COUNT = 3, 5
@@ -205,11 +206,17 @@ def edge_samples(features: DataFrame) -> DataFrame:
 
 
 def edge_hard_negatives(features: DataFrame, low: int = 0) -> DataFrame:
-    """Edges passed `low` times at most that touch an edge of the top tenth."""
+    """Edges passed `low` times at most that touch an edge of the top tenth; `features` has a row for each edge. Edges stay where they
+    are: they look up the nodes of the top tenth."""
     hot = top_decile(features, "edge_index").where(F.col("pass_count") > low)
-    ends = hot.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    cold = features.where(F.col("pass_count") <= low).select("edge_index", "src", "dst", "weight", "pass_count", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
-    return cold.join(ends, "node", "left_semi").select("edge_index", "src", "dst", "weight", "pass_count", F.lit(0).alias("label")).distinct()
+    ends = KeptCounts(hot.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("n")), "node", "n")
+    cold = features.where(F.col("pass_count") <= low).select("edge_index", "src", "dst", "weight", "pass_count", F.lit(0).alias("label"))
+
+    def touching(batches):
+        for batch in batches:
+            yield batch.filter(pa.array((ends.of(batch.column(1)) > 0) | (ends.of(batch.column(2)) > 0)))
+
+    return cold.mapInArrow(touching, cold.schema)
 
 
 def edge_area_negatives(features: DataFrame, points: DataFrame, delta: float, low: int = 0) -> DataFrame:

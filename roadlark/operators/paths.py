@@ -357,10 +357,15 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 @lru_cache(maxsize=64)
-def _ids(uri: str) -> np.ndarray:
+def mapped_longs(uri: str) -> np.ndarray:
+    """64-bit numbers in a file."""
     return _mapped(uri).view(np.int64)
 
 
+def put_longs(base: str, name: str, values: np.ndarray) -> None:
+    _put(base, name, [values.astype(np.int64)])
+
+
 class Places:
     """Sorted node ids in files of the shared folder; the place of an id is its rank."""
 
@@ -368,8 +373,8 @@ class Places:
         self.base, self.names = base, names
         self.firsts, self.starts = np.array(firsts, np.int64), np.cumsum([0, *sizes])
 
-    def _part(self, k: int) -> np.ndarray:
-        return _ids(f"{self.base}/{self.names[k]}")
+    def part(self, k: int) -> np.ndarray:
+        return mapped_longs(f"{self.base}/{self.names[k]}")
 
     def of(self, nodes: np.ndarray) -> np.ndarray:
         """Places of ids, all of which are known."""
@@ -377,13 +382,13 @@ class Places:
         out = np.zeros(len(nodes), np.int64)
         for k in np.unique(part).tolist():
             own = part == k
-            out[own] = np.searchsorted(self._part(k), nodes[own]) + self.starts[k]
+            out[own] = np.searchsorted(self.part(k), nodes[own]) + self.starts[k]
         return out
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids of places from start to stop."""
         first, last = np.searchsorted(self.starts, [start, stop - 1], side="right") - 1
-        parts = [self._part(k)[max(0, start - self.starts[k]) : stop - self.starts[k]] for k in range(first, last + 1)]
+        parts = [self.part(k)[max(0, start - self.starts[k]) : stop - self.starts[k]] for k in range(first, last + 1)]
         return np.concatenate(parts)
 
 

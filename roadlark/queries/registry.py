@@ -772,7 +772,7 @@ query(ORACLES["pair_samples_all"])(pair_samples_file)
     SELECT edge_index, src, dst, weight, pass_count, 0 AS label FROM ef JOIN cells ON node = src JOIN warm USING (cell_x, cell_y) WHERE pass_count <= 0"""
 )
 def edge_area_negatives(spark, sf_dir):
-    return pairs.edge_area_negatives(stable(_edge_features(spark, sf_dir)), _places(spark, sf_dir), 20.0)
+    return pairs.edge_area_negatives(kept(_edge_features(spark, sf_dir)), _places(spark, sf_dir), 20.0)
 
 
 @query(f"{_EDGES} SELECT edge_index, src, dst, weight, pass_count, CASE WHEN pass_count > 0 THEN 1 ELSE 0 END AS label FROM ef")
@@ -786,4 +786,4 @@ def edge_path_samples(spark, sf_dir):
     SELECT edge_index, src, dst, weight, pass_count, 0 AS label FROM ef WHERE pass_count <= 0 AND (src IN (SELECT node FROM ends) OR dst IN (SELECT node FROM ends))"""
 )
 def edge_hard_negatives(spark, sf_dir):
-    return pairs.edge_hard_negatives(stable(_edge_features(spark, sf_dir)))
+    return pairs.edge_hard_negatives(kept(_edge_features(spark, sf_dir)))

@@ -145,3 +145,35 @@ def test_block_tables_do_not_pass_the_driver(spark):
     got = overlay.distances(blocks, spark.createDataFrame([(3,)], "src long"), "arrow")
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r.node: r.distance for r in got.collect()} == {k: float(abs(k - 3)) for k in range(31)}
+
+
+def test_edges_stay_where_they_are(spark):
+    """Pass counts and the nodes of the top tenth are looked up: neither labels nor hard negatives shuffle a table of all edges."""
+    from roadlark.operators import frequency
+
+    n = 120_000
+    und = kept(spark.range(n).select(F.col("id").alias("edge_index"), (F.col("id") * 7919 % 9973).alias("src"), (F.col("id") * 104729 % 9967 + 5000).alias("dst"), (1 + F.col("id") % 500).cast("double").alias("weight")))
+    traced = kept(spark.range(900).select(F.lit(2).cast("long").alias("count"), F.array((F.col("id") % 300) * 400, F.lit(n - 1).cast("long")).alias("edges")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables of size are joined
+    before = shuffled(spark)
+    try:
+        features = kept(frequency.edge_features(und, traced))
+        cold = kept(pairs.edge_hard_negatives(features))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert shuffled(spark) - before < 2 * n
+    assert features.dtypes == [("edge_index", "bigint"), ("src", "bigint"), ("dst", "bigint"), ("weight", "double"), ("pass_count", "bigint")]
+    assert {r.edge_index: r.pass_count for r in features.where("pass_count > 0").collect()} == {400 * k: 6 for k in range(300)} | {n - 1: 1800}
+    assert features.count() == n and features.join(und, und.columns, "left_anti").isEmpty()
+    ends = {x for r in features.where("pass_count > 0").collect() for x in (r.src, r.dst)}
+    rows = features.where("pass_count = 0").collect()
+    assert {r.edge_index for r in cold.collect()} == {r.edge_index for r in rows if r.src in ends or r.dst in ends}
+
+
+def test_counts_of_nothing(spark):
+    from roadlark.operators import frequency
+
+    und = spark.createDataFrame([(0, 1, 2, 1.0)], "edge_index long, src long, dst long, weight double")
+    none = spark.createDataFrame([], "count long, edges array<long>")
+    assert [tuple(r) for r in frequency.edge_features(und, none).collect()] == [(0, 1, 2, 1.0, 0)]
+    assert pairs.edge_hard_negatives(frequency.edge_features(und, none)).collect() == []
