@@ -1,3 +1,3 @@
-from .draws import draw, draw_sql, uniform_sql
+from .draws import draw, draw_sql, drawn, uniform_sql
 
-__all__ = ["draw", "draw_sql", "uniform_sql"]
+__all__ = ["draw", "draw_sql", "drawn", "uniform_sql"]

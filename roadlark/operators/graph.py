@@ -7,7 +7,10 @@ its opposite of the same value into one undirected edge. `build_undirected` make
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -301,6 +304,55 @@ def two_hop_neighbors(undirected: DataFrame, include_one_hop: bool = True, block
     return two.unionByName(one).distinct() if include_one_hop else two.join(one, ["node_i", "node_j"], "left_anti")
 
 
+#: Pairs that are made before they are looked through.
+PAIRS_AT_ONCE = 1_000_000
+
+
+def chosen_two_hop(undirected: DataFrame, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = HUB_BLOCK) -> DataFrame:
+    """Those of `two_hop_neighbors` for which chosen(node_i, node_j) holds, asked where the pairs are made, so that others never travel.
+
+    A node's neighbours are one list; a hub's list is met by pairs of its blocks, dealt to tasks.
+    """
+    lists = adjacency(undirected).where("node <> nbr").groupBy("node").agg(F.collect_set("nbr").alias("nbrs"))
+    last = F.floor((F.size("nbrs") - 1) / block).cast("int")
+    cut = lambda k: F.slice("nbrs", k * block + 1, F.lit(block))
+    whole = lists.where(last == 0).select(F.col("nbrs").alias("a"), F.lit(None).cast("array<long>").alias("b"), "node")
+    hubs = lists.where(last > 0).select("node", "nbrs", F.explode(F.sequence(F.lit(0), last)).alias("i")).select("node", "nbrs", "i", F.explode(F.sequence(F.col("i"), last)).alias("j"))
+    parts = hubs.select(cut(F.col("i")).alias("a"), F.when(F.col("i") < F.col("j"), cut(F.col("j"))).alias("b"), "node", "i", "j").repartition(F.col("node"), F.col("i"), F.col("j")).select("a", "b", "node")
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            nodes = batch.column(2).to_numpy()
+            for k, (own, other) in enumerate(zip(batch.column(0), batch.column(1))):
+                a = np.sort(own.values.to_numpy())
+                b = other.values.to_numpy() if other.is_valid else None
+                rows = max(1, PAIRS_AT_ONCE // max(1, len(a)))
+                if b is None:
+                    held.append((np.full(len(a), nodes[k]), a))
+                    size += len(a)
+                for at in range(0, len(a) if b is None else len(b), rows):
+                    x, y = (np.repeat(a[at : at + rows], len(a)), np.tile(a, len(a[at : at + rows]))) if b is None else (np.repeat(b[at : at + rows], len(a)), np.tile(a, len(b[at : at + rows])))
+                    held.append((x, y))
+                    size += len(x)
+                    if size >= PAIRS_AT_ONCE:
+                        yield _asked(held, chosen)
+                        held, size = [], 0
+        if held:
+            yield _asked(held, chosen)
+
+    told = whole.unionByName(parts).mapInArrow(run, "node_i long, node_j long")
+    return told.distinct()
+
+
+def _asked(pairs: list[tuple[np.ndarray, np.ndarray]], chosen) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    i, j = np.minimum(a, b), np.maximum(a, b)
+    some = np.flatnonzero(i < j)
+    some = some[chosen(i[some], j[some])]
+    return pa.RecordBatch.from_arrays([pa.array(i[some]), pa.array(j[some])], names=["node_i", "node_j"])
+
+
 def grid_cells(points: DataFrame, delta: float) -> DataFrame:
     """Points with the grid cell that they lie in: (cell_x, cell_y) = floor(position / delta)."""
     return points.withColumn("cell_x", F.floor(F.col("x_loc") / F.lit(delta)).cast("long")).withColumn("cell_y", F.floor(F.col("y_loc") / F.lit(delta)).cast("long"))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import draw, draw_sql, uniform_sql
+from ..functions import draw, draw_sql, drawn, uniform_sql
+from ..functions.draws import MODULUS
 from ..plans.stable import kept, numbered, stable
+from . import graph
 from .frequency import KeptCounts, top_decile
 from .graph import grid_cells, two_hop_neighbors
 
 STRONG_QUERIES, STRONG_COUNT = 3, 5
+#: How many times the pairs that are asked for are drawn at first, of all pairs that nodes may make.
+DRAWN_TIMES = 16
 
 
 def window_pairs(paths: DataFrame, k: int = 3) -> DataFrame:
@@ -58,9 +64,23 @@ def _some(pairs: DataFrame, n: int | None, seed: int) -> DataFrame:
 
 
 def hard_negatives(undirected: DataFrame, counts: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
-    """Nodes one or two edges apart that no path window holds together; n of them, drawn, if n is given."""
-    near = two_hop_neighbors(undirected).join(counts.select("node_i", "node_j"), ["node_i", "node_j"], "left_anti")
-    return _negatives(_some(near, n, seed), "hard_negative")
+    """Nodes one or two edges apart that no path window holds together; n of them, drawn, if n is given.
+
+    The n are those with the least draws, so only pairs whose draw is below a bar leave the task that makes them. The bar rises until n are found.
+    """
+    held = counts.select("node_i", "node_j")
+    if n is None:
+        return _negatives(two_hop_neighbors(undirected).join(held, ["node_i", "node_j"], "left_anti"), "hard_negative")
+    degree = graph.adjacency(undirected).groupBy("node").agg(F.count("*").cast("double").alias("n"))
+    most = degree.agg(F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(1.0))).first()[0]
+    bar = DRAWN_TIMES * max(1, n) / most
+    while True:
+        most_drawn = math.ceil(min(1.0, bar) * MODULUS)
+        near = graph.chosen_two_hop(undirected, lambda i, j, most=most_drawn: drawn(i * 1_000_003 + j, seed) < most)
+        found = kept(near.join(held, ["node_i", "node_j"], "left_anti"))
+        if bar >= 1 or found.count() >= n:
+            return _negatives(_some(found, n, seed), "hard_negative")
+        bar *= 16
 
 
 def area_negatives(points: DataFrame, counts: DataFrame, delta: float, n: int | None = None, seed: int = 42) -> DataFrame:
@@ -82,9 +102,9 @@ def random_negatives(nodes: DataFrame, counts: DataFrame, n: int, seed: int = 42
 
     Where half of all such pairs or more are asked for, all are listed and drawn from, so they are fewer only if there are no more.
     """
-    ranked = stable(numbered(nodes.select("node").distinct(), [F.col("node")], "rank"))
+    ranked = kept(numbered(nodes.select("node").distinct(), [F.col("node")], "rank"))
     total = ranked.count()
-    held = stable(counts.select("node_i", "node_j"))
+    held = kept(counts.select("node_i", "node_j"))
     spark, every = nodes.sparkSession, total * (total - 1) // 2
     if total < 2 or not n:
         return _negatives(held.limit(0), "random_negative")

@@ -177,3 +177,45 @@ def test_counts_of_nothing(spark):
     none = spark.createDataFrame([], "count long, edges array<long>")
     assert [tuple(r) for r in frequency.edge_features(und, none).collect()] == [(0, 1, 2, 1.0, 0)]
     assert pairs.edge_hard_negatives(frequency.edge_features(und, none)).collect() == []
+
+
+def _crowd(spark, n=4000, hub=3000):
+    ring = spark.range(n).select("id", F.col("id").alias("src"), ((F.col("id") * 7 + 1) % n).alias("dst"))
+    return kept(ring.unionByName(spark.range(1, hub).select((F.col("id") + n).alias("id"), F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))).select(F.col("id").alias("edge_index"), "src", "dst", F.lit(1.0).alias("weight")))
+
+
+def test_drawn_negatives_do_not_move_all_pairs(spark):
+    """A hub of 3,000 has 4.5 million pairs two hops apart; the 50 with the least draws are found without a shuffle of the others."""
+    und = _crowd(spark)
+    held = spark.createDataFrame([(5, 6), (1, 3)], "node_i long, node_j long")
+    before = shuffled(spark)
+    got = {(r.node_i, r.node_j) for r in pairs.hard_negatives(und, held, 50).collect()}
+    assert shuffled(spark) - before < 2 << 20
+    every = graph.two_hop_neighbors(und).join(held, ["node_i", "node_j"], "left_anti")
+    assert got == {(r.node_i, r.node_j) for r in pairs._some(every, 50, 42).collect()}
+
+
+@pytest.mark.parametrize("n", [0, 3, 10**6])
+def test_drawn_negatives_where_few_are_left(spark, monkeypatch, n):
+    monkeypatch.setattr(pairs, "DRAWN_TIMES", 1e-3, raising=False)
+    und = spark.createDataFrame([(k, k % 9, k * k % 10, 1.0) for k in range(20)], "edge_index long, src long, dst long, weight double")
+    every = {(r.node_i, r.node_j) for r in graph.two_hop_neighbors(und).collect()}
+    left = sorted(every)[:2] + sorted(every)[-2:]
+    held = spark.createDataFrame(sorted(every - set(left)), "node_i long, node_j long")
+    want = {(r.node_i, r.node_j) for r in pairs._some(spark.createDataFrame(left, "node_i long, node_j long"), n, 42).collect()}
+    assert {(r.node_i, r.node_j) for r in pairs.hard_negatives(und, held, n).collect()} == want
+
+
+def test_draws_of_arrays_are_those_of_sql(spark):
+    from roadlark.functions import draw, drawn
+
+    rows = spark.range(-50, 50).select((F.col("id") * 123_456_789_012).alias("id")).withColumn("d", draw("id", 42)).toPandas()
+    assert drawn(rows["id"].to_numpy(), 42).tolist() == rows["d"].tolist()
+
+
+@pytest.mark.parametrize("block", [2, 3, 2048])
+def test_chosen_pairs_are_all_pairs_chosen(spark, monkeypatch, block):
+    monkeypatch.setattr(graph, "PAIRS_AT_ONCE", 7, raising=False)
+    und = spark.createDataFrame([(k, k % 9, k * k % 10, 1.0) for k in range(20)], "edge_index long, src long, dst long, weight double")
+    got = [(r.node_i, r.node_j) for r in graph.chosen_two_hop(und, lambda i, j: (i + j) % 3 > 0, block).collect()]
+    assert sorted(got) == sorted((r.node_i, r.node_j) for r in graph.two_hop_neighbors(und).collect() if (r.node_i + r.node_j) % 3)
