@@ -219,3 +219,25 @@ def test_chosen_pairs_are_all_pairs_chosen(spark, monkeypatch, block):
     und = spark.createDataFrame([(k, k % 9, k * k % 10, 1.0) for k in range(20)], "edge_index long, src long, dst long, weight double")
     got = [(r.node_i, r.node_j) for r in graph.chosen_two_hop(und, lambda i, j: (i + j) % 3 > 0, block).collect()]
     assert sorted(got) == sorted((r.node_i, r.node_j) for r in graph.two_hop_neighbors(und).collect() if (r.node_i + r.node_j) % 3)
+
+
+def test_steps_do_not_pass_the_driver(spark):
+    """A step of 100,000 nodes meets the graph and what is known without being sent to the driver."""
+    from roadlark.operators import stepping
+
+    n = 100_000
+    und = kept(spark.range(n).select(F.col("id").alias("edge_index"), F.lit(0).cast("long").alias("src"), F.xxhash64("id").alias("dst"), (1 + F.abs(F.xxhash64("id", F.lit(1))) % 1_000_003 / 1e6).alias("weight")))
+    told = lambda: _sum_of_stages(spark, "resultSize")
+    before = told()
+    got = stepping.distances(graph.adjacency(und), spark.sql("SELECT 7L AS src, 0L AS node, 0D AS distance, 0L AS hops"), 2.5)
+    assert told() - before < 1 << 20
+    assert spark.conf.get("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "0b") in ("0", "0b")
+    assert got.count() == n + 1 and got.join(und, got.node == und.dst).where("distance = weight").count() == n
+
+
+def _sum_of_stages(spark, figure: str) -> int:
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None).iterator()
+    n = 0
+    while stages.hasNext():
+        n += getattr(stages.next(), figure)()
+    return n
