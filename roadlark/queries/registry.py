@@ -750,9 +750,7 @@ def pair_samples_all(spark, sf_dir):
 
 def _pair_samples(spark, sf_dir):
     und = d.kept_graph(spark, sf_dir)
-    # paths go to tasks by query, which are shorter than their pairs
-    traced = paths.trace_paths(und, d.road_queries(spark, sf_dir)).select("query_id", "nodes").repartition("query_id")
-    counts = kept(pairs.pair_counts(pairs.window_pairs(traced, 3)))
+    counts = kept(pairs.pair_counts(pairs.window_pairs(paths.trace_paths(und, d.road_queries(spark, sf_dir)), 3)))
     difficult = pairs.hard_negatives(und, counts, 300), pairs.area_negatives(_places(spark, sf_dir), counts, 20.0, 200)
     return pairs.pair_samples(counts, *difficult, pairs.random_negatives(graph.adjacency(und).select("node"), counts, 250, 7))
 
