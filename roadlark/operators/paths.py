@@ -5,6 +5,8 @@ all queries of one origin together. `files` does the same with rows that Spark h
 driver holds none of them; its bound is what a machine maps. `relax` keeps the graph and all searches in tables (see `stepping`), with no bound
 on the graph but with many rounds on long paths. Both give the same rows.
 
+Searches in executors go many at a time (see `meeting`); where weights are zero or points lead, one by one.
+
 Of equally short paths the one is taken that, walked back from the destination, always goes to the smallest node id;
 where weights of zero occur, fewer edges come first.
 """
@@ -28,6 +30,7 @@ from ..plans.stable import Tables, stable, tidy_shuffles
 from ..schemas import PATH_STEPS, PATHS
 from . import stepping
 from .graph import adjacency
+from .meeting import Searches
 
 #: Undirected edges up to which the graph is sent to executors: 24 bytes each way, 96 MB at most.
 MOST_BROADCAST_EDGES = 2_000_000
@@ -35,7 +38,7 @@ MOST_BROADCAST_EDGES = 2_000_000
 MOST_FILE_EDGES = 64_000_000
 #: Rows (an edge has two) of one file, about.
 ROWS_PER_FILE = 1_000_000
-#: Destinations of one origin up to which each is searched for from both ends; more share one search.
+#: Where weights are zero or points lead: destinations of one origin up to which each is searched for from both ends; more share one search.
 MOST_PAIRWISE = 4
 MOST_ROUNDS = 100_000
 
@@ -59,6 +62,22 @@ class Rows:
         k = int(np.searchsorted(self.ids, node))
         return k if k < len(self.ids) and self.ids[k] == node else -1
 
+    def places(self, nodes: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.full(len(nodes), -1)
+        k = np.minimum(np.searchsorted(self.ids, nodes), len(self.ids) - 1)
+        return np.where(self.ids[k] == nodes, k, -1)
+
+    @property
+    def searches(self) -> Searches:
+        """For searches of many queries at once; kept, as its tables are large."""
+        if getattr(self, "_searches", None) is None:
+            self._searches = self._joined()
+        return self._searches
+
+    def _joined(self) -> Searches:
+        return Searches([(self.starts, self.to.astype(np.int32), self.weight, self.edge)], len(self.ids))
+
     def nodes(self, places: list[int]) -> np.ndarray:
         return self.ids[places]
 
@@ -289,6 +308,17 @@ class FileRows(Rows):
         at = int(np.searchsorted(ids, node))
         return k * self.block + at if at < len(ids) and ids[at] == node else -1
 
+    def places(self, nodes: np.ndarray) -> np.ndarray:
+        out, part = np.full(len(nodes), -1), np.searchsorted(self.firsts, nodes, side="right") - 1
+        for k in np.unique(part[part >= 0]).tolist():
+            own, ids = np.flatnonzero(part == k), self.parts[k][0]
+            at = np.minimum(np.searchsorted(ids, nodes[own]), len(ids) - 1)
+            out[own] = np.where(ids[at] == nodes[own], k * self.block + at, -1)
+        return out
+
+    def _joined(self) -> Searches:
+        return Searches([(starts, to, weight, edge) for _, starts, weight, edge, to in self.parts], self.block)
+
     def nodes(self, places: list[int]) -> np.ndarray:
         at = np.asarray(places, np.int64)
         out, part = np.zeros(len(at), np.int64), at // self.block
@@ -543,6 +573,9 @@ def _dealt(rows: DataFrame, by: str, tasks: int | None = None) -> DataFrame:
 
 def _trace_arrow(undirected: DataFrame, asked: DataFrame, method: str, points: DataFrame | None, scale: float, tasks: int | None) -> DataFrame:
     shared, most, led = shared_rows(undirected, method), MOST_PAIRWISE, None
+    has_zero = shared.has_zero if isinstance(shared, GraphFiles) else shared.value.has_zero
+    if not has_zero and (points is None or not scale):
+        return _trace_met(shared, asked, tasks)
     if points is not None and scale:
         p = points.groupBy(F.col("id").cast("long").alias("id")).agg(F.min(F.struct("x_loc", "y_loc")).alias("p")).select("id", "p.*").toPandas().sort_values("id")
         led = undirected.sparkSession.sparkContext.broadcast(tuple(p[c].to_numpy() for c in ("id", "x_loc", "y_loc")))
@@ -573,6 +606,35 @@ def _trace_arrow(undirected: DataFrame, asked: DataFrame, method: str, points: D
     return _dealt(asked.withColumnRenamed("count", "count_"), "origin", tasks).sortWithinPartitions("origin", "query_id").mapInPandas(run, PATHS)
 
 
+def _trace_met(shared, asked: DataFrame, tasks: int | None) -> DataFrame:
+    """Many queries at a time from both ends. Those with a common end go to one task, by origins or by destinations, whichever are fewer."""
+
+    def run(batches):
+        rows = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            origin, goal = (batch.column(c).to_numpy() for c in ("origin", "destination"))
+            start, end = rows.places(origin), rows.places(goal)
+            same, told = origin == goal, np.full(len(origin), np.inf)
+            sought = np.flatnonzero(~same & (start >= 0) & (end >= 0))
+            nodes, edges = [[x] if own else [] for x, own in zip(origin.tolist(), same.tolist())], [[]] * len(origin)
+            if len(sought):
+                told[sought], places, used = rows.searches.paths(start[sought], end[sought])
+                cuts = np.cumsum([len(x) for x in places])[:-1]
+                for k, x, e in zip(sought.tolist(), np.split(rows.nodes(np.concatenate(places)), cuts), used):
+                    nodes[k], edges[k] = x, e.astype(np.int64)
+            told[same] = 0.0
+            found = told < np.inf
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (nodes, edges)]
+            columns = [*(batch.column(c) for c in ("query_id", "origin", "destination", "count")), pa.array(found), pa.array(told, mask=~found), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "origin", "destination", "count", "reachable", "distance", "nodes", "edges"])
+
+    one, two = asked.agg(F.count_distinct("origin"), F.count_distinct("destination")).first()
+    by, other = ("origin", "destination") if one <= two else ("destination", "origin")
+    return _dealt(asked, by, tasks).sortWithinPartitions(by, other, "query_id").mapInArrow(run, PATHS)
+
+
 def distances(undirected: DataFrame, sources: DataFrame, method: str = "auto") -> DataFrame:
     """(src, node, distance) for all nodes that each source (column `src`) reaches, itself with 0."""
     sources = sources.select(F.col("src").cast("long")).distinct()
