@@ -68,7 +68,21 @@ def test_queries_of_one_end_share_its_ball():
     told = []
     for goals in (np.zeros(40, np.int64), np.arange(100, 140)):
         batch = meeting.Batch(graph.searches, np.arange(1, 41), goals)
+        batch.seed()
         batch._meet()
         told.append(batch.count)
         batch.clear()
     assert told[0] < 0.8 * told[1] < 0.8 * 80 * 0.1 * 4000  # a search settles a small part of the graph
+
+
+def test_lengths_from_several_places():
+    """Ends that come to the graph at several places, at one that both have, or at none."""
+    rng = np.random.default_rng(5)
+    for seed in range(20):
+        graph = graph_of(random_graph(seed, n=40, m=45 if seed % 2 else 90))
+        ends = [{k: (np.unique(rng.integers(0, len(graph.ids), rng.integers(0, 4))), None) for k in range(12)} for _ in range(2)]
+        ends = [{k: (p, rng.integers(0, 6, len(p)).astype(float)) for k, (p, _) in e.items()} for e in ends]
+        a, b = (x.ravel() for x in np.meshgrid(np.arange(12), np.arange(12)))
+        told = graph.searches.lengths(a, b, *ends)
+        assert told.tolist() == [graph.length(*(dict(zip(p.tolist(), d.tolist())) for p, d in (ends[0][s], ends[1][t]))) for s, t in zip(a.tolist(), b.tolist())]
+        assert not graph.searches.slots.any()
